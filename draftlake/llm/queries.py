@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dedup, packing, quality_rules
+from . import decontaminate, line_dedup, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op3_packing": packing.op3_packing,
+        "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
         "op8_quality_rules": quality_rules.op8_quality_rules,
@@ -21,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
         "op6_line_dedup": line_dedup.ORACLE_SQL,
         "op8_quality_rules": quality_rules.ORACLE_SQL,
     }
