@@ -31,7 +31,7 @@ PUNCT = ~(SPACE | WORD)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the hash base and of its inverse modulo 2**64."""
     if len(_POWERS[0]) < n:
-        m = max(n, 2 * len(_POWERS[0]), 1 << 16)
+        m = max(n, 1 << 16) * 9 // 8
         for k, b in enumerate((_BASE, _BASE_INV)):
             p = np.full(m, b, U64)
             p[0] = 1
@@ -49,7 +49,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, limit: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, n + 1 offsets into the bytes) for runs of rows of about ``limit`` bytes; a longer row is alone."""
     first = 0
     for arr in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
