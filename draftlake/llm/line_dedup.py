@@ -116,10 +116,15 @@ def first_lines(docs: DataFrame) -> DataFrame:
     A document whose lines with ink all go is dropped, as is all but one of fully equal rows; a null text stays as it is.
     """
     cols = docs.columns
-    cut = decisions(docs).where(F.size("dropped") > 0).select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), bitmap("n_lines", "dropped").alias("_runs"))
-    keyed = docs.withColumn("_key", row_key(docs["text"].cast("string")))
-    joined = keyed.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_rk")), "left")
-    copy = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("_key"))
+    # one hash of (doc_id, text) is the only key of the exchange, which thus serves the join and the window; what it stands for
+    # is compared by inequalities, so that it doesn't become part of the key
+    place = F.xxhash64("_id", "_rk").alias("_place")
+    cut = decisions(docs).where(F.size("dropped") > 0).select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), bitmap("n_lines", "dropped").alias("_runs")).select("*", place)
+    keyed = docs.withColumn("_key", row_key(docs["text"].cast("string"))).withColumn("_at", F.xxhash64("doc_id", "_key"))
+    alike = lambda x, y: (F.col(x) >= F.col(y)) & (F.col(x) <= F.col(y))
+    one = F.coalesce(alike("doc_id", "_id"), F.col("doc_id").isNull() & F.col("_id").isNull())
+    joined = keyed.join(cut, (F.col("_at") == F.col("_place")) & one & alike("_key", "_rk"), "left")
+    copy = F.row_number().over(Window.partitionBy("_at", "doc_id", "_key").orderBy("_key"))
     bits = F.flatten(F.transform(F.split("_runs", ","), lambda r, i: F.array_repeat(i % 2 == 0, r.cast("int"))))
     kept = F.array_join(F.transform(F.filter(F.arrays_zip(F.split("text", "\n", -1).alias("line"), bits.alias("bit")), lambda z: z["bit"]), lambda z: z["line"]), "\n")
     text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(kept)
