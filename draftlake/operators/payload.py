@@ -64,93 +64,81 @@ def metadata(norm: DataFrame, types: DataFrame) -> DataFrame:
     )
 
 
-def _rows(df: DataFrame, section: int, keys: list, line: Column) -> DataFrame:
-    """(drawing_id, section, k1 .. k4, line)."""
-    k = [F.lit(x) if isinstance(x, int) else F.col(x) for x in keys]
-    k += [F.lit(0)] * (4 - len(k))
-    return df.select("drawing_id", F.lit(section).alias("section"), *(x.cast("bigint").alias(f"k{i}") for i, x in enumerate(k)), line.alias("line"))
+def _rows(df: DataFrame, section: int, *lines: tuple) -> DataFrame:
+    """(drawing_id, section, k0 .. k3, line): the lines of each row, given as (keys, line); a null line is left out."""
+    items = []
+    for keys, line in lines:
+        k = [F.lit(x) if isinstance(x, int) else F.col(x) for x in keys] + [F.lit(0)] * (4 - len(keys))
+        items.append(F.struct(*(x.cast("bigint").alias(f"k{i}") for i, x in enumerate(k)), (F.lit(line) if isinstance(line, str) else line).alias("line")))
+    return df.select("drawing_id", F.lit(section).alias("section"), F.inline(F.filter(F.array(*items), lambda x: x["line"].isNotNull())))
 
 
 def report_lines(meta: DataFrame, t: Layers, classed: DataFrame, texts_in: DataFrame, symbols_in: DataFrame, stats: DataFrame, boxes: DataFrame, nodes: DataFrame, edges: DataFrame, degrees: DataFrame) -> DataFrame:
-    """All lines of all reports with their places: (drawing_id, section, k0 .. k3, line)."""
+    """All lines of all reports with their places: (drawing_id, section, k0 .. k3, line). Each table gives its lines at once."""
     cat = lambda *p: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in p))
     col, string = F.col, lambda c: F.col(c).cast("string")
     info = meta.select("drawing_id", "drawing_type", "rounding", "paper_scale")
     electrical = col("drawing_type") == "electrical"
-    xy = lambda x, y: cat("(", coordinate(col(x), col("rounding")), ", ", coordinate(col(y), col("rounding")), ")")
+    c = lambda x: coordinate(col(x), col("rounding"))
+    xy = lambda x, y: cat("(", c(x), ", ", c(y), ")")
     pt = lambda x, y: cat("(", shortest(col(x)), ", ", shortest(col(y)), ")")
 
     title = F.create_map(*(F.lit(x) for kv in TITLES.items() for x in kv))[col("drawing_type")]
-    head = F.array_compact(F.array(
-        cat("# ", F.coalesce(title, F.lit("CAD DRAWING")), ": ", col("filename")), F.lit(""), F.lit("## DRAWING INFORMATION"), cat("- Extents: ", whole(col("width")), " x ", whole(col("height")), " drawing units"),
-        F.when(col("paper_size").isNotNull(), cat("- Paper Size: ", col("paper_size"), " (landscape)")), F.when(col("paper_size").isNotNull(), cat("- Scale: 1:", string("paper_scale"))),
-        F.when(col("paper_size").isNotNull(), cat("- Real-world extent: ", string("expected_w"), "mm x ", string("expected_h"), "mm on paper")), cat("- Drawing Type: ", col("drawing_type")),
-        F.when(col("scale_factor") > 1, cat("- Scale Applied: /", whole(col("scale_factor")), " (coordinates in paper-space mm)")), cat("- Origin Offset: ", pt("offset_x", "offset_y")), F.lit(""),
-    ))
-    out = [_rows(meta.select("drawing_id", F.posexplode(head).alias("p", "line")), 0, ["p"], col("line"))]
-
-    loops = classed.join(info, "drawing_id").withColumn("id", numbered("LOOP", col("loop_ord")))
-    big, small = loops.where("large"), loops.where("NOT large")
-    once = lambda d: d.select("drawing_id", "drawing_type").distinct()
-    out += [_rows(once(big), 1, [0], F.when(electrical, "## ENCLOSURES & PANELS").otherwise("## ROOMS & BOUNDARIES")), _rows(once(big), 1, [1], F.lit(""))]
+    paper = col("paper_size").isNotNull()
+    head = [
+        cat("# ", F.coalesce(title, F.lit("CAD DRAWING")), ": ", col("filename")), "", "## DRAWING INFORMATION", cat("- Extents: ", whole(col("width")), " x ", whole(col("height")), " drawing units"),
+        F.when(paper, cat("- Paper Size: ", col("paper_size"), " (landscape)")), F.when(paper, cat("- Scale: 1:", string("paper_scale"))), F.when(paper, cat("- Real-world extent: ", string("expected_w"), "mm x ", string("expected_h"), "mm on paper")),
+        cat("- Drawing Type: ", col("drawing_type")), F.when(col("scale_factor") > 1, cat("- Scale Applied: /", whole(col("scale_factor")), " (coordinates in paper-space mm)")), cat("- Origin Offset: ", pt("offset_x", "offset_y")), "",
+    ]
+    out = [_rows(meta, 0, *(((k,), line) for k, line in enumerate(head)))]
+
+    loops = classed.drop("id").join(info, "drawing_id").withColumn("id", numbered("LOOP", col("loop_ord")))
     metric = (col("drawing_type") == "architectural") & (col("paper_scale") > 1)
     area = F.when(metric, cat("~", one_decimal(col("area") * (col("paper_scale") * col("paper_scale")) / 1_000_000), " m2")).otherwise(cat(whole(col("area")), " sq units"))
-    out += [
-        _rows(big, 1, [2, "loop_ord", 0], cat("### Region [", col("id"), "] (", string("num_segments"), " segments, ", area, ")")), _rows(big, 1, [2, "loop_ord", 1], cat("- Centroid: ", pt("cx", "cy"))),
-        _rows(big, 1, [2, "loop_ord", 2], cat("- BBox: ", pt("min_x", "min_y"), " to ", pt("max_x", "max_y"))), _rows(big, 1, [2, "loop_ord", 5], F.lit("")),
-    ]
-    of_big = big.select("drawing_id", "loop_ord", "rounding")
-    place = lambda o: Window.partitionBy("drawing_id", "loop_ord").orderBy("layer_ord", o)
-    out += [
-        _rows(texts_in.join(of_big, ["drawing_id", "loop_ord"]).withColumn("i", F.row_number().over(place("text_ord"))), 1, [2, "loop_ord", 3, "i"], cat('- Label: "', col("text"), '" at ', xy("tx", "ty"))),
-        _rows(symbols_in.join(of_big, ["drawing_id", "loop_ord"]).withColumn("i", F.row_number().over(place("circle_ord"))), 1, [2, "loop_ord", 4, "i"], cat("- Symbol: R=", coordinate(col("radius"), col("rounding")), " at ", xy("cx", "cy"))),
-    ]
-    count = small.groupBy("drawing_id", "drawing_type").agg(F.count("*").alias("n"))
-    some = small_shapes(loops)
-    out += [
-        _rows(count, 2, [0], F.when(electrical, "## DEVICE SYMBOLS").otherwise("## SMALL CLOSED SHAPES")), _rows(count, 2, [1], F.when(electrical, cat("(", string("n"), " small closed shapes detected — likely device outlines)")).otherwise(cat("(", string("n"), " detected)"))),
-        _rows(count, 2, [2], F.lit("")), _rows(some, 2, [3, "k"], cat("- [", col("id"), "] at ", pt("cx", "cy"), ", ", string("num_segments"), " sides")),
-        _rows(count.where(col("n") > SHOWN_SHAPES), 2, [4], cat("- ... and ", (col("n") - SHOWN_SHAPES).cast("string"), " more")), _rows(count, 2, [5], F.lit("")),
+    region = [
+        ((2, "loop_ord", 0), cat("### Region [", col("id"), "] (", string("num_segments"), " segments, ", area, ")")), ((2, "loop_ord", 1), cat("- Centroid: ", pt("cx", "cy"))),
+        ((2, "loop_ord", 2), cat("- BBox: ", pt("min_x", "min_y"), " to ", pt("max_x", "max_y"))), ((2, "loop_ord", 5), ""),
     ]
+    out.append(_rows(loops.where("large"), 1, *region))
+    of_big = loops.where("large").select("drawing_id", "loop_ord", "rounding")
+    place = lambda o: F.row_number().over(Window.partitionBy("drawing_id", "loop_ord").orderBy("layer_ord", o))
+    out.append(_rows(texts_in.join(of_big, ["drawing_id", "loop_ord"]).withColumn("i", place("text_ord")), 1, ((2, "loop_ord", 3, "i"), cat('- Label: "', col("text"), '" at ', xy("tx", "ty")))))
+    out.append(_rows(symbols_in.join(of_big, ["drawing_id", "loop_ord"]).withColumn("i", place("circle_ord")), 1, ((2, "loop_ord", 4, "i"), cat("- Symbol: R=", c("radius"), " at ", xy("cx", "cy")))))
+    out.append(_rows(small_shapes(loops), 2, ((3, "k"), cat("- [", col("id"), "] at ", pt("cx", "cy"), ", ", string("num_segments"), " sides"))))
 
     order = layer_order(stats)
-    base = meta.select("drawing_id")
-    out += [_rows(base, 3, [0], F.lit("## ANNOTATIONS")), _rows(base, 3, [1], F.lit(""))]
-    named = stats.join(order, ["drawing_id", "layer"])
-    labelled = named.where("text_count > 0")
-    texts = t.texts.join(order, ["drawing_id", "layer"]).join(info, "drawing_id")
-    out += [
-        _rows(labelled, 3, [2, "report_ord", 0], cat("### Layer: ", col("layer"), " (", string("text_count"), " labels)")),
-        _rows(texts, 3, [2, "report_ord", 1, "text_ord"], cat('- "', col("text"), '" at ', xy("tx", "ty"), " [", F.coalesce("id", F.lit("?")), "]")), _rows(labelled, 3, [2, "report_ord", 2], F.lit("")),
-    ]
-
-    drawn = named.where("line_count > 0 OR circle_arc_count > 0").join(boxes.drop("layer_ord"), ["drawing_id", "layer"], "left").join(info, "drawing_id")
-    brief = col("drawing_type").isin("electrical", "generic") & (col("line_count") > SHOWN_LINES)
-    out += [_rows(base, 4, [0], F.lit("## GEOMETRY SUMMARY")), _rows(base, 4, [1], F.lit("")), _rows(drawn, 4, [2, "report_ord", 0], cat("### Layer: ", col("layer")))]
-    out += [
-        _rows(drawn, 4, [2, "report_ord", 1], cat("- ", string("line_count"), " lines (", whole(col("total_line_length")), " units total), ", string("circle_arc_count"), " arcs/circles, ", string("text_count"), " text")),
-        _rows(drawn, 4, [2, "report_ord", 2], cat("- Dominant direction: ", F.coalesce("dominant_alignment", F.lit("None")))),
-        _rows(drawn.where("min_x IS NOT NULL"), 4, [2, "report_ord", 3], cat("- BBox: ", xy("min_x", "min_y"), " to ", xy("max_x", "max_y"))), _rows(drawn, 4, [2, "report_ord", 7], F.lit("")),
-    ]
+    named = stats.join(order, ["drawing_id", "layer"]).join(boxes.drop("layer_ord"), ["drawing_id", "layer"], "left").join(info, "drawing_id")
     kinds = t.segments.groupBy("drawing_id", "layer").agg(*(F.count_if(F.coalesce("alignment", F.lit("diagonal")) == a).alias(a) for a in ALIGNMENTS))
+    named = named.join(kinds, ["drawing_id", "layer"], "left")
+    brief = col("drawing_type").isin("electrical", "generic") & (col("line_count") > SHOWN_LINES)
     parts = F.concat_ws(", ", *(F.when(col(a) > 0, cat(f"{a}: ", string(a))) for a in sorted(ALIGNMENTS)))
-    out.append(_rows(drawn.where(brief).join(kinds, ["drawing_id", "layer"]), 4, [2, "report_ord", 4], cat("- Line directions: ", parts)))
-    listed = drawn.where(~brief).select("drawing_id", "layer", "report_ord", "rounding", "line_count")
-    lines = first_lines(t.segments.drop("rounding")).join(listed, ["drawing_id", "layer"])
-    c = lambda x: coordinate(col(x), col("rounding"))
+    texts = t.texts.join(order, ["drawing_id", "layer"]).join(info, "drawing_id")
+    out.append(_rows(named.where("text_count > 0"), 3, ((2, "report_ord", 0), cat("### Layer: ", col("layer"), " (", string("text_count"), " labels)")), ((2, "report_ord", 2), "")))
+    out.append(_rows(texts, 3, ((2, "report_ord", 1, "text_ord"), cat('- "', col("text"), '" at ', xy("tx", "ty"), " [", F.coalesce("id", F.lit("?")), "]"))))
+    geometry = [
+        ((2, "report_ord", 0), cat("### Layer: ", col("layer"))), ((2, "report_ord", 1), cat("- ", string("line_count"), " lines (", whole(col("total_line_length")), " units total), ", string("circle_arc_count"), " arcs/circles, ", string("text_count"), " text")),
+        ((2, "report_ord", 2), cat("- Dominant direction: ", F.coalesce("dominant_alignment", F.lit("None")))), ((2, "report_ord", 3), F.when(col("min_x").isNotNull(), cat("- BBox: ", xy("min_x", "min_y"), " to ", xy("max_x", "max_y")))),
+        ((2, "report_ord", 4), F.when(brief, cat("- Line directions: ", parts))), ((2, "report_ord", 6), F.when(~brief & (col("line_count") > SHOWN_LINES), cat("  * ... and ", (col("line_count") - SHOWN_LINES).cast("string"), " more"))), ((2, "report_ord", 7), ""),
+    ]
+    drawn = named.where("line_count > 0 OR circle_arc_count > 0")
+    out.append(_rows(drawn, 4, *geometry))
+    listed = first_lines(t.segments.drop("rounding")).join(drawn.where(~brief).select("drawing_id", "layer", "report_ord", "rounding"), ["drawing_id", "layer"])
     shown = cat("  * (", c("sx"), ",", c("sy"), ") to (", c("ex"), ",", c("ey"), ") | ", F.upper(F.substring(F.coalesce("alignment", F.lit("diagonal")), 1, 1)), " | L=", shortest(col("length")), " [", F.coalesce("id", F.lit("?")), "]")
-    out += [_rows(lines, 4, [2, "report_ord", 5, "k"], shown), _rows(listed.where(col("line_count") > SHOWN_LINES), 4, [2, "report_ord", 6], cat("  * ... and ", (col("line_count") - SHOWN_LINES).cast("string"), " more"))]
+    out.append(_rows(listed, 4, ((2, "report_ord", 5, "k"), shown)))
 
+    degree = degrees.groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("degree", "n"))).alias("d"))
     totals = (
-        base.join(nodes.groupBy("drawing_id").agg(F.count("*").alias("nodes")), "drawing_id", "left").join(edges.groupBy("drawing_id").agg(F.count("*").alias("edges")), "drawing_id", "left")
-        .join(classed.groupBy("drawing_id").agg(F.count("*").alias("loops"), F.count_if("large").alias("big")), "drawing_id", "left").na.fill(0)
+        info.join(nodes.groupBy("drawing_id").agg(F.count("*").alias("nodes")), "drawing_id", "left").join(edges.groupBy("drawing_id").agg(F.count("*").alias("edges")), "drawing_id", "left")
+        .join(classed.groupBy("drawing_id").agg(F.count("*").alias("loops"), F.count_if("large").alias("big")), "drawing_id", "left").na.fill(0).join(degree, "drawing_id", "left").withColumn("small", col("loops") - col("big"))
     )
-    degree = degrees.groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("degree", "n"))).alias("d"))
-    out += [
-        _rows(totals, 5, [0], F.lit("## TOPOLOGY")), _rows(totals, 5, [1], cat("- Nodes: ", string("nodes"))), _rows(totals, 5, [2], cat("- Edges: ", string("edges"))),
-        _rows(totals, 5, [3], cat("- Closed Loops: ", string("loops"), " (", string("big"), " large, ", (col("loops") - col("big")).cast("string"), " small)")),
-        _rows(degree, 5, [4], cat("- Degree Distribution: ", F.array_join(F.transform("d", lambda x: cat("deg-", x["degree"].cast("string"), ": ", x["n"].cast("string"))), ", "))), _rows(base, 5, [5], F.lit("")),
-    ]
+    some = col("small") > 0
+    title = F.when(electrical, cat("(", string("small"), " small closed shapes detected — likely device outlines)")).otherwise(cat("(", string("small"), " detected)"))
+    out.append(_rows(totals, 1, ((0,), F.when(col("big") > 0, F.when(electrical, "## ENCLOSURES & PANELS").otherwise("## ROOMS & BOUNDARIES"))), ((1,), F.when(col("big") > 0, ""))))
+    out.append(_rows(totals.where(some), 2, ((0,), F.when(electrical, "## DEVICE SYMBOLS").otherwise("## SMALL CLOSED SHAPES")), ((1,), title), ((2,), ""), ((4,), F.when(col("small") > SHOWN_SHAPES, cat("- ... and ", (col("small") - SHOWN_SHAPES).cast("string"), " more"))), ((5,), "")))
+    out.append(_rows(totals, 3, ((0,), "## ANNOTATIONS"), ((1,), "")))
+    out.append(_rows(totals, 4, ((0,), "## GEOMETRY SUMMARY"), ((1,), "")))
+    spread = F.array_join(F.transform("d", lambda x: cat("deg-", x["degree"].cast("string"), ": ", x["n"].cast("string"))), ", ")
+    out.append(_rows(totals, 5, ((0,), "## TOPOLOGY"), ((1,), cat("- Nodes: ", string("nodes"))), ((2,), cat("- Edges: ", string("edges"))), ((3,), cat("- Closed Loops: ", string("loops"), " (", string("big"), " large, ", string("small"), " small)")), ((4,), F.when(F.size("d") > 0, cat("- Degree Distribution: ", spread))), ((5,), "")))
     union = out[0]
     for d in out[1:]:
         union = union.unionByName(d)

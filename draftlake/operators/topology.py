@@ -99,7 +99,7 @@ def degree_distribution(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return per.groupBy("drawing_id", "node_id").agg(F.sum("d").alias("degree")).groupBy("drawing_id", "degree").agg(F.count("*").alias("n"))
 
 
-def detect_loops(links: DataFrame, max_length: int = kernels.MAX_LENGTH, max_loops: int = kernels.MAX_LOOPS, max_steps: int = kernels.MAX_STEPS, by: str = "nodes") -> tuple[DataFrame, DataFrame]:
+def detect_loops(links: DataFrame, max_length: int = kernels.MAX_LENGTH, max_loops: int = kernels.MAX_LOOPS, max_steps: int = kernels.MAX_STEPS, by: str = "nodes", keep=None) -> tuple[DataFrame, DataFrame]:
     """(loops, truncated): (drawing_id, found_ord, node_ids) and (drawing_id, truncated), a kernel run for each drawing.
 
     The search and its bounds are sequential over a drawing, so drawings are the unit of parallelism. Drawings whose joints
@@ -116,6 +116,7 @@ def detect_loops(links: DataFrame, max_length: int = kernels.MAX_LENGTH, max_loo
         return pd.DataFrame([(drawing, k, ids, cut) for k, ids in enumerate(found)] + [(drawing, -1, [], cut)], columns=["drawing_id", "found_ord", "node_ids", "truncated"])
 
     rows = links.groupBy("drawing_id").applyInPandas(run, f"drawing_id {kind}, found_ord int, node_ids array<int>, truncated boolean")
+    rows = keep(rows) if keep else rows
     return rows.where("found_ord >= 0").drop("truncated"), rows.where("found_ord = -1").select("drawing_id", "truncated")
 
 
@@ -164,8 +165,11 @@ def loop_boundary_layers(loops: DataFrame, edges: DataFrame) -> DataFrame:
     return sides.join(flat, ["drawing_id", "u", "v"]).select("drawing_id", "loop_ord", "layer").distinct()
 
 
-def analyse(segments: DataFrame, tolerance: float = TOLERANCE, **bounds) -> Topology:
+def analyse(segments: DataFrame, tolerance: float = TOLERANCE, keep=None, **bounds) -> Topology:
+    """All of pass 2; ``keep`` may store a table that several later steps read."""
+    keep = keep or (lambda df: df)
     nodes, points = joints(segments, tolerance)
-    edges = graph_edges(segments, points)
-    loops, cut = detect_loops(adjacency(edges), **bounds)
-    return Topology(nodes, points, edges, loop_metadata(loops, nodes), cut)
+    nodes = keep(nodes)
+    edges = keep(graph_edges(segments, points))
+    loops, cut = detect_loops(adjacency(edges), keep=keep, **bounds)
+    return Topology(nodes, points, edges, keep(loop_metadata(loops, nodes)), cut)

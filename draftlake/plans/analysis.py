@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from ..operators import extraction, payload, semantics, spatial, topology
 from ..operators.extraction import Layers
 from ..sources.dxf import read_dxf
+from .store import kept
+
+
+Keep = Callable[[DataFrame], DataFrame]
 
 
 class Analysis(NamedTuple):
@@ -51,34 +56,35 @@ class Analysis(NamedTuple):
         return payload.markdown(payload.report_lines(self.metadata, self.tables, self.loops, self.texts_in, self.symbols_in, self.statistics, self.boxes, self.nodes, self.edges, self.degrees))
 
 
-def analyse_tables(t: Layers, metadata: DataFrame, tolerance: float = topology.TOLERANCE, radius: float | None = None, **bounds) -> Analysis:
-    """Passes 2 to 5 over tables of pass 1; ids come before rooms, whose members carry them."""
-    top = topology.analyse(t.segments, tolerance, **bounds)
-    t = payload.assign_ids(t)
-    near = semantics.text_neighbours(t)
-    reach = semantics.anchor_radius(t, near) if radius is None else t.layers.select("drawing_id").distinct().withColumn("radius", F.lit(float(radius)))
-    rooms = semantics.room_labels(t.texts)
+def analyse_tables(t: Layers, metadata: DataFrame, tolerance: float = topology.TOLERANCE, radius: float | None = None, keep: Keep | None = None, **bounds) -> Analysis:
+    """Passes 2 to 5 over tables of pass 1; ids come before rooms, whose members carry them.
+
+    ``keep`` stores what several results are made of (``plans.store.kept``), so that it is computed once; without it all stays lazy.
+    """
+    keep = keep or (lambda df: df)
+    t = Layers(*map(keep, payload.assign_ids(t)))
+    top = topology.analyse(t.segments, tolerance, keep, **bounds)
+    near = keep(semantics.text_neighbours(t))
+    reach = keep(semantics.anchor_radius(t, near) if radius is None else t.layers.select("drawing_id").distinct().withColumn("radius", F.lit(float(radius))))
+    rooms = keep(semantics.room_labels(t.texts))
     loops = payload.size_classes(payload.loop_ids(top.loops))
     return Analysis(
-        metadata=metadata, layers=t.layers, segments=t.segments, circles=t.circles, texts=t.texts, nodes=top.nodes, edges=top.edges,
+        metadata=keep(metadata), layers=t.layers, segments=t.segments, circles=t.circles, texts=t.texts, nodes=top.nodes, edges=top.edges,
         degrees=topology.degree_distribution(top.nodes, topology.adjacency(top.edges)), loops=loops, truncated=top.truncated,
         texts_in=spatial.contained(t.texts, loops, "tx", "ty"), symbols_in=spatial.contained(t.circles, loops, "cx", "cy"),
-        boxes=spatial.layer_boxes(t), alignments=spatial.alignment_summary(t.segments), statistics=semantics.layer_statistics(t),
+        boxes=spatial.layer_boxes(t), alignments=spatial.alignment_summary(t.segments), statistics=keep(semantics.layer_statistics(t)),
         anchors=semantics.text_anchors(near, reach), radius=reach, rooms=rooms, room_members=semantics.room_members(t, rooms),
     )
 
 
-def analyse(entities: DataFrame, bounds: DataFrame | None = None, **params) -> Analysis:
+def analyse(entities: DataFrame, bounds: DataFrame | None = None, keep: Keep | None = None, **params) -> Analysis:
     """All five passes over entities; ``bounds`` overrides the computed ones. A drawing without any extent has no rows."""
-    norm = extraction.normalisation(extraction.bounds(entities) if bounds is None else bounds)
-    t = extraction.extract(entities, norm)
-    return analyse_tables(t, payload.metadata(norm, extraction.drawing_types(t)), **params)
-
-
-def analyse_path(spark: SparkSession, path: str, mode: str = "FAILFAST", work: str | None = None, **params) -> Analysis:
-    """The analysis of all files that a path or glob names. With ``work``, entities and tables are kept below that path."""
-    entities = read_dxf(spark, path, mode)
-    if work is None:
-        return analyse(entities, **params)
-    entities.write.mode("overwrite").parquet(f"{work}/entities")
-    return analyse(spark.read.schema(entities.schema).parquet(f"{work}/entities"), **params).save(f"{work}/tables")
+    keep = keep or (lambda df: df)
+    norm = keep(extraction.normalisation(extraction.bounds(entities) if bounds is None else bounds))
+    t = Layers(*map(keep, extraction.extract(entities, norm)))
+    return analyse_tables(t, payload.metadata(norm, extraction.drawing_types(t)), keep=keep, **params)
+
+
+def analyse_path(spark: SparkSession, path: str, mode: str = "FAILFAST", **params) -> Analysis:
+    """The analysis of all files that a path or glob names; what it is made of is kept in the shared folder."""
+    return analyse(kept(read_dxf(spark, path, mode)), keep=kept, **params)

@@ -17,6 +17,7 @@ from .operators import extraction as E
 from .operators import furniture, payload, semantics, spatial, topology
 from .plans.analysis import analyse, analyse_tables
 from .plans.documents import json_documents
+from .plans.store import kept
 from .sources import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,9 +144,9 @@ def loop_boundary_layers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def detect_loops_recursive(spark: SparkSession, d: str) -> DataFrame:
-    """The recursive form on the smaller half of the lattices."""
+    """The recursive form on some of the smaller lattices."""
     s = X.lattice(spark, d).where("drawing_id % 2 = 1 AND drawing_id < 10")
-    found = topology.detect_loops_sql(topology.adjacency(topology.graph_edges(s, topology.joints(s)[1])))
+    found = topology.detect_loops_sql(kept(topology.adjacency(topology.graph_edges(s, topology.joints(s)[1]))), 8)
     return found.select(F.col("drawing_id").cast("bigint"), F.array_join(F.transform(F.array_sort("node_ids"), lambda x: x.cast("string")), ",").alias("members"))
 
 
@@ -257,7 +258,7 @@ def _plans(spark: SparkSession, d: str):
     layers = lines.select("drawing_id", "layer", "layer_ord").union(circles.select("drawing_id", "layer", "layer_ord")).union(texts.select("drawing_id", "layer", "layer_ord")).distinct()
     tables = E.Layers(layers, lines, circles, texts)
     norm = E.normalisation(small.select("drawing_id", F.lit(0.0).alias("min_x"), F.lit(0.0).alias("min_y"), F.lit(420.0).alias("max_x"), F.lit(297.0).alias("max_y")))
-    return analyse_tables(tables, payload.metadata(norm, E.drawing_types(tables)))
+    return analyse_tables(tables, payload.metadata(norm, E.drawing_types(tables)), keep=kept)
 
 
 def markdown_payload(spark: SparkSession, d: str) -> DataFrame:
@@ -270,7 +271,7 @@ def json_payload(spark: SparkSession, d: str) -> DataFrame:
 
 def full_analysis(spark: SparkSession, d: str) -> DataFrame:
     """All passes from entities on: what each layer of each drawing comes to."""
-    a = analyse(X.entities(spark, d).where("drawing_id < 8 AND seq % 3 = 0 OR block IS NOT NULL AND drawing_id < 8"), max_loops=50, max_steps=20_000)
+    a = analyse(X.entities(spark, d).where("drawing_id < 8 AND seq % 3 = 0 OR block IS NOT NULL AND drawing_id < 8"), keep=kept, max_loops=50, max_steps=20_000)
     return big(a.statistics.join(a.boxes.drop("layer_ord"), ["drawing_id", "layer"], "left"))
 
 
