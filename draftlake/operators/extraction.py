@@ -263,9 +263,10 @@ def equalise(segments: DataFrame) -> DataFrame:
     return moved.select(segments.columns).unionByName(segments.where("alignment IS NULL OR alignment <> 'vertical'"))
 
 
-def extract(entities: DataFrame, norm: DataFrame) -> Layers:
-    """All tables of pass 1, straightened and equalised."""
-    return tables(normalised(primitives(entities), norm))
+def extract(entities: DataFrame, norm: DataFrame, keep=None) -> Layers:
+    """All tables of pass 1, straightened and equalised; ``keep`` may store the primitives that all four are made of."""
+    rows = normalised(primitives(entities), norm)
+    return tables(keep(rows) if keep else rows)
 
 
 def tables(rows: DataFrame) -> Layers:

@@ -71,7 +71,7 @@ def anchor_radius(t: Layers, near: DataFrame) -> DataFrame:
     med = first.groupBy("drawing_id").agg(F.array_sort(F.collect_list("d")).alias("ds")).select("drawing_id", F.element_at("ds", (F.floor(F.size("ds") / 2) + 1).cast("int")).alias("m"))
     radius = round_exact(F.greatest(F.col("m") * 2, F.lit(LEAST_RADIUS)), 1)
     drawings = t.layers.select("drawing_id").distinct()
-    return drawings.join(med, "drawing_id", "left").select("drawing_id", F.coalesce(radius, F.lit(DEFAULT_RADIUS)).alias("radius"))
+    return drawings.join(med, "drawing_id", "left").select("drawing_id", F.when(F.col("m").isNull(), F.lit(DEFAULT_RADIUS)).otherwise(radius).alias("radius"))
 
 
 def text_anchors(near: DataFrame, radius: DataFrame | float) -> DataFrame:

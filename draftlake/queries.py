@@ -366,7 +366,7 @@ _SIDES = "SELECT drawing_id, m, i, path[i] AS u, path[CASE WHEN i = len(path) TH
 
 _REFS = f"SELECT drawing_id, layer_ord, 0 AS k, line_ord AS i, (sx + ex) / 2 AS gx, (sy + ey) / 2 AS gy, layer AS glayer, 'line_midpoint' AS gtype FROM segments UNION ALL SELECT drawing_id, layer_ord, 1, circle_ord, cx, cy, layer, 'circle_arc_center' FROM circles"
 _NEAR = "SELECT t.drawing_id, t.layer, t.layer_ord, t.text_ord, t.text, t.tx, t.ty, min_by(struct_pack(d2 := (t.tx - r.gx) * (t.tx - r.gx) + (t.ty - r.gy) * (t.ty - r.gy), gx := r.gx, gy := r.gy, glayer := r.glayer, gtype := r.gtype), ((t.tx - r.gx) * (t.tx - r.gx) + (t.ty - r.gy) * (t.ty - r.gy), r.layer_ord, r.k, r.i)) AS b FROM texts t JOIN refs r ON r.drawing_id = t.drawing_id GROUP BY ALL"
-_RADIUS = f"SELECT l.drawing_id, coalesce(greatest(m * 2, {D(50)}), {D(500)}) AS raw FROM (SELECT DISTINCT drawing_id FROM layers) l LEFT JOIN (SELECT drawing_id, list_sort(list(sqrt(b.d2)))[count(*) // 2 + 1] AS m FROM (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY layer_ord, text_ord) AS q FROM near) z WHERE q <= 100 GROUP BY drawing_id) n ON n.drawing_id = l.drawing_id"
+_RADIUS = f"SELECT l.drawing_id, CASE WHEN m IS NULL THEN {D(500)} ELSE greatest(m * 2, {D(50)}) END AS raw FROM (SELECT DISTINCT drawing_id FROM layers) l LEFT JOIN (SELECT drawing_id, list_sort(list(sqrt(b.d2)))[count(*) // 2 + 1] AS m FROM (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY layer_ord, text_ord) AS q FROM near) z WHERE q <= 100 GROUP BY drawing_id) n ON n.drawing_id = l.drawing_id"
 _REACH = f"SELECT drawing_id, {sql_round('raw', 1)} AS radius FROM radius0"
 _ANCHORED = {"refs": _REFS, "near": _NEAR, "radius0": _RADIUS, "reach": _REACH, "flatnear": "SELECT near.*, b.gx AS gx, b.gy AS gy, b.glayer AS glayer, b.gtype AS gtype, sqrt(b.d2) AS d, radius FROM near JOIN reach ON reach.drawing_id = near.drawing_id"}
 _T = ("segments", "circles", "texts", "layers")

@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from pathlib import PurePosixPath
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..schemas import ENTITIES
 
 #: Sub-entities that belong to the entity before them.
 _PARTS = {"VERTEX", "SEQEND", "ATTRIB"}
 _ENCODINGS = {"ANSI_932": "cp932", "ANSI_936": "gbk", "ANSI_949": "cp949", "ANSI_950": "big5", "DOS850": "cp850", "DOS437": "cp437"}
-COLUMNS = tuple(re.findall(r"(\w+) (?:string|bigint|double|int|boolean|array<)", re.sub(r"struct<[^>]*>", "struct", ENTITIES)))
+#: Names and types of the columns, in order.
+FIELDS = tuple(tuple(f.strip().split(" ", 1)) for f in re.split(r",\s*(?![^<]*>)", ENTITIES))
 
 
 class NotDxf(ValueError):
@@ -167,7 +166,6 @@ def read_dxf(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFram
     ``mode`` FAILFAST raises at a file that can't be read, PERMISSIVE gives it one row with an ``error``. An entity that can't
     be read has an ``error`` in either mode. Files are the unit of parallelism.
     """
-    schema = _parse_datatype_string(ENTITIES)
     arrow = _arrow_schema()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,16 +175,13 @@ def read_dxf(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFram
                 for k in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_pylist(rows[k : k + 10_000], arrow)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ENTITIES)
 
 
 def _arrow_schema() -> pa.Schema:
+    point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
     kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
-    fields = []
-    for f in _parse_datatype_string(ENTITIES).fields:
-        kind = f.dataType.simpleString()
-        fields.append(pa.field(f.name, kinds[kind] if kind in kinds else pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
-    return pa.schema(fields)
+    return pa.schema([(name, kinds.get(kind, point)) for name, kind in FIELDS])
 
 
 class DxfDataSource(DataSource):
@@ -196,10 +191,10 @@ class DxfDataSource(DataSource):
     def name(cls) -> str:
         return "dxf"
 
-    def schema(self) -> StructType:
-        return _parse_datatype_string(ENTITIES)
+    def schema(self) -> str:
+        return ENTITIES
 
-    def reader(self, schema: StructType) -> DataSourceReader:
+    def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options.get("path", ""), self.options.get("mode", "FAILFAST").upper())
 
 
@@ -216,8 +211,4 @@ class _Reader(DataSourceReader):
         with open(partition.value, "rb") as f:
             for row in _rows(partition.value, f.read(), self.mode):
                 row["pts"] = [(p["x"], p["y"]) for p in row.get("pts", [])]
-                yield tuple(row.get(c) for c in _arrow_schema().names)
-
-
-def file_name(path: str) -> str:
-    return PurePosixPath(path).name
+                yield tuple(row.get(name) for name, _ in FIELDS)
