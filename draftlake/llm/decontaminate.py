@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textops as T
 from .store import read
 
 #: Words of the windows that are searched; a shorter item is searched as a whole.
@@ -160,7 +161,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 ok = [not len(auto) or not t.is_valid or next(auto.iter(normal(t.as_py())), None) is None for t in b.column(where)]
                 yield b.filter(pa.array(ok, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(T.lean(run), docs.schema)
     return out
 
 

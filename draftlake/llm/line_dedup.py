@@ -60,7 +60,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
                     ["h", "doc_id", "rk", "pos", "again"],
                 )
 
-    return rows.mapInArrow(run, f"h bigint, doc_id {kind}, rk bigint, pos int, again tinyint")
+    return rows.mapInArrow(T.lean(run), f"h bigint, doc_id {kind}, rk bigint, pos int, again tinyint")
 
 
 def decisions(docs: DataFrame) -> DataFrame:

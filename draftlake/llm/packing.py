@@ -14,6 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textops as T
 from .store import Scratch, read, row_key
 
 WINDOW = 2048
@@ -47,7 +48,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
             n = [len(enc.encode_ordinary(t.as_py())) + 1 for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "rk", "tokens"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, rk bigint, tokens bigint")
+    return rows.mapInArrow(T.lean(run), f"doc_id {kind}, rk bigint, tokens bigint")
 
 
 class Tightest:
