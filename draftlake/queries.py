@@ -19,6 +19,7 @@ from .plans.analysis import analyse, analyse_tables
 from .plans.documents import json_documents
 from .plans.store import kept
 from .sources import fixtures as X
+from .sources.dxf import parse_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -275,7 +276,19 @@ def full_analysis(spark: SparkSession, d: str) -> DataFrame:
     return big(a.statistics.join(a.boxes.drop("layer_ord"), ["drawing_id", "layer"], "left"))
 
 
+def dxf_source(spark: SparkSession, d: str) -> DataFrame:
+    """The lattices written as files' content and read back."""
+    tag = lambda code, value: F.concat(F.lit(f"{code}\n"), value, F.lit("\n"))
+    one = F.concat(F.lit("0\nLINE\n"), tag(8, F.col("layer")), *(tag(code, F.col(c).cast("string")) for code, c in ((10, "sx"), (20, "sy"), (11, "ex"), (21, "ey"))))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("layer_ord", "line_ord", one.alias("t")))), lambda x: x["t"]), "")
+    text = F.concat(F.lit("0\nSECTION\n2\nENTITIES\n"), body, F.lit("0\nENDSEC\n0\nEOF\n"))
+    files = X.lattice(spark, d).groupBy(F.col("drawing_id").cast("string").alias("path")).agg(F.encode(text, "UTF-8").alias("content"))
+    at = lambda k, c: F.element_at("pts", k)[c]
+    return parse_files(files).select("drawing_id", "seq", "dxftype", "layer", at(1, "x").alias("sx"), at(1, "y").alias("sy"), at(2, "x").alias("ex"), at(2, "y").alias("ey"))
+
+
 QUERIES: dict[str, Query] = {
+    "dxf_source": dxf_source,
     "layer_statistics": layer_statistics, "layer_bboxes": layer_bboxes, "alignment_summary": alignment_summary, "drawing_type": drawing_type, "paper_size": paper_size, "drawing_bounds": drawing_bounds, "normalization": normalization,
     "line_alignment": _only("line", LINE, ("LINE",)), "polyline_segments": _only("line", LINE, ("LWPOLYLINE",)), "solid_outline": _only("line", LINE, ("SOLID",)), "circle_arc_extract": _only("circle", ROUND, ("CIRCLE", "ARC")), "text_extract": _only("text", TEXT, ("TEXT", "MTEXT")),
     "entity_dispatch_counts": entity_dispatch_counts, "block_explode": block_explode, "straighten": straighten, "equalize_spacing": equalize_spacing, "metadata": metadata,
@@ -393,6 +406,7 @@ _SNAP = "CASE WHEN {0} THEN {1} ELSE {2} END"
 _UP, _FLAT = "(dy > 3 AND dx > 0 AND dx / dy < CAST('0.15' AS DOUBLE))", "(NOT (dy > 3 AND dx > 0 AND dx / dy < CAST('0.15' AS DOUBLE)) AND dx > 3 AND dy > 0 AND dy / dx < CAST('0.15' AS DOUBLE))"
 
 ORACLE: dict[str, str] = {
+    "dxf_source": _sql("SELECT CAST(drawing_id AS VARCHAR) AS drawing_id, row_number() OVER (PARTITION BY drawing_id ORDER BY layer_ord, line_ord) AS seq, 'LINE' AS dxftype, layer, sx, sy, ex, ey FROM lattice", "lattice"),
     "paper_size": _sql(f"SELECT s.*, {_FITTED} FROM sheets s LEFT JOIN fit ON fit.p_partkey = s.p_partkey", "sheets", papers=_PAPERS, fit=_FIT.format("p_partkey", "sheets")),
     "drawing_bounds": _sql("SELECT * FROM bounds", "flat", bounds=_BOUNDS),
     "normalization": _sql("SELECT * FROM norm", "flat", **NORM),

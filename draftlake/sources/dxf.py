@@ -160,12 +160,8 @@ def _rows(drawing: str, data: bytes, mode: str) -> Iterator[dict]:
     yield from got
 
 
-def read_dxf(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    """The entities of all files that a path or glob names; ``drawing_id`` is the full path.
-
-    ``mode`` FAILFAST raises at a file that can't be read, PERMISSIVE gives it one row with an ``error``. An entity that can't
-    be read has an ``error`` in either mode. Files are the unit of parallelism.
-    """
+def parse_files(files: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+    """The entities of files given as (path, content); ``drawing_id`` is the path. Files are the unit of parallelism."""
     arrow = _arrow_schema()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +171,16 @@ def read_dxf(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFram
                 for k in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_pylist(rows[k : k + 10_000], arrow)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ENTITIES)
+    return files.select("path", "content").mapInArrow(run, ENTITIES)
+
+
+def read_dxf(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+    """The entities of all files that a path or glob names.
+
+    ``mode`` FAILFAST raises at a file that can't be read, PERMISSIVE gives it one row with an ``error``. An entity that can't
+    be read has an ``error`` in either mode.
+    """
+    return parse_files(spark.read.format("binaryFile").load(path), mode)
 
 
 def _arrow_schema() -> pa.Schema:

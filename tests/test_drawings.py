@@ -464,3 +464,11 @@ def test_documents_take_nulls(spark):
     row = nested(a).first().asDict()
     d = document(row)
     assert d["metadata"]["transform"]["scale_factor"] == 100 and d["metadata"]["paper_info"]["paper_size"] == "A1" and d["topology"]["loops"] == [] and "rooms" not in d["semantics"]
+
+
+def test_sql_functions(spark):
+    from draftlake.functions.register import register
+
+    assert "furniture_category" in register(spark)
+    row = spark.sql("SELECT furniture_category('sofa-3seat') a, furniture_category('A$Cchair') b, layer_discipline('m_duct') c, round_exact2(2.675D) d, round_exact1(0.25D) e, is_room_layer('x-Anno') f, segment_alignment(0, 0, 5, 0, 0.1) g").first()
+    assert tuple(row) == ("sofa", None, "mechanical", 2.67, 0.2, True, "horizontal")
