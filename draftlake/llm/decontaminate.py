@@ -131,7 +131,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
                             ends.append(z)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(items, _arrow(item_kind)), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "item_id", "start", "end"])
 
-        part = texts.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, start bigint, end bigint")
+        part = texts.transform(T.batched, run, f"doc_id {kind}, item_id {item_kind}, start bigint, end bigint")
         out = part if out is None else out.union(part)
     return out
 
@@ -161,7 +161,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 ok = [not len(auto) or not t.is_valid or next(auto.iter(normal(t.as_py())), None) is None for t in b.column(where)]
                 yield b.filter(pa.array(ok, pa.bool_()))
 
-        out = out.mapInArrow(T.lean(run), docs.schema)
+        out = out.transform(T.batched, run, docs.schema)
     return out
 
 

@@ -60,7 +60,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
                     ["h", "doc_id", "rk", "pos", "again"],
                 )
 
-    return rows.mapInArrow(T.lean(run), f"h bigint, doc_id {kind}, rk bigint, pos int, again tinyint")
+    return rows.transform(T.batched, run, f"h bigint, doc_id {kind}, rk bigint, pos int, again tinyint")
 
 
 def decisions(docs: DataFrame) -> DataFrame:
@@ -115,24 +115,23 @@ def first_lines(docs: DataFrame) -> DataFrame:
 
     A document whose lines with ink all go is dropped, as is all but one of fully equal rows; a null text stays as it is.
     """
-    cols = docs.columns
-    # one hash of (doc_id, text) is the only key of the exchange, which thus serves the join and the window; what it stands for
-    # is compared by inequalities, so that it doesn't become part of the key
-    place = F.xxhash64("_id", "_rk").alias("_place")
-    cut = decisions(docs).where(F.size("dropped") > 0).select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), bitmap("n_lines", "dropped").alias("_runs")).select("*", place)
-    keyed = docs.withColumn("_key", row_key(docs["text"].cast("string"))).withColumn("_at", F.xxhash64("doc_id", "_key"))
+    # a row goes along as one column, so that its names can't clash with those here; one hash of (doc_id, text) is the only
+    # key of the exchange, which thus serves the join and the window; what it stands for is compared by inequalities, so that
+    # it doesn't become part of the key
+    cut = decisions(docs).where(F.size("dropped") > 0).select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), bitmap("n_lines", "dropped").alias("_runs")).select("*", F.xxhash64("_id", "_rk").alias("_place"))
+    keyed = docs.select(F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("row"), docs["doc_id"].alias("id"), docs["text"].cast("string").alias("text"), row_key(docs["text"].cast("string")).alias("key")).withColumn("at", F.xxhash64("id", "key"))
     alike = lambda x, y: (F.col(x) >= F.col(y)) & (F.col(x) <= F.col(y))
-    one = F.coalesce(alike("doc_id", "_id"), F.col("doc_id").isNull() & F.col("_id").isNull())
-    joined = keyed.join(cut, (F.col("_at") == F.col("_place")) & one & alike("_key", "_rk"), "left")
-    copy = F.row_number().over(Window.partitionBy("_at", "doc_id", "_key").orderBy("_key"))
+    one = F.coalesce(alike("id", "_id"), F.col("id").isNull() & F.col("_id").isNull())
+    joined = keyed.join(cut, (F.col("at") == F.col("_place")) & one & alike("key", "_rk"), "left")
+    copy = F.row_number().over(Window.partitionBy("at", "id", "key").orderBy("key"))
     bits = F.flatten(F.transform(F.split("_runs", ","), lambda r, i: F.array_repeat(i % 2 == 0, r.cast("int"))))
     kept = F.array_join(F.transform(F.filter(F.arrays_zip(F.split("text", "\n", -1).alias("line"), bits.alias("bit")), lambda z: z["bit"]), lambda z: z["line"]), "\n")
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("_copy", F.when(F.col("text").isNull(), 1).otherwise(copy)).where("_copy = 1").withColumn("text", text)
+    out = joined.withColumn("copy", F.when(F.col("text").isNull(), 1).otherwise(copy)).where("copy = 1").withColumn("text", F.when(F.col("_runs").isNull(), F.col("text")).otherwise(kept))
     out = out.where(F.col("_runs").isNull() | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("_runs").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*cols)
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_runs").isNull(), F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

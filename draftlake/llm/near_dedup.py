@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, ngram: int, bands: int, rows: int) -> DataFrame:
                 ids = b.column(0).slice(first, len(offs) - 1).filter(pa.array(some))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(whole[some].view(np.int64)), lists], ["doc_id", "whole", "bands"])
 
-    return docs.mapInArrow(T.lean(run), f"doc_id {kind}, whole bigint, bands array<bigint>")
+    return docs.transform(T.batched, run, f"doc_id {kind}, whole bigint, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, ngram: int) -> DataFrame:
@@ -89,7 +89,7 @@ def shingle_sets(docs: DataFrame, ngram: int) -> DataFrame:
                 sets = [np.unique(grams[i:j]).tobytes() for i, j in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
-    return docs.mapInArrow(T.lean(run), f"doc_id {kind}, shingles binary")
+    return docs.transform(T.batched, run, f"doc_id {kind}, shingles binary")
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -114,7 +114,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             ok = pa.array([jaccard(x.as_buffer(), y.as_buffer()) >= threshold for x, y in zip(b.column(2), b.column(3))], pa.bool_())
             yield b.select([0, 1]).filter(ok)
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(T.lean(run), f"a {kind}, b {kind}")
+    return both.select("a", "b", "sa", "sb").transform(T.batched, run, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -192,8 +192,8 @@ def one_of_each(docs: DataFrame, **params) -> DataFrame:
 
     Rows with a null doc_id stay. Of several rows with one doc_id in a group that stays, those of the least text hash stay.
     """
-    gone = near_groups(docs, **params).where("NOT keep").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_groups(docs, **params).where("NOT keep").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
             n = [len(enc.encode_ordinary(t.as_py())) + 1 for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "rk", "tokens"])
 
-    return rows.mapInArrow(T.lean(run), f"doc_id {kind}, rk bigint, tokens bigint")
+    return rows.transform(T.batched, run, f"doc_id {kind}, rk bigint, tokens bigint")
 
 
 class Tightest:
@@ -173,7 +173,7 @@ def packed(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None)
             yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(at), b.column(0), b.column(1), b.column(3)], ["window_id", "window_offset", "doc_id", "doc_offset", "n_tokens"])
 
     cols = ranged.select("doc_id", "doc_offset", F.col("part").cast("bigint").alias("part"), "n_tokens", "row")
-    return cols.mapInArrow(run, f"window_id bigint, window_offset bigint, doc_id {kind}, doc_offset bigint, n_tokens bigint")
+    return cols.transform(T.batched, run, f"window_id bigint, window_offset bigint, doc_id {kind}, doc_offset bigint, n_tokens bigint")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

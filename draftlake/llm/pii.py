@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textops as T
 from .store import read
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN")
@@ -298,7 +299,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
             cols = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *cols], ["doc_id", "start", "end", "label", "probability"])
 
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).where(F.col("text").rlike(CANDIDATE)).mapInArrow(run, f"doc_id {kind}, start bigint, end bigint, label string, probability double")
+    return docs.select("doc_id", docs["text"].cast("string").alias("text")).where(F.col("text").rlike(CANDIDATE)).transform(T.batched, run, f"doc_id {kind}, start bigint, end bigint, label string, probability double")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(f.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(2).slice(first, n), lists], ["doc_id", "grade", "f"])
 
-    got = texts.select("doc_id", "text", "grade").mapInArrow(run, f"doc_id {kind}, grade int, f array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    got = texts.select("doc_id", "text", "grade").transform(T.batched, run, f"doc_id {kind}, grade int, f array<int>").toArrow().sort_by([("doc_id", "ascending")])
     f = got.column("f").combine_chunks()
     flat, at = np.asarray(pa.compute.list_flatten(f)).astype(np.int64), np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(f)))]) if len(f) else np.zeros(1, np.int64)
     rows = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
@@ -188,7 +188,7 @@ def graded(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, select: flo
             inked = np.asarray(pa.compute.fill_null(pa.compute.match_substring_regex(b.column(1), r"\S"), False))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, -1]), pa.array((tails[:, -1] >= select) & inked)], ["doc_id", "expected_grade", "p_fair", "p_best", "keep"])
 
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, expected_grade double, p_fair double, p_best double, keep boolean")
+    return docs.select("doc_id", docs["text"].cast("string").alias("text")).transform(T.batched, run, f"doc_id {kind}, expected_grade double, p_fair double, p_best double, keep boolean")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

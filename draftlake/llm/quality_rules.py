@@ -124,7 +124,7 @@ def repetition_coverage(docs: DataFrame, top: dict[int, float] = TOP, dup: dict[
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", *names, "keep"])
 
     schema = f"doc_id {kind}, n_words bigint, {', '.join(f'{k} double' for k in names)}, keep boolean"
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(T.lean(run), schema)
+    return docs.select("doc_id", docs["text"].cast("string").alias("text")).transform(T.batched, run, schema)
 
 
 def keep_good(docs: DataFrame, top: dict[int, float] = TOP, dup: dict[int, float] = DUP, line: float = LINE) -> DataFrame:
@@ -135,7 +135,7 @@ def keep_good(docs: DataFrame, top: dict[int, float] = TOP, dup: dict[int, float
         for b in batches:
             yield b.filter(pa.array(verdict(measure(b.column(where)), top, dup, line).astype(bool)))
 
-    return docs.mapInArrow(T.lean(run), docs.schema)
+    return docs.transform(T.batched, run, docs.schema)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

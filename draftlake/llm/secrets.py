@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textops as T
 from .store import read
 
 #: Decimal logarithm of the guesses from which on a value counts as a live secret and not as a placeholder.
@@ -203,7 +204,7 @@ def secrets(docs: DataFrame, live: float = LIVE) -> DataFrame:
                 ["doc_id", "name", "start", "end", "guesses_log10", "live"],
             )
 
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).where(F.col("text").rlike(PREFILTER)).mapInArrow(run, f"doc_id {kind}, name string, start bigint, end bigint, guesses_log10 double, live boolean")
+    return docs.select("doc_id", docs["text"].cast("string").alias("text")).where(F.col("text").rlike(PREFILTER)).transform(T.batched, run, f"doc_id {kind}, name string, start bigint, end bigint, guesses_log10 double, live boolean")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

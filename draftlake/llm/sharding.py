@@ -32,7 +32,7 @@ def links(docs: DataFrame, least: int = LINE_BYTES) -> DataFrame:
                 row = T.rows_of(T.by_row(s, offs))
                 yield pa.RecordBatch.from_arrays([pa.array(T.hash_runs(data, s, e).view(np.int64)), b.column(0).take(pa.array(first + row))], ["h", "doc_id"])
 
-    lines = docs.select("doc_id", "text").mapInArrow(run, f"h bigint, doc_id {kind}").distinct()
+    lines = docs.select("doc_id", "text").transform(T.batched, run, f"h bigint, doc_id {kind}").distinct()
     return lines.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
 
 

@@ -135,7 +135,7 @@ def _anchors(texts: DataFrame, length: int, k: int) -> DataFrame:
                 take = pa.array(first + row)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array((p - bounds[row]).astype(np.int32))], ["a", "doc_id", "rk", "p"])
 
-    return texts.mapInArrow(run, f"a bigint, doc_id {kind}, rk bigint, p int")
+    return texts.transform(T.batched, run, f"a bigint, doc_id {kind}, rk bigint, p int")
 
 
 def _fragments(texts: DataFrame, length: int, k: int) -> DataFrame:
@@ -160,7 +160,7 @@ def _fragments(texts: DataFrame, length: int, k: int) -> DataFrame:
                 take = pa.array(first + row)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array((w0 - bounds[row]).astype(np.int32)), pa.array(raw, pa.binary())], ["a", "doc_id", "rk", "at", "words"])
 
-    return texts.mapInArrow(run, f"a bigint, doc_id {kind}, rk bigint, at int, words binary")
+    return texts.transform(T.batched, run, f"a bigint, doc_id {kind}, rk bigint, at int, words binary")
 
 
 def _intervals(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -253,7 +253,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame
         if pool is not None and pool.num_rows:
             yield from whole(pool, np.asarray(pool.column("a")), np.asarray(pa.compute.binary_length(pool.column("words"))) // 4)
 
-    spans = parts.mapInArrow(search, f"doc_id {kind}, rk bigint, lo bigint, hi bigint, duplicate boolean")
+    spans = parts.transform(T.batched, search, f"doc_id {kind}, rk bigint, lo bigint, hi bigint, duplicate boolean")
     by = Window.partitionBy("doc_id", "rk", "duplicate").orderBy("lo", "hi")
     new = F.when(F.col("lo") > F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
     merged = spans.withColumn("new", new).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))

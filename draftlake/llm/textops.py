@@ -7,12 +7,16 @@ A null text is an empty one here; operators that must tell the two apart filter
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
+#: Bytes of the rows that go to a Python worker at once; a longer row goes alone.
+BATCH_BYTES = 8 << 20
 U64 = np.uint64
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -42,6 +46,19 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return go
 
 
+def batched(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with Arrow batches of at most ``BATCH_BYTES``.
+
+    Batches are bounded by rows and bytes of the session; its default of 64 MB, doubled while it is written and held on both
+    sides of the pipe by each core, is more than an executor has to spare. A session that sets less keeps it.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(key, "64m").lower())
+    if not now or int(now.group(1)) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(lean(run), schema)
+
+
 def release() -> None:
     pa.default_memory_pool().release_unused()
     if _TRIM:
