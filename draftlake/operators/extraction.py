@@ -16,7 +16,7 @@ from ..functions.text import content
 SHEETS = tuple((n, int(w), int(h)) for n, w, h in (x.split() for x in ("A0 1189 841", "A1 841 594", "A2 594 420", "A3 420 297", "A4 297 210")))
 SCALES = tuple(int(x) for x in "1 5 10 20 25 50 100 200 500".split())
 FIT = 0.15
-BLOCK_TYPES = ("LINE", "CIRCLE", "ARC", "TEXT", "MTEXT")
+BLOCK_TYPES = tuple("LINE CIRCLE ARC TEXT MTEXT".split())
 
 
 class Layers(NamedTuple):
@@ -285,7 +285,7 @@ def tables(rows: DataFrame) -> Layers:
 
 def entity_counts(entities: DataFrame) -> DataFrame:
     """(drawing_id, dxftype, n): what extraction meets: model-space types, the members of blocks it explodes, the rest as 'skipped'."""
-    known = ("LINE", "LWPOLYLINE", "CIRCLE", "ARC", "TEXT", "MTEXT", "INSERT", "SOLID")
+    known = (*BLOCK_TYPES, "LWPOLYLINE", "INSERT", "SOLID")
     model = entities.where("block IS NULL AND paperspace = 0 AND error IS NULL")
     own = model.select("drawing_id", F.when(F.col("dxftype").isin(*known), F.col("dxftype")).otherwise("skipped").alias("dxftype"))
     inside = entities.where(F.col("block").isNotNull() & F.col("dxftype").isin(*BLOCK_TYPES)).select("drawing_id", F.col("block").alias("block_name"), F.col("dxftype").alias("t"))

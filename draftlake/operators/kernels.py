@@ -10,6 +10,10 @@ import numpy as np
 MAX_LENGTH, MAX_LOOPS, MAX_STEPS = 20, 2000, 3_000_000
 
 
+def _key(*at: float) -> tuple:
+    return tuple(round(v, 2) for v in at)
+
+
 class Joints:
     """Greedy clustering of points in the order they come.
 
@@ -22,11 +26,12 @@ class Joints:
         self.x: list[float] = []
         self.y: list[float] = []
         self.n: list[int] = []
-        self.known: dict[tuple[float, float], int] = {}
-        self.cells: dict[tuple[int, int], list[int]] = defaultdict(list)
+        self.known = {}  # joint of a rounded point
+        self.cells = defaultdict(list)  # joints whose mean lies in a cell
 
-    def _cell(self, x: float, y: float) -> tuple[int, int]:
-        return math.floor(x / self.cell), math.floor(y / self.cell)
+    def _cell(self, x, y):
+        """Column and row of the grid."""
+        return tuple(math.floor(v / self.cell) for v in (x, y))
 
     def _mean(self, j: int) -> tuple[float, float]:
         return self.x[j] / self.n[j], self.y[j] / self.n[j]
@@ -40,7 +45,7 @@ class Joints:
         return -1
 
     def add(self, x: float, y: float) -> int:
-        key = (round(x, 2), round(y, 2))
+        key = _key(x, y)
         if (j := self.known.get(key)) is not None:
             return j
         home = self._cell(x, y)
@@ -67,7 +72,7 @@ class Joints:
         return [(round(a / n, 2), round(b / n, 2)) for a, b, n in zip(self.x, self.y, self.n)]
 
 
-def cluster(points: np.ndarray, tolerance: float) -> tuple[list[tuple[float, float]], dict[tuple[float, float], int]]:
+def cluster(points: np.ndarray, tolerance: float) -> tuple:
     """(centre of each joint, joint of each rounded point) of an (n, 2) array of endpoints in order."""
     joints = Joints(tolerance)
     for x, y in points.tolist():
@@ -75,11 +80,11 @@ def cluster(points: np.ndarray, tolerance: float) -> tuple[list[tuple[float, flo
     return joints.centres(), joints.known
 
 
-def anchored(points: np.ndarray, tolerance: float) -> tuple[list[tuple[float, float]], dict[tuple[float, float], int]]:
+def anchored(points: np.ndarray, tolerance: float) -> tuple:
     """As ``cluster``, but a joint stays at its first point, so that no member is further than the tolerance from it."""
     cell, where, known, at = max(tolerance, 1e-6), defaultdict(list), {}, []
     for x, y in points.tolist():
-        key = (round(x, 2), round(y, 2))
+        key = _key(x, y)
         if key in known:
             continue
         u, v = math.floor(x / cell), math.floor(y / cell)
@@ -93,7 +98,7 @@ def anchored(points: np.ndarray, tolerance: float) -> tuple[list[tuple[float, fl
     return [(round(x, 2), round(y, 2)) for x, y in at], known
 
 
-def cycles(links: list[list[int]], max_length: int = MAX_LENGTH, max_loops: int = MAX_LOOPS, max_steps: int = MAX_STEPS, by: str = "nodes") -> tuple[list[list[int]], bool]:
+def cycles(links: list[list[int]], max_length: int = MAX_LENGTH, max_loops: int = MAX_LOOPS, max_steps: int = MAX_STEPS, by: str = "nodes"):
     """(cycles in the order they are found, whether a bound ended the search).
 
     Depth first from each node, by a last-in-first-out list of partial paths that only visits higher nodes. ``by`` "nodes"

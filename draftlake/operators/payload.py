@@ -11,7 +11,7 @@ from ..functions.rounding import round_exact
 from .extraction import Layers
 
 SHOWN_SHAPES, SHOWN_LINES = 20, 30
-TITLES = {"electrical": "ELECTRICAL SCHEMATIC", "architectural": "ARCHITECTURAL LAYOUT", "mechanical": "MECHANICAL DRAWING", "structural": "STRUCTURAL DRAWING"}
+TITLES = dict(x.split("=") for x in "electrical=ELECTRICAL SCHEMATIC|architectural=ARCHITECTURAL LAYOUT|mechanical=MECHANICAL DRAWING|structural=STRUCTURAL DRAWING".split("|"))
 
 
 def assign_ids(t: Layers) -> Layers:

@@ -108,7 +108,8 @@ def detect_loops(links: DataFrame, max_length: int = kernels.MAX_LENGTH, max_loo
     kind = links.schema["drawing_id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: list[list[int]] = [[] for _ in range(int(max(pdf["node_id"].max(), pdf["nbr"].max())) + 1)]
+        top = int(pdf[["node_id", "nbr"]].to_numpy().max())
+        near = [[] for _ in range(top + 1)]
         for node, nbr in pdf.sort_values(["node_id", "nbr_ord"])[["node_id", "nbr"]].itertuples(index=False):
             near[node].append(nbr)
         found, cut = kernels.cycles(near, max_length, max_loops, max_steps, by)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .analysis import Analysis
 
+#: What a layer holds in a document.
+ITEMS = "lines circles_arcs text_annotations".split()
 PARAMETERS = {"clustering_tolerance": 1.0, "max_loop_length": 20, "max_total_loops": 2000, "max_dfs_steps": 3_000_000}
 
 
@@ -54,7 +56,7 @@ def document(r: dict) -> dict:
     num = (lambda v: int(v)) if r["rounding"] == 0 else float
     pt = lambda d, x, y: [num(d[x]), num(d[y])]
     named = lambda d: {"id": d["id"]} | ({"handle": d["handle"]} if d.get("handle") else {})
-    layers: dict = {d["layer"]: {"lines": [], "circles_arcs": [], "text_annotations": []} for d in items("layers")}
+    layers: dict = {d["layer"]: {k: [] for k in ITEMS} for d in items("layers")}
     for d in items("segments"):
         layers[d["layer"]]["lines"].append({"start": pt(d, "sx", "sy"), "end": pt(d, "ex", "ey"), "alignment": d["alignment"]} | named(d))
     for d in items("circles"):
@@ -86,7 +88,7 @@ def document(r: dict) -> dict:
         semantics["rooms"] = rooms
     return {
         "metadata": meta, "layers": layers,
-        "topology": {"parameters": PARAMETERS, "nodes": {"count": len(nodes), "coordinates": nodes, "degree_distribution": {str(d["o0"]): d["n"] for d in items("degrees")}}, "edges": {"count": int(r["edges"] or 0)}, "loops": loops, "loops_truncated": bool(r["truncated"])},
+        "topology": {"parameters": PARAMETERS, "nodes": dict(count=len(nodes), coordinates=nodes, degree_distribution={str(d["o0"]): d["n"] for d in items("degrees")}), "edges": {"count": int(r["edges"] or 0)}, "loops": loops, "loops_truncated": bool(r["truncated"])},
         "spatial": {"layer_bounding_boxes": {d["layer"]: [num(d[k]) for k in ("min_x", "min_y", "max_x", "max_y")] for d in items("boxes")}, "alignment_summary": {d["layer"]: {k: d[k] for k in ("horizontal", "vertical", "diagonal")} for d in items("alignments")}},
         "semantics": semantics,
     }

@@ -194,7 +194,7 @@ def test_joints(spark, rows, tolerance, want):
 
 
 def test_many_joints(spark):
-    rows = [(10 * i, 10 * j, 10 * i + 2, 10 * j) for i in range(60) for j in range(60)]
+    rows = [(x, y, x + 2, y) for x in range(0, 600, 10) for y in range(0, 600, 10)]
     assert topology.joints(segments(spark, rows))[0].count() == 7200
     assert len(kernels.cluster(np.array([p for r in rows for p in (r[:2], r[2:])], float), 1.0)[0]) == 7200
 
