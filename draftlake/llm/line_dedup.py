@@ -115,11 +115,11 @@ def first_lines(docs: DataFrame) -> DataFrame:
 
     A document whose lines with ink all go is dropped, as is all but one of fully equal rows; a null text stays as it is.
     """
-    # a row goes along as one column, so that its names can't clash with those here; one hash of (doc_id, text) is the only
+    # a row goes along as one column beside its text, so that its names can't clash with those here; one hash of (doc_id, text) is the only
     # key of the exchange, which thus serves the join and the window; what it stands for is compared by inequalities, so that
     # it doesn't become part of the key
     cut = decisions(docs).where(F.size("dropped") > 0).select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), bitmap("n_lines", "dropped").alias("_runs")).select("*", F.xxhash64("_id", "_rk").alias("_place"))
-    keyed = docs.select(F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("row"), docs["doc_id"].alias("id"), docs["text"].cast("string").alias("text"), row_key(docs["text"].cast("string")).alias("key")).withColumn("at", F.xxhash64("id", "key"))
+    keyed = docs.select(F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns if c != "text")).alias("row"), docs["doc_id"].alias("id"), docs["text"].cast("string").alias("text"), row_key(docs["text"].cast("string")).alias("key")).withColumn("at", F.xxhash64("id", "key"))
     alike = lambda x, y: (F.col(x) >= F.col(y)) & (F.col(x) <= F.col(y))
     one = F.coalesce(alike("id", "_id"), F.col("id").isNull() & F.col("_id").isNull())
     joined = keyed.join(cut, (F.col("at") == F.col("_place")) & one & alike("key", "_rk"), "left")
@@ -131,7 +131,7 @@ def first_lines(docs: DataFrame) -> DataFrame:
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_runs").isNull(), F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    return out.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
