@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ LIVE = 8.0
 #: What a boundary between two segments adds: a guesser must also try where it lies.
 BOUNDARY = math.log10(2)
 _NAMES = r"pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_\-. ]?key|access[_\-. ]?key|secret[_\-. ]?key|private[_\-. ]?key|auth[_\-. ]?key|client[_\-. ]?secret|credentials?|bearer"
-CONTEXT = re.compile(rf"(?i)(?<![A-Za-z0-9])((?:[A-Za-z0-9]+[_\-.])*(?:{_NAMES}))(?![A-Za-z0-9])[\"'`]?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}(?:([\"'`])([^\"'`\n]{{4,512}})\2|([^\s\"'`,;<>]{{4,512}}))")
+CONTEXT = re.compile(rf"(?i)(?<![A-Za-z0-9])((?:[A-Za-z0-9]+[_\-.])*(?:{_NAMES}))(?![A-Za-z0-9])[\"'`]?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}(?:([\"'`])([^\"'`\n]{{4,}}+)\2|([^\s\"'`,;<>]{{4,}}+))")
 #: The same in Java's syntax, but wider: only what it finds goes to Python.
 PREFILTER = rf"(?i)({_NAMES})[\"'`]?\s{{0,3}}[:=]"
 #: Common passwords and words, the commonest first.
@@ -39,6 +40,8 @@ _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _SHIFT = dict(zip("~!@#$%^&*()_+{}|:\"<>?", "`1234567890-=[]\\;',./"))
 KEYS = {c: (x + 0.5 * y, y) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
 YEARS = range(1900, 2051)
+#: Signs of the longest block of repeats.
+BLOCK = 32
 _DATES = [
     re.compile(r"(?P<y>\d{4})(?P<s>[-/._]?)(?P<m>\d{2})(?P=s)(?P<d>\d{2})"),
     re.compile(r"(?P<d>\d{2})(?P<s>[-/._]?)(?P<m>\d{2})(?P=s)(?P<y>\d{4})"),
@@ -78,8 +81,8 @@ def date_cost(span: str) -> float | None:
     return None
 
 
-def _walks(value: str) -> tuple[list[int], list[int]]:
-    """For each place the end of the longest run of neighbouring codes (abcd, 4321), and of the longest keyboard walk, from it."""
+def _walks(value: str) -> tuple[tuple[list[int], list[int]], list[int]]:
+    """For each place the ends of the longest runs of codes that go up (abcd) and down (4321), and of the longest keyboard walk, from it."""
     low = [_SHIFT.get(c, c.lower()) for c in value]
     n = len(low)
 
@@ -95,27 +98,29 @@ def _walks(value: str) -> tuple[list[int], list[int]]:
 
     up = reach(lambda i: low[i].isalnum() and ord(low[i + 1]) - ord(low[i]) == 1)
     down = reach(lambda i: low[i].isalnum() and ord(low[i + 1]) - ord(low[i]) == -1)
-    return [max(x) for x in zip(up, down)], reach(near)
+    return (up, down), reach(near)
 
 
-def _turns(span: str) -> int:
-    pos = [KEYS.get(_SHIFT.get(c, c.lower())) for c in span]
-    if any(p is None for p in pos):
-        return 1
-    steps = [(round(2 * (b[0] - a[0])), b[1] - a[1]) for a, b in zip(pos, pos[1:])]
-    return 1 + sum(a != b for a, b in zip(steps, steps[1:]))
+def _bends(value: str) -> list[int]:
+    """At k the changes of direction of the keyboard walk through the whole value up to step k; a sign off the keyboard is none."""
+    pos = [KEYS.get(_SHIFT.get(c, c.lower())) for c in value]
+    steps = [None if a is None or b is None else (round(2 * (b[0] - a[0])), b[1] - a[1]) for a, b in zip(pos, pos[1:])]
+    out = [0] * max(1, len(steps))
+    for k in range(1, len(steps)):
+        out[k] = out[k - 1] + (steps[k] != steps[k - 1])
+    return out
 
 
-def walk_cost(span: str) -> float:
+@lru_cache(maxsize=100_000)
+def walk_cost(length: int, parts: int) -> float:
     """log10 of: starting keys, lengths, directions for each straight part, places of the turns."""
-    t = _turns(span)
-    return math.log10(47 * len(span)) + t * math.log10(6) + math.log10(math.comb(len(span) - 1, t - 1) if t > 1 else 1)
+    places = math.lgamma(length) - math.lgamma(parts) - math.lgamma(length - parts + 1)
+    return math.log10(47 * length) + parts * math.log10(6) + places / math.log(10)
 
 
-def segments(value: str, inner: bool = True) -> Iterator[tuple[int, int, float]]:
-    """(start, end, cost) of each word, date, keyboard walk and repeat in the value; brute force is left to the search."""
+def _short(value: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, cost) of each word and date in the value."""
     n = len(value)
-    series, walk = _walks(value)
     for i in range(n):
         for j in range(i + 3, min(n, i + LONGEST) + 1):
             c = word_cost(value[i:j])
@@ -126,39 +131,130 @@ def segments(value: str, inner: bool = True) -> Iterator[tuple[int, int, float]]
                 c = date_cost(value[i:j])
                 if c is not None:
                     yield i, j, c
-        for j in range(i + 3, series[i] + 1):
+
+
+def _repeats(value: str) -> Iterator[tuple[int, int, int]]:
+    """(size, start, end) of the longest runs of 3 signs or more in which each sign equals the one ``size`` before, twice at least."""
+    n, code = len(value), np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for size in range(1, min(BLOCK, n // 2) + 1):
+        cut = np.concatenate([[-1], np.flatnonzero(code[size:] != code[:-size]), [n - size]])
+        for k in np.flatnonzero(np.diff(cut) > max(size, 2)):
+            yield size, int(cut[k]) + 1, int(cut[k + 1]) + size
+
+
+def segments(value: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, cost) of each word, date, keyboard walk and repeat in the value; brute force is left to the search.
+
+    A run of n equal signs has n * n of them: ``guess_cost`` searches the same ones without listing them.
+    """
+    series, walk = _walks(value)
+    bends, signs = _bends(value), alphabet(value)
+    yield from _short(value)
+    for i in range(len(value)):
+        for j in range(i + 3, max(k[i] for k in series) + 1):
             yield i, j, math.log10(2 * 62 * (j - i))
         for j in range(i + 3, walk[i] + 1):
-            yield i, j, walk_cost(value[i:j])
-        if inner:
-            for size in range(1, min(32, (n - i) // 2) + 1):
-                block, j = value[i : i + size], i + size
-                if value[j : j + size] != block:
-                    continue
-                base = _block_cost(block, alphabet(value))
-                while value[j : j + size] == block and len(block) == size and j + size <= n:
-                    j += size
-                    if j - i >= 3:
-                        yield i, j, base + math.log10((j - i) // size)
+            yield i, j, walk_cost(j - i, 1 + bends[j - 2] - bends[i])
+    for size, a, e in _repeats(value):
+        for i in range(a, e - 2 * size + 1):
+            for j in range(i + 2 * size, e + 1, size):
+                if j - i >= 3:
+                    yield i, j, _block_cost(value[i : i + size], signs) + math.log10((j - i) // size)
+
+
+class _Cheapest:
+    """The least of cost + log10(j - start) over the starts so far, for growing j.
+
+    A start that is dearer than a later one, or has once lost to an earlier one, never wins again, so that each comes and
+    goes once. ``stack`` has (start, cost, place from which the start below is cheaper).
+    """
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[int, float, float]] = []
+
+    def add(self, start: int, cost: float) -> None:
+        stack = self.stack
+        while stack and stack[-1][1] >= cost:
+            stack.pop()
+        while stack:
+            q = 10 ** min(300.0, cost - stack[-1][1])
+            until = start + (start - stack[-1][0]) / (q - 1) if q > 1 else math.inf
+            if until < stack[-1][2]:
+                break
+            stack.pop()
+        stack.append((start, cost, until if stack else math.inf))
+
+    def least(self, j: int) -> float:
+        while self.stack[-1][2] <= j:
+            self.stack.pop()
+        start, cost, _ = self.stack[-1]
+        return cost + math.log10(j - start)
 
 
 def guess_cost(value: str, signs: int | None = None, inner: bool = True) -> float:
-    """log10 of the guesses of the cheapest segmentation of the value.
+    """log10 of the guesses of the cheapest segmentation of the value, of any length.
 
     best[j] = min over segments (i, j) of best[i] + cost + BOUNDARY; a brute-force span costs log10(alphabet) a sign, and
     one that follows another is part of it. Blocks of repeats are segmented in the same way, without repeats in them.
+    Series and repeats take the least over their starts from ``_Cheapest``; walks, which get dearer with their length, are
+    followed back until none can be cheaper.
     """
-    n, per = len(value), math.log10(signs or alphabet(value))
+    n, signs = len(value), signs or alphabet(value)
+    per = math.log10(signs)
     into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i, j, c in segments(value, inner):
+    for i, j, c in _short(value):
         into[j].append((i, c))
+    series, walk = _walks(value)
+    bends = _bends(value)
+    # (first end, last end, size, least length, log10 of what is not the number of blocks by phase, searches by phase)
+    spans = [(a + 3, e, 1, 3, [math.log10(2 * 62)], [_Cheapest()]) for reach in series for a, e in _stretches(reach)]
+    if inner:
+        for size, a, e in _repeats(value):
+            least = max(3, 2 * size)
+            phases = min(size, e - a - least + 1)
+            # by phase of the start; a later start of the same phase has the same block
+            base = [_block_cost(value[a + k : a + k + size], signs) - math.log10(size) for k in range(phases)]
+            spans.append((a + least, e, size, least, base, [_Cheapest() for _ in range(phases)]))
+    spans.sort(key=lambda x: x[0], reverse=True)
+    stretch, starts = [n] * n, set()  # the start of the walk that a place is in
+    for a, e in _stretches(walk):
+        starts.add(a)
+        stretch[a + 2 : e] = [a] * (e - a - 2)
+    live: list[tuple] = []
     best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)  # brute: with a brute-force span at the end
+    low = [0.0] * (n + 1)  # the least of best up to here within a walk
     for j in range(1, n + 1):
         brute[j] = min(brute[j - 1], best[j - 1] + (BOUNDARY if j > 1 else 0)) + per
-        best[j] = min([brute[j], *(best[i] + c + (BOUNDARY if i else 0) for i, c in into[j])])
+        now = min([brute[j], *(best[i] + c + (BOUNDARY if i else 0) for i, c in into[j])])
+        while spans and spans[-1][0] <= j:
+            live.append(spans.pop())
+        if live:
+            live = [x for x in live if x[1] >= j]
+        for first, _, size, least, base, found in live:
+            i = j - least
+            phase = (j - first) % size
+            found[phase].add(i, best[i] + (BOUNDARY if i else 0))
+            now = min(now, base[phase] + found[phase].least(j))
+        a = stretch[j - 1]
+        for i in range(j - 3, a - 1, -1):
+            c = walk_cost(j - i, 1 + bends[j - 2] - bends[i])
+            now = min(now, best[i] + c + (BOUNDARY if i else 0))
+            if c + low[i] >= now:
+                break
+        best[j] = now
+        low[j] = now if j in starts else min(now, low[j - 1])
     return best[n]
 
 
+def _stretches(reach: list[int]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of 3 signs or more of which ``reach`` has the ends."""
+    i = 0
+    while i < len(reach):
+        if reach[i] - i >= 3:
+            yield i, reach[i]
+        i = reach[i]
+
+
 @lru_cache(maxsize=100_000)
 def _block_cost(block: str, signs: int) -> float:
     return guess_cost(block, signs, False)
@@ -177,12 +273,12 @@ def values(text: str) -> Iterator[tuple[str, int, int]]:
 def secrets(docs: DataFrame, live: float = LIVE) -> DataFrame:
     """(doc_id, name, start, end, guesses_log10, live) of each value in a credential context, in characters of the text.
 
-    A context is a name such as password, token or api_key, then ``:``, ``=``, ``:=`` or ``=>``, then a value of 4 to 512
-    characters. The cost is that of the cheapest segmentation of the value into dictionary words, dates, repeats, keyboard
+    A context is a name such as password, token or api_key, then ``:``, ``=``, ``:=`` or ``=>``, then a value of 4
+    characters or more: up to the closing quote, or the white space, quote or sign that ends it. The cost is that of the cheapest segmentation of the value into dictionary words, dates, repeats, keyboard
     walks and brute-force spans; from ``live`` on it counts as a live secret. The value itself is not returned.
 
     Defined cases: null and empty texts have none; a null doc_id is returned as null; repeated rows each get their rows;
-    a value that is met again is reported at each place; a longer value is not one; other columns are ignored; an empty
+    a value that is met again is reported at each place; other columns are ignored; an empty
     table gives an empty result. One narrow pass; only texts with a credential name before a colon or equals sign leave
     the JVM.
     """

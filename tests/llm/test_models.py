@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -97,6 +98,37 @@ def test_contexts():
     assert [(n, text[a:b]) for n, a, b in secrets.values(text)] == [("token", "3fdf5a35c7b8"), ("DB_PASSWORD", "changeme"), ("pwd", "Zz9$kQ1w"), ("api-key", "a b c d e")]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_guess_cost_equals_the_list_of_segments(seed):
+    r = random.Random(seed)
+    parts = ["a", "aaaaaaa", "xxx", "abcdef", "fedcba", "qwsdfre", "sdsdsdsd", "password", "2001", "Zq9", "ab1!" * 4, "qwertyuiop"]
+    value = "".join(r.choice(parts) * r.randint(1, 3) for _ in range(r.randint(1, 9)))
+    into = defaultdict(list)
+    for i, j, c in secrets.segments(value):
+        into[j].append((i, c))
+    per, best, brute = math.log10(secrets.alphabet(value)), [0.0], math.inf
+    for j in range(1, len(value) + 1):
+        brute = min(brute, best[j - 1] + secrets.BOUNDARY * (j > 1)) + per
+        best.append(min([brute, *(best[i] + c + secrets.BOUNDARY * (i > 0) for i, c in into[j])]))
+    assert secrets.guess_cost(value) == pytest.approx(best[-1])
+
+
+@pytest.mark.parametrize("size", [513, 5000])
+def test_long_values_are_whole(spark, size):
+    r = random.Random(size)
+    value = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(size))
+    texts = [f'x private_key: "{value}" y', f"x token={value} y", f"x token={value}, y"]
+    rows = secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert sorted((x.doc_id, texts[x.doc_id][x.start : x.end] == value, x.live) for x in rows) == [(0, True, True), (1, True, True), (2, True, True)]
+    assert {x.guesses_log10 > 1.5 * size for x in rows} == {True}
+
+
+@pytest.mark.parametrize("part", ["x", "-=", "sd", "abcdefgh", "password1", "qwertyuiop"])
+def test_long_regular_values_are_searched_fast(part):
+    began = time.monotonic()
+    assert secrets.guess_cost(part * (5000 // len(part))) < 20 and time.monotonic() - began < 10
+
+
 def test_secret_scan_rows(spark, odd, none):  # noqa: F811
     docs = [(1, 'x token = "3fdf5a35c7b8d733c0b5c7d364eda8ac" y token: example'), (None, "password=hunter2"), (2, None), (3, "no tokens: here"), (4, "")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
