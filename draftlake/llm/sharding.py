@@ -1,4 +1,4 @@
-"""Sharding: balanced label propagation over documents that share lines."""
+"""Sharding: balanced label propagation over documents that share lines, passages or most of their content."""
 
 from __future__ import annotations
 
@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import near_dedup
 from . import textops as T
 from .store import Scratch, read
 
 SHARDS, SLACK, ROUNDS = 16, 0.05, 8
 #: Characters of the shortest line that links the documents that have it.
 LINE_BYTES = 20
+#: Words of a gram, and grams of a window whose least one links: documents that share GRAM + WINDOW - 1 words in a row share one.
+GRAM, WINDOW = 5, 16
 #: Ranges of hashes that documents are counted in for the first assignment.
 _RANGES = 4096
 
@@ -36,6 +39,51 @@ def links(docs: DataFrame, least: int = LINE_BYTES) -> DataFrame:
     return lines.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
 
 
+def minimizers(data: np.ndarray, offs: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the least gram of each window; a row of fewer grams is one window. ``window`` is a power of two."""
+    s, e, bounds = T.words(data, offs)
+    grams = T.ngrams(T.hash_runs(data, s, e), gram)[T.inside(bounds, gram)]
+    ends = np.concatenate([[0], np.cumsum(np.maximum(np.diff(bounds) - gram + 1, 0))])
+    row = T.rows_of(ends)
+    least, at, d = grams.copy(), np.arange(len(grams)), 1
+    while d < window:
+        here = np.flatnonzero(at + d < ends[row + 1])
+        least[here] = np.minimum(least[here], least[here + d])
+        d *= 2
+    new = (at + window <= ends[row + 1]) | (at == ends[row])
+    least, row = least[new], row[new]
+    new = np.ones(len(least), bool)
+    new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+    return least[new], row[new]
+
+
+def content_links(docs: DataFrame) -> DataFrame:
+    """(h, doc_id, n) of the MinHash bands and of the minimizers that two or more documents have: links that survive edits.
+
+    Bands are op10's, for near copies; minimizers are for passages, wherever in a line they are.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, data, offs in T.chunks(T.lower(b.column(1))):
+                h, row = minimizers(data, offs)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pa.array(first + row))], ["h", "doc_id"])
+
+    texts = docs.select("doc_id", "text")
+    bands = near_dedup.signatures(texts, near_dedup.NGRAM, near_dedup.BANDS, near_dedup.ROWS).select(F.explode("bands").alias("h"), "doc_id")
+    # one shuffle by h for both the distinct rows and the counts
+    both = texts.transform(T.batched, run, f"h bigint, doc_id {kind}").union(bands).repartition("h").distinct()
+    return both.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
+
+
+def bundled(edges: DataFrame) -> DataFrame:
+    """(h, doc_id, n, m): links of the same documents as one, which stands for ``m`` of them."""
+    alike = Window.partitionBy("h")
+    sets = edges.withColumns({"x": F.bit_xor(F.xxhash64("doc_id")).over(alike), "y": F.bit_xor(F.xxhash64("doc_id", F.lit(1))).over(alike)})
+    return sets.groupBy(F.xxhash64("n", "x", "y").alias("h"), "doc_id", "n").agg(F.count("*").alias("m"))
+
+
 def even(ids: DataFrame, shards: int) -> DataFrame:
     """(doc_id, shard) with sizes that differ by one at most: documents in the order of a hash, cut into equal parts."""
     hashed = ids.withColumn("x", F.xxhash64("doc_id")).withColumn("r", F.pmod(F.shiftrightunsigned("x", 40), F.lit(_RANGES)))
@@ -69,13 +117,15 @@ def propagate(edges: DataFrame, label: DataFrame, shards: int, capacity: int, ro
     A line that n documents have links each two of them with weight 1 / (n - 1). In a round each document sums the weights by
     shard of its neighbours: lines count their documents by shard first, so that a line of n documents costs
     n x shards and not n x n. A document wishes for the shard with most weight if that is more than its own has; the wishes
-    between two shards are granted in the order of their gain up to the quota.
+    between two shards are granted in the order of their gain up to the quota. A line with a number ``m`` counts m times.
     """
+    if "m" not in edges.columns:
+        edges = edges.withColumn("m", F.lit(1))
     for k in range(rounds):
         here = edges.join(label, "doc_id")
         count = here.groupBy("h", "shard").agg(F.count("*").alias("c"))
-        heard = here.select("h", "doc_id", "n", F.col("shard").alias("own")).join(count, "h")
-        weight = heard.groupBy("doc_id", "own", "shard").agg(F.round(F.sum((F.col("c") - (F.col("own") == F.col("shard")).cast("int")) / (F.col("n") - 1)), 9).alias("w"))
+        heard = here.select("h", "doc_id", "n", "m", F.col("shard").alias("own")).join(count, "h")
+        weight = heard.groupBy("doc_id", "own", "shard").agg(F.round(F.sum(F.col("m") * (F.col("c") - (F.col("own") == F.col("shard")).cast("int")) / (F.col("n") - 1)), 9).alias("w"))
         best = weight.groupBy("doc_id", "own").agg(
             F.max(F.when(F.col("own") != F.col("shard"), F.struct("w", (-F.col("shard")).alias("s")))).alias("to"), F.max(F.when(F.col("own") == F.col("shard"), F.col("w"))).alias("stay")
         )
@@ -102,9 +152,10 @@ def propagate(edges: DataFrame, label: DataFrame, shards: int, capacity: int, ro
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: int = ROUNDS, least: int = LINE_BYTES) -> DataFrame:
-    """(doc_id, shard): one of ``shards`` shards for each document, those that share lines together as far as sizes allow.
+    """(doc_id, shard): one of ``shards`` shards for each document, those that share content together as far as sizes allow.
 
-    Two documents are linked if they share a line of at least ``least`` bytes. No shard has more than
+    Two documents are linked if they share a line of at least ``least`` bytes, a band of op10's MinHash signatures, or a
+    minimizer, as all do that share ``GRAM + WINDOW - 1`` words in a row. No shard has more than
     ceil(documents / shards x (1 + slack)) documents. Balanced label propagation starts from equal parts.
 
     Defined cases: rows with a null doc_id have no shard and no result; rows that share a doc_id are one document, with the
@@ -115,13 +166,14 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds:
     rows = docs.select("doc_id", docs["text"].cast("string").alias("text")).where("doc_id IS NOT NULL")
     label = scratch.write(even(rows.select("doc_id").distinct(), shards))
     total = label.count()
-    edges = scratch.write(links(rows.where("text IS NOT NULL"), least))
+    some = rows.where("text IS NOT NULL")
+    edges = scratch.write(bundled(links(some, least).union(content_links(some))))
     capacity = int(-(-total * (1 + slack) // shards))
     return propagate(edges, label, shards, max(capacity, -(-total // shards)), rounds, scratch)
 
 
 def cut(docs: DataFrame, label: DataFrame, least: int = LINE_BYTES) -> DataFrame:
-    """One row (weight, cut): the weight of all links, and of those between shards."""
+    """One row (weight, cut): the weight of all links by lines, and of those between shards."""
     edges = links(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), least).join(label, "doc_id")
     per = edges.groupBy("h", "n", "shard").agg(F.count("*").alias("c")).groupBy("h", "n").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("inside"))
     pairs = F.col("n") * (F.col("n") - 1) / 2

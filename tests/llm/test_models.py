@@ -290,6 +290,38 @@ def test_sharding_keeps_sizes_and_cuts_less(spark):
     assert b["cut"] == pytest.approx(slow)
 
 
+def test_near_copies_and_passages_without_a_common_line_are_drawn_together(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrst") for _ in range(6))
+    docs, families = [], []
+    for g in range(40):
+        base, own = [word() for _ in range(60)], []
+        for k in range(4):
+            if g % 2:  # near copies: one word of each line is another
+                lines = [base[i : i + 15] for i in range(0, 60, 15)]
+                for x in lines:
+                    x[r.randrange(15)] = word()
+                text = "\n".join(map(" ".join, lines))
+            else:  # a passage of 20 words in a longer line
+                text = " ".join([word() for _ in range(30 + k)] + base[:20] + [word() for _ in range(30)])
+            own.append(len(docs))
+            docs.append((len(docs), text))
+        families.append(own)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    assert sharding.links(df).count() == 0
+    label = {x.doc_id: x.shard for x in sharding.sharded(df, shards=4).collect()}
+    assert max(Counter(label.values()).values()) <= math.ceil(40 * 1.05)
+    for kind in (0, 1):
+        pairs = [(a, b) for own in families[kind::2] for a, b in itertools.combinations(own, 2)]
+        assert sum(label[a] == label[b] for a, b in pairs) > 0.6 * len(pairs)
+
+
+def test_bundled_links_stand_for_all(spark):
+    edges = [(1, 0, 2), (1, 1, 2), (2, 0, 2), (2, 1, 2), (3, 0, 3), (3, 1, 3), (3, 2, 3)]
+    rows = sharding.bundled(spark.createDataFrame(edges, "h bigint, doc_id bigint, n bigint")).collect()
+    assert sorted((x.doc_id, x.n, x.m) for x in rows) == [(0, 2, 2), (0, 3, 1), (1, 2, 2), (1, 3, 1), (2, 3, 1)] and len({x.h for x in rows}) == 2
+
+
 def test_one_round_moves_to_the_heaviest_neighbour(spark):
     edges = spark.createDataFrame([(1, 0, 3), (1, 1, 3), (1, 2, 3), (2, 3, 2), (2, 4, 2)], "h bigint, doc_id bigint, n bigint")
     label = Scratch(spark, "t").write(spark.createDataFrame([(0, 1), (1, 1), (2, 0), (3, 0), (4, 0)], "doc_id bigint, shard int"))
