@@ -22,7 +22,18 @@ ROUNDS = 12
 TRAIN_DOCS = 600
 #: A token that has none of these signs can't be personal data of these kinds: its label is O.
 CANDIDATE = r"[0-9@]"
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+#: Pieces of a text between white space and punctuation; dates, times, numbers with commas and area codes keep theirs.
+_PIECE = re.compile(
+    r"(?<![\w:/,.])(?:\d{1,2}/\d{1,2}/\d{2,4}(?![\w/])|\d{1,2}:\d{2}(?::\d{2})?(?![\w:])|\d{1,3}(?:,\d{3})+(?:\.\d+)?(?![\w,\-]))"
+    r"|(?:\+?\d{1,3}[-.])?\(\d{3}\)[-.]?\d{3}[-.]\d{4}(?!\w)|\(\d{2,5}\)|[^\s\"'`|*#<>\[\]{}^=;,&?!~:/\\()$…«»“”‘’]+"
+)
+#: What is an item of its own within a piece: no letter, digit or further group of digits touches it.
+_ITEM = re.compile(
+    r"(?<![\w.%+\-])[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,}"
+    r"|(?<![^\W_])(?<!\d[-.])(?:\d{4}(?:-\d{4}){3}|\d{3}-\d{2}-\d{4}|\+?(?:\d{1,3}[-.])?\d{3}[-.]?\d{3}[-.]\d{4}|\d{1,3}(?:\.\d{1,3}){3}|\+?\d{10,19})(?![^\W_])(?![-.]\d)"
+)
+_GROUPED_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[ \-][A-Z0-9]{4}){2,7}(?:[ \-][A-Z0-9]{1,3})?(?!\w)")
+_WORD = re.compile(r"[\w\-]+")
 _EDGE = "!?.,;:\"'`|*#$%&<>[]{}~^=…«»“”‘’"
 _CUES = {
     "tel": "phone", "telephone": "phone", "phone": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "cell": "phone", "telefon": "phone", "teléfono": "phone", "téléphone": "phone",
@@ -61,6 +72,8 @@ def mod97(iban: str) -> bool:
 @lru_cache(maxsize=50_000)
 def shapes(token: str) -> tuple[str, ...]:
     low = token.lower()
+    if _GROUPED_IBAN.fullmatch(token):
+        low = re.sub(r"[ -]", "", low)
     out = [k for k, p in _TESTS if p.fullmatch(low)]
     digits = re.sub(r"[- ]", "", token)
     if digits.isascii() and digits.isdigit() and 13 <= len(digits) <= 19 and luhn(digits):
@@ -70,18 +83,58 @@ def shapes(token: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _cue(text: str, a: int) -> str:
+    """The word before a place; of one with underscores the last part that is a cue."""
+    words = _WORD.findall(text, max(0, a - 40), a)
+    word = words[-1].strip("-_").lower() if words else ""
+    return next((w for w in reversed(word.split("_")) if w in _CUES), word)
+
+
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the IBANs in groups of four: as many groups as agree with the check digits."""
+    out = []
+    for m in _GROUPED_IBAN.finditer(text):
+        ends = [k for k in range(m.start() + 15, m.end() + 1) if k == m.end() or text[k] in " -"]
+        for z in reversed(ends):
+            plain = re.sub(r"[ -]", "", text[m.start() : z])
+            if 15 <= len(plain) <= 34 and mod97(plain):
+                out.append((m.start(), z))
+                break
+    return out
+
+
+def _parts(piece: str) -> list[tuple[int, int]]:
+    """(start, end) of the items in a piece and of what is left between them."""
+    out, at = [], 0
+    for m in _ITEM.finditer(piece):
+        out += [(at, m.start()), m.span()]
+        at = m.end()
+    return [(a, b) for a, b in [*out, (at, len(piece))] if a < b]
+
+
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, token, word before) of the tokens that may be personal data, without the signs around them."""
+    """(start, end, token, word before) of the tokens that may be personal data, without the signs around them.
+
+    Brackets, quotes and separators end a token, so that what is glued to a name, or stands in JSON, CSV or a URL, is one.
+    """
+    spans, taken, at = [], _ibans(text), 0
+    for m in _PIECE.finditer(text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at < len(taken) and m.end() > taken[at][0]:
+            if not spans or spans[-1] != taken[at]:
+                spans.append(taken[at])
+            continue
+        if re.search(CANDIDATE, m.group()):
+            spans += [(m.start() + a, m.start() + b) for a, b in (_parts(m.group()) if m.group()[0] != "(" else [(0, len(m.group()))])]
     out = []
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
+    for a, b in spans:
         while a < b and text[a] in _EDGE:
             a += 1
         while b > a and text[b - 1] in _EDGE:
             b -= 1
-        if a < b:
-            before = text[max(0, m.start() - 40) : m.start()].split()
-            out.append((a, b, text[a:b], before[-1].strip(_EDGE + "()").lower() if before else ""))
+        if re.search(CANDIDATE, text[a:b]):
+            out.append((a, b, text[a:b], _cue(text, a)))
     return out
 
 
@@ -173,7 +226,8 @@ def _synthetic(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]
 
     def iban() -> str:
         body = num(18)
-        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+        s = f"DE{98 - int(body + '131400') % 97:02d}{body}"
+        return pick(s, s, " ".join(s[i : i + 4] for i in range(0, len(s), 4)))
 
     ip = lambda: ".".join(str(x) for x in r.integers(1, 255, 4))
     makers = {
@@ -208,9 +262,15 @@ def _synthetic(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]
                 make, cues = makers[label]
                 s, cue = make(), pick(*cues)
                 made.append((label, s))
-            if cue:
-                put(cue + pick("", ":"))
-            start = put(s + pick("", "", ".", ",", "!!"))
+            form = r.random()
+            if form < 0.35:  # glued, bracketed, JSON, CSV and URL
+                name = cue or word()
+                before, after = pick((f"{name}:", ""), (f"{name}=", ";"), ("(", ")"), ("[", "],"), (f'{{"{name}":"', '"}'), (f"{word()},", f",{word()}"), (f"{word()}://{word()}/{word()}?{name}=", f"&{word()}"))
+                start = put(before + s + after) + len(before)
+            else:
+                if cue:
+                    put(cue + pick("", ":"))
+                start = put(s + pick("", "", ".", ",", "!!"))
             spans.append((start, start + len(s), label))
         out.append((" ".join(parts), spans))
     return out

@@ -228,6 +228,24 @@ def test_pii_held_out(field):
     assert hit > 0.97 * want and hit > 0.97 * got
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("see (4111111111111111) and (10.0.0.1).", [("4111111111111111", "CARD"), ("10.0.0.1", "IP")]),
+        ("tel:555-123-4567 IP:10.0.0.1", [("555-123-4567", "PHONE"), ("10.0.0.1", "IP")]),
+        ('{"card":"4111111111111111","ip":"1.2.3.4"}', [("4111111111111111", "CARD"), ("1.2.3.4", "IP")]),
+        ("anna,jo.do@ex.com,4111-1111-1111-1111,10.20.30.40", [("jo.do@ex.com", "EMAIL"), ("4111-1111-1111-1111", "CARD"), ("10.20.30.40", "IP")]),
+        ("http://10.20.30.40:8080/x?mail=jo@ex.com&b", [("10.20.30.40", "IP"), ("jo@ex.com", "EMAIL")]),
+        ("SSN-123-45-6789", [("123-45-6789", "SSN")]),
+        ("IBAN DE89 3704 0044 0532 0130 00 IS MINE", [("DE89 3704 0044 0532 0130 00", "IBAN")]),
+        ("ssn=123-45-6789;iban=DE89370400440532013000", [("123-45-6789", "SSN"), ("DE89370400440532013000", "IBAN")]),
+        ("call (+1 (504) 555-2652) at 12:30 on 3/14/2024, 1,234 times", [("+1 (504) 555-2652", "PHONE")]),
+    ],
+)
+def test_pii_glued_bracketed_json_csv_and_grouped(field, text, want):
+    assert [(text[a:b], label) for a, b, label, _ in pii.entities(field, [text])[0]] == want
+
+
 def test_messages_are_exact_on_a_tree():
     r = np.random.default_rng(1)
     n, k = 4, len(pii.LABELS)
