@@ -20,9 +20,15 @@ LIVE = 8.0
 #: What a boundary between two segments adds: a guesser must also try where it lies.
 BOUNDARY = math.log10(2)
 _NAMES = r"pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_\-. ]?key|access[_\-. ]?key|secret[_\-. ]?key|private[_\-. ]?key|auth[_\-. ]?key|client[_\-. ]?secret|credentials?|bearer"
-CONTEXT = re.compile(rf"(?i)(?<![A-Za-z0-9])((?:[A-Za-z0-9]+[_\-.])*(?:{_NAMES}))(?![A-Za-z0-9])[\"'`]?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}(?:([\"'`])([^\"'`\n]{{4,}}+)\2|([^\s\"'`,;<>]{{4,}}+))")
+#: The same inside camelCase names.
+_CAMEL = r"Pass(?:word|wd|phrase|code)?|Pwd|Secret|Token|(?:Api|API|Access|Secret|Private|Auth)Key|Credentials?"
+#: A name with a key word in it; what comes before or after the word is set off by a sign, a capital or a digit.
+_KEY = rf"(?<![A-Za-z0-9])(?<![A-Za-z0-9][_\-.])(?=[A-Za-z0-9_\-.]++(?: [A-Za-z0-9_\-.]++)?[\"'`]?\s{{0,3}}[:=])((?:[A-Za-z0-9]+[_\-.])*(?:(?i:{_NAMES})|[A-Za-z0-9]+(?:{_CAMEL}))[0-9]*(?:(?<=[a-z0-9])[A-Z][A-Za-z0-9]*)?(?:[_\-.][A-Za-z0-9]+)*)(?![A-Za-z0-9])"
+CONTEXT = re.compile(rf"{_KEY}[\"'`]?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}(?:([\"'`])([^\"'`\n]{{4,}}+)\2|([^\s\"'`,;<>&]{{4,}}+))")
+#: What follows Bearer: any value in an Authorization header, elsewhere one with a digit, as the word is one of prose too.
+BEARER = re.compile(r"(?i)(?:(?<=authorization)[\"'`]?\s{0,3}[:=]\s{0,3}[\"'`]?|(?<![a-z0-9])(?=bearer\s{1,3}[a-z\-._~+/]*[0-9]))(bearer)\s{1,3}([a-z0-9\-._~+/]{4,}+=*)")
 #: The same in Java's syntax, but wider: only what it finds goes to Python.
-PREFILTER = rf"(?i)({_NAMES})[\"'`]?\s{{0,3}}[:=]"
+PREFILTER = rf"(?i)({_NAMES})(?:[A-Za-z0-9_\-.]*+[\"'`]?\s{{0,3}}[:=]|(?<=bearer)\s{{1,3}}[A-Za-z0-9\-._~+/]{{4}})"
 #: Common passwords and words, the commonest first.
 WORDS = (
     "password 123456 qwerty admin letmein welcome monkey dragon master login abc football shadow sunshine princess iloveyou secret test guest root user pass love"
@@ -262,19 +268,28 @@ def _block_cost(block: str, signs: int) -> float:
 
 def values(text: str) -> Iterator[tuple[str, int, int]]:
     """(name, start, end) of the values of credential contexts."""
+    found = []
     for m in CONTEXT.finditer(text):
         a, b = m.span(3) if m.group(3) is not None else m.span(4)
         while m.group(4) is not None and b > a and text[b - 1] in ".)]}!?:":
             b -= 1
-        if b - a >= 4:
-            yield m.group(1), a, b
+        if text[a : a + 6].lower() != "bearer" or text[a + 6 : a + 7].strip():  # else BEARER has what follows
+            found.append((m.group(1), a, b))
+    for m in BEARER.finditer(text):
+        a, b = m.span(2)
+        found.append((m.group(1), a, a + len(text[a:b].rstrip("."))))
+    end = 0
+    for name, a, b in sorted(found, key=lambda x: x[1:]):
+        if b - a >= 4 and a >= end:
+            end = b
+            yield name, a, b
 
 
 def secrets(docs: DataFrame, live: float = LIVE) -> DataFrame:
     """(doc_id, name, start, end, guesses_log10, live) of each value in a credential context, in characters of the text.
 
-    A context is a name such as password, token or api_key, then ``:``, ``=``, ``:=`` or ``=>``, then a value of 4
-    characters or more: up to the closing quote, or the white space, quote or sign that ends it. The cost is that of the cheapest segmentation of the value into dictionary words, dates, repeats, keyboard
+    A context is Bearer and a token, or a name such as password, dbPassword, TOKEN_1 or api_key, then ``:``, ``=``, ``:=`` or ``=>``, then a value of 4
+    characters or more: up to the closing quote, or the white space, quote, ampersand or sign that ends it. The cost is that of the cheapest segmentation of the value into dictionary words, dates, repeats, keyboard
     walks and brute-force spans; from ``live`` on it counts as a live secret. The value itself is not returned.
 
     Defined cases: null and empty texts have none; a null doc_id is returned as null; repeated rows each get their rows;

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import time
 from collections import Counter, defaultdict
 
@@ -98,6 +99,30 @@ def test_contexts():
     assert [(n, text[a:b]) for n, a, b in secrets.values(text)] == [("token", "3fdf5a35c7b8"), ("DB_PASSWORD", "changeme"), ("pwd", "Zz9$kQ1w"), ("api-key", "a b c d e")]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("dbPassword=Zq8w#1 accessToken: abcd1234, userToken='ab cd'", [("dbPassword", "Zq8w#1"), ("accessToken", "abcd1234"), ("userToken", "ab cd")]),
+        ("PASSWORD_PROD=hunter22 TOKEN_1=abcd9 token2: wxyz7 passwordHash=abcd8", [("PASSWORD_PROD", "hunter22"), ("TOKEN_1", "abcd9"), ("token2", "wxyz7"), ("passwordHash", "abcd8")]),
+        ("Authorization: Bearer abcdefgh", [("Bearer", "abcdefgh")]),
+        ('{"Authorization": "Bearer ab.c1-d=="}', [("Bearer", "ab.c1-d==")]),
+        ("curl -H bearer abcd.1234 then", [("bearer", "abcd.1234")]),
+        ('token = "Bearer abc12345"', [("Bearer", "abc12345")]),
+        ("the bearer shares of bearer bonds, tokens: many, notasecret=abcdefg, userTokens=abcde", []),
+        ("https://x.org/?token=AAAA1111&secret=BBBB2222&x=1", [("token", "AAAA1111"), ("secret", "BBBB2222")]),
+        ("a_b_access_token=abcd1 AWSSecretKey=abcd2 x.apiKey.prod: abcd3", [("a_b_access_token", "abcd1"), ("AWSSecretKey", "abcd2"), ("x.apiKey.prod", "abcd3")]),
+    ],
+)
+def test_credential_names_and_ends(text, want):
+    assert [(n, text[a:b]) for n, a, b in secrets.values(text)] == want
+    assert not want or re.search(secrets.PREFILTER, text)
+
+
+def test_a_long_name_is_searched_once():
+    began = time.monotonic()
+    assert [*secrets.values("token_" * 20_000)] == [] and time.monotonic() - began < 10
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_guess_cost_equals_the_list_of_segments(seed):
     r = random.Random(seed)
