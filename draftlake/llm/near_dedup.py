@@ -188,13 +188,32 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRA
 
 
 def one_of_each(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the one with the least doc_id, of its rows the first.
+    """``docs`` with one document of each group of near duplicates: the one with the least doc_id.
 
-    Rows with a null doc_id stay. Of several rows with one doc_id in a group that stays, those of the least text hash stay.
+    Rows with a null doc_id stay, and so do all rows of a doc_id that stays: ``one_row_of_each`` tells rows apart.
     """
     gone = near_groups(docs, **params).where("NOT keep").select(F.col("doc_id").alias("gone_id"))
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
+def one_row_of_each(docs: DataFrame, **params) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicate rows: that of the least doc_id, then of the least text hash.
+
+    Rows are grouped by keys of doc_id and text, so that rows with a null doc_id (which come last) or a repeated one take
+    part too; of rows alike in both one stays. Rows with a null text or no word stay.
+    """
+    key, copy, text = "_near_key", "_near_copy", docs["text"].cast("string")
+    keyed = docs.withColumn(key, F.xxhash64(docs["doc_id"], text))
+    groups = near_groups(keyed.select(F.col(key).alias("doc_id"), text.alias("text")), **params)
+    names = keyed.select(F.col(key).alias("k"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h")).where("id IS NOT NULL OR h IS NOT NULL").distinct()
+    best = Window.partitionBy("group_id").orderBy(F.col("id").isNull(), "id", "h")
+    gone = names.join(groups.select(F.col("doc_id").alias("k"), "group_id"), "k").withColumn("r", F.row_number().over(best)).where("r > 1").select(F.col("k").alias("gone_key"))
+    left = keyed.join(gone, F.col(key) == F.col("gone_key"), "left_anti")
+    # the join has the rows of a key together already
+    alike = Window.partitionBy(key, "doc_id").orderBy(F.xxhash64(*docs.columns))
+    worded = F.coalesce(F.col("text").cast("string").rlike("[0-9A-Za-z]|[^\\x00-\\x7F]"), F.lit(False))
+    return left.withColumn(copy, F.row_number().over(alike)).where((F.col(copy) == 1) | ~worded).drop(key, copy)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"))

@@ -237,6 +237,21 @@ def test_near_dedup_on_odd_rows(spark, odd, none):
     assert near_dedup.near_groups(none).count() == 0
 
 
+def test_the_near_stage_keeps_one_row_of_each_group(spark, tmp_path):
+    base = [f"w{i}" for i in range(40)]
+    near, other = " ".join([*base[:39], "x"]), " ".join(f"v{i}" for i in range(40))
+    docs = [
+        (6, "same row here"), (6, "same row here"), (9, "Same, ROW here!"), (6, "other text now"), (5, " ".join(base)), (5, near), (None, near), (None, " ".join(base)),
+        (None, other), (None, other), (None, other.upper()), (None, "..."), (None, "..."), (None, None), (3, None), (3, None), (4, "alone in here"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    rows = Counter((r.doc_id, (r.text or "").lower()) for r in stage(spark, df, str(tmp_path)).collect())
+    fives = [k for k in rows if k[0] == 5]
+    assert len(fives) == 1 and rows.pop(fives[0]) == 1
+    assert rows == {(6, "same row here"): 1, (6, "other text now"): 1, (None, other): 1, (None, "..."): 2, (None, ""): 1, (3, ""): 2, (4, "alone in here"): 1}
+
+
 # decontamination
 
 
