@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the cluster names it; a folder of our own only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` as the cluster names it; a folder of our own only where it is unset on one machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="draftlake-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -49,6 +52,12 @@ class Scratch:
             pass
 
 
+def vocabulary_files(spark: SparkSession, names: tuple[str, ...] = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")) -> list[str]:
+    """Files of ranks in the folder that ``spark.draftlake.tokenizers`` names; they are read on the driver alone."""
+    folder = spark.conf.get("spark.draftlake.tokenizers", "/opt/tokenizers")
+    return [os.path.join(folder, n) for n in names]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
