@@ -21,6 +21,11 @@ def _shingles(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, n
     s, e, bounds = T.words(data, offs)
     h = T.hash_runs(data, s, e)
     whole = T.hash_rows(h, bounds)
+    return *shingles_of(h, bounds, whole, n), whole
+
+
+def shingles_of(h: np.ndarray, bounds: np.ndarray, whole: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes, bounds by row) of words given by their hashes."""
     at = T.inside(bounds, n)
     grams = T.ngrams(h, n)[at]
     count = np.maximum(np.diff(bounds) - n + 1, 0)
@@ -29,33 +34,38 @@ def _shingles(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, n
         where = np.concatenate([[0], np.cumsum(count)])[:-1][short]
         grams = np.insert(grams, where, whole[short])
         count = np.where(short, 1, count)
-    return grams, np.concatenate([[0], np.cumsum(count)]), whole
-
-
-def _pi(x: np.ndarray) -> np.ndarray:
-    """A permutation of the 32-bit integers."""
-    x ^= x >> np.uint32(16)
-    x *= np.uint32(0x85EBCA6B)
-    x ^= x >> np.uint32(13)
-    x *= np.uint32(0xC2B2AE35)
-    x ^= x >> np.uint32(16)
-    return x
+    return grams, np.concatenate([[0], np.cumsum(count)])
 
 
 def signature(grams: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
     """k circulant MinHash coordinates of each row that has shingles.
 
     The universe is the 32-bit integers: sigma shuffles it once, and coordinate j takes the least value of pi shifted
-    circularly by j, which on this universe is pi of a wrapping subtraction.
+    circularly by j, which on this universe is pi of a wrapping subtraction. pi is a product, a shifted exclusive or and
+    another product; its first product of a shifted value is the one before less the factor.
     """
     sigma = (T.mix(grams ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32)
     starts = bounds[:-1][np.diff(bounds) > 0]
     out = np.empty((len(starts), k), np.uint32)
+    x, y = sigma * np.uint32(0x85EBCA6B), np.empty_like(sigma)
     for j in range(k):
-        out[:, j] = np.minimum.reduceat(_pi(sigma - np.uint32(j + 1)), starts)
+        x -= np.uint32(0x85EBCA6B)
+        np.right_shift(x, np.uint32(16), out=y)
+        y ^= x
+        y *= np.uint32(0xC2B2AE35)
+        out[:, j] = np.minimum.reduceat(y, starts)
     return out
 
 
+def band_keys(grams: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(rows that have shingles, bands): the hash of each band of each signature."""
+    sig = signature(grams, bounds, bands * rows).reshape(-1, bands, rows).astype(np.uint64)
+    key = np.zeros(sig.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
+    for r in range(rows):
+        key = T.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+    return key
+
+
 def signatures(docs: DataFrame, ngram: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, whole, bands) of the documents that have a word."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -67,10 +77,7 @@ def signatures(docs: DataFrame, ngram: int, bands: int, rows: int) -> DataFrame:
                 some = np.diff(bounds) > 0
                 if not some.any():
                     continue
-                sig = signature(grams, bounds, bands * rows).reshape(-1, bands, rows).astype(np.uint64)
-                key = np.zeros(sig.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
-                for r in range(rows):
-                    key = T.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+                key = band_keys(grams, bounds, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, bands, dtype=np.int32)), pa.array(key.reshape(-1).view(np.int64)))
                 ids = b.column(0).slice(first, len(offs) - 1).filter(pa.array(some))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(whole[some].view(np.int64)), lists], ["doc_id", "whole", "bands"])

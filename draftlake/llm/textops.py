@@ -35,13 +35,25 @@ PUNCT = ~(SPACE | WORD)
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` that gives freed memory back to the system after each batch: Python workers outlive their tasks."""
+    """``run`` that gives freed memory back to the system after each batch that isn't small: Python workers outlive their tasks."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in run(batches):
+        seen = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal seen
+            for b in batches:
+                seen += b.nbytes
+                yield b
+
+        for b in run(counted()):
+            seen += b.nbytes
             yield b
             del b
-            release()
+            if seen > BATCH_BYTES // 4:
+                seen = 0
+                release()
+        release()
 
     return go
 
@@ -168,6 +180,14 @@ def lower(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column)
 
 
+def both_cases(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``chunks`` with the bytes and offsets of the same rows in lower case."""
+    for first, data, offs in chunks(column, limit):
+        arr = pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(np.ascontiguousarray(offs)), pa.py_buffer(data))
+        ((_, low, low_offs),) = chunks(lower(arr), 1 << 62)
+        yield first, data, offs, low, low_offs
+
+
 def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, bounds) of the runs of bytes of a kind."""
     s, e = runs(kind[data], offs)
