@@ -14,71 +14,101 @@ from . import textops as T
 from .store import read, row_key
 
 
+#: Hashes of lines that several rows of a task's batches had, which it remembers with the first place of each.
+HOT = 100_000
+
+
 def _hashed(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, rk, pos, again) of each line; ``again`` marks a line that an earlier row of the same chunk surely has.
+    """(h, doc_id, rk, pos, n_lines, known): a row for each line that may be the first of its kind, and one for each document.
 
-    Only one row a chunk stays for each hash, so that the commonest line of the corpus doesn't make one huge group: the
-    others get a hash of their own place and spread evenly. A chunk's rows aren't in the order of the corpus, so the
-    one that stays is that with the smallest (doc_id, rk, pos) in the chunk; it is an order the corpus agrees with.
+    A document's own row has ``n_lines`` and in ``known`` the positions of lines that an earlier row of the same task surely
+    has; its h is that of its place. Blank lines have no row. So the commonest line of the corpus has about one row a task and not one
+    a document: of the rows of a batch that have a line only the first in the order of (doc_id, rk, pos) is sent, and the task remembers
+    the lines that were met more than once in a batch, to send none that comes after.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", row_key(F.col("text")).alias("rk"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: dict[int, tuple] = {}  # the first place so far of a line that is met often
         for b in batches:
-            order = pa.array(np.arange(len(b)))
-            if len(b):  # rows in the order of the corpus: doc_id, nulls last, then rk
-                order = pa.compute.sort_indices(pa.table({"a": b.column(0), "b": b.column(1)}), sort_keys=[("a", "ascending"), ("b", "ascending")], null_placement="at_end")
+            if not len(b):
+                continue
+            # rows in the order of the corpus: doc_id, nulls last, then rk
+            order = pa.compute.sort_indices(pa.table({"a": b.column(0), "b": b.column(1)}), sort_keys=[("a", "ascending"), ("b", "ascending")], null_placement="at_end")
             b = b.take(order)
             for first, data, offs in T.chunks(b.column(2)):
-                # an empty line has no bytes: lines are the gaps between newlines and row ends
-                n = len(offs) - 1
-                nl = np.flatnonzero(data == 10)
-                per = np.searchsorted(nl, offs)
-                count = np.diff(per) + 1
-                bounds = np.concatenate([[0], np.cumsum(count)])
-                starts, ends = np.empty(bounds[-1], np.int64), np.empty(bounds[-1], np.int64)
-                row = np.repeat(np.arange(n), count)
-                head = np.zeros(bounds[-1], bool)
-                head[bounds[:-1]] = True
-                tail = np.zeros(bounds[-1], bool)
-                tail[bounds[1:] - 1] = True
-                starts[head], starts[~head] = offs[:-1], nl + 1
-                ends[tail], ends[~tail] = offs[1:], nl
-                pos = np.arange(bounds[-1]) - bounds[row]
-                inked = np.concatenate([[0], np.cumsum(~T.SPACE[data])])
-                blank = inked[starts] == inked[ends]
-                h = T.hash_runs(data, starts, ends)
-                o = np.argsort(h, kind="stable")
-                again = np.zeros(len(h), bool)
-                again[o[1:]] = h[o[1:]] == h[o[:-1]]
-                again &= ~blank
-                own = again | blank
-                h[own] = T.mix(T.mix(np.asarray(b.column(1).slice(first, n)).view(np.uint64)[row[own]]) + pos[own].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), b.column(0).slice(first, n).take(pa.array(row)), pa.array(np.asarray(b.column(1).slice(first, n))[row]), pa.array(pos.astype(np.int32)), pa.array(np.where(blank, -1, again).astype(np.int8))],
-                    ["h", "doc_id", "rk", "pos", "again"],
-                )
-
-    return rows.transform(T.batched, run, f"h bigint, doc_id {kind}, rk bigint, pos int, again tinyint")
+                yield _lines_of(b.column(0).slice(first, len(offs) - 1), np.asarray(b.column(1).slice(first, len(offs) - 1)), data, offs, hot)
+
+    return rows.transform(T.batched, run, f"h bigint, doc_id {kind}, rk bigint, pos int, n_lines bigint, known array<int>")
+
+
+def _lines_of(ids: pa.Array, rk: np.ndarray, data: np.ndarray, offs: np.ndarray, hot: dict[int, tuple]) -> pa.RecordBatch:
+    """``_hashed`` of rows in the order of the corpus. Lines are the gaps between newlines and row ends: an empty one has no bytes."""
+    n = len(offs) - 1
+    nl = np.flatnonzero(data == 10)
+    per = np.searchsorted(nl, offs)
+    count = np.diff(per) + 1
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    starts, ends = np.empty(bounds[-1], np.int64), np.empty(bounds[-1], np.int64)
+    row = np.repeat(np.arange(n), count)
+    head, tail = np.zeros(bounds[-1], bool), np.zeros(bounds[-1], bool)
+    head[bounds[:-1]], tail[bounds[1:] - 1] = True, True
+    starts[head], starts[~head] = offs[:-1], nl + 1
+    ends[tail], ends[~tail] = offs[1:], nl
+    pos = np.arange(bounds[-1]) - bounds[row]
+    inked = np.concatenate([[0], np.cumsum(~T.SPACE[data])])
+    at = np.flatnonzero(inked[starts] != inked[ends])
+    h = T.hash_runs(data, starts[at], ends[at])
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    heads = np.flatnonzero(new)
+    first, size = order[heads], np.diff(np.append(heads, len(h)))  # of each hash
+    again = np.ones(len(h), bool)
+    again[first] = False
+    place = lambda k: (not ids[row[k]].is_valid, ids[row[k]].as_py() if ids[row[k]].is_valid else 0, int(rk[row[k]]), int(pos[k]))
+    for k, x in zip(first.tolist(), h[first].tolist()) if hot else ():
+        if x in hot:
+            here = place(at[k])
+            if hot[x] < here:
+                again[k] = True
+            else:
+                hot[x] = here
+    for k in first[size > 1].tolist():
+        if len(hot) < HOT and int(h[k]) not in hot:
+            hot[int(h[k])] = place(at[k])
+    sent = ~again
+    gone = at[again]
+    known = pa.ListArray.from_arrays(pa.array(np.searchsorted(gone, bounds).astype(np.int32)), pa.array(pos[gone].astype(np.int32)))
+    own = T.mix(T.mix(rk.view(np.uint64)) + (offs[1:] * 31 + np.arange(n)).astype(np.uint64))
+    lines = at[sent]
+    null = lambda kind, size: pa.nulls(size, kind)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([h[sent], own]).view(np.int64)), pa.concat_arrays([ids.take(pa.array(row[lines])), ids]), pa.array(np.concatenate([rk[row[lines]], rk])),
+            pa.concat_arrays([pa.array(pos[lines].astype(np.int32)), null(pa.int32(), n)]), pa.concat_arrays([null(pa.int64(), len(lines)), pa.array(count.astype(np.int64))]), pa.concat_arrays([null(known.type, len(lines)), known]),
+        ],
+        ["h", "doc_id", "rk", "pos", "n_lines", "known"],
+    )
 
 
 def decisions(docs: DataFrame) -> DataFrame:
     """(doc_id, rk, n_lines, dropped): the sorted positions of the lines to drop of each document, a row each.
 
-    Hashes are range-partitioned and sorted by (hash, document, position); a streaming window sees first occurrences.
+    Hashes are uniform, so that their ranges are known without a sample: equal parts of the 64 bits, one a partition. These
+    are sorted by (hash, document, position), and a streaming window sees first occurrences. Only the lines that go, and the
+    documents' own rows, are shuffled once more.
     """
-    lines = _hashed(docs).repartitionByRange("h")
-    order = Window.partitionBy("h").orderBy("again", F.col("doc_id").asc_nulls_last(), "rk", "pos")
-    seen = lines.withColumn("k", F.row_number().over(order))
-    drop = (F.col("again") == 1) | ((F.col("again") == 0) & (F.col("k") > 1))
-    per = seen.groupBy("doc_id", "rk").agg(
-        (F.max("pos") + 1).cast("bigint").alias("n_lines"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(drop, F.col("pos")))).alias("d")
-    )
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor((F.shiftrightunsigned("h", 33)) * parts / F.lit(1 << 31)).cast("int")
+    lines = _hashed(docs).withColumn("part", part).repartitionById(parts, F.col("part"))
+    order = Window.partitionBy("part", "h").orderBy(F.col("doc_id").asc_nulls_last(), "rk", "pos")
+    seen = lines.withColumn("k", F.row_number().over(order)).where("n_lines IS NOT NULL OR k > 1")
+    per = seen.groupBy("doc_id", "rk").agg(F.max("n_lines").alias("n_lines"), F.count("n_lines").alias("copies"), F.array_sort(F.concat(F.flatten(F.collect_list("known")), F.collect_list(F.when(F.col("n_lines").isNull(), F.col("pos"))))).alias("d"))
     # equal rows fall into one group here: a line of theirs goes only if each copy's goes
-    copies = F.col("n") / F.col("n_lines")
-    true = F.filter(F.array_distinct("d"), lambda x: F.size(F.filter("d", lambda y: y == x)) == copies)
-    return per.select("doc_id", "rk", "n_lines", F.when(F.col("n") == F.col("n_lines"), F.col("d")).otherwise(true).alias("dropped"))
+    true = F.filter(F.array_distinct("d"), lambda x: F.size(F.filter("d", lambda y: y == x)) == F.col("copies"))
+    return per.select("doc_id", "rk", "n_lines", F.when(F.col("copies") == 1, F.col("d")).otherwise(true).alias("dropped"))
 
 
 def bitmap(n_lines: str, dropped: str) -> F.Column:
@@ -102,10 +132,11 @@ def line_bitmaps(docs: DataFrame) -> DataFrame:
     ``keep_runs`` holds alternating lengths of kept and dropped runs from a kept one on: '2,1,3' keeps 2, drops 1, keeps 3;
     it starts with 0 where the first line goes.
 
-    Defined cases: rows with a null text have no lines and no result row; an empty text has one blank line; a null doc_id
-    comes after all others; of rows with one doc_id, each text is a document of its own (ordered by a hash of the text), and
-    fully equal rows are one document; other columns are ignored; an empty table gives an empty result.
-    Two shuffles, of about 25 bytes a line each; no text is shuffled, and no hash has more than one row a 4 MB chunk.
+    Defined cases: rows with a null text have no lines and no result row; an empty text has one blank line; lines and texts of
+    any length are hashed whole; a null doc_id comes after all others; of rows with one doc_id, each text is a document of its own
+    (ordered by a hash of the text), and fully equal rows are one document; other columns are ignored; an empty table gives an
+    empty result. Two shuffles: one row of about 30 bytes for each line that a batch has first, then one for each line that goes
+    and each document; no text is shuffled, and a line that all documents have has about one row a task.
     """
     return decisions(docs).select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), bitmap("n_lines", "dropped").alias("keep_runs"))
 
@@ -113,7 +144,9 @@ def line_bitmaps(docs: DataFrame) -> DataFrame:
 def first_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with only the first occurrence of each line, and ``n_chars``, if there, of the new text.
 
-    A document whose lines with ink all go is dropped, as is all but one of fully equal rows; a null text stays as it is.
+    Defined cases: a document whose lines with ink all go is dropped, as is all but one of rows that are equal in doc_id and
+    text; a null text stays as it is, a text without ink too; a null doc_id comes after all others; texts of any length are cut line
+    by line; other columns pass through, whatever their names; an empty table gives an empty one.
     """
     # a row goes along as one column beside its text, so that its names can't clash with those here; one hash of (doc_id, text) is the only
     # key of the exchange, which thus serves the join and the window; what it stands for is compared by inequalities, so that
