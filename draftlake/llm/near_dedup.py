@@ -149,31 +149,69 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         state = tuple(sums)
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (g, doc_id) sorted by both those whose g is not alone, with the first doc_id of their g as ``a``.
+
+    Nothing but the last row and the first doc_id of its bucket is held, however large the bucket is.
+    """
+
+    def emit(b: pa.RecordBatch, following: int | None, lead: pa.Array | None) -> tuple[pa.RecordBatch, pa.Array | None]:
+        g, ids = np.asarray(b.column(0)), b.column(1)
+        same = np.zeros(len(g) + 1, bool)  # as the row before
+        same[1:-1] = g[1:] == g[:-1]
+        same[0], same[-1] = lead is not None, following is not None and g[-1] == following
+        pool = pa.concat_arrays([lead, ids]) if lead is not None else ids
+        head = np.maximum.accumulate(np.where(same[:-1], 0, np.arange(len(g)) + (lead is not None)))
+        keep = np.flatnonzero(same[1:] | same[:-1])
+        out = pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), ids.take(pa.array(keep)), pool.take(pa.array(head[keep]))], ["g", "doc_id", "a"])
+        return out, pool.slice(int(head[-1]), 1) if same[-1] else None
+
+    held: pa.RecordBatch | None = None
+    lead: pa.Array | None = None
+    for b in batches:
+        if not len(b):
+            continue
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        held = b.slice(len(b) - 1)
+        if len(b) > 1:
+            out, lead = emit(b.slice(0, len(b) - 1), held.column(0)[0].as_py(), lead)
+            yield out
+    if held is not None:
+        yield emit(held, None, lead)[0]
+
+
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, group_id, keep) of each document that has a near duplicate; ``group_id`` is the least doc_id of the group.
 
     Two documents are near duplicates if the Jaccard similarity of their sets of word n-grams (lower case, words are runs of
-    letters and digits) reaches the threshold; groups are the connected components. ``keep`` marks the one that stays.
+    letters and digits, every character beyond ASCII counting as a letter) reaches the threshold; groups are the connected
+    components. ``keep`` marks the one that stays.
 
     1. Circulant MinHash signatures, and documents of equal word sequences collapsed to the least doc_id (exactly alike).
-    2. Band buckets: every member is paired with the least of its bucket, and the pairs are verified on the exact sets.
+    2. Band buckets: every member is paired with the least of its bucket, and the pairs are verified on the exact sets. Buckets
+       are read as a stream of sorted rows, and none is held.
     3. A bucket that still spans several groups has all its pairs across groups verified too, so that the groups equal
        those of all pairs of all buckets, without the quadratic work for a bucket of copies. Nothing is capped.
     At a similarity of 0.6 the default banding finds a pair with probability 0.964, at 0.7 with 0.999.
 
     Defined cases: rows with a null doc_id or text, or no word, take no part; rows that share a doc_id are one document and
-    each of their texts counts; other columns are ignored; an empty table gives an empty result. A text without letters
-    and digits has no word. Texts of fewer than n words are one shingle.
+    each of their texts counts; of equal documents the least doc_id stays; texts of any length are compared whole; other columns
+    are ignored; an empty table gives an empty result. A text without letters and digits has no word. Texts of fewer than n
+    words are one shingle, and so are texts without blanks and ASCII signs, such as Chinese: of these only equal ones are found.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
+    kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", docs["text"].cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    sig = signatures(texts, ngram, bands, rows)
-    sig = scratch.write(sig.withColumn("rep", F.min("doc_id").over(Window.partitionBy("whole"))))
+    first = scratch.write(signatures(texts, ngram, bands, rows))
+    # partial aggregates and a join, in which AQE may split the copies of one text
+    copied = first.groupBy("whole").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").select("whole", "least")
+    sig = scratch.write(first.join(copied, "whole", "left").select("doc_id", F.coalesce("least", "doc_id").alias("rep"), "bands"))
+    scratch.drop(first)
     exact = sig.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    band = sig.where("doc_id = rep").select("doc_id", F.explode("bands").alias("g"))
-    alike = Window.partitionBy("g")
-    member = band.withColumns({"a": F.min("doc_id").over(alike), "z": F.max("doc_id").over(alike)}).where("a <> z").select("g", "doc_id", "a")
+    band = sig.where("doc_id = rep").select(F.explode("bands").alias("g"), "doc_id").repartition("g").sortWithinPartitions("g", "doc_id")
+    member = band.transform(T.batched, _buckets, f"g bigint, doc_id {kind}, a {kind}").where("g IS NOT NULL")
     member = scratch.write(member)
     pairs = scratch.write(member.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
     wanted = member.select("doc_id").distinct()
@@ -181,33 +219,28 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRA
     found = scratch.write(verified(pairs, sets, threshold).union(exact))
     groups = scratch.write(components(found, scratch))
     # buckets that span groups
-    label = member.join(groups, "doc_id", "left").select("g", "doc_id", F.coalesce("group_id", "doc_id").alias("c"))
-    mixed = label.withColumns({"lo": F.min("c").over(alike), "hi": F.max("c").over(alike)}).where("lo <> hi").select("g", "doc_id", "c")
+    label = scratch.write(member.join(groups, "doc_id", "left").select("g", "doc_id", F.coalesce("group_id", "doc_id").alias("c")))
+    split = label.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
+    mixed = label.join(split, "g", "left_semi").select("g", "doc_id", "c")
     x, y = mixed.toDF("g", "a", "ca"), mixed.toDF("g", "b", "cb")
     more = x.join(y, "g").where("a < b AND ca <> cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     extra = scratch.write(verified(more, sets, threshold))
     if not extra.isEmpty():
         scratch.drop(groups)
         groups = scratch.write(components(found.union(extra), scratch))
-    for old in (sig, member, pairs, sets, found):
+    for old in (sig, member, pairs, sets, found, label, extra):
         scratch.drop(old)
     return groups.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"))
 
 
-def one_of_each(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the one with the least doc_id.
-
-    Rows with a null doc_id stay, and so do all rows of a doc_id that stays: ``one_row_of_each`` tells rows apart.
-    """
-    gone = near_groups(docs, **params).where("NOT keep").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-
-
 def one_row_of_each(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with one row of each group of near-duplicate rows: that of the least doc_id, then of the least text hash.
 
     Rows are grouped by keys of doc_id and text, so that rows with a null doc_id (which come last) or a repeated one take
-    part too; of rows alike in both one stays. Rows with a null text or no word stay.
+    part too, each for itself: another text of a doc_id stays unless it is a near duplicate too.
+
+    Defined cases: of rows alike in doc_id and text one stays; rows with a null text or no word all stay; texts of any length
+    are compared whole; other columns pass through, whatever their names; an empty table gives an empty one.
     """
     key, copy, text = "_near_key", "_near_copy", docs["text"].cast("string")
     keyed = docs.withColumn(key, F.xxhash64(docs["doc_id"], text))
@@ -224,3 +257,16 @@ def one_row_of_each(docs: DataFrame, **params) -> DataFrame:
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"))
+
+
+#: All pairs by their common shingles, exactly, and the components; the operator finds a pair by its bands, with a probability near 1.
+ORACLE_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[k:k + {NGRAM - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {NGRAM - 1}, 1) + 1)) AS k FROM t WHERE len(w) > 0) q),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE common >= CAST({THRESHOLD} AS DOUBLE) * (x.n + y.n - common)),
+l AS MATERIALIZED (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT DISTINCT u AS doc_id, u AS o FROM l UNION SELECT l.v, r.o FROM r JOIN l ON l.u = r.doc_id WHERE r.o < l.v),
+c AS (SELECT doc_id, min(o) AS group_id FROM r GROUP BY doc_id)
+SELECT doc_id, group_id, doc_id = group_id AS keep FROM c"""

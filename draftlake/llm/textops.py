@@ -7,7 +7,6 @@ A null text is an empty one here; operators that must tell the two apart filter
 from __future__ import annotations
 
 import ctypes
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -62,11 +61,11 @@ def batched(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     """``df.mapInArrow(run, schema)`` with Arrow batches of at most ``BATCH_BYTES``.
 
     Batches are bounded by rows and bytes of the session; its default of 64 MB, doubled while it is written and held on both
-    sides of the pipe by each core, is more than an executor has to spare. A session that sets less keeps it.
+    sides of the pipe by each core, is more than an executor has to spare. The plan reads the setting when it runs, so it is
+    made in the session, and only where the session has none of its own: a value that was set by hand, larger or not, stays.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)b?", conf.get(key, "64m").lower())
-    if not now or int(now.group(1)) > BATCH_BYTES:
+    if conf.get(key, None) is None:
         conf.set(key, f"{BATCH_BYTES}b")
     return df.mapInArrow(lean(run), schema)
 
