@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import base64
-import importlib.util
 from collections import deque
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,35 +13,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .store import Scratch, read, row_key
+from .store import Scratch, read, row_key, vocabulary_files
 
 WINDOW = 2048
 #: GPT-style pre-tokenisation; the vocabulary is a file of ranks.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-_LOADED: dict[str, tiktoken.Encoding] = {}
+_LOADED: dict[int, tuple[bytes, tiktoken.Encoding]] = {}
 
 
-def default_vocabulary() -> str:
-    """``byte_bpe_50k.tiktoken`` of the installed public vocabularies."""
-    spec = importlib.util.find_spec("public_tokenizers")
-    return str(Path(spec.origin).parent / "byte_bpe_50k.tiktoken") if spec else "/opt/tokenizers/byte_bpe_50k.tiktoken"
+def encoding(ranks: bytes) -> tiktoken.Encoding:
+    """The tokenizer of a file of ranks (base64 of the bytes, blank, rank); made once for one content."""
+    if id(ranks) not in _LOADED:
+        pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _LOADED.clear()
+        _LOADED[id(ranks)] = ranks, tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=pairs, special_tokens={})
+    return _LOADED[id(ranks)][1]
 
 
-def encoding(path: str) -> tiktoken.Encoding:
-    if path not in _LOADED:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _LOADED[path] = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _LOADED[path]
+def vocabulary_of(spark: SparkSession, path: str | None) -> bytes:
+    """The file of ranks, by default ``byte_bpe_50k.tiktoken`` of the tokenizers' folder: about 1 MB, read on the driver alone."""
+    with open(path or vocabulary_files(spark)[0], "rb") as f:
+        return f.read()
 
 
-def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str | None) -> DataFrame:
     """(doc_id, rk, tokens) of each row with a text; each document has an end token besides those of its text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", row_key(docs["text"].cast("string")).alias("rk"), docs["text"].cast("string").alias("text")).where("text IS NOT NULL")
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary_of(docs.sparkSession, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(vocabulary)
+        enc = encoding(sent.value)
         for b in batches:
             n = [len(enc.encode_ordinary(t.as_py())) + 1 for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "rk", "tokens"])
@@ -139,14 +139,15 @@ def packed(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None)
     that of the whole corpus, not of parts of it: only the histogram of lengths goes to the driver (at most ``window``
     numbers), the plan sent back depends on ``window`` alone, and lengths are ranked by counts of sorted partitions.
 
-    Defined cases: null texts have no piece; an empty text is its end token; a null doc_id comes after others and is
-    returned as null; repeated rows are documents of their own; other columns are ignored; an empty table gives an empty
-    result. One shuffle, of about 40 bytes a piece, without the text.
+    ``vocabulary`` is a file of ranks on the driver. Defined cases: null texts have no piece; an empty text is its end token; a
+    text of any length is cut into as many windows as it fills; a null doc_id comes after others and is returned as null;
+    repeated rows are documents of their own, and fully equal pieces lie in any order; other columns are ignored; an empty
+    table gives an empty result. One shuffle, of about 40 bytes a piece, without the text.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    tokens = token_counts(docs, vocabulary or default_vocabulary())
+    tokens = token_counts(docs, vocabulary)
     cut = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("tokens") - 1) / window)))
     pieces = tokens.withColumn("k", cut).select("doc_id", "rk", (F.col("k") * window).alias("doc_offset"), F.least(F.lit(window).cast("bigint"), F.col("tokens") - F.col("k") * window).alias("n_tokens"))
     pieces = scratch.write(pieces)
