@@ -27,7 +27,7 @@ GRADES = 3
 PENALTY = 3e-4
 #: Bytes of the word beginnings that are features.
 PREFIXES = (4, 5, 6)
-_TABLE: dict[int, np.ndarray] = {}
+_TABLE: list = []  # the last model, which is held so that none is taken for it, and its weights by feature
 
 
 class Model(NamedTuple):
@@ -49,7 +49,7 @@ def features(texts: pa.Array, known: np.ndarray | None = None) -> Iterator[tuple
     table of the features to return; without it all are.
     """
     shift, wide = np.uint64(64 - BITS), np.uint64(BITS)
-    for (first, data, offs), (_, low, low_offs) in zip(T.chunks(texts), _lowered(texts)):
+    for first, data, offs, low, low_offs in T.both_cases(texts):
         n = len(offs) - 1
         s, e, wb = T.words(low, low_offs)
         h = T.hash_runs(low, s, e)
@@ -80,12 +80,6 @@ def features(texts: pa.Array, known: np.ndarray | None = None) -> Iterator[tuple
         yield first, (key & np.uint64((1 << BITS) - 1)).astype(np.int64), np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << wide)
 
 
-def _lowered(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for first, data, offs in T.chunks(texts):
-        arr = pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(np.ascontiguousarray(offs)), pa.py_buffer(data))
-        yield from T.chunks(T.lower(arr), 1 << 62)
-
-
 def fit(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = LEAST_DOCS, steps: int = 250, penalty: float = PENALTY) -> Model:
     """Maximum likelihood with a lasso penalty, by proximal Adam on all rows at once; deterministic."""
     gaps = np.zeros(GRADES - 2)
@@ -99,12 +93,18 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = LEAST_DOCS
     held = np.concatenate([[0], np.cumsum(keep)])
     flat, bounds = number[flat[keep]], held[bounds]
     row, n, m = T.rows_of(bounds), len(rows), int(used.sum())
+    # sums over runs: features in the order of rows, and rows in the order of features
+    by = np.argsort(flat, kind="stable")
+    by_row, by_flat = row[by], np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=m))[:-1]]).astype(np.int64) if m else np.zeros(0, np.int64)
+    some = np.flatnonzero(np.diff(bounds))
     theta = np.concatenate([np.zeros(m), [-1.0], gaps])  # weights, the first threshold, logarithms of the gaps
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     lower_at, upper_at = grades - 1, grades
     for t in range(1, steps + 1):
         w, cut = theta[:m], theta[m] + np.concatenate([[0], np.cumsum(np.exp(theta[m + 1 :]))])
-        score = np.bincount(row, w[flat], n)
+        score = np.zeros(n)
+        if len(flat):
+            score[some] = np.add.reduceat(w[flat], bounds[:-1][some])
         edges = np.concatenate([[-np.inf], cut, [np.inf]])
         sig = lambda x: 1 / (1 + np.exp(np.clip(-x, -60, 60)))
         hi, lo = sig(edges[upper_at + 1] - score), sig(edges[lower_at + 1] - score)
@@ -113,7 +113,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = LEAST_DOCS
         dscore = (dhi - dlo) / n  # of the negative log likelihood
         dcut = np.array([(np.where(upper_at == k, -dhi, 0) + np.where(lower_at == k, dlo, 0)).sum() / n for k in range(GRADES - 1)])
         dgap = np.array([dcut[k + 1 :].sum() * np.exp(theta[m + 1 + k]) for k in range(GRADES - 2)])
-        grad = np.concatenate([np.bincount(flat, dscore[row], m), [dcut.sum()], dgap])
+        grad = np.concatenate([np.add.reduceat(dscore[by_row], by_flat) if m else np.zeros(0), [dcut.sum()], dgap])
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
         rate = 0.1 * (1 - t / steps * 0.9) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
@@ -125,12 +125,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = LEAST_DOCS
 
 
 def score(model: Model, texts: pa.Array) -> np.ndarray:
-    key = id(model.features)
-    if key not in _TABLE:
-        _TABLE.clear()
-        _TABLE[key] = np.zeros(1 << BITS)
-        _TABLE[key][model.features] = model.weights
-    table = _TABLE[key]
+    if not _TABLE or _TABLE[0] is not model:
+        table = np.zeros(1 << BITS)
+        table[model.features] = model.weights
+        _TABLE[:] = [model, table]
+    table = _TABLE[1]
     parts = []
     for _, f, bounds in features(texts, table != 0):
         held = np.concatenate([[0], np.cumsum(table[f])])
@@ -172,8 +171,9 @@ def graded(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, select: flo
     sum of hashed-text weights, and ordered thresholds: P(grade >= k) = sigmoid(score - threshold_k). ``expected_grade`` is
     the sum of the tail probabilities ``p_fair`` and ``p_best``; a document is selected where ``p_best`` >= ``select``.
 
-    Defined cases: a null or empty text has the score of a text without words and keep = false; a null doc_id is returned
-    as null; repeated rows each get a row; ratings that are null or other than 0 and 1, and ratings of unknown documents, are
+    Defined cases: a null or empty text has the score of a text without words and keep = false; a text of any length is read
+    whole; a null doc_id is returned as null; repeated rows each get a row; other columns are ignored; of equal hashes in the
+    sample the least doc_ids are taken; features of fewer than ``LEAST_DOCS`` documents of the sample have no weight; ratings that are null or other than 0 and 1, and ratings of unknown documents, are
     ignored, of several of one document the lowest counts; without any rating the score is 0; an empty table gives an
     empty result. Scoring is one narrow pass; fitting reads at most ``sample`` documents' features on the driver.
     """
