@@ -28,5 +28,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
         "op6_line_dedup": line_dedup.ORACLE_SQL,
+        "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op8_quality_rules": quality_rules.ORACLE_SQL,
+        "op10_minhash_near_dedup": near_dedup.ORACLE_SQL,
     }

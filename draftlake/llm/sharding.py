@@ -141,7 +141,7 @@ def bundled(found: DataFrame) -> DataFrame:
     """(h, doc_id, n, m): ``links`` without the sums' rows; links of the same documents are one, which stands for ``m`` of them."""
     sums = found.where("n IS NOT NULL").select("h", "n", F.xxhash64("n", "x", "y").alias("g"))
     members = found.where("n IS NULL").select("h", "doc_id")
-    return members.join(sums, "h").groupBy(F.col("g").alias("h"), "doc_id", "n").agg(F.count("*").alias("m"))
+    return members.join(sums.hint("merge"), "h").groupBy(F.col("g").alias("h"), "doc_id", "n").agg(F.count("*").alias("m"))
 
 
 def even(ids: DataFrame, shards: int) -> DataFrame:
@@ -173,11 +173,11 @@ def quotas(wish: dict[tuple[int, int], int], sizes: list[int], capacity: int) ->
 
 def _wishes(edges: DataFrame, label: DataFrame, shards: int, turn: int) -> DataFrame:
     """(doc_id, own, target, step, r, x): the documents that want to move in a round, how much by, and their place among equals."""
-    here = edges.join(label, "doc_id")
+    here = edges.join(label.hint("merge"), "doc_id")  # no join depends on what is small enough to broadcast
     each = range(shards)
     count = here.groupBy("h").agg(*(F.count_if(F.col("shard") == s).alias(f"c{s}") for s in each))
     share = F.col("m") / (F.col("n") - 1)
-    weight = here.join(count, "h").groupBy("doc_id", "shard").agg(*(F.round(F.sum(share * (F.col(f"c{s}") - (F.col("shard") == s).cast("int"))), 9).alias(f"w{s}") for s in each))
+    weight = here.join(count.hint("merge"), "h").groupBy("doc_id", "shard").agg(*(F.round(F.sum(share * (F.col(f"c{s}") - (F.col("shard") == s).cast("int"))), 9).alias(f"w{s}") for s in each))
     best = F.array_max(F.array(*(F.when(F.col("shard") != s, F.struct(F.col(f"w{s}").alias("w"), F.lit(-s).alias("s"))) for s in each)))
     own = F.element_at(F.array(*(F.col(f"w{s}") for s in each)), F.col("shard") + 1)
     # in each round only half of the documents may move, so that neighbours don't swap places for ever
@@ -214,11 +214,15 @@ def propagate(edges: DataFrame, label: DataFrame, shards: int, capacity: int, ro
         for r in label.groupBy("shard").count().collect():
             sizes[r["shard"]] = r["count"]
         quota = quotas(want, sizes, capacity)
-        left = [(a, b, step, r, quota[a, b] - n) for a, b, step, r, n in before if quota[a, b] > n]
-        limit = label.sparkSession.createDataFrame(left, "own int, target int, step bigint, r bigint, quota bigint")  # as few rows as were collected
+        # of each pair of shards the group of wishes that the quota ends in, and how many of it: shards squared rows at most
+        ends = {(a, b): (a, b, step, r, quota[a, b] - n) for a, b, step, r, n in before if quota[a, b] > n}
+        limit = F.broadcast(label.sparkSession.createDataFrame([*ends.values()], "own int, target int, last bigint, last_r bigint, quota bigint"))
+        asked = wishes.join(limit, ["own", "target"])
+        sure = asked.where("step > last OR step = last AND r < last_r").select("doc_id", "target")
         rank = F.row_number().over(Window.partitionBy(*place).orderBy("x", "doc_id"))
-        moves = wishes.join(F.broadcast(limit), place).withColumn("rank", rank).where("rank <= quota").select("doc_id", "target")
-        new = scratch.write(label.join(moves, "doc_id", "left").select("doc_id", F.coalesce("target", "shard").alias("shard")))
+        some = asked.where("step = last AND r = last_r").withColumn("rank", rank).where("rank <= quota").select("doc_id", "target")
+        moves = sure.union(some)
+        new = scratch.write(label.join(moves.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("target", "shard").alias("shard")))
         scratch.drop(label)
         scratch.drop(wishes)
         label = new

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,34 @@ def test_line_dedup_equals_brute_force(spark):
         assert text.get(i) == (left if all(want[i]) or left.strip() else None)
 
 
+@pytest.mark.parametrize("hot", [0, 3, 100_000])
+def test_line_dedup_over_many_batches(spark, monkeypatch, hot):
+    """Batches of few rows out of order, with repeated rows: the task's memory of hot lines changes nothing."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    r = random.Random(hot)
+    lines = [f"line {i}" for i in range(9)] + ["", "\t"]
+    docs = [(r.choice([None, *range(60)]), "\n".join(r.choice(lines) for _ in range(r.randint(0, 9)))) for _ in range(120)]
+    docs += docs[:20]
+    r.shuffle(docs)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        df = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(2)
+        rk = {x.text: x.k for x in df.select("text", row_key(F.col("text")).alias("k")).collect()}
+        got = Counter((x.doc_id, x.n_lines, x.keep_runs) for x in line_dedup.line_bitmaps(df).collect())
+    finally:
+        spark.conf.set(key, old)
+    seen, want = set(), Counter()
+    for i, t in sorted({*docs}, key=lambda x: (x[0] is None, x[0] or 0, rk[x[1]])):
+        bits = []
+        for x in t.split("\n"):
+            bits.append(not x.strip() or x not in seen)
+            seen.add(x)
+        want[i, tuple(bits)] += 1
+    assert Counter((i, tuple(runs_to_bits(k))) for i, _, k in got.elements()) == want
+
+
 def test_line_dedup_on_odd_rows(odd, none):
     rows = [(r.doc_id, r.n_lines, r.keep_runs) for r in line_dedup.line_bitmaps(odd).collect()]
     assert sorted(rows, key=str) == sorted([(1, 4, "1,1,2"), (2, 1, "1"), (None, 2, "0,1,1"), (4, 1, "1"), (5, 1, "1"), (6, 1, "1"), (6, 1, "1"), (7, 3, "3"), (8, 2, "2")], key=str)
@@ -232,9 +261,21 @@ def test_components_of_a_long_chain(spark):
 def test_near_dedup_on_odd_rows(spark, odd, none):
     more = odd.unionByName(spark.createDataFrame([(9, "Same, ROW!", "en", 1, 2, "x", 9), (10, "...", "en", 1, 2, "x", 3), (11, "...", "en", 1, 2, "x", 3)], SCHEMA), allowMissingColumns=True)
     assert sorted(tuple(r) for r in near_dedup.near_groups(more).collect()) == [(6, 6, True), (9, 6, False)]
-    out = near_dedup.one_of_each(more)
-    assert out.columns == more.columns and out.count() == more.count() - 1 and out.where("doc_id = 9").count() == 0
-    assert near_dedup.near_groups(none).count() == 0
+    out = near_dedup.one_row_of_each(more)
+    assert out.columns == more.columns and out.count() == more.count() - 2 and out.where("doc_id = 9").count() == 0 and out.where("doc_id = 6").count() == 2
+    assert near_dedup.near_groups(none).count() == 0 and near_dedup.one_row_of_each(none).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_the_stream_of_buckets_equals_grouping(size):
+    r = random.Random(size)
+    rows = sorted({(r.randint(0, 25), r.randint(0, 30)) for _ in range(60)})
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows[k : k + size]], pa.int64()) for i in (0, 1)], ["g", "doc_id"]) for k in range(0, len(rows), size)]
+    group = defaultdict(list)
+    for g, d in rows:
+        group[g].append(d)
+    got = [tuple(x.values()) for b in near_dedup._buckets(iter(batches)) for x in b.to_pylist()]
+    assert got == [(g, d, group[g][0]) for g, d in rows if len(group[g]) > 1]
 
 
 def test_the_near_stage_keeps_one_row_of_each_group(spark, tmp_path):
@@ -286,15 +327,84 @@ def test_decontamination_equals_brute_force(spark):
 
 
 def test_offsets_are_of_the_original_text():
-    auto = decontaminate.automaton(decontaminate.patterns([(1, "straße ΟΔΟΣ i")], 13))
+    items = decontaminate.Items([(1, "straße ΟΔΟΣ i")], 13)
     text = "xx -- STRASSE\t Straße,, ΟΔΟΣ\n(j) i"
-    assert decontaminate.spans(auto, text) == []
+    assert items.spans(text) == []
     text = "xx -- Straße,, ΟΔΟΣ\n(i) x"
-    assert [text[a:b] for _, a, b in decontaminate.spans(auto, text)] == ["Straße,, ΟΔΟΣ\n(i"]
+    assert [text[a:b] for _, a, b in items.spans(text)] == ["Straße,, ΟΔΟΣ\n(i"]
     for t in ("", "...", "a", " a", "İx Σ", "ΑΣ Σ"):
         assert decontaminate.origins(t)[0].strip() == decontaminate.normal(t).strip()
 
 
+def slow_spans(items, text, window):
+    """Every window of every item at every word of the text."""
+    words = [(m.start(), m.end(), decontaminate._lower(m.group())) for m in re.finditer(r"[^\W_]+", text)]
+    out = set()
+    for name in {i for i, _ in items}:
+        hits = []
+        for i, q in items:
+            qw = decontaminate.normal(q).split()
+            n = min(window, len(qw))
+            grams = {tuple(qw[k : k + n]) for k in range(len(qw) - n + 1)} if i == name and qw else ()
+            hits += [(k, k + n) for k in range(len(words) - n + 1) if tuple(w for *_, w in words[k : k + n]) in grams]
+        last = None
+        for a, b in sorted(hits):
+            if last and a < last[1]:
+                last[1] = max(last[1], b)
+            else:
+                if last:
+                    out.add((name, words[last[0]][0], words[last[1] - 1][1]))
+                last = [a, b]
+        if last:
+            out.add((name, words[last[0]][0], words[last[1] - 1][1]))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_passages_equal_all_windows(seed):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(r.choice([2, 3, 30]))]
+    window, block = r.choice([(13, 5), (5, 2), (4, 4), (2, 1), (6, 1)])
+    items = [(r.randint(0, 5), " ".join(r.choice(words) for _ in range(r.randint(0, 40)))) for _ in range(r.randint(1, 8))]
+    held = decontaminate.Items(items, window, block)
+    for _ in range(10):
+        parts = [" ".join(r.choice(words) for _ in range(r.randint(0, 20))) for _ in range(3)]
+        t = r.choice(items)[1].split()
+        a = r.randint(0, len(t))
+        text = r.choice([", ", " - "]).join([parts[0], " ".join(t[a : a + r.randint(0, 30)]).upper(), parts[1]])
+        assert {*held.spans(text)} == slow_spans(items, text, window)
+
+
+def test_a_large_benchmark_fits_a_worker():
+    """5 million characters of items: the automaton holds about half of them, whose nodes have some 40 bytes each."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from draftlake.llm import decontaminate as d
+r = random.Random(1)
+words = [''.join(r.choice('abcdefghijklmnopqrst') for _ in range(r.randint(2, 9))) for _ in range(20000)]
+items = [(i, ' '.join(r.choice(words) for _ in range(100))) for i in range(7700)]
+assert sum(len(t) for _, t in items) > 4_900_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+held = d.Items(items, d.WINDOW)
+assert [x[0] for x in held.spans(items[5000][1][200:400])] == [5000]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=str(Path(__file__).parents[2]))
+    assert out.returncode == 0 and int(out.stdout) < 700, (out.stdout, out.stderr[-500:])
+
+
+@pytest.mark.parametrize("kind, value", [("smallint", 7), ("int", 7), ("string", "q7"), ("decimal(10,0)", 7), ("date", None)])
+def test_item_ids_of_any_type(spark, kind, value):
+    from decimal import Decimal
+
+    b = spark.createDataFrame([(str(value) if value is not None else None, "same row")], "i string, text string").select(F.col("i").cast(kind).alias("item_id"), "text")
+    (row,) = decontaminate.contaminated(spark.createDataFrame([(1, "the same row here")], "doc_id bigint, text string"), b).collect()
+    assert row.item_id == (Decimal(7) if kind.startswith("dec") else value) and (row.start, row.end) == (4, 12)
+
+
 def test_decontamination_on_odd_rows(spark, odd, none):
     b = spark.createDataFrame([(1, "same ROW"), (2, None), (3, ""), (4, "!!"), (None, "other text"), (5, "same row")], "item_id bigint, text string")
     got = sorted((r.doc_id, r.item_id or 0, r.start, r.end) for r in decontaminate.contaminated(odd, b).collect())
@@ -352,7 +462,7 @@ def test_segment_tree():
 
 
 def test_packing_covers_every_token_once(spark, odd, none):
-    enc = packing.encoding(packing.default_vocabulary())
+    enc = packing.encoding(packing.vocabulary_of(spark, None))
     docs = [(i, t * (40 if i == 3 else 1)) for i, t in enumerate(some_texts(60, 4))]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
     rows = packing.packed(df, window=128).collect()

@@ -115,7 +115,11 @@ def test_contexts():
 )
 def test_credential_names_and_ends(text, want):
     assert [(n, text[a:b]) for n, a, b in secrets.values(text)] == want
-    assert not want or re.search(secrets.PREFILTER, text)
+    assert not want or prefiltered(text)
+
+
+def prefiltered(text):
+    return pa.compute.match_substring_regex(pa.array([text]), secrets.PREFILTER)[0].as_py()
 
 
 def test_a_long_name_is_searched_once():
@@ -161,9 +165,79 @@ def test_secret_scan_rows(spark, odd, none):  # noqa: F811
     text = dict(docs)
     assert Counter((r.doc_id, text[r.doc_id][r.start : r.end], r.live) for r in rows) == {(1, "3fdf5a35c7b8d733c0b5c7d364eda8ac", True): 2, (1, "example", False): 2, (None, "hunter2", False): 2}
     assert secrets.secrets(odd).count() == 0 and secrets.secrets(none).count() == 0
-    import re
+    assert all(prefiltered(t) for i, t in docs if i in (1, None))
+
+
+@pytest.fixture(scope="module")
+def words(spark):
+    from draftlake.llm.store import vocabulary_files
+
+    return secrets.dictionary(vocabulary_files(spark))
+
+
+def test_ordinary_words_are_no_secrets(words):
+    assert len(words.rank) > 10_000
+    for w in ("elephant", "required", "Passwort", "Beispiel", "bonjour", "contraseña", "Sunshine", "maison", "casa", "p4ssw0rd"):
+        assert secrets.guess_cost(w, words) < secrets.LIVE, w
+    assert secrets.guess_cost("elephantgiraffe", words) < 10 < secrets.guess_cost("tg8QzX2vLk", words)
+
+
+def test_repeats_of_long_blocks(words):
+    r = random.Random(4)
+    block = "".join(r.choice("abcdefghijkmnopqrstuvwxyzABCDEF23456789") for _ in range(40))
+    once = secrets.guess_cost(block, words)
+    assert once > 40 and secrets.guess_cost(block * 5, words) < once + 5
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_long_runs_equal_brute_force(seed):
+    r = random.Random(seed)
+    parts = ["".join(r.choice("ab") for _ in range(r.randint(5, 50))) for _ in range(3)]
+    v = "".join(r.choice(parts) for _ in range(r.randint(2, 14)))
+    want, n = set(), len(v)
+    for p in range(secrets.BLOCK + 1, n // 2 + 1):
+        i = 0
+        while i < n - p:
+            j = i
+            while j < n - p and v[j] == v[j + p]:
+                j += 1
+            w = v[i : j + p]
+            if j - i >= p and not any(all(w[k] == w[k + q] for k in range(len(w) - q)) for q in range(1, p)):
+                want.add((p, i, j + p))
+            i = max(j, i + 1)
+    assert {*secrets._long_runs(np.frombuffer(v.encode("utf-32-le"), np.uint32))} == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("token    =      abcd1234 x", ["abcd1234"]), ("password:\n  hunter22", ["hunter22"]), ("password:\n\n  hunter22", []), ("token\u00a0=\u00a0abcd1234", ["abcd1234"]),
+        ('secret = "it\'s a \\"long\\" one" x', ['it\'s a \\"long\\" one']), ('token="abc12345', ["abc12345"]), ("api key: abcd1234, monkey: banana, key: value1", ["abcd1234"]), ("token==abcd1234", ["abcd1234"]),
+    ],
+)
+def test_white_space_and_quotes(text, want):
+    assert [text[a:b] for _, a, b in secrets.values(text)] == want
+    assert not want or prefiltered(text)
+
+
+LONG = 1 << 20
+
+
+@pytest.mark.parametrize("text", ["a-" * (LONG // 2), "token_" * (LONG // 6), "token:" * (LONG // 6), "token" + " " * LONG + "=x", '"token: ""' * (LONG // 10), ":" * LONG, "bearer " * (LONG // 7), "漢" * LONG + " 5"])
+def test_long_texts_are_scanned_in_linear_time(text):
+    began = time.monotonic()
+    for _ in secrets.values(text):
+        pass
+    assert time.monotonic() - began < 5
 
-    assert all(re.search(secrets.PREFILTER, t or "") for i, t in docs if i in (1, None))
+
+def test_long_texts_reach_the_search(spark):
+    r = random.Random(1)
+    value = "".join(r.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(5000))
+    texts = ["a-" * (LONG // 2) + f' token = "{value}"', "q" * LONG + f" mail jo.do@ex.com token: {value}", "漢" * LONG + " 10.20.30.40"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted((x.doc_id, texts[x.doc_id][x.start : x.end] == value, x.live) for x in secrets.secrets(df).collect()) == [(0, True, True), (1, True, True)]
+    assert sorted((x.doc_id, texts[x.doc_id][x.start : x.end]) for x in pii.personal_data(df).where("label IN ('EMAIL', 'IP')").collect()) == [(1, "jo.do@ex.com"), (2, "10.20.30.40")]
 
 
 # suffix-array dedup
@@ -271,32 +345,111 @@ def test_pii_glued_bracketed_json_csv_and_grouped(field, text, want):
     assert [(text[a:b], label) for a, b, label, _ in pii.entities(field, [text])[0]] == want
 
 
-def test_messages_are_exact_on_a_tree():
-    r = np.random.default_rng(1)
-    n, k = 4, len(pii.LABELS)
-    f = pii.Field(r.normal(size=(3, k)), r.normal(size=(k, k)), r.normal(size=(k, k)))
-    x, chain, skip = r.normal(size=(n, 3)), np.array([[0, 1], [1, 2]]), np.array([[0, 3]])
-    node, both = pii.messages(f, x, chain, skip, 60)
-    own = x @ f.unary
-    z, want = 0, np.zeros((n, k))
+def naive_marginals(field, g):
+    own = g.x @ field.unary
+    n, k = own.shape
+    z, want = 0.0, np.zeros((n, k))
     for y in itertools.product(range(k), repeat=n):
-        p = math.exp(sum(own[i, y[i]] for i in range(n)) + f.chain[y[0], y[1]] + f.chain[y[1], y[2]] + f.skip[y[0], y[3]])
+        p = math.exp(sum(own[i, y[i]] for i in range(n)) + sum(pot[y[a], y[b]] for e, pot in ((g.chain, field.chain), (g.skip, field.skip), (g.near, field.near)) for a, b in e))
         z += p
         for i in range(n):
             want[i, y[i]] += p
-    assert np.allclose(node, want / z, atol=1e-6) and np.allclose(both[0].sum(axis=1), node[0], atol=1e-6)
+    return want / z
+
+
+def some_graph(r, n, chain, skip, near):
+    edges = lambda e: np.array(e, np.int64).reshape(-1, 2)
+    return pii.Graph((r.random((n, 3)) < 0.5).astype(np.uint8), edges(chain), edges(skip), edges(near), np.zeros(n, np.int64))
+
+
+def some_field(r, scale):
+    k = len(pii.LABELS)
+    return pii.Field(r.normal(size=(3, k)), *(scale * r.normal(size=(k, k)) for _ in range(3)))
+
+
+def test_messages_are_exact_on_a_tree():
+    r = np.random.default_rng(1)
+    f, g = some_field(r, 1), some_graph(r, 4, [[0, 1], [1, 2]], [[0, 3]], [])
+    node, (both, *_) = pii.messages(f, g)
+    assert np.allclose(node, naive_marginals(f, g), atol=1e-3) and np.allclose(both[0].sum(axis=1), node[0], atol=1e-3)
+
+
+def test_messages_with_loops_are_close_to_the_exact_marginals():
+    for seed in range(5):
+        r = np.random.default_rng(seed)
+        f, g = some_field(r, 0.4), some_graph(r, 4, [[0, 1], [1, 2], [2, 3]], [[0, 2]], [[0, 3]])
+        assert np.abs(pii.messages(f, g)[0] - naive_marginals(f, g)).max() < 0.05
+
+
+def test_graph_equals_brute_force():
+    text = "jo@ex.com, jo@ex.com then an@ex.com and 10.1.2.3 10.1.2.4 x 10.1.2.3; 555-123-4567 y JO@EX.COM"
+    found = pii.candidates(text)
+    g = pii.graph([("", []), (text, found), (text, found)])
+    chain, skip, near = set(), set(), set()
+    for k, (a, b, token, _) in enumerate(found):
+        if k and not re.search(r"\w", text[found[k - 1][1] : a]):
+            chain.add((k - 1, k))
+        equal = [i for i in range(k) if pii.link(found[i][2]) == pii.link(token)]
+        kin = [i for i in range(k) if pii.stem(token) is not None and pii.stem(found[i][2]) == pii.stem(token)]
+        if equal and (equal[0], k) not in chain:
+            skip.add((equal[0], k))
+        if kin and pii.link(found[kin[0]][2]) != pii.link(token) and (kin[0], k) not in chain:
+            near.add((kin[0], k))
+    n = len(found)
+    for got, want in ((g.chain, chain), (g.skip, skip), (g.near, near)):
+        assert {*map(tuple, got.tolist())} == want | {(a + n, b + n) for a, b in want} and want
+    assert g.of.tolist() == [1] * n + [2] * n
+
+
+def test_a_repeat_after_words_is_linked():
+    for text in ("write a@b.com today then a@b.com", "write a@b.com today 7 then a@b.com"):
+        found = pii.candidates(text)
+        assert pii.graph([(text, found)]).skip.tolist() == [[0, len(found) - 1]]
+
+
+def test_evidence_reaches_all_repeats(field):
+    """One mention with a sure form among 200 without any: its label gains at each of them, the furthest too."""
+    text = " and then ".join(["x 7 y"] * 201)
+    g = pii.graph([(text, pii.candidates(text))])
+    assert g.skip.tolist() == [[0, k] for k in range(1, 201)]
+    x = np.zeros_like(g.x)
+    before, _ = pii.messages(field, g._replace(x=x))
+    x[150, pii._AT["ssn"]] = 1
+    after, _ = pii.messages(field, g._replace(x=x))
+    k = pii.LABELS.index("SSN")
+    gain = (after - before)[:, k]
+    assert gain.min() > 0 and gain[1] == pytest.approx(gain[200], abs=1e-3)
 
 
 def test_skip_links_carry_a_label(field):
     """A number that only one mention gives away is labelled at the others too, as trained links favour equal labels."""
     assert np.trace(field.skip) > 0 and all(field.skip[i, i] == field.skip[i].max() for i in range(len(pii.LABELS)))
-    x = np.zeros((2, len(pii.FEATURES)))
-    alone, _ = pii.messages(field, x, np.zeros((0, 2), int), np.zeros((0, 2), int))
+    x = np.zeros((2, len(pii.FEATURES)), np.uint8)
+    no = np.zeros((0, 2), np.int64)
+    alone, _ = pii.messages(field, pii.Graph(x, no, no, no, np.zeros(2, np.int64)))
     x[0, pii._AT["ssn"]] = 1
-    linked, _ = pii.messages(field, x, np.zeros((0, 2), int), np.array([[0, 1]]))
+    linked, _ = pii.messages(field, pii.Graph(x, no, np.array([[0, 1]]), no, np.zeros(2, np.int64)))
     assert linked[1, pii.LABELS.index("SSN")] > alone[1, pii.LABELS.index("SSN")]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Rufen Sie +34 612 345 678 an, 2024 nur mittags.", [("+34 612 345 678", "PHONE")]),
+        ("Call me at 555-123-4567 or +44 20 7946 0958.", [("555-123-4567", "PHONE"), ("+44 20 7946 0958", "PHONE")]),
+        ("Contact: maria.garcia@empresa.es; tel. +34 612 345 678", [("maria.garcia@empresa.es", "EMAIL"), ("+34 612 345 678", "PHONE")]),
+        ("card 4111-1111-1111-1111, 5500 0000 0000 0004", [("4111-1111-1111-1111", "CARD"), ("5500 0000 0000 0004", "CARD")]),
+        ("server 192.168.0.1:8080 up 24/7, 99.9% of 365 days", [("192.168.0.1", "IP")]),
+        ("IBAN: FR1420041010050500013M02606", [("FR1420041010050500013M02606", "IBAN")]),
+        ("in 1990, 1991, 1992, 1993 and 1994; years 1990 1991 1992 1993 1994 1995", []),
+        ("Rechnung 2023-11-05 Nr. 4711 vom 12.11.2023 über 1.234,56 EUR, ISBN 978-3-16-148410-0", []),
+        ("lat 48.8566, lon 2.3522, SHA 3fdf5a35c7b8d733, 0x7fff5fbff8c0, my id is 123456789", []),
+    ],
+)
+def test_pii_in_text_of_another_hand(field, text, want):
+    assert [(text[a:b], label) for a, b, label, _ in pii.entities(field, [text])[0]] == want
+
+
 def test_pii_rows(spark, odd, none):  # noqa: F811
     text = "Mail jo.do@ex.example.com, call +1 (504) 555-2652!! or 4225039295678253 4422503929567825 from 10.2.3.4; in 2024 v1.2.3 token 9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
     df = spark.createDataFrame([(1, text), (1, text), (None, "x 192.168.0.1"), (2, None), (3, "no one")], "doc_id bigint, text string")
@@ -351,7 +504,7 @@ def test_near_copies_and_passages_without_a_common_line_are_drawn_together(spark
             docs.append((len(docs), text))
         families.append(own)
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
-    assert sharding.links(df).count() == 0
+    assert sharding.links(df, content=False).count() == 0
     label = {x.doc_id: x.shard for x in sharding.sharded(df, shards=4).collect()}
     assert max(Counter(label.values()).values()) <= math.ceil(40 * 1.05)
     for kind in (0, 1):
@@ -361,10 +514,110 @@ def test_near_copies_and_passages_without_a_common_line_are_drawn_together(spark
 
 def test_bundled_links_stand_for_all(spark):
     edges = [(1, 0, 2), (1, 1, 2), (2, 0, 2), (2, 1, 2), (3, 0, 3), (3, 1, 3), (3, 2, 3)]
-    rows = sharding.bundled(spark.createDataFrame(edges, "h bigint, doc_id bigint, n bigint")).collect()
+    sums = [(1, None, 2, 7, 8), (2, None, 2, 7, 8), (3, None, 3, 7, 9)]
+    rows = sharding.bundled(spark.createDataFrame([(h, d, None, None, None) for h, d, _ in edges] + sums, "h bigint, doc_id bigint, n bigint, x bigint, y bigint")).collect()
     assert sorted((x.doc_id, x.n, x.m) for x in rows) == [(0, 2, 2), (0, 3, 1), (1, 2, 2), (1, 3, 1), (2, 3, 1)] and len({x.h for x in rows}) == 2
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_the_stream_of_links_equals_counting(size):
+    r = random.Random(size)
+    rows = sorted((r.randint(0, 25), r.randint(0, 9)) for _ in range(60))
+    batches = [pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows[i : i + size]], pa.int64()), pa.array([d for _, d in rows[i : i + size]], pa.int64()), pa.array([d for _, d in rows[i : i + size]], pa.int64())], ["h", "doc_id", "d"]) for i in range(0, 60, size)]
+    got = [tuple(x.values()) for b in sharding._shared(iter(batches)) for x in b.to_pylist()]
+    count = Counter(h for h, _ in rows)
+    assert sorted(x[:2] for x in got if x[2] is None) == [x for x in rows if count[x[0]] > 1]
+    assert {x[0]: x[2] for x in got if x[2] is not None} == {h: n for h, n in count.items() if n > 1}
+    sets = defaultdict(set)
+    for h, _, _, x, y in (x for x in got if x[2] is not None):
+        sets[x, y].add(tuple(sorted(Counter(d for g, d in rows if g == h).items())))
+    assert len(sets) <= sum(n > 1 for n in count.values())
+
+
+def slow_links(texts, least=sharding.LINE_BYTES):
+    """The sets of documents that share a line, or all words of some window's least gram (by the operator's hash of it)."""
+    lines = defaultdict(set)
+    for i, t in texts:
+        for x in t.split("\n"):
+            if len(x.encode()) >= least:
+                lines[x].add(i)
+    return {frozenset(v) for v in lines.values() if len(v) > 1}
+
+
+def test_links_equal_brute_force(spark):
+    r = random.Random(2)
+    lines = [" ".join(r.choice(["alpha", "beta", "gamma", "x"]) for _ in range(r.randint(1, 9))) for _ in range(12)]
+    texts = [(i, "\n".join(r.choice(lines) for _ in range(r.randint(0, 5)))) for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    for repeated in (True, False):
+        rows = sharding.links(df, content=False, repeated=repeated).collect()
+        sets, sums = defaultdict(set), {}
+        for x in rows:
+            if x.n is None:
+                sets[x.h].add(x.doc_id)
+            else:
+                sums[x.h] = x.n
+        assert {frozenset(v) for v in sets.values()} == slow_links(texts) and {h: len(v) for h, v in sets.items()} == sums
+    # a document whose rows repeat a line has it once
+    twice = df.union(df)
+    assert {x.h: x.n for x in sharding.links(twice, content=False).collect() if x.n} == sums
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of integers: (value, bytes)."""
+    import xxhash
+
+    h = 42
+    for v, size in values:
+        h = xxhash.xxh64(v.to_bytes(size, "little", signed=True), seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def slow_propagate(edges, label, shards, capacity, rounds):
+    label = dict(label)
+    members = defaultdict(list)
+    for h, d, n, m in edges:
+        members[h].append((d, n, m))
+    for k in range(rounds):
+        weight = defaultdict(lambda: [0.0] * shards)
+        for group in members.values():
+            for d, n, m in group:
+                for e, _, _ in group:
+                    if e != d:
+                        weight[d][label[e]] += m / (n - 1)
+        wishes = defaultdict(list)
+        for d, w in weight.items():
+            w = [round(v, 9) for v in w]
+            own = label[d]
+            to = min((s for s in range(shards) if s != own), key=lambda s: (-w[s], s))
+            gain = round(w[to] - w[own], 9)
+            if gain > 0 and spark_hash((d, 8), (k, 4)) % 2 == 0:
+                x = spark_hash((d, 8))
+                step = math.floor(math.log2(gain) * sharding._STEPS)
+                wishes[own, to].append((-step, (x % (1 << 64) >> 40) % sharding._TURNS, x, d))
+        sizes = [sum(v == s for v in label.values()) for s in range(shards)]
+        for (own, to), n in sharding.quotas({p: len(v) for p, v in wishes.items()}, sizes, capacity).items():
+            for *_, d in sorted(wishes[own, to])[:n]:
+                label[d] = to
+    return label
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_propagation_equals_the_rounds_in_a_loop(spark, seed):
+    r = random.Random(seed)
+    edges = []
+    for h in range(120):
+        family = r.randrange(6)
+        group = sorted({family + 6 * r.randrange(15) if r.random() < 0.9 else r.randrange(90) for _ in range(r.randint(2, 8))})
+        if len(group) > 1:
+            edges += [(h, d, len(group), 1 + h % 3) for d in group]
+    label = [(d, d * 4 // 90) for d in range(90)]
+    scratch = Scratch(spark, "t")
+    start = scratch.write(spark.createDataFrame(label, "doc_id bigint, shard int"))
+    got = {x.doc_id: x.shard for x in sharding.propagate(spark.createDataFrame(edges, "h bigint, doc_id bigint, n bigint, m int"), start, 4, 25, 5, scratch).collect()}
+    assert got == slow_propagate(edges, label, 4, 25, 5) and got != dict(label)
+
+
 def test_one_round_moves_to_the_heaviest_neighbour(spark):
     edges = spark.createDataFrame([(1, 0, 3), (1, 1, 3), (1, 2, 3), (2, 3, 2), (2, 4, 2)], "h bigint, doc_id bigint, n bigint")
     label = Scratch(spark, "t").write(spark.createDataFrame([(0, 1), (1, 1), (2, 0), (3, 0), (4, 0)], "doc_id bigint, shard int"))
