@@ -11,8 +11,8 @@ from ..functions.rounding import round_exact
 from .extraction import Layers
 
 SAMPLE, LEAST_RADIUS, DEFAULT_RADIUS = 100, 50.0, 500.0
-#: Side of the squares of the first, local search for the nearest, in drawing units.
-CELL = 64.0
+#: Sides of the squares of the local searches for the nearest, in drawing units, each for what the one before left.
+CELLS = (64.0, 512.0, 4096.0)
 
 
 def layer_statistics(t: Layers) -> DataFrame:
@@ -38,30 +38,38 @@ def anchor_points(t: Layers) -> DataFrame:
     return lines.unionByName(circles)
 
 
-def nearest(queries: DataFrame, refs: DataFrame, key: list[str], qx: str, qy: str, rx: str, ry: str, ord: str, cell: float = CELL) -> DataFrame:
+def nearest(queries: DataFrame, refs: DataFrame, key: list[str], qx: str, qy: str, rx: str, ry: str, ord: str, cells: tuple[float, ...] = CELLS, keep=None) -> DataFrame:
     """Each of ``queries`` (unique in drawing_id and ``key``) with the columns of its nearest reference and ``d``.
 
-    The exact nearest of the same drawing, the first in ``ord`` of equally near ones. First each query looks into the nine
-    cells around it: a hit within the cell size is the nearest of all. What finds none is compared with all references of
-    its drawing. Both are equi-joins, and both keep one row a query before and after the shuffle.
+    The exact nearest of the same drawing, the first in ``ord`` of equally near ones. Each query looks into the nine cells
+    around it: a hit within the cell size is the nearest of all. What finds none looks into larger cells, which hold few
+    references where small ones hold none; only what is further from all than the largest is compared with all of its
+    drawing. All are equi-joins, and keep one row a query before and after the shuffle. ``keep`` may store what each search
+    finds and leaves.
     """
+    keep = keep or (lambda df: df)
     ids = ["drawing_id", *key]
     cols = [c for c in refs.columns if c != "drawing_id"]
-    u, v = (lambda c: F.floor(F.col(c) / cell)), F.struct(*cols)
-    gridded = refs.select("drawing_id", u(rx).alias("_u"), u(ry).alias("_v"), v.alias("_r"))
-    around = F.explode(F.array(*(F.struct((u(qx) + i).alias("u"), (u(qy) + k).alias("v")) for i in (-1, 0, 1) for k in (-1, 0, 1))))
-    probe = queries.select(*ids, F.col(qx).alias("_x"), F.col(qy).alias("_y"), around.alias("_c")).select("*", F.col("_c.u").alias("_u"), F.col("_c.v").alias("_v"))
+    v = F.struct(*cols)
     square = (F.col("_x") - F.col(f"_r.{rx}")) * (F.col("_x") - F.col(f"_r.{rx}")) + (F.col("_y") - F.col(f"_r.{ry}")) * (F.col("_y") - F.col(f"_r.{ry}"))
     best = F.min_by("_r", F.struct("_d", F.col(f"_r.{ord}")))
-    local = probe.join(gridded, ["drawing_id", "_u", "_v"]).withColumn("_d", square).where(F.col("_d") <= cell * cell).groupBy(*ids).agg(best.alias("_r"), F.min("_d").alias("_d"))
-    rest = queries.select(*ids, F.col(qx).alias("_x"), F.col(qy).alias("_y")).join(local.select(*ids), ids, "left_anti")
+    rest, found = queries.select(*ids, F.col(qx).alias("_x"), F.col(qy).alias("_y")), []
+    for cell in cells:
+        at = lambda c: F.floor(F.col(c) / cell)  # noqa: B023, E731
+        gridded = refs.select("drawing_id", at(rx).alias("_u"), at(ry).alias("_v"), v.alias("_r"))
+        around = F.explode(F.array(*(F.struct((at("_x") + i).alias("u"), (at("_y") + k).alias("v")) for i in (-1, 0, 1) for k in (-1, 0, 1))))
+        probe = rest.select("*", around.alias("_c")).select("*", F.col("_c.u").alias("_u"), F.col("_c.v").alias("_v"))
+        found.append(keep(probe.join(gridded, ["drawing_id", "_u", "_v"]).withColumn("_d", square).where(F.col("_d") <= cell * cell).groupBy(*ids).agg(best.alias("_r"), F.min("_d").alias("_d"))))
+        rest = keep(rest.join(found[-1].select(*ids), ids, "left_anti"))
     far = rest.join(refs.select("drawing_id", v.alias("_r")), "drawing_id").withColumn("_d", square).groupBy(*ids).agg(best.alias("_r"), F.min("_d").alias("_d"))
-    return queries.join(local.unionByName(far), ids).select(*queries.columns, F.sqrt("_d").alias("d"), *(F.col(f"_r.{c}").alias(c) for c in cols))
+    for x in found:
+        far = far.unionByName(x)
+    return queries.join(far, ids).select(*queries.columns, F.sqrt("_d").alias("d"), *(F.col(f"_r.{c}").alias(c) for c in cols))
 
 
-def text_neighbours(t: Layers) -> DataFrame:
+def text_neighbours(t: Layers, keep=None) -> DataFrame:
     """Each text with its nearest anchor point; the base of the radius and of the anchors, computed once."""
-    return nearest(t.texts.select("drawing_id", "layer", "layer_ord", "text_ord", "tx", "ty", "text"), anchor_points(t), ["layer_ord", "text_ord"], "tx", "ty", "gx", "gy", "ord")
+    return nearest(t.texts.select("drawing_id", "layer", "layer_ord", "text_ord", "tx", "ty", "text"), anchor_points(t), ["layer_ord", "text_ord"], "tx", "ty", "gx", "gy", "ord", keep=keep)
 
 
 def anchor_radius(t: Layers, near: DataFrame) -> DataFrame:
@@ -96,7 +104,7 @@ def room_labels(texts: DataFrame) -> DataFrame:
     return rooms.select("drawing_id", F.row_number().over(Window.partitionBy("drawing_id").orderBy("layer_ord", "text_ord")).alias("room_ord"), F.col("text").alias("label"), F.col("tx").alias("x"), F.col("ty").alias("y"))
 
 
-def room_members(t: Layers, rooms: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+def room_members(t: Layers, rooms: DataFrame, blocks: DataFrame | None = None, keep=None) -> DataFrame:
     """(drawing_id, room_ord, layer_ord, kind_ord, item_ord, handle, type, layer): each entity with its nearest room label."""
     name = F.coalesce("handle", "id", F.lit("?")).alias("handle")
     row = lambda k, kind, i, x, y, h=name: ["drawing_id", "layer", "layer_ord", F.lit(k).alias("kind_ord"), F.col(i).alias("item_ord"), x.alias("px"), y.alias("py"), h, F.lit(kind).alias("type")]
@@ -108,5 +116,5 @@ def room_members(t: Layers, rooms: DataFrame, blocks: DataFrame | None = None) -
     if blocks is not None:
         rows = rows.unionByName(blocks.select(*row(3, "block", "block_ord", F.col("bx"), F.col("by"), F.coalesce("handle", F.lit("?")).alias("handle"))))
     refs = rooms.select("drawing_id", "room_ord", F.col("x").alias("rx"), F.col("y").alias("ry"))
-    found = nearest(rows, refs, ["layer_ord", "kind_ord", "item_ord"], "px", "py", "rx", "ry", "room_ord")
+    found = nearest(rows, refs, ["layer_ord", "kind_ord", "item_ord"], "px", "py", "rx", "ry", "room_ord", keep=keep)
     return found.select("drawing_id", "room_ord", "layer_ord", "kind_ord", "item_ord", "handle", "type", "layer")

@@ -29,12 +29,27 @@ def alignment_summary(segments: DataFrame) -> DataFrame:
     return segments.groupBy("drawing_id", "layer", "layer_ord").agg(*(F.count_if(a == k).alias(k) for k in ALIGNMENTS))
 
 
+#: Cells of a box at most; a larger box is covered by larger cells.
+CELLS = 16
+
+
 def contained(points: DataFrame, loops: DataFrame, x: str, y: str) -> DataFrame:
-    """Each of ``points`` with (loop_ord) of each loop that holds it: by boxes first, then by the parity of crossings.
+    """Each of ``points`` with (loop_ord) of each loop that holds it: by cells, then by boxes, then by the parity of crossings.
 
-    An equi-join on the drawing with a range condition on the loop's box; nested loops each claim a point.
+    Cells have sides of powers of two. A loop is entered in the cells that its box meets, of the size that makes these
+    ``CELLS`` at most; a point looks into one cell of each size that its drawing has loops of. So a point meets the loops near
+    it and not all of its drawing, nested loops each claim it, and rings join only where the box holds the point.
     """
     pad = 1e-6
-    ring = loops.select("drawing_id", "loop_ord", "min_x", "min_y", "max_x", "max_y", "ring")
-    j = points.join(ring, "drawing_id").where((F.col(x) >= F.col("min_x") - pad) & (F.col(x) <= F.col("max_x") + pad) & (F.col(y) >= F.col("min_y") - pad) & (F.col(y) <= F.col("max_y") + pad))
-    return j.where(crossings(F.col(x), F.col(y), F.col("ring")) % 2 == 1).select(*points.columns, "loop_ord")
+    box = loops.select("drawing_id", "loop_ord", (F.col("min_x") - pad).alias("x0"), (F.col("min_y") - pad).alias("y0"), (F.col("max_x") + pad).alias("x1"), (F.col("max_y") + pad).alias("y1"))
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    box = box.withColumn("level", F.ceil(F.log2(side * (2.0 / (CELLS**0.5)))).cast("int"))  # two cells of half a box, and one for where it lies
+    size = F.pow(F.lit(2.0), F.col("level"))
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
+    entered = box.withColumn("u", span("x0", "x1")).withColumn("v", span("y0", "y1"))
+    levels = F.broadcast(box.select("level").distinct())  # one row for each power of two among the sizes of loops: some dozens
+    keys = ["drawing_id", "level", "u", "v"]
+    probe = points.join(levels).withColumns({"u": F.floor(F.col(x) / size), "v": F.floor(F.col(y) / size)})
+    inside = (F.col(x) >= F.col("x0")) & (F.col(x) <= F.col("x1")) & (F.col(y) >= F.col("y0")) & (F.col(y) <= F.col("y1"))
+    held = probe.join(entered, keys).where(inside).select(*points.columns, "loop_ord")
+    return held.join(loops.select("drawing_id", "loop_ord", "ring"), ["drawing_id", "loop_ord"]).where(crossings(F.col(x), F.col(y), F.col("ring")) % 2 == 1).select(*points.columns, "loop_ord")

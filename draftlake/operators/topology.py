@@ -18,6 +18,7 @@ class Topology(NamedTuple):
     nodes: DataFrame
     point_nodes: DataFrame
     edges: DataFrame
+    links: DataFrame
     loops: DataFrame
     truncated: DataFrame
 
@@ -49,16 +50,18 @@ def crowded(first: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     return cells.join(probe, ["drawing_id", "u", "v"]).where(other & near).select("drawing_id").distinct()
 
 
-def joints(segments: DataFrame, tolerance: float = TOLERANCE, method: str = "greedy") -> tuple[DataFrame, DataFrame]:
+def joints(segments: DataFrame, tolerance: float = TOLERANCE, method: str = "greedy", keep=None) -> tuple[DataFrame, DataFrame]:
     """(nodes, point_nodes): (drawing_id, node_id, x, y) and (drawing_id, kx, ky, node_id).
 
     In a drawing without two different points within the tolerance each point is a joint: these are grouped and numbered by
     a window in the JVM. The others go through a kernel, a drawing at a time: the greedy rule depends on the order of all
-    points before. ``method`` "anchor" keeps joints at their first point.
+    points before. ``method`` "anchor" keeps joints at their first point. ``keep`` may store the points and the joints, which
+    are read several times.
     """
+    keep = keep or (lambda df: df)
     kind = segments.schema["drawing_id"].dataType.simpleString()
-    first = _first_points(endpoints(segments))
-    dense = crowded(first, tolerance)
+    first = keep(_first_points(endpoints(segments)))
+    dense = keep(crowded(first, tolerance))
     number = F.row_number().over(Window.partitionBy("drawing_id").orderBy("at")) - 1
     plain = first.join(dense, "drawing_id", "left_anti").select("drawing_id", "kx", "ky", number.alias("node_id"), round_exact(F.col("x"), 2).alias("x"), round_exact(F.col("y"), 2).alias("y"))
     group = kernels.cluster if method == "greedy" else kernels.anchored
@@ -71,7 +74,7 @@ def joints(segments: DataFrame, tolerance: float = TOLERANCE, method: str = "gre
     # a point that was met before changes nothing, so that the kernel sees first appearances only
     walk = first.join(dense, "drawing_id", "left_semi").select("drawing_id", F.col("at.layer_ord").alias("a"), F.col("at.line_ord").alias("b"), F.col("at.e").alias("c"), "x", "y")
     merged = walk.groupBy("drawing_id").applyInPandas(run, f"drawing_id {kind}, kx double, ky double, node_id int, x double, y double")
-    both = plain.unionByName(merged)
+    both = keep(plain.unionByName(merged))
     return both.select("drawing_id", "node_id", "x", "y").distinct(), both.select("drawing_id", (F.col("kx") + 0.0).alias("kx"), (F.col("ky") + 0.0).alias("ky"), "node_id")
 
 
@@ -169,8 +172,8 @@ def loop_boundary_layers(loops: DataFrame, edges: DataFrame) -> DataFrame:
 def analyse(segments: DataFrame, tolerance: float = TOLERANCE, keep=None, **bounds) -> Topology:
     """All of pass 2; ``keep`` may store a table that several later steps read."""
     keep = keep or (lambda df: df)
-    nodes, points = joints(segments, tolerance)
-    nodes = keep(nodes)
+    nodes, points = joints(segments, tolerance, keep=keep)
     edges = keep(graph_edges(segments, points))
-    loops, cut = detect_loops(adjacency(edges), keep=keep, **bounds)
-    return Topology(nodes, points, edges, keep(loop_metadata(loops, nodes)), cut)
+    links = keep(adjacency(edges))
+    loops, cut = detect_loops(links, keep=keep, **bounds)
+    return Topology(nodes, points, edges, links, keep(loop_metadata(loops, nodes)), cut)

@@ -59,27 +59,28 @@ class Analysis(NamedTuple):
 def analyse_tables(t: Layers, metadata: DataFrame, tolerance: float = topology.TOLERANCE, radius: float | None = None, keep: Keep | None = None, **bounds) -> Analysis:
     """Passes 2 to 5 over tables of pass 1; ids come before rooms, whose members carry them.
 
-    ``keep`` stores what several results are made of (``plans.store.kept``), so that it is computed once; without it all stays lazy.
+    ``keep`` stores what several results are made of, so that it is computed once: by default ``plans.store.kept``. With a
+    function that returns its argument all stays lazy, but the plan multiplies with each reuse.
     """
-    keep = keep or (lambda df: df)
+    keep = keep or kept
     t = Layers(*map(keep, payload.assign_ids(t)))
     top = topology.analyse(t.segments, tolerance, keep, **bounds)
-    near = keep(semantics.text_neighbours(t))
+    near = keep(semantics.text_neighbours(t, keep))
     reach = keep(semantics.anchor_radius(t, near) if radius is None else t.layers.select("drawing_id").distinct().withColumn("radius", F.lit(float(radius))))
     rooms = keep(semantics.room_labels(t.texts))
     loops = payload.size_classes(payload.loop_ids(top.loops))
     return Analysis(
         metadata=keep(metadata), layers=t.layers, segments=t.segments, circles=t.circles, texts=t.texts, nodes=top.nodes, edges=top.edges,
-        degrees=topology.degree_distribution(top.nodes, topology.adjacency(top.edges)), loops=loops, truncated=top.truncated,
+        degrees=topology.degree_distribution(top.nodes, top.links), loops=loops, truncated=top.truncated,
         texts_in=spatial.contained(t.texts, loops, "tx", "ty"), symbols_in=spatial.contained(t.circles, loops, "cx", "cy"),
         boxes=spatial.layer_boxes(t), alignments=spatial.alignment_summary(t.segments), statistics=keep(semantics.layer_statistics(t)),
-        anchors=semantics.text_anchors(near, reach), radius=reach, rooms=rooms, room_members=semantics.room_members(t, rooms),
+        anchors=semantics.text_anchors(near, reach), radius=reach, rooms=rooms, room_members=semantics.room_members(t, rooms, keep=keep),
     )
 
 
 def analyse(entities: DataFrame, bounds: DataFrame | None = None, keep: Keep | None = None, **params) -> Analysis:
     """All five passes over entities; ``bounds`` overrides the computed ones. A drawing without any extent has no rows."""
-    keep = keep or (lambda df: df)
+    keep = keep or kept
     norm = keep(extraction.normalisation(extraction.bounds(entities) if bounds is None else bounds))
     t = Layers(*map(keep, extraction.extract(entities, norm, keep)))
     return analyse_tables(t, payload.metadata(norm, extraction.drawing_types(t)), keep=keep, **params)

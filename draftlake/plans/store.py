@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset, as in tests."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset on one machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="draftlake-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder; its lineage ends there."""
+    """``df`` computed once and written to the shared folder; its lineage ends there.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` the files go when the driver no longer refers to the table.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))

@@ -41,7 +41,8 @@ def _norm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    return E.normalised(E.primitives(X.entities(spark, d)), _norm(spark, d))
+    entities = X.entities(spark, d)
+    return E.normalised(E.primitives(entities), E.normalisation(E.bounds(entities)))
 
 
 def _sheet_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -107,23 +108,23 @@ def metadata(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_nodes(spark: SparkSession, d: str) -> DataFrame:
-    nodes, _ = topology.joints(X.tables(spark, d).segments)
+    nodes, _ = topology.joints(X.tables(spark, d).segments, keep=kept)
     return big(nodes)
 
 
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    s = X.tables(spark, d).segments
-    return big(topology.graph_edges(s, topology.joints(s)[1]))
+    s = kept(X.tables(spark, d).segments)
+    return big(topology.graph_edges(s, topology.joints(s, keep=kept)[1]))
 
 
 def degree_distribution(spark: SparkSession, d: str) -> DataFrame:
-    s = X.tables(spark, d).segments
-    nodes, points = topology.joints(s)
+    s = kept(X.tables(spark, d).segments)
+    nodes, points = topology.joints(s, keep=kept)
     return big(topology.degree_distribution(nodes, topology.adjacency(topology.graph_edges(s, points))))
 
 
 def _lattice_loops(spark: SparkSession, d: str) -> topology.Topology:
-    return topology.analyse(X.lattice(spark, d))
+    return topology.analyse(kept(X.lattice(spark, d)), keep=kept)
 
 
 def detect_loops(spark: SparkSession, d: str) -> DataFrame:
@@ -182,8 +183,8 @@ def layer_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _anchors(spark: SparkSession, d: str) -> tuple:
-    t = X.tables(spark, d)
-    near = semantics.text_neighbours(t)
+    t = E.Layers(*map(kept, X.tables(spark, d)))
+    near = kept(semantics.text_neighbours(t, kept))
     radius = semantics.anchor_radius(t, near)
     return t, radius, semantics.text_anchors(near, radius)
 
@@ -206,8 +207,8 @@ def room_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def room_assignment(spark: SparkSession, d: str) -> DataFrame:
-    t = payload.assign_ids(X.tables(spark, d))
-    return big(semantics.room_members(t, semantics.room_labels(t.texts)).drop("kind_ord"))
+    t = E.Layers(*map(kept, payload.assign_ids(X.tables(spark, d))))
+    return big(semantics.room_members(t, kept(semantics.room_labels(t.texts)), keep=kept).drop("kind_ord"))
 
 
 # pass 5

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.extraction import Layers
+from ..plans.store import kept
 
 DRAWINGS = 97
 SALES = "lineitem|orders|customer|part|supplier|nation|region"
@@ -78,8 +79,8 @@ LAYERS = (
 )
 
 
-def _table(raw: str, name: str) -> str:
-    return f"SELECT r.*, l.layer_ord, CAST(row_number() OVER (PARTITION BY r.drawing_id, r.layer ORDER BY r.seq) AS INT) AS {name}_ord FROM ({raw}) r JOIN ({LAYERS}) l ON l.drawing_id = r.drawing_id AND l.layer = r.layer"
+def _table(raw: str, name: str, layers: str = f"({LAYERS})") -> str:
+    return f"SELECT r.*, l.layer_ord, CAST(row_number() OVER (PARTITION BY r.drawing_id, r.layer ORDER BY r.seq) AS INT) AS {name}_ord FROM ({raw}) r JOIN {layers} l ON l.drawing_id = r.drawing_id AND l.layer = r.layer"
 
 
 SEGMENTS, CIRCLES, TEXTS = _table(_RAW_SEGMENTS, "line"), _table(_RAW_CIRCLES, "circle"), _table(_RAW_TEXTS, "text")
@@ -106,7 +107,7 @@ def tables_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``FLAT`` and ``MEMBERS`` in the form of the entity table."""
+    """``FLAT`` and ``MEMBERS`` in the form of the entity table, made once."""
     flat = tables_sql(spark, sf_dir, FLAT)
     pts = F.slice(F.array(*(F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in range(1, 5))), F.lit(1), F.col("npts").cast("int"))
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
@@ -116,13 +117,16 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = tables_sql(spark, sf_dir, MEMBERS)
     inner_pts = F.slice(F.array(*(F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2))), F.lit(1), F.col("npts").cast("int"))
     inner = members.withColumn("layer", F.lit("0")).select("drawing_id", F.col("seq").cast("bigint").alias("seq"), "dxftype", "layer", inner_pts.alias("pts"), "radius", F.col("a1").alias("start_angle"), F.col("a2").alias("end_angle"), "text", none("string", "block_name"), none("double", "xscale"), "block", none("string", "handle"), *tail)
-    return model.unionByName(inner)
+    return kept(model.unionByName(inner))
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Layers:
-    none = F.lit(None).cast("string")
-    s, c, t = (tables_sql(spark, sf_dir, q).drop("seq").withColumn("id", none) for q in (SEGMENTS, CIRCLES, TEXTS))
-    return Layers(tables_sql(spark, sf_dir, LAYERS), s.withColumn("rounding", F.lit(1)), c.withColumn("angles", F.lit(None).cast("array<double>")), t)
+    """The tables of pass 1; the layers, which all of them are joined with, are made once."""
+    none, view = F.lit(None).cast("string"), "draftlake_fixture_layers"
+    layers = kept(tables_sql(spark, sf_dir, LAYERS))
+    layers.createOrReplaceTempView(view)
+    s, c, t = (tables_sql(spark, sf_dir, _table(raw, name, view)).drop("seq").withColumn("id", none) for raw, name in ((_RAW_SEGMENTS, "line"), (_RAW_CIRCLES, "circle"), (_RAW_TEXTS, "text")))
+    return Layers(layers, s.withColumn("rounding", F.lit(1)), c.withColumn("angles", F.lit(None).cast("array<double>")), t)
 
 
 def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
