@@ -1 +1,11 @@
-"""Collection-scale analysis of 2-D technical drawings on Spark."""
+"""Collection-scale analysis of 2-D technical drawings on Spark.
+
+``analyse_files(spark, path)`` runs all passes over the drawings of a path or glob; ``analyse_file(path)`` returns one
+drawing's results as a dictionary and its report as Markdown.
+"""
+
+from .plans.analysis import Analysis, analyse, analyse_path as analyse_files
+from .plans.documents import analyse_file, write_documents
+from .sources.dxf import read_dxf
+
+__all__ = ["Analysis", "analyse", "analyse_file", "analyse_files", "read_dxf", "write_documents"]

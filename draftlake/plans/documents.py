@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .analysis import Analysis
+from .analysis import Analysis, analyse_path
 
 #: What a layer holds in a document.
 ITEMS = "lines circles_arcs text_annotations".split()
@@ -120,22 +121,55 @@ def _plain(r: dict) -> dict:
     return out
 
 
-def write_documents(a: Analysis, beside: bool = True, folder: str | None = None) -> None:
-    """``name.json`` and ``name.md`` for each drawing, beside the file or in a folder; written by the executors.
+def place(path: str) -> tuple[str, str]:
+    """(scheme and host of a store, '' for files; path in it) of a path or URI."""
+    m = re.match(r"([a-zA-Z][a-zA-Z0-9+.\-]*):(//[^/]*)?(/.*)$", path)
+    if not m:
+        return "", path
+    scheme, host, rest = m.groups()
+    return ("", rest) if scheme == "file" else (f"{scheme}:{host or '//'}", rest)
 
-    A file of another name is replaced as a whole, so that a task that runs again leaves the same result.
+
+def write_documents(a: Analysis, folder: str | None = None) -> list[str]:
+    """``name.json`` and ``name.md`` for each drawing, beside its file or in a folder; their names, in order.
+
+    The executors write them, to a folder that they share or to a store that pyarrow's file systems know by the scheme (s3,
+    gs, abfs, hdfs). A file is written under another name and then moved, so that a task that runs again leaves the same result.
     """
     both = json_documents(a).join(a.markdown(), "drawing_id")
 
-    def put(rows: Iterator) -> None:
-        for r in rows:
-            path = r["drawing_id"].removeprefix("file:")
-            path = "/" + path.lstrip("/") if r["drawing_id"].startswith("file:") else path
-            stem = os.path.splitext(path if beside and folder is None else os.path.join(folder or ".", os.path.basename(path)))[0]
-            for suffix, text in ((".json", r["json"]), (".md", r["markdown"])):
-                part = f"{stem}{suffix}.part"
-                with open(part, "w", encoding="utf-8") as f:
-                    f.write(text)
-                os.replace(part, stem + suffix)
-
-    both.foreachPartition(put)
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for f in frames:
+            names = []
+            for r in f.itertuples(index=False):
+                name = str(r.drawing_id)
+                base = name if folder is None else f"{folder.rstrip('/')}/{name.rsplit('/', 1)[-1]}"
+                store, path = place(base)
+                system = fs.FileSystem.from_uri(f"{store}{path}") if store else (fs.LocalFileSystem(), path)
+                stem = os.path.splitext(system[1])[0]
+                for suffix, text in ((".json", r.json), (".md", r.markdown)):
+                    with system[0].open_output_stream(f"{stem}{suffix}.part") as out:
+                        out.write(text.encode("utf-8"))
+                    system[0].move(f"{stem}{suffix}.part", stem + suffix)
+                    names.append(f"{store}{stem}{suffix}" if not store else f"{os.path.splitext(base)[0]}{suffix}")
+            yield pd.DataFrame({"name": names})
+
+    return sorted(r["name"] for r in both.mapInPandas(put, "name string").collect())  # two names a drawing
+
+
+def analyse_file(path: str, spark: SparkSession | None = None, **params) -> tuple[dict, str]:
+    """The results of one drawing as a dictionary, and its report as Markdown; ValueError if it can't be read or has no extent."""
+    spark = spark or SparkSession.builder.appName("draftlake").getOrCreate()
+    try:
+        a = analyse_path(spark, path, **params)
+        found = json_documents(a).join(a.markdown(), "drawing_id").head(2)
+    except Exception as e:
+        text = str(e)
+        if "PATH_NOT_FOUND" in text or "NotDxf" in text or "corrupted" in text:
+            raise ValueError(f"Not a drawing that can be read: {path}") from e
+        raise
+    if len(found) != 1:
+        raise ValueError(f"{'No bounding box: the drawing is empty' if not found else 'More than one drawing'}: {path}")
+    return json.loads(found[0]["json"]), found[0]["markdown"]

@@ -1,8 +1,9 @@
-"""Drawing exchange files (DXF, text form) as a table of entities."""
+"""Drawing exchange files (DXF, in text or binary form) as a table of entities."""
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,19 +23,21 @@ class NotDxf(ValueError):
     pass
 
 
-def decode(data: bytes) -> str:
-    """The text of a file, by its byte order mark, version or code page."""
-    if data.startswith(b"AutoCAD Binary DXF"):
-        raise NotDxf("Invalid or corrupted DXF file: the binary form is not read")
-    if data.startswith(b"\xef\xbb\xbf"):
-        return data[3:].decode("utf-8", "replace")
-    head = data[:8192].decode("latin-1")
+def codec(head: str) -> str:
+    """The encoding of a file, by the version and code page that its head tells."""
     page = re.search(r"\$DWGCODEPAGE\s+3\s+(\S+)", head)
     version = re.search(r"\$ACADVER\s+1\s+AC(\d+)", head)
     if version and int(version.group(1)) >= 1021:
-        return data.decode("utf-8", "replace")
+        return "utf-8"
     name = page.group(1).upper() if page else "ANSI_1252"
-    return data.decode(_ENCODINGS.get(name, name.replace("ANSI_", "cp")) if re.fullmatch(r"ANSI_\d+|DOS\d+", name) else "cp1252", "replace")
+    return _ENCODINGS.get(name, name.replace("ANSI_", "cp")) if re.fullmatch(r"ANSI_\d+|DOS\d+", name) else "cp1252"
+
+
+def decode(data: bytes) -> str:
+    """The text of a file, by its byte order mark, version or code page."""
+    if data.startswith(b"\xef\xbb\xbf"):
+        return data[3:].decode("utf-8", "replace")
+    return data.decode(codec(data[:8192].decode("latin-1")), "replace")
 
 
 def tags(text: str) -> Iterator[tuple[int, str]]:
@@ -49,6 +52,48 @@ def tags(text: str) -> Iterator[tuple[int, str]]:
             yield code, lines[k + 1]
 
 
+BINARY = b"AutoCAD Binary DXF\r\n\x1a\x00"
+#: Ranges of group codes and the form of their values in binary files; all others are strings.
+_FORMS = [
+    (10, 59, "<d"), (60, 79, "<h"), (90, 99, "<i"), (110, 149, "<d"), (160, 169, "<q"), (170, 179, "<h"), (210, 239, "<d"), (270, 289, "<h"), (290, 299, "<B"),
+    (370, 389, "<h"), (400, 409, "<h"), (420, 429, "<i"), (440, 449, "<i"), (450, 459, "<i"), (460, 469, "<d"), (1010, 1059, "<d"), (1060, 1070, "<h"), (1071, 1071, "<i"),
+]
+
+
+def binary_tags(data: bytes) -> Iterator[tuple[int, str]]:
+    """(group code, value as text) pairs of the binary form; group codes have two bytes, in files before release 13 one."""
+    at = len(BINARY)
+    wide = data[at + 1 : at + 2] == b"\0"  # the first tag is 0 SECTION
+    raw: list[tuple[int, str | bytes]] = []
+    try:
+        while at < len(data):
+            if wide:
+                (code,), at = struct.unpack_from("<H", data, at), at + 2
+            else:
+                code, at = data[at], at + 1
+                if code == 255:
+                    (code,), at = struct.unpack_from("<H", data, at), at + 2
+            form = next((f for a, b, f in _FORMS if a <= code <= b), None)
+            if form:
+                raw.append((code, repr(struct.unpack_from(form, data, at)[0])))
+                at += struct.calcsize(form)
+            elif 310 <= code <= 319 or code == 1004:
+                size = data[at]
+                raw.append((code, data[at + 1 : at + 1 + size].hex()))
+                at += 1 + size
+            else:
+                end = data.index(b"\0", at)
+                raw.append((code, data[at:end]))
+                at = end + 1
+    except (ValueError, IndexError, struct.error):
+        raise NotDxf("Invalid or corrupted DXF file: the binary form breaks off") from None
+    told = [f"{v.decode('latin-1')}\n{c}\n{x.decode('latin-1')}\n" for (k, v), (c, x) in zip(raw[:400], raw[1:401]) if k == 9 and isinstance(x, bytes)]
+    name = codec("".join(told))
+    for code, value in raw:
+        if code != 999:
+            yield code, value if isinstance(value, str) else value.decode(name, "replace")
+
+
 def _entity(kind: str, found: list[tuple[int, str]]) -> dict:
     """The columns of one entity; what can't be read is told in ``error``."""
     out: dict = {"dxftype": kind, "layer": "0", "paperspace": 0}
@@ -138,7 +183,7 @@ def parse(data: bytes) -> Iterator[dict]:
             seq += 1
             yield _entity(kind, found) | {"seq": seq, "block": block if section == "BLOCKS" else None, "block_x": base[0] if section == "BLOCKS" else None, "block_y": base[1] if section == "BLOCKS" else None}
 
-    for code, value in tags(decode(data)):
+    for code, value in binary_tags(data) if data.startswith(BINARY) else tags(decode(data)):
         if code == 0:
             yield from close()
             kind, found = value.strip(), []

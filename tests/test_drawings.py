@@ -421,6 +421,54 @@ def test_data_source(spark, tmp_path):
     assert got.columns == read_dxf(spark, str(tmp_path / "room.dxf")).columns and got.where("dxftype = 'LINE'").count() == 6
 
 
+def as_binary(text, wide=True):
+    """The binary form of a file."""
+    import struct
+
+    from draftlake.sources.dxf import _FORMS, BINARY
+
+    out, lines = [BINARY], text.splitlines()
+    for code, value in zip(map(int, lines[::2]), lines[1::2]):
+        out.append(struct.pack("<H", code) if wide else bytes([code]) if code < 255 else b"\xff" + struct.pack("<H", code))
+        form = next((f for a, b, f in _FORMS if a <= code <= b), None)
+        out.append(struct.pack(form, float(value) if form == "<d" else int(value)) if form else value.encode("cp1252") + b"\0")
+    return b"".join(out)
+
+
+@pytest.mark.parametrize("wide", [True, False])
+def test_binary_form(wide):
+    head = "0\nSECTION\n2\nHEADER\n9\n$ACADVER\n1\nAC1015\n9\n$DWGCODEPAGE\n3\nANSI_1252\n0\nENDSEC\n"
+    plain = head + ROOM.replace("OFFICE", "BÜRO")
+    assert list(parse(as_binary(plain, wide))) == list(parse(plain.encode("cp1252")))
+    with pytest.raises(NotDxf):
+        list(parse(as_binary(plain, wide)[:-30]))
+
+
+def test_one_drawing_as_a_dictionary(spark, tmp_path):
+    import draftlake
+
+    (tmp_path / "room.dxf").write_text(ROOM)
+    result, report = draftlake.analyse_file(str(tmp_path / "room.dxf"), spark)
+    assert report == MARKDOWN and result["metadata"]["filename"] == "room.dxf"
+    (tmp_path / "bad.dxf").write_text("no drawing")
+    (tmp_path / "empty.dxf").write_text(dxf(""))
+    for name in ("bad.dxf", "empty.dxf", "absent.dxf"):
+        with pytest.raises(ValueError):
+            draftlake.analyse_file(str(tmp_path / name), spark)
+
+
+def test_documents_go_to_a_folder(spark, tmp_path):
+    from draftlake.plans.documents import place
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    (tmp_path / "in/room.dxf").write_text(ROOM)
+    names = write_documents(analyse_path(spark, str(tmp_path / "in/room.dxf")), folder=f"file://{tmp_path}/out")
+    assert [n.rsplit("/", 1)[1] for n in names] == ["room.json", "room.md"] and (tmp_path / "out/room.md").read_text() == MARKDOWN
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["room.json", "room.md"]
+    assert place("s3://bucket/a/b.dxf") == ("s3://bucket", "/a/b.dxf") and place("file:/a/b.dxf") == ("", "/a/b.dxf") and place("/a/b") == ("", "/a/b") and place("hdfs:/a/b") == ("hdfs://", "/a/b")
+
+
 def test_many_drawings_at_once(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"d{k}.dxf").write_text(ROOM if k else dxf(line("0", 0, 0, 100, 0)))
@@ -453,7 +501,7 @@ def test_stream(spark, tmp_path):
     read_dxf(spark, str(tmp_path / "files/*.dxf")).write.parquet(str(tmp_path / "in/a"))
     seen = []
     q = watch(spark, str(tmp_path / "in/*"), ENTITIES, str(tmp_path / "check"), lambda a, n: seen.append(a.statistics.count()))
-    q.awaitTermination(120)
+    assert q.awaitTermination(300), "the stream is still at its first batch"
     assert sum(seen) == 4
 
 
