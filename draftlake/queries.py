@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.classify import DISCIPLINES, FURNITURE, shape
 from .functions.rounding import sql_round
+from .oracle_report import MARKDOWN, REPORT
 from .operators import extraction as E
 from .operators import furniture, payload, semantics, spatial, topology
 from .plans.analysis import analyse, analyse_tables
@@ -249,22 +250,21 @@ def furniture_by_shape(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _plans(spark: SparkSession, d: str):
-    """Whole analyses of the lattices, with the texts and circles of drawings of the same number."""
+    """Whole analyses of the rectangles, with the texts and circles of drawings of the same number."""
     t = X.tables(spark, d)
-    s = X.lattice(spark, d)
+    s = kept(X.tables_sql(spark, d, X.SIDES))
     small = s.select("drawing_id").distinct()
-    cut = lambda df: df.where("drawing_id % 97 < 25").join(small, "drawing_id", "left_semi")
+    cut = lambda df, mark: kept(df.join(small, "drawing_id", "left_semi").withColumns({"layer_ord": F.col("layer_ord") + 10, "layer": F.concat(F.lit(mark), "layer"), "drawing_id": F.col("drawing_id").cast("int")}))
     lines = s.withColumns({"handle": F.lit(None).cast("string"), "id": F.lit(None).cast("string")})
-    circles, texts = cut(t.circles).withColumn("layer_ord", F.col("layer_ord") + 10), cut(t.texts).withColumn("layer_ord", F.col("layer_ord") + 10)
-    circles, texts = circles.withColumn("layer", F.concat(F.lit("C-"), "layer")), texts.withColumn("layer", F.concat(F.lit("T-"), "layer"))
+    circles, texts = cut(t.circles, "C-"), cut(t.texts, "T-")
     layers = lines.select("drawing_id", "layer", "layer_ord").union(circles.select("drawing_id", "layer", "layer_ord")).union(texts.select("drawing_id", "layer", "layer_ord")).distinct()
     tables = E.Layers(layers, lines, circles, texts)
-    norm = E.normalisation(small.select("drawing_id", F.lit(0.0).alias("min_x"), F.lit(0.0).alias("min_y"), F.lit(420.0).alias("max_x"), F.lit(297.0).alias("max_y")))
+    norm = E.normalisation(X.tables_sql(spark, d, X.EXTENTS))
     return analyse_tables(tables, payload.metadata(norm, E.drawing_types(tables)), keep=kept)
 
 
 def markdown_payload(spark: SparkSession, d: str) -> DataFrame:
-    return _plans(spark, d).markdown()
+    return _plans(spark, d).markdown().select(F.col("drawing_id").cast("bigint"), "markdown")
 
 
 def json_payload(spark: SparkSession, d: str) -> DataFrame:
@@ -395,6 +395,29 @@ _STATS = (
 )
 
 
+_META = (
+        f"SELECT drawing_id, CAST(drawing_id AS VARCHAR) AS filename, 'generic' AS drawing_type, {_by('rounding', 'width')} AS width, {_by('rounding', 'height')} AS height, CASE WHEN scale_factor > 1 THEN 'mm (paper-space)' ELSE 'drawing units' END AS units, "
+        f"concat('translate_to_origin', CASE WHEN scale_factor > 1 THEN concat(' + scale÷', CAST(CAST({sql_round('scale_factor', 0)} AS BIGINT) AS VARCHAR)) ELSE '' END) AS transform, {sql_round('ox', 2)} AS offset_x, {sql_round('oy', 2)} AS offset_y, scale_factor, rounding, "
+        f"concat('Coordinates translated to center at (0,0)', CASE WHEN scale_factor > 1 THEN concat(' and divided by ', CAST(CAST({sql_round('scale_factor', 0)} AS BIGINT) AS VARCHAR), ' to paper-space mm') ELSE '' END, '. Rounded to ', CAST(rounding AS VARCHAR), ' decimal places.') AS description, paper_size, paper_scale, expected_w, expected_h, fit_error FROM (SELECT *, -center_x AS ox, -center_y AS oy FROM norm) q"
+)
+_TYPES = "SELECT t.drawing_id, coalesce(max(CASE WHEN k = 1 AND n >= CAST('0.3' AS DOUBLE) * total THEN kind END), 'generic') AS drawing_type FROM totals t LEFT JOIN ranked r ON r.drawing_id = t.drawing_id GROUP BY t.drawing_id"
+_TYPED = {
+    "every": _ALL, "totals": "SELECT drawing_id, count(*) AS total FROM every GROUP BY drawing_id",
+    "ranked": f"SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY n DESC, first) AS k FROM (SELECT drawing_id, {_DISCIPLINE} AS kind, count(*) AS n, min(layer_ord) AS first FROM every GROUP BY ALL) g WHERE kind IS NOT NULL",
+}
+_BOXES = "SELECT drawing_id, layer, CAST(layer_ord AS BIGINT) AS layer_ord, min(x0) AS min_x, min(y0) AS min_y, max(x1) AS max_x, max(y1) AS max_y FROM (SELECT drawing_id, layer, layer_ord, least(sx, ex) AS x0, least(sy, ey) AS y0, greatest(sx, ex) AS x1, greatest(sy, ey) AS y1 FROM segments UNION ALL SELECT drawing_id, layer, layer_ord, cx - radius, cy - radius, cx + radius, cy + radius FROM circles UNION ALL SELECT drawing_id, layer, layer_ord, tx, ty, tx, ty FROM texts) u GROUP BY ALL"
+_CUT = lambda t, o, mark: f"SELECT *, {_ID.format(mark)} AS id FROM (SELECT t.* REPLACE (concat('{mark}-', t.layer) AS layer, t.layer_ord + 10 AS layer_ord), row_number() OVER (PARTITION BY t.drawing_id ORDER BY t.layer_ord, t.{o}) AS n FROM ({_PARTS[t]}) t WHERE t.drawing_id IN (SELECT n_nationkey FROM nation)) q"
+_DRAWN = "(SELECT DISTINCT drawing_id, layer, layer_ord FROM segments UNION SELECT DISTINCT drawing_id, layer, layer_ord FROM circles UNION SELECT DISTINCT drawing_id, layer, layer_ord FROM texts)"
+#: The drawings of rectangles with all that their reports tell; loops, joints and edges follow from how they are made.
+_PLANNED = {
+    "rectangles": X.RECTANGLES, "segments": f"SELECT *, {_ID.format('L')} AS id FROM (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY layer_ord, line_ord) AS n FROM ({X.SIDES}) s) q",
+    "circles": _CUT("circles", "circle_ord", "C"), "texts": _CUT("texts", "text_ord", "T"), "layers": f"SELECT * FROM {_DRAWN} u", **_TYPED, "types": _TYPES,
+    "bounds": X.EXTENTS, "papers": _PAPERS, "sized": _SIZED, "fit": _FIT.format("drawing_id", "sized"), "scaled": _SCALED, "norm": _NORM, "meta0": _META, "meta": "SELECT q.* REPLACE (t.drawing_type AS drawing_type) FROM meta0 q JOIN types t USING (drawing_id)",
+    "stats": _STATS, "boxes": _BOXES, "graph": "SELECT drawing_id, 4 * count(*) AS nodes, 4 * count(*) AS edges, concat('deg-2: ', 4 * count(*)) AS degrees FROM rectangles GROUP BY drawing_id",
+    "loops": f"SELECT *, area >= greatest({D(0.01)} * max(area) OVER (PARTITION BY drawing_id), {D(1)}) AS large FROM (SELECT drawing_id, row_number() OVER (PARTITION BY drawing_id ORDER BY w * h DESC, i) AS loop_ord, 4 AS num_segments, CAST(w * h AS DOUBLE) AS area, x + w / {D(2)} AS cx, y + h / {D(2)} AS cy, CAST(x AS DOUBLE) AS min_x, CAST(y AS DOUBLE) AS min_y, CAST(x + w AS DOUBLE) AS max_x, CAST(y + h AS DOUBLE) AS max_y FROM rectangles) r",
+}
+
+
 def _within(points: str, ordinal: str, x: str, y: str, keep: str) -> str:
     sides = " UNION ALL ".join(f"SELECT drawing_id, loop_ord, x{i} AS xi, y{i} AS yi, x{j} AS xj, y{j} AS yj FROM rings" for i, j in ((1, 4), (2, 1), (3, 2), (4, 3)))
     return _sql(
@@ -431,16 +454,9 @@ ORACLE: dict[str, str] = {
         stats="SELECT drawing_id, band, count(*) AS n, min(sx) AS x0, avg(gap) AS mean, stddev_pop(gap) AS std FROM gaps GROUP BY ALL",
         moved=f"SELECT g.*, x0 + i * mean AS nx, coalesce(n >= 3 AND mean >= 1 AND std / mean < {D(0.3)} AND std > {D(0.5)}, false) AS even FROM gaps g JOIN stats s ON s.drawing_id = g.drawing_id AND s.band = g.band",
     ),
-    "metadata": _sql(
-        f"SELECT drawing_id, CAST(drawing_id AS VARCHAR) AS filename, 'generic' AS drawing_type, {_by('rounding', 'width')} AS width, {_by('rounding', 'height')} AS height, CASE WHEN scale_factor > 1 THEN 'mm (paper-space)' ELSE 'drawing units' END AS units, "
-        f"concat('translate_to_origin', CASE WHEN scale_factor > 1 THEN concat(' + scale÷', CAST(CAST({sql_round('scale_factor', 0)} AS BIGINT) AS VARCHAR)) ELSE '' END) AS transform, {sql_round('ox', 2)} AS offset_x, {sql_round('oy', 2)} AS offset_y, scale_factor, rounding, "
-        f"concat('Coordinates translated to center at (0,0)', CASE WHEN scale_factor > 1 THEN concat(' and divided by ', CAST(CAST({sql_round('scale_factor', 0)} AS BIGINT) AS VARCHAR), ' to paper-space mm') ELSE '' END, '. Rounded to ', CAST(rounding AS VARCHAR), ' decimal places.') AS description, paper_size, paper_scale, expected_w, expected_h, fit_error FROM (SELECT *, -center_x AS ox, -center_y AS oy FROM norm) q", "flat", **NORM
-    ),
-    "drawing_type": _sql(
-        "SELECT t.drawing_id, coalesce(max(CASE WHEN k = 1 AND n >= CAST('0.3' AS DOUBLE) * total THEN kind END), 'generic') AS drawing_type FROM totals t LEFT JOIN ranked r ON r.drawing_id = t.drawing_id GROUP BY t.drawing_id", *_T,
-        every=_ALL, totals="SELECT drawing_id, count(*) AS total FROM every GROUP BY drawing_id",
-        ranked=f"SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY n DESC, first) AS k FROM (SELECT drawing_id, {_DISCIPLINE} AS kind, count(*) AS n, min(layer_ord) AS first FROM every GROUP BY ALL) g WHERE kind IS NOT NULL",
-    ),
+    "metadata": _sql(_META, "flat", **NORM),
+    "drawing_type": _sql(_TYPES, *_T, **_TYPED),
+    "markdown_payload": _sql(f"SELECT CAST(drawing_id AS BIGINT) AS drawing_id, markdown FROM ({MARKDOWN}) m", **_PLANNED, **REPORT),
     "cluster_nodes": _sql("SELECT drawing_id, node_id, x, y FROM nodes", "segments", ends=_ENDS.format("segments"), nodes=_NODES),
     "graph_edges": _sql("SELECT drawing_id, layer, CAST(layer_ord AS BIGINT) AS layer_ord, CAST(line_ord AS BIGINT) AS line_ord, from_node, to_node FROM edges", "segments", ends=_ENDS.format("segments"), nodes=_NODES, edges=_EDGES.format("segments")),
     "degree_distribution": _sql("SELECT drawing_id, degree, count(*) AS n FROM (SELECT n.drawing_id, n.node_id, count(l.v) AS degree FROM nodes n LEFT JOIN links l ON l.drawing_id = n.drawing_id AND l.u = n.node_id GROUP BY ALL) d GROUP BY ALL", "segments", ends=_ENDS.format("segments"), nodes=_NODES, edges=_EDGES.format("segments"), links=_LINKS),
@@ -451,9 +467,7 @@ ORACLE: dict[str, str] = {
         measured="SELECT s.drawing_id, m, s.n, abs(sum(a.x * b.y - b.x * a.y)) / 2 AS area, sum(a.x) / s.n AS mx, sum(a.y) / s.n AS my, min(a.x) AS min_x, min(a.y) AS min_y, max(a.x) AS max_x, max(a.y) AS max_y FROM sides s JOIN nodes a ON a.drawing_id = s.drawing_id AND a.node_id = s.u JOIN nodes b ON b.drawing_id = s.drawing_id AND b.node_id = s.v GROUP BY s.drawing_id, m, s.n",
     ),
     "loop_boundary_layers": _sql(f"SELECT DISTINCT CAST(s.drawing_id AS BIGINT) AS drawing_id, {_MEMBERS}, e.layer FROM sides s JOIN edges e ON e.drawing_id = s.drawing_id AND ((e.from_node = s.u AND e.to_node = s.v) OR (e.from_node = s.v AND e.to_node = s.u))", "lattice", recursive=True, **_GRAPH, ring=_RING, sides=_SIDES),
-    "layer_bboxes": _sql(
-        "SELECT drawing_id, layer, CAST(layer_ord AS BIGINT) AS layer_ord, min(x0) AS min_x, min(y0) AS min_y, max(x1) AS max_x, max(y1) AS max_y FROM (SELECT drawing_id, layer, layer_ord, least(sx, ex) AS x0, least(sy, ey) AS y0, greatest(sx, ex) AS x1, greatest(sy, ey) AS y1 FROM segments UNION ALL SELECT drawing_id, layer, layer_ord, cx - radius, cy - radius, cx + radius, cy + radius FROM circles UNION ALL SELECT drawing_id, layer, layer_ord, tx, ty, tx, ty FROM texts) u GROUP BY ALL", *_T
-    ),
+    "layer_bboxes": _sql(_BOXES, *_T),
     "alignment_summary": _sql("SELECT drawing_id, layer, CAST(layer_ord AS BIGINT) AS layer_ord, count(*) FILTER (WHERE alignment = 'horizontal') AS horizontal, count(*) FILTER (WHERE alignment = 'vertical') AS vertical, count(*) FILTER (WHERE alignment = 'diagonal') AS diagonal FROM segments GROUP BY ALL", "segments"),
     "containment_text": _within("texts", "text_ord", "tx", "ty", "text"),
     "containment_symbols": _within("circles", "circle_ord", "cx", "cy", "radius"),

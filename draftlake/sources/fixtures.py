@@ -94,6 +94,22 @@ LATTICE = (
     f"UNION ALL SELECT n, 1, i, j, 0, 1, s FROM {_CELL} CROSS JOIN {_INTS('i')} CROSS JOIN {_INTS('j')} WHERE i <= w AND j < h "
     f"UNION ALL SELECT n, 2, i, j, 1, 1, s FROM {_CELL} CROSS JOIN {_INTS('i')} CROSS JOIN {_INTS('j')} WHERE i = 0 AND j = 0 AND n % 5 = 1) u"
 )
+_SIX = "(SELECT 0 AS {0} UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) six_{0}".format
+_ROOM = "310 + 60 * (i % 6) - CASE WHEN i = 0 THEN 310 ELSE 0 END"
+#: Rectangles of each nation that touch none other: a large one, some of middle size, and small ones, up to 36.
+RECTANGLES = (
+    "SELECT n_nationkey AS drawing_id, i, CASE n_nationkey % 4 WHEN 0 THEN 'A-WALL' WHEN 1 THEN 'E-WIRE' WHEN 2 THEN 'M-DUCT' ELSE '0' END AS layer, "
+    f"{_ROOM} AS x, 10 * (i - i % 6) AS y, CASE WHEN i = 0 THEN 300 WHEN i % 3 = 1 THEN 40 ELSE 10 + i % 5 END AS w, CASE WHEN i = 0 THEN 200 WHEN i % 3 = 1 THEN 30 ELSE 10 + n_nationkey % 3 END AS h "
+    f"FROM (SELECT n_nationkey, 6 * a + b AS i FROM nation CROSS JOIN {_SIX('a')} CROSS JOIN {_SIX('b')}) c WHERE i < CASE n_nationkey % 3 WHEN 0 THEN 36 WHEN 1 THEN 4 ELSE 9 END"
+)
+#: Their sides, as segments of one layer each.
+SIDES = (
+    "SELECT drawing_id, layer, CAST(1 AS INT) AS layer_ord, CAST(4 * i + e + 1 AS INT) AS line_ord, CAST(CASE WHEN e IN (1, 2) THEN x + w ELSE x END AS DOUBLE) AS sx, CAST(CASE WHEN e IN (2, 3) THEN y + h ELSE y END AS DOUBLE) AS sy, "
+    "CAST(CASE WHEN e IN (0, 1) THEN x + w ELSE x END AS DOUBLE) AS ex, CAST(CASE WHEN e IN (1, 2) THEN y + h ELSE y END AS DOUBLE) AS ey, CASE WHEN e % 2 = 0 THEN 'horizontal' ELSE 'vertical' END AS alignment "
+    f"FROM ({RECTANGLES}) r CROSS JOIN {_INTS('e')}"
+)
+#: The extents that these drawings are said to have: on paper as it is, on paper of another scale, on none.
+EXTENTS = f"SELECT n_nationkey AS drawing_id, {_D(0)} AS min_x, {_D(0)} AS min_y, CAST(CASE n_nationkey % 3 WHEN 0 THEN 420 WHEN 1 THEN 8410 ELSE 100000 END AS DOUBLE) AS max_x, CAST(CASE n_nationkey % 3 WHEN 0 THEN 297 WHEN 1 THEN 5940 ELSE 1001 END AS DOUBLE) AS max_y FROM nation"
 _NAMES = "CHAIR-OFFICE,DESK-L,TABLE-ROUND,SOFA-3SEAT,BED-QUEEN,WC-01,WATER CLOSET,*U12,A$C27,CUSTOM,fridge-2,rack,HVAC-1,Bathtub,door".split(",")
 INSTANCES = (
     f"SELECT p_partkey % {DRAWINGS} AS drawing_id, CASE p_partkey % {len(_NAMES) + 1} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NAMES)) + " END AS block_name, "
