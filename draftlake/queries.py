@@ -113,6 +113,18 @@ def cluster_nodes(spark: SparkSession, d: str) -> DataFrame:
     return big(nodes)
 
 
+def merge_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Joints of points of which up to three lie within the tolerance of each other: the greedy kernel's part."""
+    return big(topology.joints(kept(X.tables_sql(spark, d, X.JITTERED)), keep=kept)[0])
+
+
+def loops_truncated(spark: SparkSession, d: str) -> DataFrame:
+    """A search that ends at three loops: how many it has, and whether it says so."""
+    t = topology.analyse(kept(X.lattice(spark, d)), keep=kept, max_loops=3)
+    found = t.loops.groupBy("drawing_id").agg(F.count("*").alias("n"))
+    return big(t.truncated.join(found, "drawing_id", "left").select("drawing_id", "truncated", F.coalesce("n", F.lit(0)).alias("n")))
+
+
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     s = kept(X.tables(spark, d).segments)
     return big(topology.graph_edges(s, topology.joints(s, keep=kept)[1]))
@@ -268,7 +280,18 @@ def markdown_payload(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_payload(spark: SparkSession, d: str) -> DataFrame:
-    return json_documents(_plans(spark, d))
+    """What the JSON documents hold, read back from them."""
+    at = lambda path: F.get_json_object("json", f"$.{path}")
+    layer = "struct<lines:array<string>,circles_arcs:array<string>,text_annotations:array<string>>"
+    items = lambda k: F.aggregate(F.map_values("layers"), F.lit(0).cast("bigint"), lambda a, x: a + F.size(x[k])).alias(k)
+    docs = json_documents(_plans(spark, d)).withColumn("layers", F.from_json(at("layers"), f"map<string,{layer}>"))
+    return docs.select(
+        F.col("drawing_id").cast("bigint"), at("metadata.filename").alias("filename"), at("metadata.drawing_type").alias("drawing_type"), at("metadata.transform.scale_factor").cast("double").alias("scale_factor"),
+        at("metadata.transform.rounding_precision").cast("bigint").alias("rounding"), at("metadata.paper_info.paper_size").alias("paper_size"), F.size("layers").cast("bigint").alias("n_layers"), items("lines"), items("circles_arcs"), items("text_annotations"),
+        at("topology.nodes.count").cast("bigint").alias("nodes"), at("topology.edges.count").cast("bigint").alias("edges"), F.json_array_length(at("topology.loops")).cast("bigint").alias("n_loops"), at("topology.loops_truncated").alias("truncated"),
+        at("topology.loops[0].id").alias("first_id"), at("topology.loops[0].area").cast("double").alias("first_area"), F.json_array_length(at("topology.loops[0].contained_text")).cast("bigint").alias("first_texts"), F.json_array_length(at("topology.loops[0].contained_symbols")).cast("bigint").alias("first_symbols"),
+        at("semantics.anchor_radius_used").cast("double").alias("radius"), F.json_array_length(at("semantics.text_anchors")).cast("bigint").alias("anchors"), F.json_array_length(at("semantics.rooms")).cast("bigint").alias("rooms"),
+    )
 
 
 def full_analysis(spark: SparkSession, d: str) -> DataFrame:
@@ -293,7 +316,7 @@ QUERIES: dict[str, Query] = {
     "layer_statistics": layer_statistics, "layer_bboxes": layer_bboxes, "alignment_summary": alignment_summary, "drawing_type": drawing_type, "paper_size": paper_size, "drawing_bounds": drawing_bounds, "normalization": normalization,
     "line_alignment": _only("line", LINE, ("LINE",)), "polyline_segments": _only("line", LINE, ("LWPOLYLINE",)), "solid_outline": _only("line", LINE, ("SOLID",)), "circle_arc_extract": _only("circle", ROUND, ("CIRCLE", "ARC")), "text_extract": _only("text", TEXT, ("TEXT", "MTEXT")),
     "entity_dispatch_counts": entity_dispatch_counts, "block_explode": block_explode, "straighten": straighten, "equalize_spacing": equalize_spacing, "metadata": metadata,
-    "cluster_nodes": cluster_nodes, "graph_edges": graph_edges, "degree_distribution": degree_distribution, "detect_loops": detect_loops, "detect_loops_recursive": detect_loops_recursive, "loop_metadata": loop_metadata, "loop_boundary_layers": loop_boundary_layers,
+    "cluster_nodes": cluster_nodes, "merge_nodes": merge_nodes, "loops_truncated": loops_truncated, "graph_edges": graph_edges, "degree_distribution": degree_distribution, "detect_loops": detect_loops, "detect_loops_recursive": detect_loops_recursive, "loop_metadata": loop_metadata, "loop_boundary_layers": loop_boundary_layers,
     "containment_text": containment_text, "containment_symbols": containment_symbols, "text_anchors": text_anchors, "unanchored_texts": unanchored_texts, "anchor_radius": anchor_radius, "room_labels": room_labels, "room_assignment": room_assignment,
     "entity_ids": entity_ids, "loop_size_class": loop_size_class, "small_shapes_top20": small_shapes_top20, "layer_report_order": layer_report_order, "geometry_top30": geometry_top30,
     "furniture_by_name": furniture_by_name, "furniture_by_shape": furniture_by_shape, "markdown_payload": markdown_payload, "json_payload": json_payload, "full_analysis": full_analysis,
@@ -418,6 +441,33 @@ _PLANNED = {
 }
 
 
+_UP, _FLAT = "(dy > 3 AND dx > 0 AND dx / dy < CAST('0.15' AS DOUBLE))", "(NOT (dy > 3 AND dx > 0 AND dx / dy < CAST('0.15' AS DOUBLE)) AND dx > 3 AND dy > 0 AND dy / dx < CAST('0.15' AS DOUBLE))"
+_SNAP = "CASE WHEN {0} THEN {1} ELSE {2} END"
+_STRAIGHT = (
+    f"SELECT * EXCLUDE (dx, dy, mx, my) REPLACE ({_SNAP.format(_UP, _by('rounding', 'mx'), 'sx')} AS sx, {_SNAP.format(_FLAT, _by('rounding', 'my'), 'sy')} AS sy, {_SNAP.format(_UP, _by('rounding', 'mx'), 'ex')} AS ex, {_SNAP.format(_FLAT, _by('rounding', 'my'), 'ey')} AS ey, "
+    f"CASE WHEN {_UP} THEN 'vertical' WHEN {_FLAT} THEN 'horizontal' ELSE alignment END AS alignment) FROM (SELECT *, abs(ex - sx) AS dx, abs(ey - sy) AS dy, (sx + ex) / 2 AS mx, (sy + ey) / 2 AS my FROM {{0}}) l"
+)
+_SPACED = {
+    "gaps": "SELECT *, floor(round_even((sy + ey) / 2, 0) / 20) AS band, row_number() OVER w - 1 AS i, sx - lag(sx) OVER w AS gap FROM {0} WHERE alignment = 'vertical' WINDOW w AS (PARTITION BY drawing_id, floor(round_even((sy + ey) / 2, 0) / 20) ORDER BY sx, layer_ord, line_ord)",
+    "spread": "SELECT drawing_id, band, count(*) AS n, min(sx) AS x0, avg(gap) AS mean, stddev_pop(gap) AS std FROM gaps GROUP BY ALL",
+    "evened": f"SELECT g.*, x0 + i * mean AS nx, coalesce(n >= 3 AND mean >= 1 AND std / mean < {D(0.3)} AND std > {D(0.5)}, false) AS even FROM gaps g JOIN spread s ON s.drawing_id = g.drawing_id AND s.band = g.band",
+}
+#: All of pass 1 over a part of the drawings with all kinds of entities.
+_KINDS = [(_OWN.format("line", "'LINE'"), "false"), (_OWN.format("circle", "'CIRCLE', 'ARC'"), "false"), (_OWN.format("text", "'TEXT', 'MTEXT'"), "false"), (_POLY, "false"), (_SOLID, "true"), (_BLOCK, "false"), ("SELECT drawing_id, seq, CAST(0 AS BIGINT) AS sub, layer, 'touch' AS kind, x1, y1, x2, y2, radius, a1, a2, text, false AS loose FROM flat WHERE dxftype = 'LWPOLYLINE' AND npts < 2", "false")]
+_ANALYSED = {
+    "flat": f"SELECT * FROM ({X.FLAT}) f WHERE drawing_id < 8 AND seq % 3 = 0", "members": f"SELECT * FROM ({X.MEMBERS}) m WHERE drawing_id < 8", **NORM,
+    "raw": " UNION ALL ".join(f"SELECT *, {solid} AS solid FROM ({sql}) k{i}" for i, (sql, solid) in enumerate(_KINDS)), "moved": _MOVED.format("raw.drawing_id, raw.seq, raw.sub, raw.layer, raw.kind, raw.solid"), "rounded": _ROUNDED,
+    "rows": f"SELECT *, {_ALIGN} AS alignment FROM (SELECT *, {_TOL} AS tol FROM rounded) t WHERE NOT solid OR x1 <> x2 OR y1 <> y2",
+    "layers": "SELECT drawing_id, layer, CAST(row_number() OVER (PARTITION BY drawing_id ORDER BY met, layer) AS BIGINT) AS layer_ord FROM (SELECT drawing_id, layer, min((seq, sub)) AS met FROM rows GROUP BY drawing_id, layer) g",
+    "lines": "SELECT r.drawing_id, r.layer, l.layer_ord, row_number() OVER (PARTITION BY r.drawing_id, r.layer ORDER BY seq, sub) AS line_ord, x1 AS sx, y1 AS sy, x2 AS ex, y2 AS ey, alignment, rounding FROM rows r JOIN layers l ON l.drawing_id = r.drawing_id AND l.layer = r.layer WHERE kind = 'line'",
+    "straight": _STRAIGHT.format("lines"), "gaps": _SPACED["gaps"].format("straight"), "spread": _SPACED["spread"], "evened": _SPACED["evened"],
+    "segments": f"SELECT drawing_id, layer, layer_ord, line_ord, CASE WHEN even THEN {_by('rounding', 'nx')} ELSE sx END AS sx, sy, CASE WHEN even THEN {_by('rounding', 'nx')} ELSE ex END AS ex, ey, alignment FROM evened UNION ALL SELECT drawing_id, layer, layer_ord, line_ord, sx, sy, ex, ey, alignment FROM straight WHERE alignment <> 'vertical'",
+    "circles": "SELECT r.drawing_id, r.layer, l.layer_ord, x1 AS cx, y1 AS cy, radius FROM rows r JOIN layers l ON l.drawing_id = r.drawing_id AND l.layer = r.layer WHERE kind = 'circle'",
+    "texts": "SELECT r.drawing_id, r.layer, l.layer_ord, x1 AS tx, y1 AS ty FROM rows r JOIN layers l ON l.drawing_id = r.drawing_id AND l.layer = r.layer WHERE kind = 'text'", "stats": _STATS,
+    "boxes": "SELECT * REPLACE (" + ", ".join(f"{sql_round(c, 2)} AS {c}" for c in ("min_x", "min_y", "max_x", "max_y")) + f") FROM ({_BOXES}) b",
+}
+
+
 def _within(points: str, ordinal: str, x: str, y: str, keep: str) -> str:
     sides = " UNION ALL ".join(f"SELECT drawing_id, loop_ord, x{i} AS xi, y{i} AS yi, x{j} AS xj, y{j} AS yj FROM rings" for i, j in ((1, 4), (2, 1), (3, 2), (4, 3)))
     return _sql(
@@ -426,9 +476,6 @@ def _within(points: str, ordinal: str, x: str, y: str, keep: str) -> str:
     )
 
 
-_SNAP = "CASE WHEN {0} THEN {1} ELSE {2} END"
-_UP, _FLAT = "(dy > 3 AND dx > 0 AND dx / dy < CAST('0.15' AS DOUBLE))", "(NOT (dy > 3 AND dx > 0 AND dx / dy < CAST('0.15' AS DOUBLE)) AND dx > 3 AND dy > 0 AND dy / dx < CAST('0.15' AS DOUBLE))"
-
 ORACLE: dict[str, str] = {
     "dxf_source": _sql("SELECT CAST(drawing_id AS VARCHAR) AS drawing_id, row_number() OVER (PARTITION BY drawing_id ORDER BY layer_ord, line_ord) AS seq, 'LINE' AS dxftype, layer, sx, sy, ex, ey FROM lattice", "lattice"),
     "paper_size": _sql(f"SELECT s.*, {_FITTED} FROM sheets s LEFT JOIN fit ON fit.p_partkey = s.p_partkey", "sheets", papers=_PAPERS, fit=_FIT.format("p_partkey", "sheets")),
@@ -443,19 +490,30 @@ ORACLE: dict[str, str] = {
     "entity_dispatch_counts": _sql(
         "SELECT drawing_id, dxftype, count(*) AS n FROM (SELECT drawing_id, CASE WHEN dxftype = 'HATCH' THEN 'skipped' ELSE dxftype END AS dxftype FROM flat UNION ALL SELECT f.drawing_id, m.dxftype FROM flat f JOIN members m ON m.drawing_id = f.drawing_id AND m.block = f.block_name WHERE f.dxftype = 'INSERT' AND m.dxftype <> 'SOLID') u GROUP BY ALL", "flat", "members"
     ),
-    "straighten": _sql(
-        f"SELECT id, CAST(rounding AS BIGINT) AS rounding, {_SNAP.format(_UP, _by('rounding', 'mx'), 'sx')} AS sx, {_SNAP.format(_FLAT, _by('rounding', 'my'), 'sy')} AS sy, {_SNAP.format(_UP, _by('rounding', 'mx'), 'ex')} AS ex, {_SNAP.format(_FLAT, _by('rounding', 'my'), 'ey')} AS ey, "
-        f"CASE WHEN {_UP} THEN 'vertical' WHEN {_FLAT} THEN 'horizontal' ELSE alignment END AS alignment FROM (SELECT *, abs(ex - sx) AS dx, abs(ey - sy) AS dy, (sx + ex) / 2 AS mx, (sy + ey) / 2 AS my FROM leaning) l", "leaning"
-    ),
+    "straighten": _sql(f"SELECT * REPLACE (CAST(rounding AS BIGINT) AS rounding) FROM ({_STRAIGHT.format('leaning')}) l", "leaning"),
     "equalize_spacing": _sql(
-        f"SELECT drawing_id, CAST(rounding AS BIGINT) AS rounding, CAST(layer_ord AS BIGINT) AS layer_ord, CAST(line_ord AS BIGINT) AS line_ord, CASE WHEN even THEN {_by('rounding', 'nx')} ELSE sx END AS sx, sy, CASE WHEN even THEN {_by('rounding', 'nx')} ELSE ex END AS ex, ey, alignment FROM moved "
-        "UNION ALL SELECT drawing_id, rounding, layer_ord, line_ord, sx, sy, ex, ey, alignment FROM uneven WHERE alignment <> 'vertical'", "uneven",
-        gaps="SELECT *, floor(round_even((sy + ey) / 2, 0) / 20) AS band, row_number() OVER w - 1 AS i, sx - lag(sx) OVER w AS gap FROM uneven WHERE alignment = 'vertical' WINDOW w AS (PARTITION BY drawing_id, floor(round_even((sy + ey) / 2, 0) / 20) ORDER BY sx, layer_ord, line_ord)",
-        stats="SELECT drawing_id, band, count(*) AS n, min(sx) AS x0, avg(gap) AS mean, stddev_pop(gap) AS std FROM gaps GROUP BY ALL",
-        moved=f"SELECT g.*, x0 + i * mean AS nx, coalesce(n >= 3 AND mean >= 1 AND std / mean < {D(0.3)} AND std > {D(0.5)}, false) AS even FROM gaps g JOIN stats s ON s.drawing_id = g.drawing_id AND s.band = g.band",
+        f"SELECT drawing_id, CAST(rounding AS BIGINT) AS rounding, CAST(layer_ord AS BIGINT) AS layer_ord, CAST(line_ord AS BIGINT) AS line_ord, CASE WHEN even THEN {_by('rounding', 'nx')} ELSE sx END AS sx, sy, CASE WHEN even THEN {_by('rounding', 'nx')} ELSE ex END AS ex, ey, alignment FROM evened "
+        "UNION ALL SELECT drawing_id, rounding, layer_ord, line_ord, sx, sy, ex, ey, alignment FROM uneven WHERE alignment <> 'vertical'", "uneven", gaps=_SPACED["gaps"].format("uneven"), spread=_SPACED["spread"], evened=_SPACED["evened"],
     ),
     "metadata": _sql(_META, "flat", **NORM),
     "drawing_type": _sql(_TYPES, *_T, **_TYPED),
+    "merge_nodes": _sql(
+        f"SELECT drawing_id, row_number() OVER (PARTITION BY drawing_id ORDER BY met) - 1 AS node_id, {sql_round('mx', 2)} AS x, {sql_round('my', 2)} AS y FROM (SELECT drawing_id, min(met) AS met, avg(x) AS mx, avg(y) AS my FROM (SELECT drawing_id, gx, gy, round(x, 2) AS kx, min(x) AS x, min(y) AS y, min((layer_ord, line_ord, e)) AS met FROM ends GROUP BY ALL) p GROUP BY drawing_id, gx, gy) g",
+        jittered=X.JITTERED, ends="SELECT drawing_id, layer_ord, line_ord, 0 AS e, sx AS x, sy AS y, gx, gy FROM jittered UNION ALL SELECT drawing_id, layer_ord, line_ord, 1, ex, ey, hx, hy FROM jittered",
+    ),
+    "loops_truncated": _sql("SELECT CAST(drawing_id AS BIGINT) AS drawing_id, count(*) >= 3 AS truncated, least(count(*), 3) AS n FROM (SELECT DISTINCT drawing_id, m FROM cycles) c GROUP BY drawing_id", "lattice", recursive=True, **_GRAPH),
+    "json_payload": _sql(
+        "SELECT CAST(m.drawing_id AS BIGINT) AS drawing_id, filename, drawing_type, scale_factor, m.rounding, paper_size, s.n_layers, s.lines, s.circles_arcs, s.text_annotations, g.nodes, g.edges, l.n_loops, 'false' AS truncated, "
+        "'LOOP_001' AS first_id, l.first_area, coalesce(t.n, 0) AS first_texts, coalesce(c.n, 0) AS first_symbols, r.radius, coalesce(a.n, 0) AS anchors, o.n AS rooms FROM meta m JOIN graph g USING (drawing_id) "
+        "JOIN (SELECT drawing_id, count(*) AS n_layers, CAST(sum(line_count) AS BIGINT) AS lines, CAST(sum(circle_arc_count) AS BIGINT) AS circles_arcs, CAST(sum(text_count) AS BIGINT) AS text_annotations FROM stats GROUP BY drawing_id) s USING (drawing_id) "
+        "JOIN (SELECT drawing_id, count(*) AS n_loops, max(area) AS first_area FROM loops GROUP BY drawing_id) l USING (drawing_id) JOIN reach r USING (drawing_id) LEFT JOIN (SELECT drawing_id, count(*) AS n FROM labels WHERE loop_ord = 1 GROUP BY drawing_id) t USING (drawing_id) "
+        "LEFT JOIN (SELECT drawing_id, count(*) AS n FROM symbols WHERE loop_ord = 1 GROUP BY drawing_id) c USING (drawing_id) LEFT JOIN (SELECT drawing_id, count(*) AS n FROM flatnear WHERE d <= radius GROUP BY drawing_id) a USING (drawing_id) LEFT JOIN (SELECT drawing_id, count(*) AS n FROM rooms GROUP BY drawing_id) o USING (drawing_id)",
+        **_PLANNED, **{k: v for k, v in REPORT.items() if k in ("regions", "labels", "symbols")}, **_ANCHORED, rooms=_ROOMS,
+    ),
+    "full_analysis": _sql(
+        f"SELECT s.drawing_id, s.layer, s.layer_ord, line_count, circle_arc_count, text_count, {sql_round('len', 2)} AS total_line_length, CASE WHEN h + v + g = 0 THEN NULL WHEN h >= v AND h >= g THEN 'horizontal' WHEN v >= g THEN 'vertical' ELSE 'diagonal' END AS dominant_alignment, min_x, min_y, max_x, max_y FROM (SELECT * REPLACE (CAST(len AS DOUBLE) AS len) FROM stats) s LEFT JOIN boxes b ON b.drawing_id = s.drawing_id AND b.layer = s.layer",
+        **_ANALYSED,
+    ),
     "markdown_payload": _sql(f"SELECT CAST(drawing_id AS BIGINT) AS drawing_id, markdown FROM ({MARKDOWN}) m", **_PLANNED, **REPORT),
     "cluster_nodes": _sql("SELECT drawing_id, node_id, x, y FROM nodes", "segments", ends=_ENDS.format("segments"), nodes=_NODES),
     "graph_edges": _sql("SELECT drawing_id, layer, CAST(layer_ord AS BIGINT) AS layer_ord, CAST(line_ord AS BIGINT) AS line_ord, from_node, to_node FROM edges", "segments", ends=_ENDS.format("segments"), nodes=_NODES, edges=_EDGES.format("segments")),

@@ -108,6 +108,11 @@ SIDES = (
     "CAST(CASE WHEN e IN (0, 1) THEN x + w ELSE x END AS DOUBLE) AS ex, CAST(CASE WHEN e IN (1, 2) THEN y + h ELSE y END AS DOUBLE) AS ey, CASE WHEN e % 2 = 0 THEN 'horizontal' ELSE 'vertical' END AS alignment "
     f"FROM ({RECTANGLES}) r CROSS JOIN {_INTS('e')}"
 )
+#: ``SEGMENTS`` with ends moved by up to (0.6, 0.2): up to three different points lie around each point of the grid.
+JITTERED = (
+    "SELECT drawing_id, layer, layer_ord, line_ord, sx + k * CAST('0.3' AS DOUBLE) AS sx, sy + k * CAST('0.1' AS DOUBLE) AS sy, ex + j * CAST('0.3' AS DOUBLE) AS ex, ey + j * CAST('0.1' AS DOUBLE) AS ey, sx AS gx, sy AS gy, ex AS hx, ey AS hy "
+    f"FROM (SELECT s.*, (layer_ord + line_ord) % 3 AS k, (layer_ord + 2 * line_ord) % 2 + line_ord % 2 AS j FROM ({SEGMENTS}) s) q"
+)
 #: The extents that these drawings are said to have: on paper as it is, on paper of another scale, on none.
 EXTENTS = f"SELECT n_nationkey AS drawing_id, {_D(0)} AS min_x, {_D(0)} AS min_y, CAST(CASE n_nationkey % 3 WHEN 0 THEN 420 WHEN 1 THEN 8410 ELSE 100000 END AS DOUBLE) AS max_x, CAST(CASE n_nationkey % 3 WHEN 0 THEN 297 WHEN 1 THEN 5940 ELSE 1001 END AS DOUBLE) AS max_y FROM nation"
 _NAMES = "CHAIR-OFFICE,DESK-L,TABLE-ROUND,SOFA-3SEAT,BED-QUEEN,WC-01,WATER CLOSET,*U12,A$C27,CUSTOM,fridge-2,rack,HVAC-1,Bathtub,door".split(",")
