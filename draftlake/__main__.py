@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from .plans.analysis import analyse_path
 from .plans.documents import write_documents
+from .plans.store import Keeper
 
 logger = logging.getLogger(__name__)
 
@@ -23,8 +24,9 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("draftlake").getOrCreate()
     for path in args:
         logger.info("Analysis of %s", path)
-        for name in write_documents(analyse_path(spark, path)):
-            logger.info("Written: %s", name)
+        with Keeper(spark) as keep:
+            for name in write_documents(analyse_path(spark, path, keep=keep)):
+                logger.info("Written: %s", name)
     return 0
 
 

@@ -86,6 +86,7 @@ def analyse(entities: DataFrame, bounds: DataFrame | None = None, keep: Keep | N
     return analyse_tables(t, payload.metadata(norm, extraction.drawing_types(t)), keep=keep, **params)
 
 
-def analyse_path(spark: SparkSession, path: str, mode: str = "FAILFAST", **params) -> Analysis:
+def analyse_path(spark: SparkSession, path: str, mode: str = "FAILFAST", keep: Keep | None = None, **params) -> Analysis:
     """The analysis of all files that a path or glob names; what it is made of is kept in the shared folder."""
-    return analyse(kept(read_dxf(spark, path, mode)), keep=kept, **params)
+    keep = keep or kept
+    return analyse(keep(read_dxf(spark, path, mode)), keep=keep, **params)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .analysis import Analysis, analyse_path
+from .store import Keeper
 
 #: What a layer holds in a document.
 ITEMS = "lines circles_arcs text_annotations".split()
@@ -163,8 +164,9 @@ def analyse_file(path: str, spark: SparkSession | None = None, **params) -> tupl
     """The results of one drawing as a dictionary, and its report as Markdown; ValueError if it can't be read or has no extent."""
     spark = spark or SparkSession.builder.appName("draftlake").getOrCreate()
     try:
-        a = analyse_path(spark, path, **params)
-        found = json_documents(a).join(a.markdown(), "drawing_id").head(2)
+        with Keeper(spark) as keep:
+            a = analyse_path(spark, path, keep=keep, **params)
+            found = json_documents(a).join(a.markdown(), "drawing_id").head(2)
     except Exception as e:
         text = str(e)
         if "PATH_NOT_FOUND" in text or "NotDxf" in text or "corrupted" in text:
