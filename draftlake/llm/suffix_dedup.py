@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .store import read, row_key
+from .store import Scratch, read, row_key
 
 #: Words of the shortest passage that counts.
 LENGTH = 50
 #: Words of the k-grams that address passages.
 ANCHOR = 8
+#: Fragments of one address that are searched together. The windows of an address with more are grouped by hashes of their own.
+HOT = 20_000
 _CHUNK, _POOL = 1 << 20, 200_000
 _PLACE = np.uint64((1 << 30) - 1)
 
@@ -139,9 +141,16 @@ def _anchors(texts: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def _fragments(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """(a, doc_id, rk, at, words): the words of all windows that each of the addresses in ``ps`` stands for."""
+    """(a, doc_id, rk, at, words): the words of all windows that each of the addresses in ``ps`` stands for.
+
+    Of those in ``hs`` each window has a row of its own, without words, whose address is a hash of all of its words.
+    """
     kind = texts.schema["doc_id"].dataType.simpleString()
 
+    def chosen(lists: pa.Array, bounds: np.ndarray, p: np.ndarray) -> np.ndarray:
+        row = np.repeat(np.arange(len(lists)), np.asarray(pa.compute.list_value_length(lists)))
+        return np.isin(p, np.asarray(pa.compute.list_flatten(lists)) + bounds[row])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, data, offs in T.chunks(b.column(2), _CHUNK):
@@ -149,20 +158,32 @@ def _fragments(texts: DataFrame, length: int, k: int) -> DataFrame:
                 s, e, bounds = T.words(data, offs, ~T.SPACE)
                 h = T.hash_runs(data, s, e)
                 a, p, w0, w1 = _minimizers(h, bounds, length, k)
-                lists = b.column(3).slice(first, n)
-                row = np.repeat(np.arange(n), np.asarray(pa.compute.list_value_length(lists)))
-                wanted = np.asarray(pa.compute.list_flatten(lists)) + bounds[row]
-                ok = np.isin(p, wanted)
-                a, p, w0, w1 = a[ok], p[ok], w0[ok], w1[ok]
-                row = np.searchsorted(bounds, p, "right") - 1
+                ok, hot = chosen(b.column(3).slice(first, n), bounds, p), chosen(b.column(4).slice(first, n), bounds, p)
                 small = (h >> np.uint64(32)).astype(np.uint32)
-                raw = [small[i : j + length].tobytes() for i, j in zip(w0, w1)]
+                raw = [small[i : j + length].tobytes() for i, j in zip(w0[ok], w1[ok])]
+                alone = np.concatenate([np.arange(i, j + 1) for i, j in zip(w0[hot], w1[hot])]) if hot.any() else np.zeros(0, np.int64)
+                own = T.mix(T.ngrams(h, length)[alone] ^ np.uint64(0x6A09E667F3BCC909)) if len(alone) else np.zeros(0, np.uint64)
+                row = np.searchsorted(bounds, np.concatenate([p[ok], alone]), "right") - 1
                 take = pa.array(first + row)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array((w0 - bounds[row]).astype(np.int32)), pa.array(raw, pa.binary())], ["a", "doc_id", "rk", "at", "words"])
+                at = np.concatenate([w0[ok], alone]) - bounds[row]
+                words = pa.concat_arrays([pa.array(raw, pa.binary()), pa.nulls(len(alone), pa.binary())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[ok], own]).view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(at.astype(np.int32)), words], ["a", "doc_id", "rk", "at", "words"])
 
     return texts.transform(T.batched, run, f"a bigint, doc_id {kind}, rk bigint, at int, words binary")
 
 
+def _equal(rows: pa.RecordBatch, before: int | None, following: int | None, length: int) -> pa.RecordBatch:
+    """The windows of rows without words that aren't alone, given the addresses around them: the first of each address is the original."""
+    a = np.asarray(rows.column(0))
+    same = np.zeros(len(a) + 1, bool)
+    same[1:-1] = a[1:] == a[:-1]
+    if len(a):
+        same[0], same[-1] = before == int(a[0]), following == int(a[-1])
+    keep = pa.array(np.flatnonzero(same[1:] | same[:-1]))
+    at = rows.column(3).take(keep).cast(pa.int64())
+    return pa.RecordBatch.from_arrays([rows.column(1).take(keep), rows.column(2).take(keep), at, pa.compute.add(at, length), pa.array(same[:-1]).take(keep)], ["doc_id", "rk", "lo", "hi", "duplicate"])
+
+
 def _intervals(mask: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
@@ -205,24 +226,31 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame
     A row with ``duplicate`` = false is a maximal run of words inside originals, with true one inside later occurrences,
     which a dedup would cut.
 
-    1. Each window is addressed by its least k-gram hash; addresses that occur once can't be those of a repeated window.
+    1. Each window is addressed by its least k-gram hash; addresses that occur once can't be those of a repeated window. A
+       stream through the sorted addresses drops them.
     2. The fragments around the other addresses are brought together by address, equal windows thus always; equal
        fragments are searched once.
     3. In each task a suffix array over the fragments of whole addresses, and the threshold-bounded interval expansion on
        its Burrows-Wheeler transform, give the windows with a common prefix of at least ``length`` words.
+    4. An address of more than ``HOT`` places, such as one in a licence that very many documents have in other surroundings, isn't
+       held by one task: each of its windows is addressed by a hash of all its words, and equal ones meet in a stream.
     The result is that of one suffix array over the whole corpus: no window is left out, and words are compared by hashes
-    of 32 bits, 50 in a row. A task holds the distinct fragments of one address in memory, about 85 words for each.
+    of 32 bits, 50 in a row, or windows by one of 64 bits. A task holds some 85 words for each of ``HOT`` fragments at most.
 
-    Defined cases: null texts have no words; texts shorter than ``length`` have no windows; a null doc_id comes last in the
-    order and is returned as null; rows with one doc_id are texts of their own, in the order of a hash of the text; equal
-    rows repeat each other, and their passages are reported once for both, as originals and as duplicates; other columns
-    are ignored; an empty table gives an empty result.
+    Defined cases: null texts have no words; texts shorter than ``length`` have no windows; texts of any length are searched
+    whole; a null doc_id comes last in the order and is returned as null; rows with one doc_id are texts of their own, in the
+    order of a hash of the text; equal rows repeat each other, and their passages are reported once for both, as originals
+    and as duplicates; other columns are ignored; an empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", row_key(docs["text"].cast("string")).alias("rk"), docs["text"].cast("string").alias("text")).where("text IS NOT NULL")
-    places = _anchors(texts, length, k).withColumn("n", F.count("*").over(Window.partitionBy("a"))).where("n > 1")
-    listed = places.groupBy(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk")).agg(F.collect_set("p").alias("ps"))
-    held = texts.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_rk"))).select("doc_id", "rk", "text", "ps")
+    scratch = Scratch(docs.sparkSession, "suffix")
+    places = scratch.write(_anchors(texts, length, k).repartition("a").sortWithinPartitions("a").transform(T.batched, T.shared_rows, f"a bigint, doc_id {kind}, rk bigint, p int"))
+    hot = places.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("a", F.lit(True).alias("hot"))
+    marked = places.join(hot, "a", "left")
+    some = lambda hot: F.collect_set(F.when(F.col("hot").isNotNull() if hot else F.col("hot").isNull(), F.col("p")))
+    listed = marked.groupBy(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk")).agg(some(False).alias("ps"), some(True).alias("hs"))
+    held = texts.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_rk"))).select("doc_id", "rk", "text", "ps", "hs")
     order = [F.col("doc_id").asc_nulls_last(), "rk", "at"]
     parts = _fragments(held, length, k).repartition("a").sortWithinPartitions("a", *order)
 
@@ -239,7 +267,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame
                     yield from _search(pool.slice(lo, x - lo).combine_chunks(), length).to_batches()
                     lo = x
 
+        last: pa.RecordBatch | None = None  # of the rows without words
+        before: int | None = None  # the address of the one ahead of it
         for b in batches:
+            alone = pa.compute.is_null(b.column(4))
+            if pa.compute.any(alone).as_py():
+                one = b.filter(alone)
+                if last is not None:
+                    one = pa.Table.from_batches([last, one]).combine_chunks().to_batches()[0]
+                last = one.slice(len(one) - 1)
+                yield _equal(one.slice(0, len(one) - 1), before, last.column(0)[0].as_py(), length)
+                before = one.column(0)[len(one) - 2].as_py() if len(one) > 1 else before
+                b = b.filter(pa.compute.invert(alone))
+            if not len(b):
+                continue
             kept.append(pa.Table.from_batches([b]))
             size += (pa.compute.sum(pa.compute.binary_length(b.column(4))).as_py() or 0) // 4
             if size >= limit:
@@ -249,6 +290,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame
                 yield from whole(pool.slice(0, cut), a[:cut], n[:cut])
                 kept, size = [pool.slice(cut)], int(n[cut:].sum())
                 limit = max(_POOL, 2 * size)
+        if last is not None:
+            yield _equal(last, before, None, length)
         pool = pa.concat_tables(kept) if kept else None
         if pool is not None and pool.num_rows:
             yield from whole(pool, np.asarray(pool.column("a")), np.asarray(pa.compute.binary_length(pool.column("words"))) // 4)

@@ -70,6 +70,24 @@ def batched(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(lean(run), schema)
 
 
+def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their first column, an integer, those whose value is not alone; one row is held, however many are alike."""
+    held: pa.RecordBatch | None = None
+    like = False  # the held row is as the one before it
+    for b in batches:
+        if not len(b):
+            continue
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        a = np.asarray(b.column(0))
+        same = np.zeros(len(a) + 1, bool)
+        same[0], same[1:-1] = like, a[1:] == a[:-1]
+        held, like = b.slice(len(b) - 1), bool(same[-2])
+        yield b.slice(0, len(b) - 1).filter(pa.array((same[1:] | same[:-1])[:-1]))
+    if held is not None and like:
+        yield held
+
+
 def release() -> None:
     pa.default_memory_pool().release_unused()
     if _TRIM:

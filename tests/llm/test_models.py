@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from draftlake.llm import pii, quality_classifier, secrets, sharding, suffix_dedup
+from draftlake.llm import pii, quality_classifier, secrets, sharding, suffix_dedup, textops
 from draftlake.llm.store import Scratch
 
 from test_curation import ODD, none, odd, some_texts  # noqa: F401
@@ -288,18 +288,29 @@ def slow_repeats(docs, length):
     return out
 
 
-@pytest.mark.parametrize("pool", [200_000, 60])
-def test_repeats_equal_brute_force(spark, monkeypatch, pool):
+@pytest.mark.parametrize("pool, hot, batch", [(200_000, 20_000, 10_000), (60, 20_000, 10_000), (200_000, 0, 10_000), (60, 0, 3), (60, 2, 7)])
+def test_repeats_equal_brute_force(spark, monkeypatch, pool, hot, batch):
     monkeypatch.setattr(suffix_dedup, "_POOL", pool)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     r = random.Random(6)
     passages = [t for t in some_texts(30, 2) if len(t.split()) > 25][:6]
     docs = [(i, " ".join([t, *(r.choice(passages) for _ in range(r.randint(0, 2))), *some_texts(1, 100 + i)])) for i, t in enumerate(some_texts(40, 7))]
     docs += [(100 + i, docs[i][1]) for i in range(4)]
     want = slow_repeats(docs, 20)
     got = suffix_dedup.repeats(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), length=20, k=4).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {tuple(x) for x in got} == want and len(got) == len(want) > 20
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_the_stream_of_shared_rows(size):
+    r = random.Random(size)
+    rows = sorted(r.randint(0, 40) for _ in range(50))
+    batches = [pa.RecordBatch.from_arrays([pa.array(rows[i : i + size], pa.int64())], ["a"]) for i in range(0, 50, size)]
+    assert [x for b in textops.shared_rows(iter(batches)) for x in b.column(0).to_pylist()] == [x for x in rows if rows.count(x) > 1]
+
+
 def test_repeats_on_odd_rows(spark, odd, none):  # noqa: F811
     got = sorted(tuple(r) for r in suffix_dedup.repeats(odd).collect())
     assert got == [(4, 0, 50, False), (4, 1, 60_000, True)]
