@@ -110,8 +110,8 @@ def repetition_coverage(docs: DataFrame, top: dict[int, float] = TOP, dup: dict[
     ``dup_N gram`` and ``dup_line``: share of characters inside second and later occurrences, each character once.
     A document is kept if it has a word and no rule exceeds its threshold.
 
-    Defined cases: a null or empty text has 0 words, all shares 0 and keep = false; a null doc_id is returned as null;
-    repeated rows each get a row; other columns of ``docs`` are ignored; an empty table gives an empty result.
+    Defined cases: a null or empty text has 0 words, all shares 0 and keep = false; texts of any length are measured whole; of
+    equally frequent n-grams the one that holds most counts; a null doc_id is returned as null; repeated rows each get a row; other columns of ``docs`` are ignored; an empty table gives an empty result.
     One narrow pass: no shuffle.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -128,7 +128,12 @@ def repetition_coverage(docs: DataFrame, top: dict[int, float] = TOP, dup: dict[
 
 
 def keep_good(docs: DataFrame, top: dict[int, float] = TOP, dup: dict[int, float] = DUP, line: float = LINE) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, that ``repetition_coverage`` keeps; null and empty texts go."""
+    """The rows of ``docs``, all columns unchanged, that ``repetition_coverage`` keeps.
+
+    Defined cases: null and empty texts and those without a word go; texts of any length are measured whole; a null doc_id
+    changes nothing; repeated rows stay or go alike; other columns pass through, whatever their names; an empty table gives an
+    empty one.
+    """
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -511,7 +511,38 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     assert {r.doc_id for r in rows} == left and len(left) < len(now)
 
 
-def test_pipeline_stages_keep_the_columns(spark, odd, tmp_path):
-    spark.createDataFrame([(0, "x y z")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, odd, str(tmp_path)).columns == odd.columns
+def test_pipeline_stages_keep_the_columns(spark, odd, none, tmp_path):
+    """Each stage on what the one before kept, with null, empty, long and repeated rows and columns of clashing names."""
+    spark.createDataFrame([(0, "x y z"), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for start in (odd, odd.where("false"), none):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == start.columns and [k for _, k in docs.dtypes] == [k for _, k in start.dtypes], name
+            docs.write.parquet(f"{tmp_path}/{name}{id(start)}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{id(start)}")
+        rows = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert sorted({str(r.doc_id) for r in rows}) == ([] if start is not odd else ["5", "6", "8", "None"])
+        if start is odd:  # the repeated row is there once, the other text of its doc_id too
+            assert Counter(r.doc_id for r in rows if r.doc_offset == 0)[6] == 2
+
+
+@pytest.mark.parametrize("stage", [n for n, _ in corpus_pipeline.STAGES])
+def test_each_stage_on_odd_rows_of_its_own(spark, odd, none, tmp_path, stage):
+    spark.createDataFrame([(0, "same row")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    f = dict(corpus_pipeline.STAGES)[stage]
+    got = Counter(r.doc_id for r in f(spark, odd, str(tmp_path)).collect() if stage != "packing" or r.doc_offset == 0)
+    every = Counter(r[0] for r in ODD)
+    want = {
+        "quality_rules": every - Counter({1: 1, 2: 1, 3: 1, 4: 1, 7: 1, None: 1}), "line_dedup": every - Counter({6: 1}), "near_dedup": every - Counter({6: 1}),
+        "decontamination": every - Counter({6: 2}), "packing": every - Counter({3: 1, None: 1}),
+    }
+    assert got == want[stage]
+    assert f(spark, none, str(tmp_path)).count() == 0
+
+
+def test_the_pipeline_runs_on_an_empty_table_and_on_one_of_nulls(spark, none, tmp_path):
+    for k, df in enumerate((none, spark.createDataFrame([(None,) * 7, (1, *[None] * 6)], SCHEMA))):
+        df.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/{k}/benchmark.parquet")
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{k}").count() == 0

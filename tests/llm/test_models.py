@@ -48,7 +48,7 @@ def test_classifier_held_out(spark):
     assert len(bound.weights) < len(quality_classifier.train(docs, labels).weights) + 50 and bound.thresholds[0] < bound.thresholds[1]
 
 
-def test_gradient_of_the_ordinal_loss():
+def test_fit_recovers_a_model():
     """The fit recovers a one-feature model: grades follow the thresholds."""
     r = np.random.default_rng(0)
     f = r.integers(0, 2, 3000)
@@ -58,6 +58,51 @@ def test_gradient_of_the_ordinal_loss():
     assert m.weights[0] == pytest.approx(3, abs=0.3) and m.thresholds == pytest.approx([0, 2], abs=0.25)
 
 
+def slow_loss(rows, grades, weight, cut, penalty):
+    """Mean negative log likelihood of the cumulative-link model, row by row, and the lasso penalty."""
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    total = 0.0
+    for f, g in zip(rows, grades):
+        score = sum(weight.get(int(k), 0.0) for k in f)
+        above = [1.0, *(sig(score - c) for c in cut), 0.0]
+        total -= math.log(max(above[g] - above[g + 1], 1e-300))
+    return total / len(rows) + penalty * sum(map(abs, weight.values()))
+
+
+def test_fit_is_a_minimum_of_the_loss():
+    """No small change of a weight or threshold, one at a time, makes the loss of a plain computation noticeably less."""
+    r = np.random.default_rng(5)
+    true = {k: float(v) for k, v in enumerate(r.normal(size=8) * 2)}
+    rows, grades = [], []
+    for _ in range(400):
+        f = np.flatnonzero(r.random(8) < 0.4)
+        latent = sum(true[k] for k in f) + r.logistic()
+        rows.append(f.astype(np.int64))
+        grades.append(int(latent > -1) + int(latent > 1))
+    penalty = 1e-3
+    m = quality_classifier.fit(rows, np.array(grades), steps=2000, penalty=penalty)
+    weight, cut = dict(zip(map(int, m.features), map(float, m.weights))), list(m.thresholds)
+    best = slow_loss(rows, grades, weight, cut, penalty)
+    for step in (-0.05, 0.05):
+        for k in range(8):
+            assert slow_loss(rows, grades, {**weight, k: weight.get(k, 0.0) + step}, cut, penalty) > best - 2e-5
+        for k in range(2):
+            assert slow_loss(rows, grades, weight, [c + step * (i == k) for i, c in enumerate(cut)], penalty) > best - 2e-5
+    assert max(abs(weight.get(k, 0.0) - v) for k, v in true.items()) < 1.0
+
+
+def test_scores_equal_plain_sums():
+    """Scores of texts, one at a time and together, are the sums of the weights of their distinct features; models don't mix."""
+    texts = ["The nasty cat, the cat!", "", "ÉTÉ été\nplain words here", "a" * 3000, "x y " * 500]
+    known = sorted({int(k) for _, f, _ in quality_classifier.features(pa.array(texts)) for k in f})
+    models = [quality_classifier.Model(np.array(known[i::2]), np.arange(1.0, len(known[i::2]) + 1), np.array([0.0, 1.0])) for i in (0, 1)]
+    for _ in range(2):
+        for m in models:
+            w = dict(zip(m.features.tolist(), m.weights.tolist()))
+            want = [sum(w.get(int(k), 0.0) for k in {*next(quality_classifier.features(pa.array([t])))[1].tolist()}) for t in texts]
+            assert quality_classifier.score(m, pa.array(texts)).tolist() == pytest.approx(want)
+
+
 def test_classifier_on_odd_rows(spark, odd, none):  # noqa: F811
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (2, None, 0), (4, 7, 7), (999, 1, 0)], "doc_id bigint, quality int, toxic int")
     rows = quality_classifier.graded(odd, labels).collect()
@@ -220,6 +265,42 @@ def test_white_space_and_quotes(text, want):
     assert not want or prefiltered(text)
 
 
+def slow_contexts(text):
+    """Every name before every sign, by one expression for each form: quadratic, but plain. Values in the order they come."""
+    name = r"(?:(?:[A-Za-z0-9]*[_\-.])*)"
+    word = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|secret|private|auth)key|clientsecret|credentials?)"
+    camel = r"[A-Za-z0-9]+(?:Pass(?:word)?|Token|Secret|(?:Api|Access|Secret|Private|Auth)Key)"
+    key = rf"(?<![A-Za-z0-9_\-.]){name}(?:{word}|{camel}|(?i:(?:api|access|secret|private|auth)[_\-.]key))[0-9]*(?:(?<=[a-z0-9])[A-Z][A-Za-z0-9]*)?(?:[_\-.][A-Za-z0-9]*)*"
+    space = r"[^\S\n]*\n?[^\S\n]*"
+    out, end = [], 0
+    for m in re.finditer(r":=|=>|={1,3}|:", text):
+        if m.start() < end:
+            continue
+        n = next((x for x in (re.search(rf"{key}[\"'`]?{space}\Z", text[: m.start()]),) if x), None)
+        if not n:
+            continue
+        v = re.compile(rf"{space}(?:([\"'`])((?:(?!\1)[^\\\n]|\\.)*)\1|[\"'`]?([^\s\"'`,;<>&]+))").match(text, m.end())
+        if v:
+            a, b = v.span(2) if v.group(1) else v.span(3)
+            while not v.group(1) and b > a and text[b - 1] in ".)]}!?:":
+                b -= 1
+            if b - a >= 4 and not text[a:b].lower().startswith("bearer"):
+                end = b
+                out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_contexts_equal_brute_force(seed):
+    r = random.Random(seed)
+    parts = ["token", "Token", "api", "Key", "key", "_", "-", ".", "password", "Pass", "9", " ", "  ", "\n", "=", ":", ":=", "=>", "==", '"', "'", "`", "abcd1", "x", ",", "&", ";", "secret", "\\"]
+    for _ in range(60):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        if re.search(r"(?i)(api|access|secret|private|auth) key", text):
+            continue  # the form with a blank has its own test
+        assert [(a, b) for _, a, b in secrets.values(text)] == slow_contexts(text), text
+
+
 LONG = 1 << 20
 
 
