@@ -76,7 +76,7 @@ def entity_boxes(entities: DataFrame) -> DataFrame:
     """``entities`` with its bounding box min_x .. max_y, null where an entity has no extent of its own.
 
     Circles and arcs by their quadrants, polylines with their bulges, text by its height and length (0.6 of the height a
-    character), all others by their points. Block references get the box of their block in ``drawing_bounds``.
+    character), all others by their points. Block references have none of their own: ``bounds`` places the members of blocks.
     """
     p = F.col("pts")
     first = F.try_element_at(p, F.lit(1))
@@ -110,20 +110,76 @@ def drawing_bounds(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("drawing_id").agg(F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"), F.count("error").alias("skipped"))
 
 
-def bounds(entities: DataFrame) -> DataFrame:
-    """Bounds of the model space of each drawing, block references with the transformed box of their block."""
+#: Blocks inside blocks that are followed at most: more can only be a reference of a block to itself.
+NESTED = 64
+_AFFINE = ("a", "b", "c", "d", "e", "f")
+
+
+def placements(entities: DataFrame, keep=None) -> DataFrame:
+    """(drawing_id, block, a .. f): where each block lies in model space, by references from it and from other blocks.
+
+    A point (x, y) of the block is at (a x + c y + e, b x + d y + f). Levels of nesting are followed until there is none;
+    ``keep`` may store each.
+    """
+    keep = keep or (lambda df: df)
+    base = entities.where("block IS NOT NULL").groupBy("drawing_id", F.col("block").alias("into")).agg(F.first("block_x", True).alias("bx"), F.first("block_y", True).alias("by"))
+    angle = F.radians(F.coalesce("rotation", F.lit(0.0)))
+    x, y = F.coalesce("xscale", F.lit(1.0)), F.coalesce("yscale", F.lit(1.0))
+    at = F.try_element_at("pts", F.lit(1))
+    refs = entities.where("dxftype = 'INSERT' AND error IS NULL").select(
+        "drawing_id", "block", "paperspace", F.col("block_name").alias("into"), (F.cos(angle) * x).alias("a"), (F.sin(angle) * x).alias("b"), (-F.sin(angle) * y).alias("c"), (F.cos(angle) * y).alias("d"), at["x"].alias("x"), at["y"].alias("y")
+    )
+    bx, by = F.coalesce("bx", F.lit(0.0)), F.coalesce("by", F.lit(0.0))
+    refs = refs.join(base, ["drawing_id", "into"]).withColumns({"e": F.col("x") - F.col("a") * bx - F.col("c") * by, "f": F.col("y") - F.col("b") * bx - F.col("d") * by})
+    inner = keep(refs.where("block IS NOT NULL").select("drawing_id", F.col("block").alias("within"), "into", *(F.col(k).alias(f"i{k}") for k in _AFFINE)))
+    now = refs.where("block IS NULL AND paperspace = 0").select("drawing_id", F.col("into").alias("block"), *_AFFINE)
+    every, more = now, not inner.isEmpty()
+    col = F.col
+    for _ in range(NESTED):
+        if not more:
+            break
+        joined = now.join(inner, (now["drawing_id"] == inner["drawing_id"]) & (now["block"] == inner["within"])).drop(inner["drawing_id"])
+        linear = {"na": ("a", "c", "ia", "ib"), "nb": ("b", "d", "ia", "ib"), "nc": ("a", "c", "ic", "id"), "nd": ("b", "d", "ic", "id")}
+        moved = {k: col(p) * col(u) + col(q) * col(v) for k, (p, q, u, v) in linear.items()}
+        moved |= {"ne": col("a") * col("ie") + col("c") * col("if") + col("e"), "nf": col("b") * col("ie") + col("d") * col("if") + col("f")}
+        now = keep(joined.select("drawing_id", col("into").alias("block"), *(v.alias(k[1]) for k, v in moved.items())))
+        more = not now.isEmpty()
+        every = every.unionByName(now)
+    return every
+
+
+def _placed_boxes(members: DataFrame) -> DataFrame:
+    """(drawing_id, min_x .. max_y) of members of blocks with their own boxes and where they are placed.
+
+    Points, circles and arcs exactly, whatever the transformation; texts and bent polylines by the corners of their boxes.
+    """
+    col = F.col
+    kind, first, r = col("dxftype"), F.try_element_at("pts", F.lit(1)), F.abs(col("radius"))
+    x = lambda p: col("a") * p["x"] + col("c") * p["y"] + col("e")
+    y = lambda p: col("b") * p["x"] + col("d") * p["y"] + col("f")
+    corners = F.array(*(F.struct(col(u).alias("x"), col(v).alias("y")) for u in ("min_x", "max_x") for v in ("min_y", "max_y")))
+    start, end = col("start_angle"), col("end_angle")
+    span = F.pmod(end - start, F.lit(360.0))
+    holds = lambda q: F.pmod(q - start, F.lit(360.0)) <= F.when(span == 0, 360.0).otherwise(span)
+    boxed = kind.isin("TEXT", "MTEXT") | ((kind == "LWPOLYLINE") & F.exists(F.coalesce("bulges", F.expr("array(0D)")), lambda b: b != 0))
+    points = F.when(boxed, corners).otherwise(col("pts"))
+    out = []
+    for axis, put, (p, q) in (("x", x, ("a", "c")), ("y", y, ("b", "d"))):
+        centre, reach = put(first), r * F.hypot(col(p), col(q))
+        top = F.degrees(F.atan2(col(q), col(p)))  # the angle at which the arc is furthest in this direction
+        ends = [centre + r * (col(p) * F.cos(F.radians(t)) + col(q) * F.sin(F.radians(t))) for t in (start, end)]
+        low = F.when(kind == "CIRCLE", centre - reach).when(kind == "ARC", F.when(holds(top + 180), centre - reach).otherwise(F.least(*ends))).otherwise(F.array_min(F.transform(points, put)))
+        high = F.when(kind == "CIRCLE", centre + reach).when(kind == "ARC", F.when(holds(top), centre + reach).otherwise(F.greatest(*ends))).otherwise(F.array_max(F.transform(points, put)))
+        out += [low.alias(f"min_{axis}"), high.alias(f"max_{axis}")]
+    return members.where("min_x IS NOT NULL").select("drawing_id", *out)
+
+
+def bounds(entities: DataFrame, keep=None) -> DataFrame:
+    """Bounds of the model space of each drawing, with the members of its blocks, and of blocks in blocks, where they are placed."""
     boxed = entity_boxes(entities)
-    model = boxed.where("block IS NULL AND paperspace = 0")
-    inner = boxed.where("block IS NOT NULL").groupBy("drawing_id", "block").agg(F.min("min_x").alias("x0"), F.min("min_y").alias("y0"), F.max("max_x").alias("x1"), F.max("max_y").alias("y1"), F.first("block_x", True).alias("bx"), F.first("block_y", True).alias("by"))
-    refs = model.where("dxftype = 'INSERT'").drop("min_x", "min_y", "max_x", "max_y")
-    at, c, s = F.try_element_at("pts", F.lit(1)), F.cos(F.radians(F.coalesce("rotation", F.lit(0.0)))), F.sin(F.radians(F.coalesce("rotation", F.lit(0.0))))
-    joined = refs.join(inner.withColumnRenamed("block", "block_name"), ["drawing_id", "block_name"])
-    corners = F.array(*(F.struct(((F.col(x) - F.coalesce("bx", F.lit(0.0))) * F.coalesce("xscale", F.lit(1.0))).alias("u"), ((F.col(y) - F.coalesce("by", F.lit(0.0))) * F.coalesce("yscale", F.lit(1.0))).alias("v")) for x in ("x0", "x1") for y in ("y0", "y1")))
-    xs = F.transform(corners, lambda q: at["x"] + q["u"] * c - q["v"] * s)
-    ys = F.transform(corners, lambda q: at["y"] + q["u"] * s + q["v"] * c)
-    placed = joined.select("drawing_id", "error", F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
-    own = model.select("drawing_id", "error", "min_x", "min_y", "max_x", "max_y")
-    return drawing_bounds(own.unionByName(placed.withColumn("error", F.lit(None).cast("string"))))
+    own = boxed.where("block IS NULL AND paperspace = 0").select("drawing_id", "error", "min_x", "min_y", "max_x", "max_y")
+    members = boxed.where("block IS NOT NULL AND dxftype <> 'INSERT'").join(placements(entities, keep), ["drawing_id", "block"])
+    return drawing_bounds(own.unionByName(_placed_boxes(members).withColumn("error", F.lit(None).cast("string"))))
 
 
 # normalisation

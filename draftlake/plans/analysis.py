@@ -81,7 +81,7 @@ def analyse_tables(t: Layers, metadata: DataFrame, tolerance: float = topology.T
 def analyse(entities: DataFrame, bounds: DataFrame | None = None, keep: Keep | None = None, **params) -> Analysis:
     """All five passes over entities; ``bounds`` overrides the computed ones. A drawing without any extent has no rows."""
     keep = keep or kept
-    norm = keep(extraction.normalisation(extraction.bounds(entities) if bounds is None else bounds))
+    norm = keep(extraction.normalisation(extraction.bounds(entities, keep) if bounds is None else bounds))
     t = Layers(*map(keep, extraction.extract(entities, norm, keep)))
     return analyse_tables(t, payload.metadata(norm, extraction.drawing_types(t)), keep=keep, **params)
 

@@ -34,7 +34,7 @@ def big(df: DataFrame) -> DataFrame:
 
 
 def _bounds(spark: SparkSession, d: str) -> DataFrame:
-    return E.bounds(X.entities(spark, d))
+    return E.bounds(X.entities(spark, d), kept)
 
 
 def _norm(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +43,7 @@ def _norm(spark: SparkSession, d: str) -> DataFrame:
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
     entities = X.entities(spark, d)
-    return E.normalised(E.primitives(entities), E.normalisation(E.bounds(entities)))
+    return E.normalised(E.primitives(entities), E.normalisation(E.bounds(entities, kept)))
 
 
 def _sheet_sizes(spark: SparkSession, d: str) -> DataFrame:

@@ -421,6 +421,32 @@ def test_data_source(spark, tmp_path):
     assert got.columns == read_dxf(spark, str(tmp_path / "room.dxf")).columns and got.where("dxftype = 'LINE'").count() == 6
 
 
+def insert(block, x, y, turn=0, k=1, m=1):
+    return f"0\nINSERT\n8\n0\n2\n{block}\n10\n{x}\n20\n{y}\n50\n{turn}\n41\n{k}\n42\n{m}\n"
+
+
+def block(name, body, x=0, y=0):
+    return f"0\nBLOCK\n2\n{name}\n10\n{x}\n20\n{y}\n{body}0\nENDBLK\n"
+
+
+@pytest.mark.parametrize(
+    "entities, blocks, want",
+    [
+        (insert("A", 10, 20), block("A", line("0", 1, 1, 4, 2), 1, 1), (10, 20, 13, 21)),
+        (insert("A", 100, 100, 90), block("A", insert("B", 10, 0, 0, 2, 3)) + block("B", line("0", 0, 0, 5, 4)), (88, 110, 100, 120)),
+        (insert("A", 0, 0, 45), block("A", line("0", 0, 0, 10, 0)), (0, 0, 50**0.5, 50**0.5)),
+        (insert("A", 0, 0, 30, 2, 1), block("A", "0\nCIRCLE\n8\n0\n10\n0\n20\n0\n40\n1\n"), (-(13**0.5) / 2, -(7**0.5) / 2, 13**0.5 / 2, 7**0.5 / 2)),
+        (insert("A", 0, 0, 90), block("A", "0\nARC\n8\n0\n10\n0\n20\n0\n40\n1\n50\n0\n51\n90\n"), (-1, 0, 0, 1)),
+        (insert("A", 0, 0) + insert("A", 50, 0) + insert("NONE", 999, 999), block("A", insert("B", 1, 0)) + block("B", insert("C", 1, 0)) + block("C", line("0", 0, 0, 1, 1)), (2, 0, 53, 1)),
+        (insert("A", 0, 0) + line("0", 0, 0, 1, 1), block("A", insert("A", 1, 0)), (0, 0, 1, 1)),
+    ],
+)
+def test_bounds_of_blocks_in_blocks(spark, tmp_path, entities, blocks, want):
+    (tmp_path / "d.dxf").write_text(dxf(entities, blocks))
+    r = extraction.bounds(kept(read_dxf(spark, str(tmp_path / "d.dxf"))), kept).first()
+    assert (r.min_x, r.min_y, r.max_x, r.max_y) == pytest.approx(want, abs=1e-9)
+
+
 def as_binary(text, wide=True):
     """The binary form of a file."""
     import struct
