@@ -143,7 +143,9 @@ def _groups(benchmark: DataFrame, limit: int) -> Iterator[list[tuple]]:
     """The distinct items in groups of about ``limit`` characters, one group at a time; one, empty, without items."""
     group: list[tuple] = []
     held = 0
-    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct().orderBy("item_id", "text")
+    rows = benchmark.select(
+        "item_id", F.col("text").cast("string").alias("text")
+    ).where("text IS NOT NULL").distinct().orderBy("item_id", "text")
     for item, text in rows.toLocalIterator():
         if held and held + len(text) > limit:
             yield group
@@ -185,7 +187,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
                         items.append(item)
                         starts.append(a)
                         ends.append(z)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(items, item_type), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "item_id", "start", "end"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).take(pa.array(ids, pa.int64())), pa.array(items, item_type), pa.array(starts, pa.int64()),
+                        pa.array(ends, pa.int64())
+                    ],
+                    ["doc_id", "item_id", "start", "end"]
+                )
 
         part = texts.transform(T.batched, run, f"doc_id {kind}, item_id {item_kind.simpleString()}, start bigint, end bigint")
         out = part if out is None else out.union(part)

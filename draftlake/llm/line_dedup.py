@@ -35,10 +35,14 @@ def _hashed(docs: DataFrame) -> DataFrame:
             if not len(b):
                 continue
             # rows in the order of the corpus: doc_id, nulls last, then rk
-            order = pa.compute.sort_indices(pa.table({"a": b.column(0), "b": b.column(1)}), sort_keys=[("a", "ascending"), ("b", "ascending")], null_placement="at_end")
+            order = pa.compute.sort_indices(
+                pa.table({"a": b.column(0), "b": b.column(1)}), sort_keys=[("a", "ascending"), ("b", "ascending")], null_placement="at_end"
+            )
             b = b.take(order)
             for first, data, offs in T.chunks(b.column(2)):
-                yield _lines_of(b.column(0).slice(first, len(offs) - 1), np.asarray(b.column(1).slice(first, len(offs) - 1)), data, offs, hot)
+                yield _lines_of(
+                    b.column(0).slice(first, len(offs) - 1), np.asarray(b.column(1).slice(first, len(offs) - 1)), data, offs, hot
+                )
 
     return rows.transform(T.batched, run, f"h bigint, doc_id {kind}, rk bigint, pos int, n_lines bigint, known array<int>")
 
@@ -86,8 +90,11 @@ def _lines_of(ids: pa.Array, rk: np.ndarray, data: np.ndarray, offs: np.ndarray,
     null = lambda kind, size: pa.nulls(size, kind)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([h[sent], own]).view(np.int64)), pa.concat_arrays([ids.take(pa.array(row[lines])), ids]), pa.array(np.concatenate([rk[row[lines]], rk])),
-            pa.concat_arrays([pa.array(pos[lines].astype(np.int32)), null(pa.int32(), n)]), pa.concat_arrays([null(pa.int64(), len(lines)), pa.array(count.astype(np.int64))]), pa.concat_arrays([null(known.type, len(lines)), known]),
+            pa.array(np.concatenate([h[sent], own]).view(np.int64)), pa.concat_arrays([ids.take(pa.array(row[lines])), ids]),
+            pa.array(np.concatenate([rk[row[lines]], rk])),
+            pa.concat_arrays([pa.array(pos[lines].astype(np.int32)), null(pa.int32(), n)]),
+            pa.concat_arrays([null(pa.int64(), len(lines)), pa.array(count.astype(np.int64))]),
+            pa.concat_arrays([null(known.type, len(lines)), known]),
         ],
         ["h", "doc_id", "rk", "pos", "n_lines", "known"],
     )
@@ -105,7 +112,12 @@ def decisions(docs: DataFrame) -> DataFrame:
     lines = _hashed(docs).withColumn("part", part).repartitionById(parts, F.col("part"))
     order = Window.partitionBy("part", "h").orderBy(F.col("doc_id").asc_nulls_last(), "rk", "pos")
     seen = lines.withColumn("k", F.row_number().over(order)).where("n_lines IS NOT NULL OR k > 1")
-    per = seen.groupBy("doc_id", "rk").agg(F.max("n_lines").alias("n_lines"), F.count("n_lines").alias("copies"), F.array_sort(F.concat(F.flatten(F.collect_list("known")), F.collect_list(F.when(F.col("n_lines").isNull(), F.col("pos"))))).alias("d"))
+    per = seen.groupBy("doc_id", "rk").agg(
+        F.max("n_lines").alias("n_lines"), F.count("n_lines").alias("copies"),
+        F.array_sort(
+            F.concat(F.flatten(F.collect_list("known")), F.collect_list(F.when(F.col("n_lines").isNull(), F.col("pos"))))
+        ).alias("d")
+    )
     # equal rows fall into one group here: a line of theirs goes only if each copy's goes
     true = F.filter(F.array_distinct("d"), lambda x: F.size(F.filter("d", lambda y: y == x)) == F.col("copies"))
     return per.select("doc_id", "rk", "n_lines", F.when(F.col("copies") == 1, F.col("d")).otherwise(true).alias("dropped"))
@@ -138,7 +150,9 @@ def line_bitmaps(docs: DataFrame) -> DataFrame:
     empty result. Two shuffles: one row of about 30 bytes for each line that a batch has first, then one for each line that goes
     and each document; no text is shuffled, and a line that all documents have has about one row a task.
     """
-    return decisions(docs).select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), bitmap("n_lines", "dropped").alias("keep_runs"))
+    return decisions(docs).select(
+        "doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), bitmap("n_lines", "dropped").alias("keep_runs")
+    )
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
@@ -151,19 +165,33 @@ def first_lines(docs: DataFrame) -> DataFrame:
     # a row goes along as one column beside its text, so that its names can't clash with those here; one hash of (doc_id, text) is the only
     # key of the exchange, which thus serves the join and the window; what it stands for is compared by inequalities, so that
     # it doesn't become part of the key
-    cut = decisions(docs).where(F.size("dropped") > 0).select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), bitmap("n_lines", "dropped").alias("_runs")).select("*", F.xxhash64("_id", "_rk").alias("_place"))
-    keyed = docs.select(F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns if c != "text")).alias("row"), docs["doc_id"].alias("id"), docs["text"].cast("string").alias("text"), row_key(docs["text"].cast("string")).alias("key")).withColumn("at", F.xxhash64("id", "key"))
+    cut = decisions(docs).where(F.size("dropped") > 0).select(
+        F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), bitmap("n_lines", "dropped").alias("_runs")
+    ).select("*", F.xxhash64("_id", "_rk").alias("_place"))
+    keyed = docs.select(
+        F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns if c != "text")).alias("row"), docs["doc_id"].alias("id"),
+        docs["text"].cast("string").alias("text"), row_key(docs["text"].cast("string")).alias("key")
+    ).withColumn("at", F.xxhash64("id", "key"))
     alike = lambda x, y: (F.col(x) >= F.col(y)) & (F.col(x) <= F.col(y))
     one = F.coalesce(alike("id", "_id"), F.col("id").isNull() & F.col("_id").isNull())
     joined = keyed.join(cut, (F.col("at") == F.col("_place")) & one & alike("key", "_rk"), "left")
     copy = F.row_number().over(Window.partitionBy("at", "id", "key").orderBy("key"))
     bits = F.flatten(F.transform(F.split("_runs", ","), lambda r, i: F.array_repeat(i % 2 == 0, r.cast("int"))))
-    kept = F.array_join(F.transform(F.filter(F.arrays_zip(F.split("text", "\n", -1).alias("line"), bits.alias("bit")), lambda z: z["bit"]), lambda z: z["line"]), "\n")
-    out = joined.withColumn("copy", F.when(F.col("text").isNull(), 1).otherwise(copy)).where("copy = 1").withColumn("text", F.when(F.col("_runs").isNull(), F.col("text")).otherwise(kept))
+    kept = F.array_join(
+        F.transform(
+            F.filter(F.arrays_zip(F.split("text", "\n", -1).alias("line"), bits.alias("bit")), lambda z: z["bit"]), lambda z: z["line"]
+        ),
+        "\n"
+    )
+    out = joined.withColumn("copy", F.when(F.col("text").isNull(), 1).otherwise(copy)).where("copy = 1").withColumn(
+        "text", F.when(F.col("_runs").isNull(), F.col("text")).otherwise(kept)
+    )
     out = out.where(F.col("_runs").isNull() | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_runs").isNull(), F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(
+            F.col("_runs").isNull(), F.col("row.n_chars")
+        ).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return out.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 

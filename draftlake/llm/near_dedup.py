@@ -78,7 +78,9 @@ def signatures(docs: DataFrame, ngram: int, bands: int, rows: int) -> DataFrame:
                 if not some.any():
                     continue
                 key = band_keys(grams, bounds, bands, rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, bands, dtype=np.int32)), pa.array(key.reshape(-1).view(np.int64)))
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, key.size + 1, bands, dtype=np.int32)), pa.array(key.reshape(-1).view(np.int64))
+                )
                 ids = b.column(0).slice(first, len(offs) - 1).filter(pa.array(some))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(whole[some].view(np.int64)), lists], ["doc_id", "whole", "bands"])
 
@@ -114,7 +116,9 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     The sets of the more varied side b join first, so that each is shuffled once more with its pair, not with its group.
     """
     kind = pairs.schema["a"].dataType.simpleString()
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = pairs.join(
+        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b"
+    ).join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,13 +143,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = two.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: the smaller neighbours of a node, and itself, go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(low, "u").select(
+            F.col("v").alias("u"), F.col("m").alias("v")
+        ).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         new = scratch.write(small)
         sums = new.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         scratch.drop(now)
         now = new
         if tuple(sums) == state:
-            return now.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id")).union(now.select(F.col("v").alias("doc_id"), F.col("v").alias("group_id")).distinct())
+            return now.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id")).union(
+                now.select(F.col("v").alias("doc_id"), F.col("v").alias("group_id")).distinct()
+            )
         state = tuple(sums)
 
 
@@ -163,7 +171,9 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = pa.concat_arrays([lead, ids]) if lead is not None else ids
         head = np.maximum.accumulate(np.where(same[:-1], 0, np.arange(len(g)) + (lead is not None)))
         keep = np.flatnonzero(same[1:] | same[:-1])
-        out = pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), ids.take(pa.array(keep)), pool.take(pa.array(head[keep]))], ["g", "doc_id", "a"])
+        out = pa.RecordBatch.from_arrays(
+            [b.column(0).take(pa.array(keep)), ids.take(pa.array(keep)), pool.take(pa.array(head[keep]))], ["g", "doc_id", "a"]
+        )
         return out, pool.slice(int(head[-1]), 1) if same[-1] else None
 
     held: pa.RecordBatch | None = None
@@ -206,7 +216,9 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRA
     texts = docs.select("doc_id", docs["text"].cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     first = scratch.write(signatures(texts, ngram, bands, rows))
     # partial aggregates and a join, in which AQE may split the copies of one text
-    copied = first.groupBy("whole").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").select("whole", "least")
+    copied = first.groupBy("whole").agg(
+        F.min("doc_id").alias("least"), F.count("*").alias("copies")
+    ).where("copies > 1").select("whole", "least")
     sig = scratch.write(first.join(copied, "whole", "left").select("doc_id", F.coalesce("least", "doc_id").alias("rep"), "bands"))
     scratch.drop(first)
     exact = sig.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -245,9 +257,13 @@ def one_row_of_each(docs: DataFrame, **params) -> DataFrame:
     key, copy, text = "_near_key", "_near_copy", docs["text"].cast("string")
     keyed = docs.withColumn(key, F.xxhash64(docs["doc_id"], text))
     groups = near_groups(keyed.select(F.col(key).alias("doc_id"), text.alias("text")), **params)
-    names = keyed.select(F.col(key).alias("k"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h")).where("id IS NOT NULL OR h IS NOT NULL").distinct()
+    names = keyed.select(
+        F.col(key).alias("k"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h")
+    ).where("id IS NOT NULL OR h IS NOT NULL").distinct()
     best = Window.partitionBy("group_id").orderBy(F.col("id").isNull(), "id", "h")
-    gone = names.join(groups.select(F.col("doc_id").alias("k"), "group_id"), "k").withColumn("r", F.row_number().over(best)).where("r > 1").select(F.col("k").alias("gone_key"))
+    gone = names.join(
+        groups.select(F.col("doc_id").alias("k"), "group_id"), "k"
+    ).withColumn("r", F.row_number().over(best)).where("r > 1").select(F.col("k").alias("gone_key"))
     left = keyed.join(gone, F.col(key) == F.col("gone_key"), "left_anti")
     # the join has the rows of a key together already
     alike = Window.partitionBy(key, "doc_id").orderBy(F.xxhash64(*docs.columns))

@@ -39,7 +39,9 @@ def vocabulary_of(spark: SparkSession, path: str | None) -> bytes:
 def token_counts(docs: DataFrame, vocabulary: str | None) -> DataFrame:
     """(doc_id, rk, tokens) of each row with a text; each document has an end token besides those of its text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", row_key(docs["text"].cast("string")).alias("rk"), docs["text"].cast("string").alias("text")).where("text IS NOT NULL")
+    rows = docs.select(
+        "doc_id", row_key(docs["text"].cast("string")).alias("rk"), docs["text"].cast("string").alias("text")
+    ).where("text IS NOT NULL")
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary_of(docs.sparkSession, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,12 +151,24 @@ def packed(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None)
     kind = docs.schema["doc_id"].dataType.simpleString()
     tokens = token_counts(docs, vocabulary)
     cut = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("tokens") - 1) / window)))
-    pieces = tokens.withColumn("k", cut).select("doc_id", "rk", (F.col("k") * window).alias("doc_offset"), F.least(F.lit(window).cast("bigint"), F.col("tokens") - F.col("k") * window).alias("n_tokens"))
+    pieces = tokens.withColumn("k", cut).select(
+        "doc_id", "rk", (F.col("k") * window).alias("doc_offset"),
+        F.least(F.lit(window).cast("bigint"), F.col("tokens") - F.col("k") * window).alias("n_tokens")
+    )
     pieces = scratch.write(pieces)
-    ranged = scratch.write(pieces.repartitionByRange("n_tokens", F.col("doc_id").asc_nulls_last(), "rk", "doc_offset").sortWithinPartitions("n_tokens", F.col("doc_id").asc_nulls_last(), "rk", "doc_offset").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()))
+    ranged = scratch.write(
+        pieces.repartitionByRange(
+            "n_tokens", F.col("doc_id").asc_nulls_last(), "rk", "doc_offset"
+        ).sortWithinPartitions(
+            "n_tokens", F.col("doc_id").asc_nulls_last(), "rk", "doc_offset"
+        ).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
+    )
     scratch.drop(pieces)
     # a partition holds a range of lengths: in all at most partitions + window rows
-    counts = sorted((r["part"], r["n_tokens"], r["n"], r["low"]) for r in ranged.groupBy("part", "n_tokens").agg(F.count("*").alias("n"), F.min("row").alias("low")).collect())
+    counts = sorted(
+        (r["part"], r["n_tokens"], r["n"], r["low"])
+        for r in ranged.groupBy("part", "n_tokens").agg(F.count("*").alias("n"), F.min("row").alias("low")).collect()
+    )
     histogram: dict[int, int] = {}
     base: dict[tuple[int, int], int] = {}
     for part, length, n, low in counts:
@@ -171,7 +185,10 @@ def packed(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None)
             pair, inverse = np.unique(np.stack([part, length]), axis=1, return_inverse=True)
             rank = row + np.array([base[p, n] for p, n in pair.T.tolist()], np.int64)[inverse.reshape(-1)]
             where, at = place(plan, length, rank)
-            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(at), b.column(0), b.column(1), b.column(3)], ["window_id", "window_offset", "doc_id", "doc_offset", "n_tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(where), pa.array(at), b.column(0), b.column(1), b.column(3)],
+                ["window_id", "window_offset", "doc_id", "doc_offset", "n_tokens"]
+            )
 
     cols = ranged.select("doc_id", "doc_offset", F.col("part").cast("bigint").alias("part"), "n_tokens", "row")
     return cols.transform(T.batched, run, f"window_id bigint, window_offset bigint, doc_id {kind}, doc_offset bigint, n_tokens bigint")

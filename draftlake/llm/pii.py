@@ -25,7 +25,10 @@ _SLICE = 1 << 16
 TRAIN_DOCS = 600
 #: A token that has none of these signs can be a name only.
 CANDIDATE = r"[0-9@]"
-_TITLES = r"(?:Mr|Mrs|Ms|Dr|Prof|Herrn?|Frau|Señora?|Sra|Monsieur|Madame|Mme|Mlle)\.?|[Nn]ame|[Nn]ombre|[Nn]om|[Nn]ame is|me llamo|m'appelle|heiße"
+_TITLES = (
+    r"(?:Mr|Mrs|Ms|Dr|Prof|Herrn?|Frau|Señora?|Sra|Monsieur|Madame|Mme|Mlle)\.?|[Nn]ame|[Nn]ombre|[Nn]om|[Nn]ame is|me "
+    r"llamo|m'appelle|heiße"
+)
 #: What names follow; by itself it tells little, as a name it must be that of a person by all its mentions.
 _TITLE = re.compile(rf"(?<![^\W_])(?:{_TITLES})(?: ?[:=])?\s+(?=[^\W\d_a-zß-ÿ])")
 _NAME = re.compile(r"([^\W\d_a-zß-ÿ][^\W\d_]*(?:['’\-][^\W\d_]+)*)(?:[ \t]+(?=[^\W\d_a-zß-ÿ]))?")
@@ -47,19 +50,32 @@ _GROUPED_CARD = re.compile(r"(?<![\w\-])(?<!\d[ .,])\d{4}([ \-])\d{4}\1\d{4}\1\d
 _GROUPED_PHONE = re.compile(r"(?<!\w)\+\d{1,3}[ .\-]?(?:\(\d{2,5}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|\d{1,8}(?:[ .\-]\d{2,8}){1,5})(?!\w)")
 _EDGE = "!?.,;:\"'`|*#$%&<>[]{}~^=…«»“”‘’"
 _CUES = {
-    "tel": "phone", "telephone": "phone", "phone": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "cell": "phone", "telefon": "phone", "teléfono": "phone", "téléphone": "phone",
-    "email": "mail", "e-mail": "mail", "mail": "mail", "contact": "mail", "card": "card", "visa": "card", "mastercard": "card", "credit": "card", "kreditkarte": "card", "carte": "card", "tarjeta": "card",
-    "ip": "ip", "host": "ip", "server": "ip", "address": "ip", "ssn": "ssn", "social": "ssn", "iban": "iban", "account": "iban", "konto": "iban",
-    "version": "version", "v": "version", "release": "version", "section": "version", "page": "number", "room": "number", "order": "number", "invoice": "number", "item": "number", "id": "number", "isbn": "number", "usd": "number", "eur": "number", "about": "number", "than": "number",
+    "tel": "phone", "telephone": "phone", "phone": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "cell": "phone",
+    "telefon": "phone", "teléfono": "phone", "téléphone": "phone",
+    "email": "mail", "e-mail": "mail", "mail": "mail", "contact": "mail", "card": "card", "visa": "card", "mastercard": "card",
+    "credit": "card", "kreditkarte": "card", "carte": "card", "tarjeta": "card",
+    "ip": "ip", "host": "ip", "server": "ip", "address": "ip", "ssn": "ssn", "social": "ssn", "iban": "iban", "account": "iban",
+    "konto": "iban",
+    "version": "version", "v": "version", "release": "version", "section": "version", "page": "number", "room": "number", "order": "number",
+    "invoice": "number", "item": "number", "id": "number", "isbn": "number", "usd": "number", "eur": "number", "about": "number",
+    "than": "number",
 }
 _SHAPES = {
-    "mail": r"[a-z0-9._%+\-]+@[a-z0-9\-]+(\.[a-z0-9\-]+)*\.[a-z]{2,}", "at": r".*@.*", "handle": r"@\w+", "ip": r"(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}", "dotted4": r"\d+(\.\d+){3}", "dotted": r"v?\d+(\.\d+)+",
-    "digits16": r"\d{16}", "digits1519": r"\d{15}|\d{17,19}", "card_groups": r"\d{4}([- ]\d{4}){3}", "four": r"\d{4}", "digits10": r"\d{10}|\d{11}", "short": r"\d{1,3}", "digits59": r"\d{5,9}", "digits1214": r"\d{12,14}", "long": r"\d{20,}",
-    "intl": r"\+\d{1,3}", "area": r"\(\d{2,5}\)", "local": r"\d{3}-\d{4}", "phone": r"(\+?\d{1,3}[-.])?\(?\d{3}\)?[-.]?\d{3}[-.]\d{4}", "intl_full": r"\+\d{7,15}", "ssn": r"\d{3}-\d{2}-\d{4}", "iban": r"[a-z]{2}\d{2}[a-z0-9]{11,30}",
-    "date": r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}\.\d{1,2}\.\d{4}", "time": r"\d{1,2}:\d{2}(:\d{2})?", "money": r"[$€£]\d.*|\d+(,\d{3})+(\.\d+)?", "decimal": r"\d+[.,]\d+", "hex": r"(?=.*[a-f])(?=.*\d)[0-9a-f]{12,}", "mixed": r"(?=.*[a-z])(?=.*\d)[a-z0-9_\-]+", "ratio": r"\d+[-/]\d+",
+    "mail": r"[a-z0-9._%+\-]+@[a-z0-9\-]+(\.[a-z0-9\-]+)*\.[a-z]{2,}", "at": r".*@.*", "handle": r"@\w+",
+    "ip": r"(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}", "dotted4": r"\d+(\.\d+){3}", "dotted": r"v?\d+(\.\d+)+",
+    "digits16": r"\d{16}", "digits1519": r"\d{15}|\d{17,19}", "card_groups": r"\d{4}([- ]\d{4}){3}", "four": r"\d{4}",
+    "digits10": r"\d{10}|\d{11}", "short": r"\d{1,3}", "digits59": r"\d{5,9}", "digits1214": r"\d{12,14}", "long": r"\d{20,}",
+    "intl": r"\+\d{1,3}", "area": r"\(\d{2,5}\)", "local": r"\d{3}-\d{4}", "phone": r"(\+?\d{1,3}[-.])?\(?\d{3}\)?[-.]?\d{3}[-.]\d{4}",
+    "intl_full": r"\+\d{7,15}", "ssn": r"\d{3}-\d{2}-\d{4}", "iban": r"[a-z]{2}\d{2}[a-z0-9]{11,30}",
+    "date": r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}\.\d{1,2}\.\d{4}", "time": r"\d{1,2}:\d{2}(:\d{2})?",
+    "money": r"[$€£]\d.*|\d+(,\d{3})+(\.\d+)?", "decimal": r"\d+[.,]\d+", "hex": r"(?=.*[a-f])(?=.*\d)[0-9a-f]{12,}",
+    "mixed": r"(?=.*[a-z])(?=.*\d)[a-z0-9_\-]+", "ratio": r"\d+[-/]\d+",
 }
 _TESTS = [(k, re.compile(v)) for k, v in _SHAPES.items()]
-FEATURES = ("bias", *_SHAPES, "luhn", "mod97", "capital", "common", "title", *(f"cue_{c}" for c in sorted({*_CUES.values()})), *(f"{side}_{k}" for side in ("before", "after") for k in ("intl", "area", "local", "four")))
+FEATURES = (
+    "bias", *_SHAPES, "luhn", "mod97", "capital", "common", "title", *(f"cue_{c}" for c in sorted({*_CUES.values()})),
+    *(f"{side}_{k}" for side in ("before", "after") for k in ("intl", "area", "local", "four"))
+)
 _AT = {k: i for i, k in enumerate(FEATURES)}
 
 
@@ -174,7 +190,10 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
     if not after:
         return []
     known = {link(_LETTERS.match(text, a).group()) for a in after}
-    return [(m.start(), m.end(), m.group(), after.get(m.start(), "")) for m in _LETTERS.finditer(text) if m.start() in after or link(m.group()) in known]
+    return [
+        (m.start(), m.end(), m.group(), after.get(m.start(), ""))
+        for m in _LETTERS.finditer(text) if m.start() in after or link(m.group()) in known
+    ]
 
 
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
@@ -283,7 +302,9 @@ def messages(field: Field, g: Graph, rounds: int = ROUNDS) -> tuple[np.ndarray,
     All messages of a round are sent at once, half of the old message is kept, until none changes any more. On trees that is
     exact; with loops it is the usual approximation.
     """
-    own = np.concatenate([g.x[i : i + _SLICE].astype(float) @ field.unary for i in range(0, len(g.x), _SLICE)]) if len(g.x) else np.zeros((0, len(LABELS)))
+    own = np.concatenate(
+        [g.x[i : i + _SLICE].astype(float) @ field.unary for i in range(0, len(g.x), _SLICE)]
+    ) if len(g.x) else np.zeros((0, len(LABELS)))
     kinds = [(e, pot) for e, pot in ((g.chain, field.chain), (g.skip, field.skip), (g.near, field.near))]
     sent = [(np.zeros((len(e), len(LABELS))), np.zeros((len(e), len(LABELS)))) for e, _ in kinds]
 
@@ -336,18 +357,38 @@ def _synthetic(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]
         return pick(s, s, " ".join(s[i : i + 4] for i in range(0, len(s), 4)))
 
     cap = lambda: word().capitalize()
-    title = lambda: pick("Mr.", "Mrs", "Dr.", "Prof.", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "Name:", "name is", "nombre:", "nom:")
+    title = lambda: pick(
+        "Mr.", "Mrs", "Dr.", "Prof.", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "Name:", "name is", "nombre:", "nom:"
+    )
 
     ip = lambda: ".".join(str(x) for x in r.integers(1, 255, 4))
     makers = {
-        "EMAIL": (lambda: f"{word()}{pick('', '.', '_')}{pick('', num(2))}@{word()}{pick('', num(1))}.{pick('com', 'org', 'example.com', 'de')}", ("email", "mail", "contact", "")),
-        "PHONE": (lambda: pick(f"+{r.integers(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{r.integers(1, 9)}{num(10)}", f"{num(3)}.{num(3)}.{num(4)}", f"+{r.integers(20, 99)} {num(3)} {num(3)} {num(3)}", f"+{r.integers(20, 99)} {num(2)} {num(4)} {num(4)}"), ("tel", "phone", "call", "mobile", "")),
+        "EMAIL": (
+            lambda: f"{word()}{pick('', '.', '_')}{pick('', num(2))}@{word()}{pick('', num(1))}.{pick('com', 'org', 'example.com', 'de')}",
+            ("email", "mail", "contact", "")
+        ),
+        "PHONE": (
+            lambda: pick(
+                f"+{r.integers(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}",
+                f"+{r.integers(1, 9)}{num(10)}", f"{num(3)}.{num(3)}.{num(4)}", f"+{r.integers(20, 99)} {num(3)} {num(3)} {num(3)}",
+                f"+{r.integers(20, 99)} {num(2)} {num(4)} {num(4)}"
+            ),
+            ("tel", "phone", "call", "mobile", "")
+        ),
         "IP": (ip, ("ip", "server", "host", "")),
         "CARD": (card, ("card", "visa", "credit", "")),
         "SSN": (lambda: f"{num(3)}-{num(2)}-{num(4)}", ("ssn", "social", "")),
         "IBAN": (iban, ("iban", "account", "")),
         "O": (
-            lambda: pick(num(1), num(2), num(3), num(4), num(4), f"{r.integers(1990, 2030)}-{r.integers(10, 13)}-{r.integers(10, 29)}", f"{r.integers(1, 12)}/{r.integers(1, 29)}/{r.integers(1990, 2030)}", f"{r.integers(0, 24)}:{r.integers(10, 60)}", f"${num(3)}.{num(2)}", f"{num(2)},{num(3)}", f"{num(1)}.{num(2)}", f"v{num(1)}.{num(1)}.{num(1)}", f"{num(1)}.{num(1)}.{num(1)}.{num(1)}{num(3)}", f"{word()}{num(2)}", "".join(r.choice(list("0123456789abcdef"), 40)), num(int(r.integers(5, 10))), num(int(r.integers(12, 15))), num(int(r.integers(20, 30))), f"@{word()}", f"{num(2)}%", f"{num(2)}-{num(2)}", " ".join(str(r.integers(1900, 2030)) for _ in range(r.integers(2, 7))), ", ".join(str(r.integers(1900, 2030)) for _ in range(r.integers(2, 7)))),
+            lambda: pick(
+                num(1), num(2), num(3), num(4), num(4), f"{r.integers(1990, 2030)}-{r.integers(10, 13)}-{r.integers(10, 29)}",
+                f"{r.integers(1, 12)}/{r.integers(1, 29)}/{r.integers(1990, 2030)}", f"{r.integers(0, 24)}:{r.integers(10, 60)}",
+                f"${num(3)}.{num(2)}", f"{num(2)},{num(3)}", f"{num(1)}.{num(2)}", f"v{num(1)}.{num(1)}.{num(1)}",
+                f"{num(1)}.{num(1)}.{num(1)}.{num(1)}{num(3)}", f"{word()}{num(2)}", "".join(r.choice(list("0123456789abcdef"), 40)),
+                num(int(r.integers(5, 10))), num(int(r.integers(12, 15))), num(int(r.integers(20, 30))), f"@{word()}", f"{num(2)}%",
+                f"{num(2)}-{num(2)}", " ".join(str(r.integers(1900, 2030)) for _ in range(r.integers(2, 7))),
+                ", ".join(str(r.integers(1900, 2030)) for _ in range(r.integers(2, 7)))
+            ),
             ("version", "page", "order", "invoice", "about", "room", "", ""),
         ),
     }
@@ -408,7 +449,10 @@ def _synthetic(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]
             form = r.random()
             if form < 0.35:  # glued, bracketed, JSON, CSV and URL
                 name = cue or word()
-                before, after = pick((f"{name}:", ""), (f"{name}=", ";"), ("(", ")"), ("[", "],"), (f'{{"{name}":"', '"}'), (f"{word()},", f",{word()}"), (f"{word()}://{word()}/{word()}?{name}=", f"&{word()}"))
+                before, after = pick(
+                    (f"{name}:", ""), (f"{name}=", ";"), ("(", ")"), ("[", "],"), (f'{{"{name}":"', '"}'), (f"{word()},", f",{word()}"),
+                    (f"{word()}://{word()}/{word()}?{name}=", f"&{word()}")
+                )
                 start = put(before + s + after) + len(before)
             else:
                 if cue:
@@ -425,7 +469,9 @@ def fit(n_docs: int = TRAIN_DOCS, seed: int = 7, steps: int = 120, penalty: floa
     docs = [(t, candidates(t)) for t, _ in made]
     g = graph(docs)
     x = g.x.astype(float)
-    y = np.concatenate([[next((LABELS.index(lb) for a, b, lb in spans if a <= s < b), 0) for s, *_ in found] for (_, found), (_, spans) in zip(docs, made)]).astype(np.int64)
+    y = np.concatenate(
+        [[next((LABELS.index(lb) for a, b, lb in spans if a <= s < b), 0) for s, *_ in found] for (_, found), (_, spans) in zip(docs, made)]
+    ).astype(np.int64)
     hot = np.eye(len(LABELS))[y]
     theta = [np.zeros((len(FEATURES), len(LABELS))), *(np.zeros((len(LABELS),) * 2) for _ in range(3))]
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
@@ -462,7 +508,9 @@ def entities(field: Field, texts: list[str]) -> list[list[tuple[int, int, str, f
         a, b, *_ = flat[k]
         got, label = out[of[k]], LABELS[best[k]]
         text = docs[of[k]][0]
-        if k in joined and got and best[joined[k]] == best[k] and got[-1][1] == flat[k - 1][1] and text[got[-1][1] : a].isspace() and _continues(label, flat[k - 1][2], flat[k][2]):
+        if k in joined and got and best[joined[k]] == best[k] and got[-1][1] == flat[k - 1][1] and text[got[-1][1] : a].isspace() and _continues(
+            label, flat[k - 1][2], flat[k][2]
+        ):
             got[-1] = (got[-1][0], b, label, min(got[-1][3], float(node[k, best[k]])))
         else:
             got.append((a, b, label, float(node[k, best[k]])))
@@ -506,9 +554,13 @@ def personal_data(docs: DataFrame) -> DataFrame:
                     rows += [k] * len(got)
                     found += got
             cols = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *cols], ["doc_id", "start", "end", "label", "probability"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(rows, pa.int64())), *cols], ["doc_id", "start", "end", "label", "probability"]
+            )
 
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).where("text IS NOT NULL").transform(T.batched, run, f"doc_id {kind}, start bigint, end bigint, label string, probability double")
+    return docs.select("doc_id", docs["text"].cast("string").alias("text")).where("text IS NOT NULL").transform(
+        T.batched, run, f"doc_id {kind}, start bigint, end bigint, label string, probability double"
+    )
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,10 +65,17 @@ def features(texts: pa.Array, known: np.ndarray | None = None) -> Iterator[tuple
         cut = lambda c: c[offs[1:]] - c[offs[:-1]]
         same = np.zeros(len(h), bool)
         same[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
-        distinct = np.bincount((np.unique((row.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))) >> np.uint64(40)).astype(np.int64), minlength=n)
-        shares = [cut(upper) / np.maximum(cut(letters), 1), np.diff(pb) / many, 1 - distinct / many, np.bincount(row[same], minlength=n) / many]
+        distinct = np.bincount(
+            (np.unique((row.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))) >> np.uint64(40)).astype(np.int64), minlength=n
+        )
+        shares = [
+            cut(upper) / np.maximum(cut(letters), 1), np.diff(pb) / many, 1 - distinct / many, np.bincount(row[same], minlength=n) / many
+        ]
         every = np.arange(n)
-        found += [(every, T.mix(np.minimum(np.maximum(x, 0) * 20, 20).astype(np.uint64) + np.uint64(1000 * (k + 1)))) for k, x in enumerate(shares)]
+        found += [
+            (every, T.mix(np.minimum(np.maximum(x, 0) * 20, 20).astype(np.uint64) + np.uint64(1000 * (k + 1))))
+            for k, x in enumerate(shares)
+        ]
         keys = []
         for r, x in found:
             x = x >> shift
@@ -95,7 +102,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = LEAST_DOCS
     row, n, m = T.rows_of(bounds), len(rows), int(used.sum())
     # sums over runs: features in the order of rows, and rows in the order of features
     by = np.argsort(flat, kind="stable")
-    by_row, by_flat = row[by], np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=m))[:-1]]).astype(np.int64) if m else np.zeros(0, np.int64)
+    by_row, by_flat = row[by], np.concatenate(
+        [[0], np.cumsum(np.bincount(flat, minlength=m))[:-1]]
+    ).astype(np.int64) if m else np.zeros(0, np.int64)
     some = np.flatnonzero(np.diff(bounds))
     theta = np.concatenate([np.zeros(m), [-1.0], gaps])  # weights, the first threshold, logarithms of the gaps
     first, second = np.zeros_like(theta), np.zeros_like(theta)
@@ -145,7 +154,9 @@ def grade(quality: F.Column, toxic: F.Column) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of at most ``sample`` rated documents: of those with a grade the ones with the least hash of their doc_id."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rated = labels.select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    rated = labels.select(
+        "doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")
+    ).where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so many rows at most: small enough to broadcast
     texts = docs.select("doc_id", docs["text"].cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
 
@@ -154,13 +165,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             for first, f, bounds in features(b.column(1)):
                 n = len(bounds) - 1
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(f.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(2).slice(first, n), lists], ["doc_id", "grade", "f"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(first, n), b.column(2).slice(first, n), lists], ["doc_id", "grade", "f"]
+                )
 
-    got = texts.select("doc_id", "text", "grade").transform(T.batched, run, f"doc_id {kind}, grade int, f array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    got = texts.select("doc_id", "text", "grade").transform(
+        T.batched, run, f"doc_id {kind}, grade int, f array<int>"
+    ).toArrow().sort_by([("doc_id", "ascending")])
     f = got.column("f").combine_chunks()
-    flat, at = np.asarray(pa.compute.list_flatten(f)).astype(np.int64), np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(f)))]) if len(f) else np.zeros(1, np.int64)
+    flat, at = np.asarray(pa.compute.list_flatten(f)).astype(np.int64), np.concatenate(
+        [[0], np.cumsum(np.asarray(pa.compute.list_value_length(f)))]
+    ) if len(f) else np.zeros(1, np.int64)
     rows = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
-    rows = [rows[i] for i in sorted(range(len(rows)), key=lambda i: (got.column("doc_id")[i].as_py(), rows[i].tobytes()))] if len({x for x in got.column("doc_id").to_pylist()}) < len(rows) else rows
+    rows = [
+        rows[i] for i in sorted(range(len(rows)), key=lambda i: (got.column("doc_id")[i].as_py(), rows[i].tobytes()))
+    ] if len({x for x in got.column("doc_id").to_pylist()}) < len(rows) else rows
     return fit(rows, np.asarray(got.column("grade")).astype(np.int64))
 
 
@@ -186,9 +205,17 @@ def graded(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, select: flo
         for b in batches:
             tails = model.tails(score(model, b.column(1)))
             inked = np.asarray(pa.compute.fill_null(pa.compute.match_substring_regex(b.column(1), r"\S"), False))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, -1]), pa.array((tails[:, -1] >= select) & inked)], ["doc_id", "expected_grade", "p_fair", "p_best", "keep"])
-
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).transform(T.batched, run, f"doc_id {kind}, expected_grade double, p_fair double, p_best double, keep boolean")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, -1]),
+                    pa.array((tails[:, -1] >= select) & inked)
+                ],
+                ["doc_id", "expected_grade", "p_fair", "p_best", "keep"]
+            )
+
+    return docs.select("doc_id", docs["text"].cast("string").alias("text")).transform(
+        T.batched, run, f"doc_id {kind}, expected_grade double, p_fair double, p_best double, keep boolean"
+    )
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,7 +120,10 @@ def repetition_coverage(docs: DataFrame, top: dict[int, float] = TOP, dup: dict[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = measure(b.column(1))
-            cols = [b.column(0), pa.array(m["n_words"].astype(np.int64)), *(pa.array(m[k].astype(float)) for k in names), pa.array(verdict(m, top, dup, line).astype(bool))]
+            cols = [
+                b.column(0), pa.array(m["n_words"].astype(np.int64)), *(pa.array(m[k].astype(float)) for k in names),
+                pa.array(verdict(m, top, dup, line).astype(bool))
+            ]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", *names, "keep"])
 
     schema = f"doc_id {kind}, n_words bigint, {', '.join(f'{k} double' for k in names)}, keep boolean"
@@ -160,8 +163,16 @@ t{n} AS (SELECT doc_id, max(z) AS z FROM (SELECT doc_id, count(*) * max(size) AS
 r{n} AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) AS k FROM g{n}) WHERE k > 1),
 d{n} AS (SELECT doc_id, sum(strlen(words[i])) AS z FROM (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(i, i + {n})) AS i FROM r{n})) JOIN w USING (doc_id) GROUP BY doc_id)""" for n in DUP)
     total = "greatest(coalesce(list_sum(list_transform(words, lambda x: strlen(x))), 0), 1)"
-    shares = {**{f"top_{n}gram": f"coalesce(t{n}.z, 0) / {total}" for n in TOP}, **{f"dup_{n}gram": f"coalesce(d{n}.z, 0) / {total}" for n in DUP}, "dup_line": "coalesce(l.z, 0)"}
-    keep = " AND ".join(["n_words > 0", *(f"top_{n}gram <= {v}" for n, v in TOP.items()), *(f"dup_{n}gram <= {v}" for n, v in DUP.items()), f"dup_line <= {LINE}"])
+    shares = {
+        **{f"top_{n}gram": f"coalesce(t{n}.z, 0) / {total}" for n in TOP},
+        **{f"dup_{n}gram": f"coalesce(d{n}.z, 0) / {total}" for n in DUP}, "dup_line": "coalesce(l.z, 0)"
+    }
+    keep = " AND ".join(
+        [
+            "n_words > 0", *(f"top_{n}gram <= {v}" for n, v in TOP.items()), *(f"dup_{n}gram <= {v}" for n, v in DUP.items()),
+            f"dup_line <= {LINE}"
+        ]
+    )
     return f"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM documents),
 pos AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w){grams}{tops}{dups},

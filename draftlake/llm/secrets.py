@@ -45,14 +45,22 @@ _WHITE = r"[\s\v\p{Z}\x{85}\x{1c}-\x{1f}]"
 PREFILTER = rf"(?i)(?:pass|pwd|secret|token|key|credential|bearer)[a-z0-9_\-.]*[\"'`]?{_WHITE}*[:=]|bearer{_WHITE}+[a-z0-9\-._~+/]{{4}}"
 #: Common passwords and words, the commonest first.
 WORDS = (
-    "password 123456 qwerty admin letmein welcome monkey dragon master login abc football shadow sunshine princess iloveyou secret test guest root user pass love"
-    " changeme default example placeholder sample dummy demo token key value none null true false your my the this that here insert replace enter todo xxx foo bar baz temp"
-    " summer winter spring autumn monday friday january march april june july august october november december baseball soccer hockey batman superman michael jennifer jordan"
-    " charlie andrew daniel thomas george harley ranger buster hunter trustno robert matthew ashley jessica amanda nicole cookie pepper ginger killer hello freedom whatever"
-    " computer internet server database mysql postgres oracle system service public private production staging development company account access api client hidden redacted"
-    " blue red green black white silver gold orange purple yellow dog cat fish bird horse tiger lion eagle star moon sun fire water earth wind house home work school life"
-    " passwort kennwort contraseña clave motdepasse geheim secreto beispiel exemple ejemplo usuario benutzer utilisateur ändern cambiar changer bitte hier aquí"
-    " time year day night world money power magic angel devil heaven correct battery staple apple google amazon microsoft windows linux android mobile phone email mail"
+    "password 123456 qwerty admin letmein welcome monkey dragon master login abc football shadow sunshine princess iloveyou secret "
+    "test guest root user pass love"
+    " changeme default example placeholder sample dummy demo token key value none null true false your my the this that here "
+    "insert replace enter todo xxx foo bar baz temp"
+    " summer winter spring autumn monday friday january march april june july august october november december baseball soccer "
+    "hockey batman superman michael jennifer jordan"
+    " charlie andrew daniel thomas george harley ranger buster hunter trustno robert matthew ashley jessica amanda nicole cookie "
+    "pepper ginger killer hello freedom whatever"
+    " computer internet server database mysql postgres oracle system service public private production staging development company "
+    "account access api client hidden redacted"
+    " blue red green black white silver gold orange purple yellow dog cat fish bird horse tiger lion eagle star moon sun fire "
+    "water earth wind house home work school life"
+    " passwort kennwort contraseña clave motdepasse geheim secreto beispiel exemple ejemplo usuario benutzer utilisateur ändern "
+    "cambiar changer bitte hier aquí"
+    " time year day night world money power magic angel devil heaven correct battery staple apple google amazon microsoft windows "
+    "linux android mobile phone email mail"
 ).split()
 LEET = str.maketrans("4@310!5$7+8", "aaeloissttb"[:11])
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -92,7 +100,9 @@ class Dictionary:
         if rank == 1 << 60:
             return None
         upper = sum(c.isupper() for c in span)
-        case = 1 if not upper else 2 if upper == len(span) or (upper == 1 and (span[0].isupper() or span[-1].isupper())) else 2 * math.comb(len(span), upper)
+        case = 1 if not upper else 2 if upper == len(span) or (
+            upper == 1 and (span[0].isupper() or span[-1].isupper())
+        ) else 2 * math.comb(len(span), upper)
         swapped = 0 if low in self.rank else sum(a != b for a, b in zip(low, plain))
         return math.log10(rank * case * (2**swapped) + 1)
 
@@ -464,7 +474,9 @@ def secrets(docs: DataFrame, live: float = LIVE, vocabularies: Iterable[str] | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, names, starts, ends, costs = [], [], [], [], []
-            for row in np.flatnonzero(np.asarray(pa.compute.fill_null(pa.compute.match_substring_regex(b.column(1), PREFILTER), False))).tolist():
+            for row in np.flatnonzero(
+                np.asarray(pa.compute.fill_null(pa.compute.match_substring_regex(b.column(1), PREFILTER), False))
+            ).tolist():
                 text = b.column(1)[row].as_py()
                 for name, a, z in values(text):
                     rows.append(row)
@@ -473,11 +485,16 @@ def secrets(docs: DataFrame, live: float = LIVE, vocabularies: Iterable[str] | N
                     ends.append(z)
                     costs.append(round(guess_cost(text[a:z], sent.value), 4))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(costs, pa.float64()), pa.array([c >= live for c in costs], pa.bool_())],
+                [
+                    b.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(starts, pa.int64()),
+                    pa.array(ends, pa.int64()), pa.array(costs, pa.float64()), pa.array([c >= live for c in costs], pa.bool_())
+                ],
                 ["doc_id", "name", "start", "end", "guesses_log10", "live"],
             )
 
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).where("text IS NOT NULL").transform(T.batched, run, f"doc_id {kind}, name string, start bigint, end bigint, guesses_log10 double, live boolean")
+    return docs.select("doc_id", docs["text"].cast("string").alias("text")).where("text IS NOT NULL").transform(
+        T.batched, run, f"doc_id {kind}, name string, start bigint, end bigint, guesses_log10 double, live boolean"
+    )
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,9 @@ def minimizers(h: np.ndarray, bounds: np.ndarray, gram: int = GRAM, window: int
     return least[new], row[new]
 
 
-def _links_of(data: np.ndarray, offs: np.ndarray, low: np.ndarray, low_offs: np.ndarray, least: int, content: bool) -> tuple[np.ndarray, np.ndarray]:
+def _links_of(
+    data: np.ndarray, offs: np.ndarray, low: np.ndarray, low_offs: np.ndarray, least: int, content: bool
+) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the links of a chunk, each once a row: lines, minimizers and MinHash bands."""
     s, e = T.runs(data != 10, offs)
     long = e - s >= least
@@ -107,8 +109,16 @@ def _emit(b: pa.RecordBatch, following: int | None, state: list) -> Iterator[pa.
     told = done & (n > 1)
     ids = b.column(1)
     rows = pa.array(np.flatnonzero(keep))
-    sums = [pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(v)]) for v in (n[told], x[told].view(np.int64), y[told].view(np.int64))]
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[keep], h[heads[told]]])), pa.concat_arrays([ids.take(rows), pa.nulls(int(told.sum()), ids.type)]), *sums], ["h", "doc_id", "n", "x", "y"])
+    sums = [
+        pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(v)]) for v in (n[told], x[told].view(np.int64), y[told].view(np.int64))
+    ]
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([h[keep], h[heads[told]]])), pa.concat_arrays([ids.take(rows), pa.nulls(int(told.sum()), ids.type)]),
+            *sums
+        ],
+        ["h", "doc_id", "n", "x", "y"]
+    )
 
 
 def links(docs: DataFrame, least: int = LINE_BYTES, content: bool = True, repeated: bool = True) -> DataFrame:
@@ -128,7 +138,9 @@ def links(docs: DataFrame, least: int = LINE_BYTES, content: bool = True, repeat
             for first, data, offs, low, low_offs in T.both_cases(b.column(1)):
                 row, h = _links_of(data, offs, low, low_offs, least, content)
                 take = pa.array(first + row)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(take), b.column(2).take(take)], ["h", "doc_id", "d"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), b.column(0).take(take), b.column(2).take(take)], ["h", "doc_id", "d"]
+                )
 
     texts = docs.select("doc_id", docs["text"].cast("string").alias("text"), F.xxhash64("doc_id").alias("d"))
     every = texts.transform(T.batched, run, f"h bigint, doc_id {kind}, d bigint").repartition("h")
@@ -152,7 +164,9 @@ def even(ids: DataFrame, shards: int) -> DataFrame:
     for k in range(_RANGES):
         before.append(upto)
         upto += counts.get(k, 0)
-    place = F.element_at(F.array(*map(F.lit, before)), (F.col("r") + 1).cast("int")) + F.row_number().over(Window.partitionBy("r").orderBy("x", "doc_id")) - 1
+    place = F.element_at(
+        F.array(*map(F.lit, before)), (F.col("r") + 1).cast("int")
+    ) + F.row_number().over(Window.partitionBy("r").orderBy("x", "doc_id")) - 1
     return hashed.select("doc_id", F.floor(place * shards / F.lit(max(total, 1))).cast("int").alias("shard"))
 
 
@@ -177,14 +191,21 @@ def _wishes(edges: DataFrame, label: DataFrame, shards: int, turn: int) -> DataF
     each = range(shards)
     count = here.groupBy("h").agg(*(F.count_if(F.col("shard") == s).alias(f"c{s}") for s in each))
     share = F.col("m") / (F.col("n") - 1)
-    weight = here.join(count.hint("merge"), "h").groupBy("doc_id", "shard").agg(*(F.round(F.sum(share * (F.col(f"c{s}") - (F.col("shard") == s).cast("int"))), 9).alias(f"w{s}") for s in each))
+    weight = here.join(count.hint("merge"), "h").groupBy("doc_id", "shard").agg(
+        *(F.round(F.sum(share * (F.col(f"c{s}") - (F.col("shard") == s).cast("int"))), 9).alias(f"w{s}") for s in each)
+    )
     best = F.array_max(F.array(*(F.when(F.col("shard") != s, F.struct(F.col(f"w{s}").alias("w"), F.lit(-s).alias("s"))) for s in each)))
     own = F.element_at(F.array(*(F.col(f"w{s}") for s in each)), F.col("shard") + 1)
     # in each round only half of the documents may move, so that neighbours don't swap places for ever
     may = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(2)) == 0
     x = F.xxhash64("doc_id")
-    want = weight.where(may).select("doc_id", F.col("shard").alias("own"), best.alias("to"), own.alias("stay")).withColumn("gain", F.round(F.col("to.w") - F.col("stay"), 9)).where("gain > 0")
-    return want.select("doc_id", "own", (-F.col("to.s")).alias("target"), F.floor(F.log2("gain") * _STEPS).alias("step"), F.pmod(F.shiftrightunsigned(x, 40), F.lit(_TURNS)).alias("r"), x.alias("x"))
+    want = weight.where(may).select(
+        "doc_id", F.col("shard").alias("own"), best.alias("to"), own.alias("stay")
+    ).withColumn("gain", F.round(F.col("to.w") - F.col("stay"), 9)).where("gain > 0")
+    return want.select(
+        "doc_id", "own", (-F.col("to.s")).alias("target"), F.floor(F.log2("gain") * _STEPS).alias("step"),
+        F.pmod(F.shiftrightunsigned(x, 40), F.lit(_TURNS)).alias("r"), x.alias("x")
+    )
 
 
 def propagate(edges: DataFrame, label: DataFrame, shards: int, capacity: int, rounds: int, scratch: Scratch) -> DataFrame:
@@ -201,7 +222,9 @@ def propagate(edges: DataFrame, label: DataFrame, shards: int, capacity: int, ro
     for k in range(rounds):
         wishes = scratch.write(_wishes(edges, label, shards, k))
         place = ["own", "target", "step", "r"]
-        counts = sorted((r["own"], r["target"], -r["step"], r["r"], r["n"]) for r in wishes.groupBy(*place).agg(F.count("*").alias("n")).collect())
+        counts = sorted(
+            (r["own"], r["target"], -r["step"], r["r"], r["n"]) for r in wishes.groupBy(*place).agg(F.count("*").alias("n")).collect()
+        )
         want: dict[tuple[int, int], int] = {}
         before = []
         for a, b, step, r, n in counts:
@@ -216,13 +239,17 @@ def propagate(edges: DataFrame, label: DataFrame, shards: int, capacity: int, ro
         quota = quotas(want, sizes, capacity)
         # of each pair of shards the group of wishes that the quota ends in, and how many of it: shards squared rows at most
         ends = {(a, b): (a, b, step, r, quota[a, b] - n) for a, b, step, r, n in before if quota[a, b] > n}
-        limit = F.broadcast(label.sparkSession.createDataFrame([*ends.values()], "own int, target int, last bigint, last_r bigint, quota bigint"))
+        limit = F.broadcast(
+            label.sparkSession.createDataFrame([*ends.values()], "own int, target int, last bigint, last_r bigint, quota bigint")
+        )
         asked = wishes.join(limit, ["own", "target"])
         sure = asked.where("step > last OR step = last AND r < last_r").select("doc_id", "target")
         rank = F.row_number().over(Window.partitionBy(*place).orderBy("x", "doc_id"))
         some = asked.where("step = last AND r = last_r").withColumn("rank", rank).where("rank <= quota").select("doc_id", "target")
         moves = sure.union(some)
-        new = scratch.write(label.join(moves.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("target", "shard").alias("shard")))
+        new = scratch.write(
+            label.join(moves.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("target", "shard").alias("shard"))
+        )
         scratch.drop(label)
         scratch.drop(wishes)
         label = new
@@ -256,7 +283,9 @@ def cut(docs: DataFrame, label: DataFrame, least: int = LINE_BYTES) -> DataFrame
     """One row (weight, cut): the weight of all links by lines, and of those between shards."""
     found = links(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), least, content=False)
     edges = found.where("n IS NULL").select("h", "doc_id").join(found.where("n IS NOT NULL").select("h", "n"), "h").join(label, "doc_id")
-    per = edges.groupBy("h", "n", "shard").agg(F.count("*").alias("c")).groupBy("h", "n").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("inside"))
+    per = edges.groupBy("h", "n", "shard").agg(F.count("*").alias("c")).groupBy("h", "n").agg(
+        F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("inside")
+    )
     pairs = F.col("n") * (F.col("n") - 1) / 2
     return per.agg(F.sum(pairs / (F.col("n") - 1)).alias("weight"), F.sum((pairs - F.col("inside")) / (F.col("n") - 1)).alias("cut"))
 

@@ -135,7 +135,13 @@ def _anchors(texts: DataFrame, length: int, k: int) -> DataFrame:
                 a, p, _, _ = _minimizers(T.hash_runs(data, s, e), bounds, length, k)
                 row = np.searchsorted(bounds, p, "right") - 1
                 take = pa.array(first + row)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array((p - bounds[row]).astype(np.int32))], ["a", "doc_id", "rk", "p"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(a.view(np.int64)), b.column(0).take(take), b.column(1).take(take),
+                        pa.array((p - bounds[row]).astype(np.int32))
+                    ],
+                    ["a", "doc_id", "rk", "p"]
+                )
 
     return texts.transform(T.batched, run, f"a bigint, doc_id {kind}, rk bigint, p int")
 
@@ -167,7 +173,13 @@ def _fragments(texts: DataFrame, length: int, k: int) -> DataFrame:
                 take = pa.array(first + row)
                 at = np.concatenate([w0[ok], alone]) - bounds[row]
                 words = pa.concat_arrays([pa.array(raw, pa.binary()), pa.nulls(len(alone), pa.binary())])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[ok], own]).view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(at.astype(np.int32)), words], ["a", "doc_id", "rk", "at", "words"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([a[ok], own]).view(np.int64)), b.column(0).take(take), b.column(1).take(take),
+                        pa.array(at.astype(np.int32)), words
+                    ],
+                    ["a", "doc_id", "rk", "at", "words"]
+                )
 
     return texts.transform(T.batched, run, f"a bigint, doc_id {kind}, rk bigint, at int, words binary")
 
@@ -181,7 +193,10 @@ def _equal(rows: pa.RecordBatch, before: int | None, following: int | None, leng
         same[0], same[-1] = before == int(a[0]), following == int(a[-1])
     keep = pa.array(np.flatnonzero(same[1:] | same[:-1]))
     at = rows.column(3).take(keep).cast(pa.int64())
-    return pa.RecordBatch.from_arrays([rows.column(1).take(keep), rows.column(2).take(keep), at, pa.compute.add(at, length), pa.array(same[:-1]).take(keep)], ["doc_id", "rk", "lo", "hi", "duplicate"])
+    return pa.RecordBatch.from_arrays(
+        [rows.column(1).take(keep), rows.column(2).take(keep), at, pa.compute.add(at, length), pa.array(same[:-1]).take(keep)],
+        ["doc_id", "rk", "lo", "hi", "duplicate"]
+    )
 
 
 def _intervals(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -215,7 +230,12 @@ def _search(pool: pa.Table, length: int) -> pa.Table:
             hi.append(at[i] + len(again) - 1 + length)
             dup.append(True)
     take = pa.array(rows, pa.int64())
-    return pa.table({"doc_id": pool.column("doc_id").take(take), "rk": pool.column("rk").take(take), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64()), "duplicate": pa.array(dup, pa.bool_())})
+    return pa.table(
+        {
+            "doc_id": pool.column("doc_id").take(take), "rk": pool.column("rk").take(take), "lo": pa.array(lo, pa.int64()),
+            "hi": pa.array(hi, pa.int64()), "duplicate": pa.array(dup, pa.bool_())
+        }
+    )
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
@@ -243,14 +263,22 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame
     and as duplicates; other columns are ignored; an empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", row_key(docs["text"].cast("string")).alias("rk"), docs["text"].cast("string").alias("text")).where("text IS NOT NULL")
+    texts = docs.select(
+        "doc_id", row_key(docs["text"].cast("string")).alias("rk"), docs["text"].cast("string").alias("text")
+    ).where("text IS NOT NULL")
     scratch = Scratch(docs.sparkSession, "suffix")
-    places = scratch.write(_anchors(texts, length, k).repartition("a").sortWithinPartitions("a").transform(T.batched, T.shared_rows, f"a bigint, doc_id {kind}, rk bigint, p int"))
+    places = scratch.write(
+        _anchors(texts, length, k).repartition("a").sortWithinPartitions("a").transform(
+            T.batched, T.shared_rows, f"a bigint, doc_id {kind}, rk bigint, p int"
+        )
+    )
     hot = places.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("a", F.lit(True).alias("hot"))
     marked = places.join(hot, "a", "left")
     some = lambda hot: F.collect_set(F.when(F.col("hot").isNotNull() if hot else F.col("hot").isNull(), F.col("p")))
     listed = marked.groupBy(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk")).agg(some(False).alias("ps"), some(True).alias("hs"))
-    held = texts.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_rk"))).select("doc_id", "rk", "text", "ps", "hs")
+    held = texts.join(
+        listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_rk"))
+    ).select("doc_id", "rk", "text", "ps", "hs")
     order = [F.col("doc_id").asc_nulls_last(), "rk", "at"]
     parts = _fragments(held, length, k).repartition("a").sortWithinPartitions("a", *order)
 
@@ -300,7 +328,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame
     by = Window.partitionBy("doc_id", "rk", "duplicate").orderBy("lo", "hi")
     new = F.when(F.col("lo") > F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
     merged = spans.withColumn("new", new).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return merged.groupBy("doc_id", "rk", "duplicate", "run").agg(F.min("lo").alias("start_word"), F.max("hi").alias("end_word")).select("doc_id", "start_word", "end_word", "duplicate")
+    return merged.groupBy("doc_id", "rk", "duplicate", "run").agg(
+        F.min("lo").alias("start_word"), F.max("hi").alias("end_word")
+    ).select("doc_id", "start_word", "end_word", "duplicate")
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,9 @@ WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 PUNCT = ~(SPACE | WORD)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def lean(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` that gives freed memory back to the system after each batch that isn't small: Python workers outlive their tasks."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +199,9 @@ def lower(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column)
 
 
-def both_cases(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def both_cases(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[
+    tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+]:
     """``chunks`` with the bytes and offsets of the same rows in lower case."""
     for first, data, offs in chunks(column, limit):
         arr = pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(np.ascontiguousarray(offs)), pa.py_buffer(data))

@@ -16,15 +16,20 @@ from draftlake.llm.store import row_key
 
 SCHEMA = "doc_id bigint, text string, lang string, h bigint, pos int, g string, n_chars bigint"
 ODD = [
-    (1, "a b c\na b c\n\nd", "en", 1, 2, "x", 9), (2, "", "en", 1, 2, "x", 0), (3, None, None, None, None, None, None), (None, "a b c\nz", "en", 1, 2, "x", 7),
+    (1, "a b c\na b c\n\nd", "en", 1, 2, "x", 9), (2, "", "en", 1, 2, "x", 0), (3, None, None, None, None, None, None),
+    (None, "a b c\nz", "en", 1, 2, "x", 7),
     (None, None, "en", 1, 2, "x", 7), (4, "word " * 60_000, "en", 1, 2, "x", 300_000), (5, "q" * 300_000, "en", 1, 2, "x", 300_000),
-    (6, "same row", "en", 1, 2, "x", 8), (6, "same row", "en", 1, 2, "x", 8), (6, "other text", "en", 1, 2, "x", 10), (7, " \t\n \n", "en", 1, 2, "x", 5), (8, "é ß ñ\n\0x", "fr", 1, 2, "x", 8),
+    (6, "same row", "en", 1, 2, "x", 8), (6, "same row", "en", 1, 2, "x", 8), (6, "other text", "en", 1, 2, "x", 10),
+    (7, " \t\n \n", "en", 1, 2, "x", 5), (8, "é ß ñ\n\0x", "fr", 1, 2, "x", 8),
 ]
 
 
 @pytest.fixture
 def odd(spark):
-    clash = ("_id", "_rk", "_runs", "row", "key", "at", "id", "rk", "bands", "whole", "rep", "group_id", "gone_id", "keep", "grade", "n", "a", "b", "words", "tokens")
+    clash = (
+        "_id", "_rk", "_runs", "row", "key", "at", "id", "rk", "bands", "whole", "rep", "group_id", "gone_id", "keep", "grade", "n", "a",
+        "b", "words", "tokens"
+    )
     return spark.createDataFrame(ODD, SCHEMA).repartition(3).withColumns({c: F.lit("x") for c in clash})
 
 
@@ -163,7 +168,10 @@ def test_line_dedup_over_many_batches(spark, monkeypatch, hot):
 
 def test_line_dedup_on_odd_rows(odd, none):
     rows = [(r.doc_id, r.n_lines, r.keep_runs) for r in line_dedup.line_bitmaps(odd).collect()]
-    assert sorted(rows, key=str) == sorted([(1, 4, "1,1,2"), (2, 1, "1"), (None, 2, "0,1,1"), (4, 1, "1"), (5, 1, "1"), (6, 1, "1"), (6, 1, "1"), (7, 3, "3"), (8, 2, "2")], key=str)
+    assert sorted(rows, key=str) == sorted(
+        [(1, 4, "1,1,2"), (2, 1, "1"), (None, 2, "0,1,1"), (4, 1, "1"), (5, 1, "1"), (6, 1, "1"), (6, 1, "1"), (7, 3, "3"), (8, 2, "2")],
+        key=str
+    )
     out = line_dedup.first_lines(odd)
     assert out.columns == odd.columns
     texts = {(r.doc_id, r.text, r.n_chars) for r in out.collect()}
@@ -216,7 +224,10 @@ def near_docs(seed=3, base=12):
 def test_near_dedup_equals_brute_force(spark):
     docs = near_docs()
     pairs, group = slow_groups(docs)
-    got = {r.doc_id: r.group_id for r in near_dedup.near_groups(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()}
+    got = {
+        r.doc_id: r.group_id
+        for r in near_dedup.near_groups(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()
+    }
     found = sum(got.get(a, a) == got.get(b, b) for a, b in pairs)
     assert found >= 0.9 * len(pairs) > 0
     assert all(group[a] == group[g] for a, g in got.items())
@@ -246,7 +257,9 @@ def test_a_bucket_that_spans_groups_is_searched_in_full(spark):
         for _ in range(4):
             docs.append((len(docs), " ".join(common + [w if r.random() > 0.02 else "x" for w in own])))
     _, want = slow_groups(docs)
-    got = {r.doc_id: r.group_id for r in near_dedup.near_groups(spark.createDataFrame(docs, "doc_id bigint, text string"), rows=1).collect()}
+    got = {
+        r.doc_id: r.group_id for r in near_dedup.near_groups(spark.createDataFrame(docs, "doc_id bigint, text string"), rows=1).collect()
+    }
     assert got == {i: g for i, g in want.items() if list(want.values()).count(g) > 1}
 
 
@@ -259,7 +272,12 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_near_dedup_on_odd_rows(spark, odd, none):
-    more = odd.unionByName(spark.createDataFrame([(9, "Same, ROW!", "en", 1, 2, "x", 9), (10, "...", "en", 1, 2, "x", 3), (11, "...", "en", 1, 2, "x", 3)], SCHEMA), allowMissingColumns=True)
+    more = odd.unionByName(
+        spark.createDataFrame(
+            [(9, "Same, ROW!", "en", 1, 2, "x", 9), (10, "...", "en", 1, 2, "x", 3), (11, "...", "en", 1, 2, "x", 3)], SCHEMA
+        ),
+        allowMissingColumns=True
+    )
     assert sorted(tuple(r) for r in near_dedup.near_groups(more).collect()) == [(6, 6, True), (9, 6, False)]
     out = near_dedup.one_row_of_each(more)
     assert out.columns == more.columns and out.count() == more.count() - 2 and out.where("doc_id = 9").count() == 0 and out.where("doc_id = 6").count() == 2
@@ -270,7 +288,10 @@ def test_near_dedup_on_odd_rows(spark, odd, none):
 def test_the_stream_of_buckets_equals_grouping(size):
     r = random.Random(size)
     rows = sorted({(r.randint(0, 25), r.randint(0, 30)) for _ in range(60)})
-    batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows[k : k + size]], pa.int64()) for i in (0, 1)], ["g", "doc_id"]) for k in range(0, len(rows), size)]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows[k : k + size]], pa.int64()) for i in (0, 1)], ["g", "doc_id"])
+        for k in range(0, len(rows), size)
+    ]
     group = defaultdict(list)
     for g, d in rows:
         group[g].append(d)
@@ -282,15 +303,20 @@ def test_the_near_stage_keeps_one_row_of_each_group(spark, tmp_path):
     base = [f"w{i}" for i in range(40)]
     near, other = " ".join([*base[:39], "x"]), " ".join(f"v{i}" for i in range(40))
     docs = [
-        (6, "same row here"), (6, "same row here"), (9, "Same, ROW here!"), (6, "other text now"), (5, " ".join(base)), (5, near), (None, near), (None, " ".join(base)),
-        (None, other), (None, other), (None, other.upper()), (None, "..."), (None, "..."), (None, None), (3, None), (3, None), (4, "alone in here"),
+        (6, "same row here"), (6, "same row here"), (9, "Same, ROW here!"), (6, "other text now"), (5, " ".join(base)), (5, near),
+        (None, near), (None, " ".join(base)),
+        (None, other), (None, other), (None, other.upper()), (None, "..."), (None, "..."), (None, None), (3, None), (3, None),
+        (4, "alone in here"),
     ]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     rows = Counter((r.doc_id, (r.text or "").lower()) for r in stage(spark, df, str(tmp_path)).collect())
     fives = [k for k in rows if k[0] == 5]
     assert len(fives) == 1 and rows.pop(fives[0]) == 1
-    assert rows == {(6, "same row here"): 1, (6, "other text now"): 1, (None, other): 1, (None, "..."): 2, (None, ""): 1, (3, ""): 2, (4, "alone in here"): 1}
+    assert rows == {
+        (6, "same row here"): 1, (6, "other text now"): 1, (None, other): 1, (None, "..."): 2, (None, ""): 1, (3, ""): 2,
+        (4, "alone in here"): 1
+    }
 
 
 # decontamination
@@ -400,13 +426,17 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
 def test_item_ids_of_any_type(spark, kind, value):
     from decimal import Decimal
 
-    b = spark.createDataFrame([(str(value) if value is not None else None, "same row")], "i string, text string").select(F.col("i").cast(kind).alias("item_id"), "text")
+    b = spark.createDataFrame(
+        [(str(value) if value is not None else None, "same row")], "i string, text string"
+    ).select(F.col("i").cast(kind).alias("item_id"), "text")
     (row,) = decontaminate.contaminated(spark.createDataFrame([(1, "the same row here")], "doc_id bigint, text string"), b).collect()
     assert row.item_id == (Decimal(7) if kind.startswith("dec") else value) and (row.start, row.end) == (4, 12)
 
 
 def test_decontamination_on_odd_rows(spark, odd, none):
-    b = spark.createDataFrame([(1, "same ROW"), (2, None), (3, ""), (4, "!!"), (None, "other text"), (5, "same row")], "item_id bigint, text string")
+    b = spark.createDataFrame(
+        [(1, "same ROW"), (2, None), (3, ""), (4, "!!"), (None, "other text"), (5, "same row")], "item_id bigint, text string"
+    )
     got = sorted((r.doc_id, r.item_id or 0, r.start, r.end) for r in decontaminate.contaminated(odd, b).collect())
     assert got == [(6, 0, 0, 10), (6, 1, 0, 8), (6, 1, 0, 8), (6, 5, 0, 8), (6, 5, 0, 8)]
     left = decontaminate.uncontaminated(odd, b)
@@ -483,7 +513,9 @@ def test_packing_covers_every_token_once(spark, odd, none):
         assert at <= 128
     assert len(room) == slow_best_fit([r.n_tokens for r in rows], 128)[0]
     odd_rows = packing.packed(odd).collect()
-    assert Counter(r.doc_id for r in odd_rows)[6] == 3 and (2, 1) in {(r.doc_id, r.n_tokens) for r in odd_rows} and 3 not in {r.doc_id for r in odd_rows}
+    assert Counter(r.doc_id for r in odd_rows)[6] == 3 and (2, 1) in {
+        (r.doc_id, r.n_tokens) for r in odd_rows
+    } and 3 not in {r.doc_id for r in odd_rows}
     assert packing.packed(none).count() == 0
 
 
@@ -494,9 +526,16 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     docs = near_docs(9, 8)
     bench = [(0, " ".join(docs[3][1].split()[5:25]))]
     docs += [(1000 + i, " ".join(["junk word"] * 40)) for i in range(3)] + [(2000, docs[3][1] + "\nnew line here")]
-    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        [(i, t, "en", "s", len(t)) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    now = [(i, t) for i, t in docs if (m := slow_rules(t)) and all(m[f"top_{n}gram"] <= v for n, v in quality_rules.TOP.items()) and all(m[f"dup_{n}gram"] <= v for n, v in quality_rules.DUP.items())]
+    now = [
+        (i, t)
+        for i, t in docs if (m := slow_rules(t)) and all(
+            m[f"top_{n}gram"] <= v for n, v in quality_rules.TOP.items()
+        ) and all(m[f"dup_{n}gram"] <= v for n, v in quality_rules.DUP.items())
+    ]
     seen, left = set(), []
     for i, t in now:
         keep = [x for x in t.split("\n") if not (x in seen or seen.add(x))]
@@ -534,7 +573,8 @@ def test_each_stage_on_odd_rows_of_its_own(spark, odd, none, tmp_path, stage):
     got = Counter(r.doc_id for r in f(spark, odd, str(tmp_path)).collect() if stage != "packing" or r.doc_offset == 0)
     every = Counter(r[0] for r in ODD)
     want = {
-        "quality_rules": every - Counter({1: 1, 2: 1, 3: 1, 4: 1, 7: 1, None: 1}), "line_dedup": every - Counter({6: 1}), "near_dedup": every - Counter({6: 1}),
+        "quality_rules": every - Counter({1: 1, 2: 1, 3: 1, 4: 1, 7: 1, None: 1}), "line_dedup": every - Counter({6: 1}),
+        "near_dedup": every - Counter({6: 1}),
         "decontamination": every - Counter({6: 2}), "packing": every - Counter({3: 1, None: 1}),
     }
     assert got == want[stage]

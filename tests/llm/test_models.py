@@ -104,7 +104,9 @@ def test_scores_equal_plain_sums():
 
 
 def test_classifier_on_odd_rows(spark, odd, none):  # noqa: F811
-    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (2, None, 0), (4, 7, 7), (999, 1, 0)], "doc_id bigint, quality int, toxic int")
+    labels = spark.createDataFrame(
+        [(1, 1, 0), (1, 0, 0), (None, 1, 1), (2, None, 0), (4, 7, 7), (999, 1, 0)], "doc_id bigint, quality int, toxic int"
+    )
     rows = quality_classifier.graded(odd, labels).collect()
     assert len(rows) == len(ODD) and not any(r.keep for r in rows if r.doc_id in (2, 3, 7))
     assert quality_classifier.graded(none, labels).count() == 0
@@ -133,29 +135,45 @@ def test_guess_cost_equals_all_segmentations(value):
 
 
 def test_guess_cost_order():
-    cost = [secrets.guess_cost(v) for v in ("password", "Password1", "qwertyuiop", "tg8QzX2vLk", "9c8b45435718dcc700c184a7e303cdc64c6a8f7f")]
+    cost = [
+        secrets.guess_cost(v) for v in ("password", "Password1", "qwertyuiop", "tg8QzX2vLk", "9c8b45435718dcc700c184a7e303cdc64c6a8f7f")
+    ]
     assert cost == sorted(cost) and cost[0] < 2 and cost[-1] > 40
     assert secrets.guess_cost("abcdefghij") < 5 and secrets.guess_cost("19991231") < 6 and secrets.guess_cost("x" * 500) < 6
     assert secrets.guess_cost("ab1!" * 3) < secrets.guess_cost("ab1!") + 2
 
 
 def test_contexts():
-    text = 'a token = "3fdf5a35c7b8" b DB_PASSWORD: changeme. pwd=>Zz9$kQ1w, tokens = many, notasecret=abcdefg; password is x; api-key := \'a b c d e\''
-    assert [(n, text[a:b]) for n, a, b in secrets.values(text)] == [("token", "3fdf5a35c7b8"), ("DB_PASSWORD", "changeme"), ("pwd", "Zz9$kQ1w"), ("api-key", "a b c d e")]
+    text = (
+        'a token = "3fdf5a35c7b8" b DB_PASSWORD: changeme. pwd=>Zz9$kQ1w, tokens = many, notasecret=abcdefg; password is x; api-key := '
+        '\'a b c d e\''
+    )
+    assert [(n, text[a:b]) for n, a, b in secrets.values(text)] == [
+        ("token", "3fdf5a35c7b8"), ("DB_PASSWORD", "changeme"), ("pwd", "Zz9$kQ1w"), ("api-key", "a b c d e")
+    ]
 
 
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("dbPassword=Zq8w#1 accessToken: abcd1234, userToken='ab cd'", [("dbPassword", "Zq8w#1"), ("accessToken", "abcd1234"), ("userToken", "ab cd")]),
-        ("PASSWORD_PROD=hunter22 TOKEN_1=abcd9 token2: wxyz7 passwordHash=abcd8", [("PASSWORD_PROD", "hunter22"), ("TOKEN_1", "abcd9"), ("token2", "wxyz7"), ("passwordHash", "abcd8")]),
+        (
+            "dbPassword=Zq8w#1 accessToken: abcd1234, userToken='ab cd'",
+            [("dbPassword", "Zq8w#1"), ("accessToken", "abcd1234"), ("userToken", "ab cd")]
+        ),
+        (
+            "PASSWORD_PROD=hunter22 TOKEN_1=abcd9 token2: wxyz7 passwordHash=abcd8",
+            [("PASSWORD_PROD", "hunter22"), ("TOKEN_1", "abcd9"), ("token2", "wxyz7"), ("passwordHash", "abcd8")]
+        ),
         ("Authorization: Bearer abcdefgh", [("Bearer", "abcdefgh")]),
         ('{"Authorization": "Bearer ab.c1-d=="}', [("Bearer", "ab.c1-d==")]),
         ("curl -H bearer abcd.1234 then", [("bearer", "abcd.1234")]),
         ('token = "Bearer abc12345"', [("Bearer", "abc12345")]),
         ("the bearer shares of bearer bonds, tokens: many, notasecret=abcdefg, userTokens=abcde", []),
         ("https://x.org/?token=AAAA1111&secret=BBBB2222&x=1", [("token", "AAAA1111"), ("secret", "BBBB2222")]),
-        ("a_b_access_token=abcd1 AWSSecretKey=abcd2 x.apiKey.prod: abcd3", [("a_b_access_token", "abcd1"), ("AWSSecretKey", "abcd2"), ("x.apiKey.prod", "abcd3")]),
+        (
+            "a_b_access_token=abcd1 AWSSecretKey=abcd2 x.apiKey.prod: abcd3",
+            [("a_b_access_token", "abcd1"), ("AWSSecretKey", "abcd2"), ("x.apiKey.prod", "abcd3")]
+        ),
     ],
 )
 def test_credential_names_and_ends(text, want):
@@ -193,7 +211,9 @@ def test_long_values_are_whole(spark, size):
     value = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(size))
     texts = [f'x private_key: "{value}" y', f"x token={value} y", f"x token={value}, y"]
     rows = secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
-    assert sorted((x.doc_id, texts[x.doc_id][x.start : x.end] == value, x.live) for x in rows) == [(0, True, True), (1, True, True), (2, True, True)]
+    assert sorted(
+        (x.doc_id, texts[x.doc_id][x.start : x.end] == value, x.live) for x in rows
+    ) == [(0, True, True), (1, True, True), (2, True, True)]
     assert {x.guesses_log10 > 1.5 * size for x in rows} == {True}
 
 
@@ -204,11 +224,16 @@ def test_long_regular_values_are_searched_fast(part):
 
 
 def test_secret_scan_rows(spark, odd, none):  # noqa: F811
-    docs = [(1, 'x token = "3fdf5a35c7b8d733c0b5c7d364eda8ac" y token: example'), (None, "password=hunter2"), (2, None), (3, "no tokens: here"), (4, "")]
+    docs = [
+        (1, 'x token = "3fdf5a35c7b8d733c0b5c7d364eda8ac" y token: example'), (None, "password=hunter2"), (2, None), (3, "no tokens: here"),
+        (4, "")
+    ]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     rows = secrets.secrets(df.union(df)).collect()
     text = dict(docs)
-    assert Counter((r.doc_id, text[r.doc_id][r.start : r.end], r.live) for r in rows) == {(1, "3fdf5a35c7b8d733c0b5c7d364eda8ac", True): 2, (1, "example", False): 2, (None, "hunter2", False): 2}
+    assert Counter((r.doc_id, text[r.doc_id][r.start : r.end], r.live) for r in rows) == {
+        (1, "3fdf5a35c7b8d733c0b5c7d364eda8ac", True): 2, (1, "example", False): 2, (None, "hunter2", False): 2
+    }
     assert secrets.secrets(odd).count() == 0 and secrets.secrets(none).count() == 0
     assert all(prefiltered(t) for i, t in docs if i in (1, None))
 
@@ -256,8 +281,10 @@ def test_long_runs_equal_brute_force(seed):
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("token    =      abcd1234 x", ["abcd1234"]), ("password:\n  hunter22", ["hunter22"]), ("password:\n\n  hunter22", []), ("token\u00a0=\u00a0abcd1234", ["abcd1234"]),
-        ('secret = "it\'s a \\"long\\" one" x', ['it\'s a \\"long\\" one']), ('token="abc12345', ["abc12345"]), ("api key: abcd1234, monkey: banana, key: value1", ["abcd1234"]), ("token==abcd1234", ["abcd1234"]),
+        ("token    =      abcd1234 x", ["abcd1234"]), ("password:\n  hunter22", ["hunter22"]), ("password:\n\n  hunter22", []),
+        ("token\u00a0=\u00a0abcd1234", ["abcd1234"]),
+        ('secret = "it\'s a \\"long\\" one" x', ['it\'s a \\"long\\" one']), ('token="abc12345', ["abc12345"]),
+        ("api key: abcd1234, monkey: banana, key: value1", ["abcd1234"]), ("token==abcd1234", ["abcd1234"]),
     ],
 )
 def test_white_space_and_quotes(text, want):
@@ -293,7 +320,10 @@ def slow_contexts(text):
 @pytest.mark.parametrize("seed", range(60))
 def test_contexts_equal_brute_force(seed):
     r = random.Random(seed)
-    parts = ["token", "Token", "api", "Key", "key", "_", "-", ".", "password", "Pass", "9", " ", "  ", "\n", "=", ":", ":=", "=>", "==", '"', "'", "`", "abcd1", "x", ",", "&", ";", "secret", "\\"]
+    parts = [
+        "token", "Token", "api", "Key", "key", "_", "-", ".", "password", "Pass", "9", " ", "  ", "\n", "=", ":", ":=", "=>", "==", '"',
+        "'", "`", "abcd1", "x", ",", "&", ";", "secret", "\\"
+    ]
     for _ in range(60):
         text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
         if re.search(r"(?i)(api|access|secret|private|auth) key", text):
@@ -304,7 +334,13 @@ def test_contexts_equal_brute_force(seed):
 LONG = 1 << 20
 
 
-@pytest.mark.parametrize("text", ["a-" * (LONG // 2), "token_" * (LONG // 6), "token:" * (LONG // 6), "token" + " " * LONG + "=x", '"token: ""' * (LONG // 10), ":" * LONG, "bearer " * (LONG // 7), "漢" * LONG + " 5"])
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a-" * (LONG // 2), "token_" * (LONG // 6), "token:" * (LONG // 6), "token" + " " * LONG + "=x", '"token: ""' * (LONG // 10),
+        ":" * LONG, "bearer " * (LONG // 7), "漢" * LONG + " 5"
+    ]
+)
 def test_long_texts_are_scanned_in_linear_time(text):
     began = time.monotonic()
     for _ in secrets.values(text):
@@ -317,8 +353,12 @@ def test_long_texts_reach_the_search(spark):
     value = "".join(r.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(5000))
     texts = ["a-" * (LONG // 2) + f' token = "{value}"', "q" * LONG + f" mail jo.do@ex.com token: {value}", "漢" * LONG + " 10.20.30.40"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    assert sorted((x.doc_id, texts[x.doc_id][x.start : x.end] == value, x.live) for x in secrets.secrets(df).collect()) == [(0, True, True), (1, True, True)]
-    assert sorted((x.doc_id, texts[x.doc_id][x.start : x.end]) for x in pii.personal_data(df).where("label IN ('EMAIL', 'IP')").collect()) == [(1, "jo.do@ex.com"), (2, "10.20.30.40")]
+    assert sorted(
+        (x.doc_id, texts[x.doc_id][x.start : x.end] == value, x.live) for x in secrets.secrets(df).collect()
+    ) == [(0, True, True), (1, True, True)]
+    assert sorted(
+        (x.doc_id, texts[x.doc_id][x.start : x.end]) for x in pii.personal_data(df).where("label IN ('EMAIL', 'IP')").collect()
+    ) == [(1, "jo.do@ex.com"), (2, "10.20.30.40")]
 
 
 # suffix-array dedup
@@ -344,7 +384,9 @@ def test_long_prefix_equals_direct_comparison():
     sa, isa = suffix_dedup.suffix_array(s)
     assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist()) and (isa[sa] == np.arange(len(s))).all()
     for least in (1, 2, 4, 7):
-        want = [False] + [s[a : a + least].tolist() == s[b : b + least].tolist() and max(a, b) + least <= len(s) for a, b in zip(sa, sa[1:])]
+        want = [False] + [
+            s[a : a + least].tolist() == s[b : b + least].tolist() and max(a, b) + least <= len(s) for a, b in zip(sa, sa[1:])
+        ]
         assert suffix_dedup.long_prefix(sa, isa, s, least).tolist() == want
 
 
@@ -369,14 +411,19 @@ def slow_repeats(docs, length):
     return out
 
 
-@pytest.mark.parametrize("pool, hot, batch", [(200_000, 20_000, 10_000), (60, 20_000, 10_000), (200_000, 0, 10_000), (60, 0, 3), (60, 2, 7)])
+@pytest.mark.parametrize(
+    "pool, hot, batch", [(200_000, 20_000, 10_000), (60, 20_000, 10_000), (200_000, 0, 10_000), (60, 0, 3), (60, 2, 7)]
+)
 def test_repeats_equal_brute_force(spark, monkeypatch, pool, hot, batch):
     monkeypatch.setattr(suffix_dedup, "_POOL", pool)
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     r = random.Random(6)
     passages = [t for t in some_texts(30, 2) if len(t.split()) > 25][:6]
-    docs = [(i, " ".join([t, *(r.choice(passages) for _ in range(r.randint(0, 2))), *some_texts(1, 100 + i)])) for i, t in enumerate(some_texts(40, 7))]
+    docs = [
+        (i, " ".join([t, *(r.choice(passages) for _ in range(r.randint(0, 2))), *some_texts(1, 100 + i)]))
+        for i, t in enumerate(some_texts(40, 7))
+    ]
     docs += [(100 + i, docs[i][1]) for i in range(4)]
     want = slow_repeats(docs, 20)
     got = suffix_dedup.repeats(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), length=20, k=4).collect()
@@ -425,7 +472,10 @@ def test_pii_held_out(field):
         ("see (4111111111111111) and (10.0.0.1).", [("4111111111111111", "CARD"), ("10.0.0.1", "IP")]),
         ("tel:555-123-4567 IP:10.0.0.1", [("555-123-4567", "PHONE"), ("10.0.0.1", "IP")]),
         ('{"card":"4111111111111111","ip":"1.2.3.4"}', [("4111111111111111", "CARD"), ("1.2.3.4", "IP")]),
-        ("anna,jo.do@ex.com,4111-1111-1111-1111,10.20.30.40", [("jo.do@ex.com", "EMAIL"), ("4111-1111-1111-1111", "CARD"), ("10.20.30.40", "IP")]),
+        (
+            "anna,jo.do@ex.com,4111-1111-1111-1111,10.20.30.40",
+            [("jo.do@ex.com", "EMAIL"), ("4111-1111-1111-1111", "CARD"), ("10.20.30.40", "IP")]
+        ),
         ("http://10.20.30.40:8080/x?mail=jo@ex.com&b", [("10.20.30.40", "IP"), ("jo@ex.com", "EMAIL")]),
         ("SSN-123-45-6789", [("123-45-6789", "SSN")]),
         ("IBAN DE89 3704 0044 0532 0130 00 IS MINE", [("DE89 3704 0044 0532 0130 00", "IBAN")]),
@@ -442,7 +492,11 @@ def naive_marginals(field, g):
     n, k = own.shape
     z, want = 0.0, np.zeros((n, k))
     for y in itertools.product(range(k), repeat=n):
-        p = math.exp(sum(own[i, y[i]] for i in range(n)) + sum(pot[y[a], y[b]] for e, pot in ((g.chain, field.chain), (g.skip, field.skip), (g.near, field.near)) for a, b in e))
+        p = math.exp(
+            sum(own[i, y[i]] for i in range(n)) + sum(
+                pot[y[a], y[b]] for e, pot in ((g.chain, field.chain), (g.skip, field.skip), (g.near, field.near)) for a, b in e
+            )
+        )
         z += p
         for i in range(n):
             want[i, y[i]] += p
@@ -539,8 +593,14 @@ def test_skip_links_carry_a_label(field):
         ("in 1990, 1991, 1992, 1993 and 1994; years 1990 1991 1992 1993 1994 1995", []),
         ("Rechnung 2023-11-05 Nr. 4711 vom 12.11.2023 über 1.234,56 EUR, ISBN 978-3-16-148410-0", []),
         ("1999-2000-2001-2002, pages 1990 1991 1992 1993", []),
-        ("Frau Müller-Lüdenscheidt rief an. Müller-Lüdenscheidt zahlt, ein anderer Müller nicht.", [("Müller-Lüdenscheidt", "PERSON"), ("Müller-Lüdenscheidt", "PERSON")]),
-        ("Mr. John Smith came in 2024. Then Smith left; SMITH paid 5.", [("John Smith", "PERSON"), ("Smith", "PERSON"), ("SMITH", "PERSON")]),
+        (
+            "Frau Müller-Lüdenscheidt rief an. Müller-Lüdenscheidt zahlt, ein anderer Müller nicht.",
+            [("Müller-Lüdenscheidt", "PERSON"), ("Müller-Lüdenscheidt", "PERSON")]
+        ),
+        (
+            "Mr. John Smith came in 2024. Then Smith left; SMITH paid 5.",
+            [("John Smith", "PERSON"), ("Smith", "PERSON"), ("SMITH", "PERSON")]
+        ),
         ("The name is unknown. Name: Peter O'Neil, tel 555-123-4567", [("Peter O'Neil", "PERSON"), ("555-123-4567", "PHONE")]),
         ("Dear Mr. President, the president is in, says the President. Dr. Who is who.", []),
         ("lat 48.8566, lon 2.3522, SHA 3fdf5a35c7b8d733, 0x7fff5fbff8c0, my id is 123456789", []),
@@ -551,10 +611,16 @@ def test_pii_in_text_of_another_hand(field, text, want):
 
 
 def test_pii_rows(spark, odd, none):  # noqa: F811
-    text = "Mail jo.do@ex.example.com, call +1 (504) 555-2652!! or 4225039295678253 4422503929567825 from 10.2.3.4; in 2024 v1.2.3 token 9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
+    text = (
+        "Mail jo.do@ex.example.com, call +1 (504) 555-2652!! or 4225039295678253 4422503929567825 from 10.2.3.4; in 2024 v1.2.3 token "
+        "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
+    )
     df = spark.createDataFrame([(1, text), (1, text), (None, "x 192.168.0.1"), (2, None), (3, "no one")], "doc_id bigint, text string")
     rows = pii.personal_data(df).collect()
-    want = {"jo.do@ex.example.com": "EMAIL", "+1 (504) 555-2652": "PHONE", "4225039295678253": "CARD", "4422503929567825": "CARD", "10.2.3.4": "IP"}
+    want = {
+        "jo.do@ex.example.com": "EMAIL", "+1 (504) 555-2652": "PHONE", "4225039295678253": "CARD", "4422503929567825": "CARD",
+        "10.2.3.4": "IP"
+    }
     assert Counter((text[r.start : r.end], r.label) for r in rows if r.doc_id == 1) == {k: 2 for k in want.items()}
     assert [(r.start, r.end, r.label) for r in rows if r.doc_id is None] == [(2, 13, "IP")]
     assert pii.personal_data(odd).count() == 0 and pii.personal_data(none).count() == 0
@@ -615,15 +681,30 @@ def test_near_copies_and_passages_without_a_common_line_are_drawn_together(spark
 def test_bundled_links_stand_for_all(spark):
     edges = [(1, 0, 2), (1, 1, 2), (2, 0, 2), (2, 1, 2), (3, 0, 3), (3, 1, 3), (3, 2, 3)]
     sums = [(1, None, 2, 7, 8), (2, None, 2, 7, 8), (3, None, 3, 7, 9)]
-    rows = sharding.bundled(spark.createDataFrame([(h, d, None, None, None) for h, d, _ in edges] + sums, "h bigint, doc_id bigint, n bigint, x bigint, y bigint")).collect()
-    assert sorted((x.doc_id, x.n, x.m) for x in rows) == [(0, 2, 2), (0, 3, 1), (1, 2, 2), (1, 3, 1), (2, 3, 1)] and len({x.h for x in rows}) == 2
+    rows = sharding.bundled(
+        spark.createDataFrame(
+            [(h, d, None, None, None) for h, d, _ in edges] + sums, "h bigint, doc_id bigint, n bigint, x bigint, y bigint"
+        )
+    ).collect()
+    assert sorted((x.doc_id, x.n, x.m) for x in rows) == [
+        (0, 2, 2), (0, 3, 1), (1, 2, 2), (1, 3, 1), (2, 3, 1)
+    ] and len({x.h for x in rows}) == 2
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
 def test_the_stream_of_links_equals_counting(size):
     r = random.Random(size)
     rows = sorted((r.randint(0, 25), r.randint(0, 9)) for _ in range(60))
-    batches = [pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows[i : i + size]], pa.int64()), pa.array([d for _, d in rows[i : i + size]], pa.int64()), pa.array([d for _, d in rows[i : i + size]], pa.int64())], ["h", "doc_id", "d"]) for i in range(0, 60, size)]
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [
+                pa.array([h for h, _ in rows[i : i + size]], pa.int64()), pa.array([d for _, d in rows[i : i + size]], pa.int64()),
+                pa.array([d for _, d in rows[i : i + size]], pa.int64())
+            ],
+            ["h", "doc_id", "d"]
+        )
+        for i in range(0, 60, size)
+    ]
     got = [tuple(x.values()) for b in sharding._shared(iter(batches)) for x in b.to_pylist()]
     count = Counter(h for h, _ in rows)
     assert sorted(x[:2] for x in got if x[2] is None) == [x for x in rows if count[x[0]] > 1]
@@ -714,7 +795,12 @@ def test_propagation_equals_the_rounds_in_a_loop(spark, seed):
     label = [(d, d * 4 // 90) for d in range(90)]
     scratch = Scratch(spark, "t")
     start = scratch.write(spark.createDataFrame(label, "doc_id bigint, shard int"))
-    got = {x.doc_id: x.shard for x in sharding.propagate(spark.createDataFrame(edges, "h bigint, doc_id bigint, n bigint, m int"), start, 4, 25, 5, scratch).collect()}
+    got = {
+        x.doc_id: x.shard
+        for x in sharding.propagate(
+            spark.createDataFrame(edges, "h bigint, doc_id bigint, n bigint, m int"), start, 4, 25, 5, scratch
+        ).collect()
+    }
     assert got == slow_propagate(edges, label, 4, 25, 5) and got != dict(label)
 
 
