@@ -8,8 +8,10 @@ from importlib import import_module
 
 #: Where the public names are; they are imported when they are asked for, so that Python workers load what they need only.
 _HOME = {
-    "Analysis": ("plans.analysis", "Analysis"), "analyse": ("plans.analysis", "analyse"), "analyse_files": ("plans.analysis", "analyse_path"),
-    "analyse_file": ("plans.documents", "analyse_file"), "write_documents": ("plans.documents", "write_documents"), "read_dxf": ("sources.dxf", "read_dxf"),
+    "Analysis": ("plans.analysis", "Analysis"), "analyse": ("plans.analysis", "analyse"),
+    "analyse_files": ("plans.analysis", "analyse_path"),
+    "analyse_file": ("plans.documents", "analyse_file"), "write_documents": ("plans.documents", "write_documents"),
+    "read_dxf": ("sources.dxf", "read_dxf"),
 }
 __all__ = sorted(_HOME)
 

@@ -23,7 +23,10 @@ def shortest(x: Column) -> Column:
     text = x.cast("string")
     lead = F.regexp_extract(text, r"^(-?[\d.]+)E(-?\d+)$", 1)
     power = F.regexp_extract(text, r"^(-?[\d.]+)E(-?\d+)$", 2).cast("int")
-    scientific = F.concat(F.regexp_replace(lead, r"\.0$", ""), F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    scientific = F.concat(
+        F.regexp_replace(lead, r"\.0$", ""), F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
+        F.lpad(F.abs(power).cast("string"), 2, "0")
+    )
     return F.when(~text.contains("E"), text).when((F.abs(x) >= 1e-4) & (F.abs(x) < 1e16), plain).otherwise(scientific)
 
 

@@ -43,4 +43,7 @@ def sql_round(x: str, digits: int) -> str:
     low = f"floor({x} * {m})"
     frac = f"({x} * {m} - {low})"
     odd = f"({low} - {d(2)} * floor({low} / {d(2)}) = {d(1)})"
-    return f"(({low} + CASE WHEN {frac} > {d(0.5)} OR ({frac} = {d(0.5)} AND ({err} > 0 OR ({err} = 0 AND {odd}))) THEN {d(1)} ELSE {d(0)} END) / {m} + {d(0)})"
+    return (
+        f"(({low} + CASE WHEN {frac} > {d(0.5)} OR ({frac} = {d(0.5)} AND ({err} > 0 OR ({err} = 0 AND {odd}))) THEN {d(1)} ELSE {d(0)} "
+        f"END) / {m} + {d(0)})"
+    )

@@ -22,4 +22,7 @@ def detect_furniture(instances: DataFrame, drawing_type: DataFrame | str = "gene
     name = F.coalesce("block_name", F.lit(""))
     found = rows.withColumn("category", furniture(name)).where("category IS NOT NULL")
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return found.select("drawing_id", "category", blank("block_name"), blank("handle"), blank("layer"), "insertion_point", F.lit("block_name").alias("method"))
+    return found.select(
+        "drawing_id", "category", blank("block_name"), blank("handle"), blank("layer"), "insertion_point",
+        F.lit("block_name").alias("method")
+    )

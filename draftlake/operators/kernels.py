@@ -88,7 +88,10 @@ def anchored(points: np.ndarray, tolerance: float) -> tuple:
         if key in known:
             continue
         u, v = math.floor(x / cell), math.floor(y / cell)
-        near = [j for i in (-1, 0, 1) for k in (-1, 0, 1) for j in where.get((u + i, v + k), ()) if math.hypot(x - at[j][0], y - at[j][1]) <= tolerance]
+        near = [
+            j for i in (-1, 0, 1) for k in (-1, 0, 1)
+            for j in where.get((u + i, v + k), ()) if math.hypot(x - at[j][0], y - at[j][1]) <= tolerance
+        ]
         if near:
             known[key] = min(near)
         else:

@@ -22,23 +22,42 @@ def layer_statistics(t: Layers) -> DataFrame:
     a = F.coalesce("alignment", F.lit("diagonal"))
     flags = lambda **k: [k.get(n, zero).cast("bigint").alias(n) for n in ("c", "x", "h", "v", "d", "n")]
     rows = (
-        t.segments.select(*base, distance(F.col("sx"), F.col("sy"), F.col("ex"), F.col("ey")).alias("len"), *flags(h=(a == "horizontal").cast("int"), v=(a == "vertical").cast("int"), d=(a == "diagonal").cast("int"), n=F.lit(1)))
+        t.segments.select(
+            *base, distance(F.col("sx"), F.col("sy"), F.col("ex"), F.col("ey")).alias("len"),
+            *flags(h=(a == "horizontal").cast("int"), v=(a == "vertical").cast("int"), d=(a == "diagonal").cast("int"), n=F.lit(1))
+        )
         .unionByName(t.circles.select(*base, F.lit(0.0).alias("len"), *flags(c=F.lit(1))))
         .unionByName(t.texts.select(*base, F.lit(0.0).alias("len"), *flags(x=F.lit(1))))
         .unionByName(t.layers.select(*base, F.lit(0.0).alias("len"), *flags()))
     )
-    g = rows.groupBy(*base).agg(F.sum("n").alias("line_count"), F.sum("c").alias("circle_arc_count"), F.sum("x").alias("text_count"), F.sum("len").alias("len"), F.sum("h").alias("h"), F.sum("v").alias("v"), F.sum("d").alias("d"))
-    return g.select(*base, "line_count", "circle_arc_count", "text_count", round_exact(F.col("len"), 2).alias("total_line_length"), dominant(F.col("h"), F.col("v"), F.col("d")).alias("dominant_alignment"))
+    g = rows.groupBy(*base).agg(
+        F.sum("n").alias("line_count"), F.sum("c").alias("circle_arc_count"), F.sum("x").alias("text_count"), F.sum("len").alias("len"),
+        F.sum("h").alias("h"), F.sum("v").alias("v"), F.sum("d").alias("d")
+    )
+    return g.select(
+        *base, "line_count", "circle_arc_count", "text_count", round_exact(F.col("len"), 2).alias("total_line_length"),
+        dominant(F.col("h"), F.col("v"), F.col("d")).alias("dominant_alignment")
+    )
 
 
 def anchor_points(t: Layers) -> DataFrame:
     """(drawing_id, ord, gx, gy, glayer, gtype): middles of segments and centres of circles, in the order of the walk."""
-    lines = t.segments.select("drawing_id", F.struct("layer_ord", F.lit(0).alias("k"), F.col("line_ord").alias("i")).alias("ord"), ((F.col("sx") + F.col("ex")) / 2).alias("gx"), ((F.col("sy") + F.col("ey")) / 2).alias("gy"), F.col("layer").alias("glayer"), F.lit("line_midpoint").alias("gtype"))
-    circles = t.circles.select("drawing_id", F.struct("layer_ord", F.lit(1).alias("k"), F.col("circle_ord").alias("i")).alias("ord"), F.col("cx").alias("gx"), F.col("cy").alias("gy"), F.col("layer").alias("glayer"), F.lit("circle_arc_center").alias("gtype"))
+    lines = t.segments.select(
+        "drawing_id", F.struct("layer_ord", F.lit(0).alias("k"), F.col("line_ord").alias("i")).alias("ord"),
+        ((F.col("sx") + F.col("ex")) / 2).alias("gx"), ((F.col("sy") + F.col("ey")) / 2).alias("gy"), F.col("layer").alias("glayer"),
+        F.lit("line_midpoint").alias("gtype")
+    )
+    circles = t.circles.select(
+        "drawing_id", F.struct("layer_ord", F.lit(1).alias("k"), F.col("circle_ord").alias("i")).alias("ord"), F.col("cx").alias("gx"),
+        F.col("cy").alias("gy"), F.col("layer").alias("glayer"), F.lit("circle_arc_center").alias("gtype")
+    )
     return lines.unionByName(circles)
 
 
-def nearest(queries: DataFrame, refs: DataFrame, key: list[str], qx: str, qy: str, rx: str, ry: str, ord: str, cells: tuple[float, ...] = CELLS, keep=None) -> DataFrame:
+def nearest(
+    queries: DataFrame, refs: DataFrame, key: list[str], qx: str, qy: str, rx: str, ry: str, ord: str, cells: tuple[float, ...] = CELLS,
+    keep=None
+) -> DataFrame:
     """Each of ``queries`` (unique in drawing_id and ``key``) with the columns of its nearest reference and ``d``.
 
     The exact nearest of the same drawing, the first in ``ord`` of equally near ones. Each query looks into the nine cells
@@ -51,17 +70,31 @@ def nearest(queries: DataFrame, refs: DataFrame, key: list[str], qx: str, qy: st
     ids = ["drawing_id", *key]
     cols = [c for c in refs.columns if c != "drawing_id"]
     v = F.struct(*cols)
-    square = (F.col("_x") - F.col(f"_r.{rx}")) * (F.col("_x") - F.col(f"_r.{rx}")) + (F.col("_y") - F.col(f"_r.{ry}")) * (F.col("_y") - F.col(f"_r.{ry}"))
+    square = (
+        F.col("_x") - F.col(f"_r.{rx}")
+    ) * (F.col("_x") - F.col(f"_r.{rx}")) + (F.col("_y") - F.col(f"_r.{ry}")) * (F.col("_y") - F.col(f"_r.{ry}"))
     best = F.min_by("_r", F.struct("_d", F.col(f"_r.{ord}")))
     rest, found = queries.select(*ids, F.col(qx).alias("_x"), F.col(qy).alias("_y")), []
     for cell in cells:
         at = lambda c: F.floor(F.col(c) / cell)  # noqa: B023, E731
         gridded = refs.select("drawing_id", at(rx).alias("_u"), at(ry).alias("_v"), v.alias("_r"))
-        around = F.explode(F.array(*(F.struct((at("_x") + i).alias("u"), (at("_y") + k).alias("v")) for i in (-1, 0, 1) for k in (-1, 0, 1))))
+        around = F.explode(
+            F.array(*(F.struct((at("_x") + i).alias("u"), (at("_y") + k).alias("v")) for i in (-1, 0, 1) for k in (-1, 0, 1)))
+        )
         probe = rest.select("*", around.alias("_c")).select("*", F.col("_c.u").alias("_u"), F.col("_c.v").alias("_v"))
-        found.append(keep(probe.join(gridded, ["drawing_id", "_u", "_v"]).withColumn("_d", square).where(F.col("_d") <= cell * cell).groupBy(*ids).agg(best.alias("_r"), F.min("_d").alias("_d"))))
+        found.append(
+            keep(
+                probe.join(
+                    gridded, ["drawing_id", "_u", "_v"]
+                ).withColumn("_d", square).where(F.col("_d") <= cell * cell).groupBy(*ids).agg(
+                    best.alias("_r"), F.min("_d").alias("_d")
+                )
+            )
+        )
         rest = keep(rest.join(found[-1].select(*ids), ids, "left_anti"))
-    far = rest.join(refs.select("drawing_id", v.alias("_r")), "drawing_id").withColumn("_d", square).groupBy(*ids).agg(best.alias("_r"), F.min("_d").alias("_d"))
+    far = rest.join(
+        refs.select("drawing_id", v.alias("_r")), "drawing_id"
+    ).withColumn("_d", square).groupBy(*ids).agg(best.alias("_r"), F.min("_d").alias("_d"))
     for x in found:
         far = far.unionByName(x)
     return queries.join(far, ids).select(*queries.columns, F.sqrt("_d").alias("d"), *(F.col(f"_r.{c}").alias(c) for c in cols))
@@ -69,17 +102,24 @@ def nearest(queries: DataFrame, refs: DataFrame, key: list[str], qx: str, qy: st
 
 def text_neighbours(t: Layers, keep=None) -> DataFrame:
     """Each text with its nearest anchor point; the base of the radius and of the anchors, computed once."""
-    return nearest(t.texts.select("drawing_id", "layer", "layer_ord", "text_ord", "tx", "ty", "text"), anchor_points(t), ["layer_ord", "text_ord"], "tx", "ty", "gx", "gy", "ord", keep=keep)
+    return nearest(
+        t.texts.select("drawing_id", "layer", "layer_ord", "text_ord", "tx", "ty", "text"), anchor_points(t), ["layer_ord", "text_ord"],
+        "tx", "ty", "gx", "gy", "ord", keep=keep
+    )
 
 
 def anchor_radius(t: Layers, near: DataFrame) -> DataFrame:
     """(drawing_id, radius): twice the upper median of the first 100 texts' distances, 50 at least; 500 without texts or geometry."""
     order = Window.partitionBy("drawing_id").orderBy("layer_ord", "text_ord")
     first = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE)
-    med = first.groupBy("drawing_id").agg(F.array_sort(F.collect_list("d")).alias("ds")).select("drawing_id", F.element_at("ds", (F.floor(F.size("ds") / 2) + 1).cast("int")).alias("m"))
+    med = first.groupBy("drawing_id").agg(F.array_sort(F.collect_list("d")).alias("ds")).select(
+        "drawing_id", F.element_at("ds", (F.floor(F.size("ds") / 2) + 1).cast("int")).alias("m")
+    )
     radius = round_exact(F.greatest(F.col("m") * 2, F.lit(LEAST_RADIUS)), 1)
     drawings = t.layers.select("drawing_id").distinct()
-    return drawings.join(med, "drawing_id", "left").select("drawing_id", F.when(F.col("m").isNull(), F.lit(DEFAULT_RADIUS)).otherwise(radius).alias("radius"))
+    return drawings.join(med, "drawing_id", "left").select(
+        "drawing_id", F.when(F.col("m").isNull(), F.lit(DEFAULT_RADIUS)).otherwise(radius).alias("radius")
+    )
 
 
 def text_anchors(near: DataFrame, radius: DataFrame | float) -> DataFrame:
@@ -89,7 +129,9 @@ def text_anchors(near: DataFrame, radius: DataFrame | float) -> DataFrame:
     else:
         j, limit = near, F.lit(float(radius))
     return j.where(F.col("d") <= limit).select(
-        "drawing_id", "layer_ord", "text_ord", "text", "tx", "ty", F.col("layer").alias("text_layer"), F.col("gtype").alias("nearest_entity_type"), round_exact(F.col("gx"), 2).alias("nearest_x"), round_exact(F.col("gy"), 2).alias("nearest_y"),
+        "drawing_id", "layer_ord", "text_ord", "text", "tx", "ty", F.col("layer").alias("text_layer"),
+        F.col("gtype").alias("nearest_entity_type"), round_exact(F.col("gx"), 2).alias("nearest_x"),
+        round_exact(F.col("gy"), 2).alias("nearest_y"),
         F.col("glayer").alias("nearest_entity_layer"), round_exact(F.col("d"), 2).alias("distance"),
     )
 
@@ -101,20 +143,28 @@ def unanchored_texts(t: Layers, anchors: DataFrame) -> DataFrame:
 def room_labels(texts: DataFrame) -> DataFrame:
     """(drawing_id, room_ord, label, x, y): the texts on layers whose name tells of labels, in the order of the walk."""
     rooms = texts.where(is_room_layer(F.col("layer")))
-    return rooms.select("drawing_id", F.row_number().over(Window.partitionBy("drawing_id").orderBy("layer_ord", "text_ord")).alias("room_ord"), F.col("text").alias("label"), F.col("tx").alias("x"), F.col("ty").alias("y"))
+    return rooms.select(
+        "drawing_id", F.row_number().over(Window.partitionBy("drawing_id").orderBy("layer_ord", "text_ord")).alias("room_ord"),
+        F.col("text").alias("label"), F.col("tx").alias("x"), F.col("ty").alias("y")
+    )
 
 
 def room_members(t: Layers, rooms: DataFrame, blocks: DataFrame | None = None, keep=None) -> DataFrame:
     """(drawing_id, room_ord, layer_ord, kind_ord, item_ord, handle, type, layer): each entity with its nearest room label."""
     name = F.coalesce("handle", "id", F.lit("?")).alias("handle")
-    row = lambda k, kind, i, x, y, h=name: ["drawing_id", "layer", "layer_ord", F.lit(k).alias("kind_ord"), F.col(i).alias("item_ord"), x.alias("px"), y.alias("py"), h, F.lit(kind).alias("type")]
+    row = lambda k, kind, i, x, y, h=name: [
+        "drawing_id", "layer", "layer_ord", F.lit(k).alias("kind_ord"), F.col(i).alias("item_ord"), x.alias("px"), y.alias("py"), h,
+        F.lit(kind).alias("type")
+    ]
     rows = (
         t.segments.select(*row(0, "line", "line_ord", (F.col("sx") + F.col("ex")) / 2, (F.col("sy") + F.col("ey")) / 2))
         .unionByName(t.circles.select(*row(1, "circle_arc", "circle_ord", F.col("cx"), F.col("cy"))))
         .unionByName(t.texts.select(*row(2, "text", "text_ord", F.col("tx"), F.col("ty"))))
     )
     if blocks is not None:
-        rows = rows.unionByName(blocks.select(*row(3, "block", "block_ord", F.col("bx"), F.col("by"), F.coalesce("handle", F.lit("?")).alias("handle"))))
+        rows = rows.unionByName(
+            blocks.select(*row(3, "block", "block_ord", F.col("bx"), F.col("by"), F.coalesce("handle", F.lit("?")).alias("handle")))
+        )
     refs = rooms.select("drawing_id", "room_ord", F.col("x").alias("rx"), F.col("y").alias("ry"))
     found = nearest(rows, refs, ["layer_ord", "kind_ord", "item_ord"], "px", "py", "rx", "ry", "room_ord", keep=keep)
     return found.select("drawing_id", "room_ord", "layer_ord", "kind_ord", "item_ord", "handle", "type", "layer")

@@ -14,12 +14,23 @@ def layer_boxes(t: Layers) -> DataFrame:
     """(drawing_id, layer, layer_ord, min_x, min_y, max_x, max_y) of layers with an entity; arcs count as full circles."""
     base = ["drawing_id", "layer", "layer_ord"]
     parts = [
-        t.segments.select(*base, F.least("sx", "ex").alias("x0"), F.greatest("sx", "ex").alias("x1"), F.least("sy", "ey").alias("y0"), F.greatest("sy", "ey").alias("y1")),
-        t.circles.select(*base, *(f(F.col(c) - F.col("radius"), F.col(c) + F.col("radius")).alias(n) for c, f, n in (("cx", F.least, "x0"), ("cx", F.greatest, "x1"), ("cy", F.least, "y0"), ("cy", F.greatest, "y1")))),
+        t.segments.select(
+            *base, F.least("sx", "ex").alias("x0"), F.greatest("sx", "ex").alias("x1"), F.least("sy", "ey").alias("y0"),
+            F.greatest("sy", "ey").alias("y1")
+        ),
+        t.circles.select(
+            *base,
+            *(
+                f(F.col(c) - F.col("radius"), F.col(c) + F.col("radius")).alias(n)
+                for c, f, n in (("cx", F.least, "x0"), ("cx", F.greatest, "x1"), ("cy", F.least, "y0"), ("cy", F.greatest, "y1"))
+            )
+        ),
         t.texts.select(*base, F.col("tx").alias("x0"), F.col("tx").alias("x1"), F.col("ty").alias("y0"), F.col("ty").alias("y1")),
     ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    g = rows.groupBy(*base).agg(F.min("x0").alias("min_x"), F.min("y0").alias("min_y"), F.max("x1").alias("max_x"), F.max("y1").alias("max_y"))
+    g = rows.groupBy(*base).agg(
+        F.min("x0").alias("min_x"), F.min("y0").alias("min_y"), F.max("x1").alias("max_x"), F.max("y1").alias("max_y")
+    )
     return g.select(*base, *(round_exact(F.col(c), 2).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")))
 
 
@@ -41,7 +52,10 @@ def contained(points: DataFrame, loops: DataFrame, x: str, y: str) -> DataFrame:
     it and not all of its drawing, nested loops each claim it, and rings join only where the box holds the point.
     """
     pad = 1e-6
-    box = loops.select("drawing_id", "loop_ord", (F.col("min_x") - pad).alias("x0"), (F.col("min_y") - pad).alias("y0"), (F.col("max_x") + pad).alias("x1"), (F.col("max_y") + pad).alias("y1"))
+    box = loops.select(
+        "drawing_id", "loop_ord", (F.col("min_x") - pad).alias("x0"), (F.col("min_y") - pad).alias("y0"),
+        (F.col("max_x") + pad).alias("x1"), (F.col("max_y") + pad).alias("y1")
+    )
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     box = box.withColumn("level", F.ceil(F.log2(side * (2.0 / (CELLS**0.5)))).cast("int"))  # two cells of half a box, and one for where it lies
     size = F.pow(F.lit(2.0), F.col("level"))
@@ -52,4 +66,6 @@ def contained(points: DataFrame, loops: DataFrame, x: str, y: str) -> DataFrame:
     probe = points.join(levels).withColumns({"u": F.floor(F.col(x) / size), "v": F.floor(F.col(y) / size)})
     inside = (F.col(x) >= F.col("x0")) & (F.col(x) <= F.col("x1")) & (F.col(y) >= F.col("y0")) & (F.col(y) <= F.col("y1"))
     held = probe.join(entered, keys).where(inside).select(*points.columns, "loop_ord")
-    return held.join(loops.select("drawing_id", "loop_ord", "ring"), ["drawing_id", "loop_ord"]).where(crossings(F.col(x), F.col(y), F.col("ring")) % 2 == 1).select(*points.columns, "loop_ord")
+    return held.join(
+        loops.select("drawing_id", "loop_ord", "ring"), ["drawing_id", "loop_ord"]
+    ).where(crossings(F.col(x), F.col(y), F.col("ring")) % 2 == 1).select(*points.columns, "loop_ord")

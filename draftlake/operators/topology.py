@@ -25,15 +25,25 @@ class Topology(NamedTuple):
 
 def endpoints(segments: DataFrame) -> DataFrame:
     """(drawing_id, at, x, y, kx, ky): both ends of each segment; ``at`` is the order of the walk over all layers."""
-    ends = F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("sx").alias("x"), F.col("sy").alias("y")), F.struct(F.lit(1).alias("e"), F.col("ex").alias("x"), F.col("ey").alias("y"))))
+    ends = F.explode(
+        F.array(
+            F.struct(F.lit(0).alias("e"), F.col("sx").alias("x"), F.col("sy").alias("y")),
+            F.struct(F.lit(1).alias("e"), F.col("ex").alias("x"), F.col("ey").alias("y"))
+        )
+    )
     e = segments.select("drawing_id", "layer_ord", "line_ord", ends.alias("p"))
     at = F.struct("layer_ord", "line_ord", F.col("p.e").alias("e"))
-    return e.select("drawing_id", at.alias("at"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), round_exact(F.col("p.x"), 2).alias("kx"), round_exact(F.col("p.y"), 2).alias("ky"))
+    return e.select(
+        "drawing_id", at.alias("at"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), round_exact(F.col("p.x"), 2).alias("kx"),
+        round_exact(F.col("p.y"), 2).alias("ky")
+    )
 
 
 def _first_points(points: DataFrame) -> DataFrame:
     """One row for each rounded point: its first appearance and the exact coordinates it had then."""
-    return points.groupBy("drawing_id", "kx", "ky").agg(F.min(F.struct("at", "x", "y")).alias("f")).select("drawing_id", "kx", "ky", "f.at", "f.x", "f.y")
+    return points.groupBy("drawing_id", "kx", "ky").agg(F.min(F.struct("at", "x", "y")).alias("f")).select(
+        "drawing_id", "kx", "ky", "f.at", "f.x", "f.y"
+    )
 
 
 def crowded(first: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -43,8 +53,12 @@ def crowded(first: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """
     cell = max(tolerance, 1e-6)
     cells = first.select("drawing_id", "kx", "ky", "x", "y", F.floor(F.col("x") / cell).alias("u"), F.floor(F.col("y") / cell).alias("v"))
-    around = F.explode(F.array(*(F.struct((F.col("u") + i).alias("u"), (F.col("v") + k).alias("v")) for i in (-1, 0, 1) for k in (-1, 0, 1))))
-    probe = cells.select("drawing_id", F.col("kx").alias("px"), F.col("ky").alias("py"), F.col("x").alias("qx"), F.col("y").alias("qy"), around.alias("c")).select("*", "c.u", "c.v")
+    around = F.explode(
+        F.array(*(F.struct((F.col("u") + i).alias("u"), (F.col("v") + k).alias("v")) for i in (-1, 0, 1) for k in (-1, 0, 1)))
+    )
+    probe = cells.select(
+        "drawing_id", F.col("kx").alias("px"), F.col("ky").alias("py"), F.col("x").alias("qx"), F.col("y").alias("qy"), around.alias("c")
+    ).select("*", "c.u", "c.v")
     near = (F.col("x") - F.col("qx")) ** 2 + (F.col("y") - F.col("qy")) ** 2 <= (tolerance * (1 + 1e-9)) ** 2
     other = (F.col("kx") != F.col("px")) | (F.col("ky") != F.col("py"))
     return cells.join(probe, ["drawing_id", "u", "v"]).where(other & near).select("drawing_id").distinct()
@@ -63,25 +77,37 @@ def joints(segments: DataFrame, tolerance: float = TOLERANCE, method: str = "gre
     first = keep(_first_points(endpoints(segments)))
     dense = keep(crowded(first, tolerance))
     number = F.row_number().over(Window.partitionBy("drawing_id").orderBy("at")) - 1
-    plain = first.join(dense, "drawing_id", "left_anti").select("drawing_id", "kx", "ky", number.alias("node_id"), round_exact(F.col("x"), 2).alias("x"), round_exact(F.col("y"), 2).alias("y"))
+    plain = first.join(dense, "drawing_id", "left_anti").select(
+        "drawing_id", "kx", "ky", number.alias("node_id"), round_exact(F.col("x"), 2).alias("x"), round_exact(F.col("y"), 2).alias("y")
+    )
     group = kernels.cluster if method == "greedy" else kernels.anchored
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["a", "b", "c"])
         centres, known = group(pdf[["x", "y"]].to_numpy(), tolerance)
-        return pd.DataFrame([(pdf["drawing_id"].iloc[0], kx, ky, j, *centres[j]) for (kx, ky), j in known.items()], columns=["drawing_id", "kx", "ky", "node_id", "x", "y"])
+        return pd.DataFrame(
+            [(pdf["drawing_id"].iloc[0], kx, ky, j, *centres[j]) for (kx, ky), j in known.items()],
+            columns=["drawing_id", "kx", "ky", "node_id", "x", "y"]
+        )
 
     # a point that was met before changes nothing, so that the kernel sees first appearances only
-    walk = first.join(dense, "drawing_id", "left_semi").select("drawing_id", F.col("at.layer_ord").alias("a"), F.col("at.line_ord").alias("b"), F.col("at.e").alias("c"), "x", "y")
+    walk = first.join(dense, "drawing_id", "left_semi").select(
+        "drawing_id", F.col("at.layer_ord").alias("a"), F.col("at.line_ord").alias("b"), F.col("at.e").alias("c"), "x", "y"
+    )
     merged = walk.groupBy("drawing_id").applyInPandas(run, f"drawing_id {kind}, kx double, ky double, node_id int, x double, y double")
     both = keep(plain.unionByName(merged))
-    return both.select("drawing_id", "node_id", "x", "y").distinct(), both.select("drawing_id", (F.col("kx") + 0.0).alias("kx"), (F.col("ky") + 0.0).alias("ky"), "node_id")
+    return both.select("drawing_id", "node_id", "x", "y").distinct(), both.select(
+        "drawing_id", (F.col("kx") + 0.0).alias("kx"), (F.col("ky") + 0.0).alias("ky"), "node_id"
+    )
 
 
 def graph_edges(segments: DataFrame, point_nodes: DataFrame) -> DataFrame:
     """(drawing_id, layer, layer_ord, line_ord, from_node, to_node): segments between different joints, parallel ones each."""
     key = lambda c: round_exact(F.col(c), 2) + 0.0
-    keyed = segments.select("drawing_id", "layer", "layer_ord", "line_ord", key("sx").alias("sx"), key("sy").alias("sy"), key("ex").alias("ex"), key("ey").alias("ey"))
+    keyed = segments.select(
+        "drawing_id", "layer", "layer_ord", "line_ord", key("sx").alias("sx"), key("sy").alias("sy"), key("ex").alias("ex"),
+        key("ey").alias("ey")
+    )
     a = point_nodes.select("drawing_id", F.col("kx").alias("sx"), F.col("ky").alias("sy"), F.col("node_id").alias("from_node"))
     b = point_nodes.select("drawing_id", F.col("kx").alias("ex"), F.col("ky").alias("ey"), F.col("node_id").alias("to_node"))
     joined = keyed.join(a, ["drawing_id", "sx", "sy"]).join(b, ["drawing_id", "ex", "ey"])
@@ -91,9 +117,13 @@ def graph_edges(segments: DataFrame, point_nodes: DataFrame) -> DataFrame:
 def adjacency(edges: DataFrame) -> DataFrame:
     """(drawing_id, node_id, nbr_ord, nbr): the distinct neighbours of each joint, in the order in which edges bring them."""
     e = edges.select("drawing_id", F.struct("layer_ord", "line_ord").alias("at"), "from_node", "to_node")
-    both = e.select("drawing_id", "at", F.col("from_node").alias("node_id"), F.col("to_node").alias("nbr")).unionByName(e.select("drawing_id", "at", F.col("to_node").alias("node_id"), F.col("from_node").alias("nbr")))
+    both = e.select("drawing_id", "at", F.col("from_node").alias("node_id"), F.col("to_node").alias("nbr")).unionByName(
+        e.select("drawing_id", "at", F.col("to_node").alias("node_id"), F.col("from_node").alias("nbr"))
+    )
     once = both.groupBy("drawing_id", "node_id", "nbr").agg(F.min("at").alias("at"))
-    return once.select("drawing_id", "node_id", F.row_number().over(Window.partitionBy("drawing_id", "node_id").orderBy("at")).alias("nbr_ord"), "nbr")
+    return once.select(
+        "drawing_id", "node_id", F.row_number().over(Window.partitionBy("drawing_id", "node_id").orderBy("at")).alias("nbr_ord"), "nbr"
+    )
 
 
 def degree_distribution(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -102,7 +132,10 @@ def degree_distribution(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return per.groupBy("drawing_id", "node_id").agg(F.sum("d").alias("degree")).groupBy("drawing_id", "degree").agg(F.count("*").alias("n"))
 
 
-def detect_loops(links: DataFrame, max_length: int = kernels.MAX_LENGTH, max_loops: int = kernels.MAX_LOOPS, max_steps: int = kernels.MAX_STEPS, by: str = "nodes", keep=None) -> tuple[DataFrame, DataFrame]:
+def detect_loops(
+    links: DataFrame, max_length: int = kernels.MAX_LENGTH, max_loops: int = kernels.MAX_LOOPS, max_steps: int = kernels.MAX_STEPS,
+    by: str = "nodes", keep=None
+) -> tuple[DataFrame, DataFrame]:
     """(loops, truncated): (drawing_id, found_ord, node_ids) and (drawing_id, truncated), a kernel run for each drawing.
 
     The search and its bounds are sequential over a drawing, so drawings are the unit of parallelism. Drawings whose joints
@@ -117,7 +150,10 @@ def detect_loops(links: DataFrame, max_length: int = kernels.MAX_LENGTH, max_loo
             near[node].append(nbr)
         found, cut = kernels.cycles(near, max_length, max_loops, max_steps, by)
         drawing = pdf["drawing_id"].iloc[0]
-        return pd.DataFrame([(drawing, k, ids, cut) for k, ids in enumerate(found)] + [(drawing, -1, [], cut)], columns=["drawing_id", "found_ord", "node_ids", "truncated"])
+        return pd.DataFrame(
+            [(drawing, k, ids, cut) for k, ids in enumerate(found)] + [(drawing, -1, [], cut)],
+            columns=["drawing_id", "found_ord", "node_ids", "truncated"]
+        )
 
     rows = links.groupBy("drawing_id").applyInPandas(run, f"drawing_id {kind}, found_ord int, node_ids array<int>, truncated boolean")
     rows = keep(rows) if keep else rows
@@ -138,7 +174,9 @@ def detect_loops_sql(links: DataFrame, max_length: int = kernels.MAX_LENGTH) ->
             WHERE a.nbr > w.path[0] AND NOT array_contains(w.path, a.nbr) AND size(w.path) < {max_length})
         SELECT w.drawing_id, w.path FROM walk w JOIN draftlake_links a ON a.drawing_id = w.drawing_id AND a.node_id = element_at(w.path, -1) AND a.nbr = w.path[0] WHERE size(w.path) >= 3"""
     )
-    return found.groupBy("drawing_id", F.array_sort("path").alias("members")).agg(F.min("path").alias("node_ids")).select("drawing_id", "node_ids")
+    return found.groupBy(
+        "drawing_id", F.array_sort("path").alias("members")
+    ).agg(F.min("path").alias("node_ids")).select("drawing_id", "node_ids")
 
 
 def loop_metadata(loops: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -146,16 +184,25 @@ def loop_metadata(loops: DataFrame, nodes: DataFrame) -> DataFrame:
 
     The corner coordinates come by an equi-join on (drawing, node); area and the rest are aggregates over an array of points.
     """
-    corners = loops.select("drawing_id", "found_ord", "node_ids", F.posexplode("node_ids").alias("k", "node_id")).join(nodes, ["drawing_id", "node_id"])
-    ring = corners.groupBy("drawing_id", "found_ord").agg(F.first("node_ids").alias("node_ids"), F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("r"))
+    corners = loops.select(
+        "drawing_id", "found_ord", "node_ids", F.posexplode("node_ids").alias("k", "node_id")
+    ).join(nodes, ["drawing_id", "node_id"])
+    ring = corners.groupBy("drawing_id", "found_ord").agg(
+        F.first("node_ids").alias("node_ids"), F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("r")
+    )
     n = F.size("r")
     ahead = F.concat(F.slice("r", 2, n - 1), F.slice("r", 1, 1))
-    twice = F.aggregate(F.arrays_zip(F.col("r").alias("p"), ahead.alias("q")), F.lit(0.0), lambda a, e: a + e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"])
+    twice = F.aggregate(
+        F.arrays_zip(F.col("r").alias("p"), ahead.alias("q")), F.lit(0.0), lambda a,
+        e: a + e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]
+    )
     total = lambda axis: F.aggregate("r", F.lit(0.0), lambda a, p: a + p[axis])
     fold = lambda f, axis: round_exact(f(F.transform("r", lambda p: p[axis])), 2)
     m = ring.where(n >= 3).select(
-        "drawing_id", "found_ord", "node_ids", n.alias("num_segments"), round_exact(F.abs(twice) / 2, 2).alias("area"), round_exact(total("x") / n, 2).alias("cx"), round_exact(total("y") / n, 2).alias("cy"),
-        fold(F.array_min, "x").alias("min_x"), fold(F.array_min, "y").alias("min_y"), fold(F.array_max, "x").alias("max_x"), fold(F.array_max, "y").alias("max_y"),
+        "drawing_id", "found_ord", "node_ids", n.alias("num_segments"), round_exact(F.abs(twice) / 2, 2).alias("area"),
+        round_exact(total("x") / n, 2).alias("cx"), round_exact(total("y") / n, 2).alias("cy"),
+        fold(F.array_min, "x").alias("min_x"), fold(F.array_min, "y").alias("min_y"), fold(F.array_max, "x").alias("max_x"),
+        fold(F.array_max, "y").alias("max_y"),
         F.transform("r", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"),
     )
     return m.withColumn("loop_ord", F.row_number().over(Window.partitionBy("drawing_id").orderBy(F.desc("area"), "found_ord")))
@@ -164,7 +211,9 @@ def loop_metadata(loops: DataFrame, nodes: DataFrame) -> DataFrame:
 def loop_boundary_layers(loops: DataFrame, edges: DataFrame) -> DataFrame:
     """(drawing_id, loop_ord, layer): the layers that segments along each loop lie on."""
     ahead = F.concat(F.slice("node_ids", 2, F.size("node_ids") - 1), F.slice("node_ids", 1, 1))
-    sides = loops.select("drawing_id", "loop_ord", F.explode(F.arrays_zip(F.col("node_ids").alias("u"), ahead.alias("v"))).alias("e")).select("drawing_id", "loop_ord", F.least("e.u", "e.v").alias("u"), F.greatest("e.u", "e.v").alias("v"))
+    sides = loops.select(
+        "drawing_id", "loop_ord", F.explode(F.arrays_zip(F.col("node_ids").alias("u"), ahead.alias("v"))).alias("e")
+    ).select("drawing_id", "loop_ord", F.least("e.u", "e.v").alias("u"), F.greatest("e.u", "e.v").alias("v"))
     flat = edges.select("drawing_id", "layer", F.least("from_node", "to_node").alias("u"), F.greatest("from_node", "to_node").alias("v"))
     return sides.join(flat, ["drawing_id", "u", "v"]).select("drawing_id", "loop_ord", "layer").distinct()
 

@@ -53,10 +53,17 @@ class Analysis(NamedTuple):
 
     def markdown(self) -> DataFrame:
         """(drawing_id, markdown)."""
-        return payload.markdown(payload.report_lines(self.metadata, self.tables, self.loops, self.texts_in, self.symbols_in, self.statistics, self.boxes, self.nodes, self.edges, self.degrees))
+        return payload.markdown(
+            payload.report_lines(
+                self.metadata, self.tables, self.loops, self.texts_in, self.symbols_in, self.statistics, self.boxes, self.nodes, self.edges,
+                self.degrees
+            )
+        )
 
 
-def analyse_tables(t: Layers, metadata: DataFrame, tolerance: float = topology.TOLERANCE, radius: float | None = None, keep: Keep | None = None, **bounds) -> Analysis:
+def analyse_tables(
+    t: Layers, metadata: DataFrame, tolerance: float = topology.TOLERANCE, radius: float | None = None, keep: Keep | None = None, **bounds
+) -> Analysis:
     """Passes 2 to 5 over tables of pass 1; ids come before rooms, whose members carry them.
 
     ``keep`` stores what several results are made of, so that it is computed once: by default ``plans.store.kept``. With a
@@ -66,7 +73,9 @@ def analyse_tables(t: Layers, metadata: DataFrame, tolerance: float = topology.T
     t = Layers(*map(keep, payload.assign_ids(t)))
     top = topology.analyse(t.segments, tolerance, keep, **bounds)
     near = keep(semantics.text_neighbours(t, keep))
-    reach = keep(semantics.anchor_radius(t, near) if radius is None else t.layers.select("drawing_id").distinct().withColumn("radius", F.lit(float(radius))))
+    reach = keep(
+        semantics.anchor_radius(t, near) if radius is None else t.layers.select("drawing_id").distinct().withColumn("radius", F.lit(float(radius)))
+    )
     rooms = keep(semantics.room_labels(t.texts))
     loops = payload.size_classes(payload.loop_ids(top.loops))
     return Analysis(

@@ -34,14 +34,23 @@ def nested(a: Analysis) -> DataFrame:
         _lists(a.nodes, "nodes", ["node_id"], ["x", "y"]),
         a.edges.groupBy("drawing_id").agg(F.count("*").alias("edges")),
         _lists(a.degrees, "degrees", ["degree"], ["n"]),
-        _lists(a.loops.drop("ring"), "loops", ["loop_ord"], ["loop_ord", "node_ids", "num_segments", "area", "cx", "cy", "min_x", "min_y", "max_x", "max_y", "id"]),
+        _lists(
+            a.loops.drop("ring"), "loops", ["loop_ord"],
+            ["loop_ord", "node_ids", "num_segments", "area", "cx", "cy", "min_x", "min_y", "max_x", "max_y", "id"]
+        ),
         a.truncated,
         _lists(a.texts_in, "texts_in", ["loop_ord", "layer_ord", "text_ord"], ["loop_ord", "text", "tx", "ty", "layer"]),
         _lists(a.symbols_in, "symbols_in", ["loop_ord", "layer_ord", "circle_ord"], ["loop_ord", "cx", "cy", "radius", "layer"]),
         _lists(a.boxes, "boxes", ["layer_ord"], ["layer", "min_x", "min_y", "max_x", "max_y"]),
         _lists(a.alignments, "alignments", ["layer_ord"], ["layer", "horizontal", "vertical", "diagonal"]),
-        _lists(a.statistics, "statistics", ["layer_ord"], ["layer", "line_count", "circle_arc_count", "text_count", "total_line_length", "dominant_alignment"]),
-        _lists(a.anchors, "anchors", ["layer_ord", "text_ord"], ["text", "tx", "ty", "text_layer", "nearest_entity_type", "nearest_x", "nearest_y", "nearest_entity_layer", "distance"]),
+        _lists(
+            a.statistics, "statistics", ["layer_ord"],
+            ["layer", "line_count", "circle_arc_count", "text_count", "total_line_length", "dominant_alignment"]
+        ),
+        _lists(
+            a.anchors, "anchors", ["layer_ord", "text_ord"],
+            ["text", "tx", "ty", "text_layer", "nearest_entity_type", "nearest_x", "nearest_y", "nearest_entity_layer", "distance"]
+        ),
         a.radius,
         _lists(a.rooms, "rooms", ["room_ord"], ["room_ord", "label", "x", "y"]),
         _lists(a.room_members, "room_members", ["room_ord", "layer_ord", "kind_ord", "item_ord"], ["room_ord", "handle", "type", "layer"]),
@@ -62,10 +71,22 @@ def document(r: dict) -> dict:
     for d in items("segments"):
         layers[d["layer"]]["lines"].append({"start": pt(d, "sx", "sy"), "end": pt(d, "ex", "ey"), "alignment": d["alignment"]} | named(d))
     for d in items("circles"):
-        layers[d["layer"]]["circles_arcs"].append({"center": pt(d, "cx", "cy"), "radius": num(d["radius"]), "angles": None if d["angles"] is None else [float(v) for v in d["angles"]]} | named(d))
+        layers[d["layer"]]["circles_arcs"].append(
+            {
+                "center": pt(d, "cx", "cy"), "radius": num(d["radius"]),
+                "angles": None if d["angles"] is None else [float(v) for v in d["angles"]]
+            } | named(d)
+        )
     for d in items("texts"):
         layers[d["layer"]]["text_annotations"].append({"position": pt(d, "tx", "ty"), "text": d["text"]} | named(d))
-    loops = [{"node_ids": [int(v) for v in d["node_ids"]], "num_segments": d["num_segments"], "area": d["area"], "centroid": [d["cx"], d["cy"]], "bbox": [d["min_x"], d["min_y"], d["max_x"], d["max_y"]], "id": d["id"], "contained_text": [], "contained_symbols": []} for d in items("loops")]
+    loops = [
+        {
+            "node_ids": [int(v) for v in d["node_ids"]], "num_segments": d["num_segments"], "area": d["area"],
+            "centroid": [d["cx"], d["cy"]], "bbox": [d["min_x"], d["min_y"], d["max_x"], d["max_y"]], "id": d["id"], "contained_text": [],
+            "contained_symbols": []
+        }
+        for d in items("loops")
+    ]
     for d in items("texts_in"):
         loops[d["loop_ord"] - 1]["contained_text"].append({"text": d["text"], "position": pt(d, "tx", "ty"), "layer": d["layer"]})
     for d in items("symbols_in"):
@@ -73,14 +94,32 @@ def document(r: dict) -> dict:
     nodes = [[d["x"], d["y"]] for d in items("nodes")]
     scale = r["scale_factor"]
     meta = {
-        "filename": r["filename"], "drawing_type": r["drawing_type"], "global_dimensions": {"width": r["width"], "height": r["height"], "units": r["units"]},
-        "transform": {"type": r["transform"], "offset_x": r["offset_x"], "offset_y": r["offset_y"], "scale_factor": int(scale) if r["paper_size"] and scale > 1 else scale, "rounding_precision": r["rounding"], "description": r["description"]},
+        "filename": r["filename"], "drawing_type": r["drawing_type"],
+        "global_dimensions": {"width": r["width"], "height": r["height"], "units": r["units"]},
+        "transform": {
+            "type": r["transform"], "offset_x": r["offset_x"], "offset_y": r["offset_y"],
+            "scale_factor": int(scale) if r["paper_size"] and scale > 1 else scale, "rounding_precision": r["rounding"],
+            "description": r["description"]
+        },
     }
     if r["paper_size"]:
-        meta["paper_info"] = {"paper_size": r["paper_size"], "scale": int(r["paper_scale"]), "expected_extent": [int(r["expected_w"]), int(r["expected_h"])], "fit_error": r["fit_error"]}
+        meta["paper_info"] = {
+            "paper_size": r["paper_size"], "scale": int(r["paper_scale"]), "expected_extent": [int(r["expected_w"]), int(r["expected_h"])],
+            "fit_error": r["fit_error"]
+        }
     semantics = {
-        "layer_statistics": {d["layer"]: {k: d[k] for k in ("line_count", "circle_arc_count", "text_count", "total_line_length", "dominant_alignment")} for d in items("statistics")},
-        "text_anchors": [{"text": d["text"], "text_position": pt(d, "tx", "ty"), "text_layer": d["text_layer"], "nearest_entity_type": d["nearest_entity_type"], "nearest_point": [d["nearest_x"], d["nearest_y"]], "nearest_entity_layer": d["nearest_entity_layer"], "distance": d["distance"]} for d in items("anchors")],
+        "layer_statistics": {
+            d["layer"]: {k: d[k] for k in ("line_count", "circle_arc_count", "text_count", "total_line_length", "dominant_alignment")}
+            for d in items("statistics")
+        },
+        "text_anchors": [
+            {
+                "text": d["text"], "text_position": pt(d, "tx", "ty"), "text_layer": d["text_layer"],
+                "nearest_entity_type": d["nearest_entity_type"], "nearest_point": [d["nearest_x"], d["nearest_y"]],
+                "nearest_entity_layer": d["nearest_entity_layer"], "distance": d["distance"]
+            }
+            for d in items("anchors")
+        ],
         "anchor_radius_used": r["radius"],
     }
     rooms = [{"label": d["label"], "position": pt(d, "x", "y"), "entities": []} for d in items("rooms")]
@@ -90,8 +129,15 @@ def document(r: dict) -> dict:
         semantics["rooms"] = rooms
     return {
         "metadata": meta, "layers": layers,
-        "topology": {"parameters": PARAMETERS, "nodes": dict(count=len(nodes), coordinates=nodes, degree_distribution={str(d["o0"]): d["n"] for d in items("degrees")}), "edges": {"count": int(r["edges"] or 0)}, "loops": loops, "loops_truncated": bool(r["truncated"])},
-        "spatial": {"layer_bounding_boxes": {d["layer"]: [num(d[k]) for k in ("min_x", "min_y", "max_x", "max_y")] for d in items("boxes")}, "alignment_summary": {d["layer"]: {k: d[k] for k in ("horizontal", "vertical", "diagonal")} for d in items("alignments")}},
+        "topology": {
+            "parameters": PARAMETERS,
+            "nodes": dict(count=len(nodes), coordinates=nodes, degree_distribution={str(d["o0"]): d["n"] for d in items("degrees")}),
+            "edges": {"count": int(r["edges"] or 0)}, "loops": loops, "loops_truncated": bool(r["truncated"])
+        },
+        "spatial": {
+            "layer_bounding_boxes": {d["layer"]: [num(d[k]) for k in ("min_x", "min_y", "max_x", "max_y")] for d in items("boxes")},
+            "alignment_summary": {d["layer"]: {k: d[k] for k in ("horizontal", "vertical", "diagonal")} for d in items("alignments")}
+        },
         "semantics": semantics,
     }
 

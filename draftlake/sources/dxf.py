@@ -55,8 +55,10 @@ def tags(text: str) -> Iterator[tuple[int, str]]:
 BINARY = b"AutoCAD Binary DXF\r\n\x1a\x00"
 #: Ranges of group codes and the form of their values in binary files; all others are strings.
 _FORMS = [
-    (10, 59, "<d"), (60, 79, "<h"), (90, 99, "<i"), (110, 149, "<d"), (160, 169, "<q"), (170, 179, "<h"), (210, 239, "<d"), (270, 289, "<h"), (290, 299, "<B"),
-    (370, 389, "<h"), (400, 409, "<h"), (420, 429, "<i"), (440, 449, "<i"), (450, 459, "<i"), (460, 469, "<d"), (1010, 1059, "<d"), (1060, 1070, "<h"), (1071, 1071, "<i"),
+    (10, 59, "<d"), (60, 79, "<h"), (90, 99, "<i"), (110, 149, "<d"), (160, 169, "<q"), (170, 179, "<h"), (210, 239, "<d"),
+    (270, 289, "<h"), (290, 299, "<B"),
+    (370, 389, "<h"), (400, 409, "<h"), (420, 429, "<i"), (440, 449, "<i"), (450, 459, "<i"), (460, 469, "<d"), (1010, 1059, "<d"),
+    (1060, 1070, "<h"), (1071, 1071, "<i"),
 ]
 
 
@@ -87,7 +89,10 @@ def binary_tags(data: bytes) -> Iterator[tuple[int, str]]:
                 at = end + 1
     except (ValueError, IndexError, struct.error):
         raise NotDxf("Invalid or corrupted DXF file: the binary form breaks off") from None
-    told = [f"{v.decode('latin-1')}\n{c}\n{x.decode('latin-1')}\n" for (k, v), (c, x) in zip(raw[:400], raw[1:401]) if k == 9 and isinstance(x, bytes)]
+    told = [
+        f"{v.decode('latin-1')}\n{c}\n{x.decode('latin-1')}\n"
+        for (k, v), (c, x) in zip(raw[:400], raw[1:401]) if k == 9 and isinstance(x, bytes)
+    ]
     name = codec("".join(told))
     for code, value in raw:
         if code != 999:
@@ -181,7 +186,10 @@ def parse(data: bytes) -> Iterator[dict]:
             block = None
         elif kind and kind not in _PARTS and kind != "EOF" and (section == "ENTITIES" or (section == "BLOCKS" and block is not None)):
             seq += 1
-            yield _entity(kind, found) | {"seq": seq, "block": block if section == "BLOCKS" else None, "block_x": base[0] if section == "BLOCKS" else None, "block_y": base[1] if section == "BLOCKS" else None}
+            yield _entity(kind, found) | {
+                "seq": seq, "block": block if section == "BLOCKS" else None, "block_x": base[0] if section == "BLOCKS" else None,
+                "block_y": base[1] if section == "BLOCKS" else None
+            }
 
     for code, value in binary_tags(data) if data.startswith(BINARY) else tags(decode(data)):
         if code == 0:
@@ -230,7 +238,10 @@ def read_dxf(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFram
 
 def _arrow_schema() -> pa.Schema:
     point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
+    kinds = {
+        "string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(),
+        "array<double>": pa.list_(pa.float64())
+    }
     return pa.schema([(name, kinds.get(kind, point)) for name, kind in FIELDS])
 
 

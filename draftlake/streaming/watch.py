@@ -11,7 +11,9 @@ from ..plans.analysis import Analysis, analyse
 from ..plans.store import Keeper
 
 
-def watch(spark: SparkSession, entities: str, schema: str, checkpoint: str, sink: Callable[[Analysis, int], None], available_now: bool = True) -> StreamingQuery:
+def watch(
+    spark: SparkSession, entities: str, schema: str, checkpoint: str, sink: Callable[[Analysis, int], None], available_now: bool = True
+) -> StreamingQuery:
     """Analyses of the entity tables (Parquet) that arrive in a folder; ``sink(analysis, batch)`` writes them.
 
     What an analysis is made of is kept in the shared folder until its sink returns. A sink that replaces what it wrote for the
