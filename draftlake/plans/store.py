@@ -34,7 +34,7 @@ class Keeper:
         self.n += 1
         path = f"{self.at}/{self.n}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:
         atexit.unregister(self.close)
