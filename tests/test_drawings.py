@@ -372,6 +372,24 @@ def test_nearest_equals_brute_force(spark):
     assert {g.k: g.ord for g in got} == want
 
 
+def test_nearest_takes_each_place_once(spark):
+    seen = []
+
+    def keep(df):
+        seen.append(kept(df).count())
+        return kept(df)
+
+    places = [(0.0, 0.0), (30.0, 0.0), (9000.0, 9000.0)]
+    q = [(1, i, *places[i % 3]) for i in range(300)]
+    refs = [(1, i, float(i % 2 * 10 - 5), float(i % 2)) for i in range(200)] + [(1, 200, 20000.0, 9000.0), (1, 201, 9000.0, 20000.0)]
+    got = semantics.nearest(
+        spark.createDataFrame(q, "drawing_id int, k int, x double, y double"),
+        spark.createDataFrame(refs, "drawing_id int, ord int, u double, v double"), ["k"], "x", "y", "u", "v", "ord", keep=keep
+    ).collect()
+    want = {k: min(refs, key=lambda f: ((f[2] - x) ** 2 + (f[3] - y) ** 2, f[1]))[1] for _, k, x, y in q}
+    assert len(got) == 300 and {g.k: g.ord for g in got} == want and max(seen) <= 4
+
+
 def test_radius_and_anchors(spark):
     texts = [("T", 0, y, f"t{y}") for y in (1, 2, 40, 50)]
     t = tables(spark, [], [("C", 0, 0, 1)], texts)
