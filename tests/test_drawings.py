@@ -14,6 +14,7 @@ from draftlake.operators.extraction import Layers
 from draftlake.plans.analysis import analyse, analyse_path, analyse_tables
 from draftlake.plans.documents import document, json_documents, nested, write_documents
 from draftlake.plans.store import kept
+from draftlake.sources import fixtures
 from draftlake.sources.dxf import DxfDataSource, NotDxf, decode, parse, read_dxf
 
 SEG = (
@@ -325,6 +326,24 @@ def test_square(spark):
     assert [r.layer for r in topology.loop_boundary_layers(top.loops, top.edges).collect()] == ["layer0"]
 
 
+def test_fixture_lines_are_numbered_within_layers_only(spark):
+    d = "/root/testdata/sf0.001"
+    s = fixtures.tables(spark, d).segments
+    plan = s._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1  # the number in the drawing is never made
+    want = fixtures.tables_sql(spark, d, fixtures.SEGMENTS)
+    cols = ["drawing_id", "layer", "layer_ord", "line_ord", "sx", "sy", "ex", "ey", "alignment"]
+    assert sorted(map(tuple, s.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_ends_and_links_are_met_by_numbers(spark):
+    s = segments(spark, [(0, 0, 10, 0), (10, 0, 10, 10), (10.001, 0, 0, 0)])
+    first = topology._first_points(s)
+    got = sorted((r.kx, r.ky, r["at"].layer_ord, r["at"].line_ord, r["at"].e, r.x) for r in first.collect())
+    assert got == [(0, 0, 1, 1, 0, 0), (10, 0, 1, 1, 1, 10), (10, 10, 1, 2, 1, 10)]
+    assert "HashAggregate(keys=[drawing_id" in first._jdf.queryExecution().executedPlan().toString()
+
+
 # passes 3 and 4
 
 
