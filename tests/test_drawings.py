@@ -359,6 +359,20 @@ def test_containment(spark):
     assert boxes == {"W": (0, 0, 10, 10), "C": (4, 4, 51, 6), "T": (0, 5, 15, 5)}
 
 
+def test_containment_decides_each_place_and_ring_once(spark):
+    box = lambda a: [(a, 0.0), (a + 10, 0.0), (a + 10, 10.0), (a, 10.0)]
+    loops = spark.createDataFrame(
+        [(1, i, i % 2 * 5.0, 0.0, i % 2 * 5.0 + 10, 10.0, box(i % 2 * 5.0)) for i in range(40)],
+        "drawing_id int, loop_ord int, min_x double, min_y double, max_x double, max_y double, ring array<struct<x: double, y: double>>"
+    )
+    points = spark.createDataFrame([(1, i, float(i % 4 * 4), 5.0) for i in range(60)], "drawing_id int, k int, px double, py double")
+    found = spatial.contained(points, loops, "px", "py")
+    want = {(k, o) for k in range(60) for o in range(40) if o % 2 * 5 <= k % 4 * 4 < o % 2 * 5 + 10}
+    assert {(r.k, r.loop_ord) for r in found.collect()} == want and found.count() == len(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [drawing_id") >= 2  # different rings and places
+
+
 def test_statistics(spark):
     lines = [("WALLS", 0, 0, 100, 0), ("WALLS", 0, 0, 0, 100), ("WALLS", 0, 0, 50, 50)]
     bare = semantics.layer_statistics(tables(spark, [(*x, None) for x in lines], layers=["WALLS", "EMPTY"])).orderBy("layer_ord").collect()
